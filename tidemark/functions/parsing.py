@@ -19,12 +19,17 @@ def parse_dict(text: Column | str) -> Column:
 
     Accepts JSON, single-quoted text, and either of them inside one more pair of quotes with
     the inner quotes doubled.  Unreadable or missing text is an empty map.
+
+    Numbers are put in quotes before parsing: the JSON reader would spell them anew
+    (0.0001 as 1.0E-4), and the text of a value decides which config a row belongs to.
     """
     t = F.trim(as_column(text))
     bare = F.regexp_replace(t, r"""^(["'])(.*)\1$""", "$2")
     single = F.regexp_replace(bare, '""', '"')
     kind = "map<string,string>"
-    return F.coalesce(F.from_json(bare, kind), F.from_json(single, kind),
+    quoted = lambda x: F.regexp_replace(
+        x, r"""(["']\s*:\s*)(-?[0-9][0-9.eE+-]*)(?=\s*[,}])""", '$1"$2"')
+    return F.coalesce(*[F.from_json(x, kind) for x in (quoted(bare), quoted(single), bare, single)],
                       F.map_from_arrays(F.array().cast("array<string>"),
                                         F.array().cast("array<string>")))
 

@@ -136,7 +136,7 @@ def native_log(labelled: DataFrame, configs: Sequence[Config], window_size: int,
             if not 1 <= k <= split:
                 raise ValueError(f"lookback {k} outside 1..{split}")
             extra[f"mean_{k}"] = F.avg("y").over(w.rowsBetween(-k, -1))
-            forecasts.append((c, F.transform("prices", lambda _, k=k: F.col(f"mean_{k}"))))
+            forecasts.append((c, F.array_repeat(f"mean_{k}", F.size("prices"))))
         elif c.model == "rolling_ols":
             flat = F.min("Price").over(train) == F.max("Price").over(train)
             extra["slope"] = F.when(flat, 0.0).otherwise(
@@ -170,20 +170,27 @@ def robust_scale(train: np.ndarray, test: np.ndarray) -> tuple[np.ndarray, np.nd
     return (train - median) / scale, (test - median) / scale
 
 
-def _fit_window(x, y, split, config, fit_predict, seed):
-    """Scale by the train rows only, fit, predict the test rows, undo the label scaling."""
+def fit_window(x: np.ndarray, y: np.ndarray, split: int, hps: list[dict],
+               fit_predict: FitPredict, seed: int):
+    """Scale by the train rows only; per config fit, predict the test rows, undo the scaling of
+    the labels.  Yields (forecast, loss, error)."""
     x_train, x_test = robust_scale(x[:split], x[split:])
     mean, sd = y[:split].mean(), y[:split].std()
     sd = sd if sd > 0 else 1.0
-    y_hat, loss = fit_predict(x_train, (y[:split] - mean) / sd, x_test,
-                              json.loads(config["hp_json"]), seed)
-    return np.asarray(y_hat, dtype=float) * sd + mean, loss
+    y_train = (y[:split] - mean) / sd
+    for hp in hps:
+        try:
+            y_hat, loss = fit_predict(x_train, y_train, x_test, hp, seed)
+            yield (np.asarray(y_hat, dtype=float) * sd + mean).tolist(), loss, None
+        except Exception as e:  # reported per fit, as data
+            yield None, None, f"{type(e).__name__}: {e}"
 
 
 def walk_forward_fit(labelled: DataFrame, features: Sequence[str], configs: Sequence[Config],
                      fit_predict: FitPredict, window_size: int, test_ratio: float,
                      max_windows: int | None = None, block_windows: int = 256,
-                     block_configs: int = 256, seed: int = 42) -> DataFrame:
+                     block_configs: int = 256, seed: int = 42,
+                     tasks: int | None = None) -> DataFrame:
     """Walk-forward log of a learner the caller brings, one fit per (window, config).
 
     The work unit is a block of windows of one market with a block of configs.  A unit gets the
@@ -191,23 +198,28 @@ def walk_forward_fit(labelled: DataFrame, features: Sequence[str], configs: Sequ
     the grid travels with the function.  Units are bounded, so a market that holds a third of
     all rows is simply more units.  A fit that raises gives a row with ``error`` set and no
     forecast, and the job goes on.
+
+    Little data means much work here, so the number of tasks (``tasks``, by default three per
+    core) is set and not left to the sizes of the shuffled blocks.
     """
     split = split_point(window_size, test_ratio)
     if len(configs) > MAX_GRID_ROWS:
         raise ValueError(f"grid of {len(configs)} configs, {MAX_GRID_ROWS} allowed")
     block_windows = max(block_windows, window_size)
-    grid = [[{"model": c.model, "config_index": c.config_index, "hp_json": c.hp_json}
-             for c in configs[i:i + block_configs]]
-            for i in range(0, len(configs), block_configs)]
+    grid = [configs[i:i + block_configs] for i in range(0, len(configs), block_configs)]
+    labels = [[(c.model, c.config_index, c.hp_json) for c in part] for part in grid]
+    hps = [[dict(c.hp) for c in part] for part in grid]
     features = list(features)
+    tasks = tasks or 3 * labelled.sparkSession.sparkContext.defaultParallelism
 
     rows = number_rows(labelled.select("market", "d", "y", *features))
     first = F.floor(F.greatest(F.col("r") - (window_size - 1), F.lit(0)) / block_windows)
     last = F.floor(F.col("r") / block_windows)
     units = rows.withColumn("block", F.explode(F.sequence(first, last))) \
-                .withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(len(grid) - 1))))
+                .withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(len(grid) - 1)))) \
+                .repartition(tasks, "market", "block", "part")
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         market, block, part = key
         pdf = pdf.sort_values("r")
         x, y = pdf[features].to_numpy(float), pdf["y"].to_numpy(float)
@@ -217,15 +229,11 @@ def walk_forward_fit(labelled: DataFrame, features: Sequence[str], configs: Sequ
             a, b = k - r0, k - r0 + window_size
             if b > len(pdf) or (max_windows is not None and k >= max_windows):
                 break
-            for c in grid[part]:
-                y_hat, loss, error = None, None, None
-                try:
-                    y_hat, loss = _fit_window(x[a:b], y[a:b], split, c, fit_predict, seed)
-                except Exception as e:  # reported per fit, as data
-                    error = f"{type(e).__name__}: {e}"
-                out.append((market, c["model"], c["config_index"], k, c["hp_json"],
-                            d[a + split], d[b - 1], y[a + split:b].tolist(),
-                            None if y_hat is None else y_hat.tolist(), loss, error))
+            truth = y[a + split:b].tolist()
+            fits = fit_window(x[a:b], y[a:b], split, hps[part], fit_predict, seed)
+            for (model, index, hp_json), (y_hat, loss, error) in zip(labels[part], fits):
+                out.append((market, model, index, k, hp_json, d[a + split], d[b - 1], truth,
+                            y_hat, loss, error))
         return pd.DataFrame(out, columns=FIT_SCHEMA.fieldNames())
 
     return units.groupBy("market", "block", "part").applyInPandas(run, FIT_SCHEMA)

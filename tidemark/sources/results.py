@@ -41,9 +41,12 @@ def best_configs_json(best: DataFrame) -> DataFrame:
     """
     cols = sorted([c for c in best.columns if c not in ("market", "model", "hyperparams_json")]
                   + ["hyperparams", "hyperparams_json", "market", "model"])
-    row = F.struct(*cols)
-    return best.withColumn("hyperparams", parse_dict("hyperparams_json")) \
-        .groupBy("market").agg(F.array_sort(F.collect_list(F.struct("model", row))).alias("m")) \
+    row = F.struct(*cols).alias("row")
+    by_model = lambda a, b: F.when(a["model"] < b["model"], -1).when(
+        a["model"] > b["model"], 1).otherwise(0)
+    return best.withColumn("hyperparams", F.try_parse_json("hyperparams_json")) \
+        .groupBy("market") \
+        .agg(F.array_sort(F.collect_list(F.struct("model", row)), by_model).alias("m")) \
         .select("market", F.to_json(F.create_map(
             F.col("market"), F.map_from_entries("m"))).alias("document"))
 
@@ -59,8 +62,9 @@ def read_best_configs(spark: SparkSession, path: str, lines: bool = True) -> Dat
     """
     fields = [f"{f.name}: {f.dataType.simpleString()}" for f in SCORE_SCHEMA
               if f.name not in ("market", "model")]
-    kind = f"map<string, map<string, struct<{', '.join(fields)}, hyperparams: map<string,string>>>>"
+    kind = f"map<string, map<string, struct<{', '.join(fields)}>>>"
     docs = spark.read.text(path, wholetext=not lines).select(
         F.explode(F.from_json("value", kind)).alias("market", "models"))
     rows = docs.select("market", F.explode("models").alias("model", "r"))
-    return rows.select("market", "model", "r.*")
+    return rows.select("market", "model", "r.*") \
+               .withColumn("hyperparams", parse_dict("hyperparams_json"))

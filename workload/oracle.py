@@ -19,7 +19,8 @@ SPLIT = 9  # of a window of 10 rows with ratio 0.1
 
 
 def r(expr: str, digits: int = 6, name: str | None = None) -> str:
-    return f"round({expr}, {digits}) + 0.0 AS {name or expr}"
+    """Up from .5129 instead of from one half, which short decimals lie on."""
+    return f"floor(({expr}) * {10 ** digits}.0 + 0.4871) / {10 ** digits}.0 + 0.0 AS {name or expr}"
 
 
 def day(expr: str = "d", name: str | None = None) -> str:
@@ -222,7 +223,10 @@ VIEWS = {
     "line_log": """SELECT l.*, coalesce(g.hp_json, '{}') AS hp_json FROM line_once l
         LEFT JOIN grid g ON g.model = l.model AND g.config_index =
           CASE WHEN l.model = 'naive_last_price' THEN -1 ELSE l.config_index % 405 END""",
-    "scores": scores_of("line_log"),
+    "exact_scores": scores_of("line_log"),
+    "scores": """SELECT * REPLACE (round(MAPE, 10) AS MAPE, round(R2, 10) AS R2, round(MAE, 6) AS MAE,
+        round(RMSE_over_mean_price, 10) AS RMSE_over_mean_price, round(RMSE, 6) AS RMSE,
+        round(mean_price, 6) AS mean_price) FROM exact_scores""",
     "best": best_of("scores"),
     "nets": "SELECT * FROM scores WHERE NOT contains(lower(model), 'naive')",
     "cfg_market": """SELECT market, model, hyperparams_json, avg(MAPE) AS MAPE, avg(R2) AS R2
@@ -277,9 +281,8 @@ VIEWS = {
 LOG_OUT = (f"market, model, {CI}, window_id, {day('start_date')}, {day('end_date')}, "
            f"{r('t', 4)}, {r('p', 3)}")
 FEATURE_OUT = ", ".join(r(c, 4) for c in ["equity_index", "fx_rate", *COMMODITIES])
-TRACE_WIDE = ("SELECT market, " + day("target_date") + ", round(max(t) FILTER (model = "
-              "'naive_last_price'), 2) + 0.0 AS y_true, "
-              + ", ".join(f"round(max(p) FILTER (model = '{m}'), 4) + 0.0 AS {m}" for m in MODELS)
+TRACE_WIDE = ("SELECT market, " + day("target_date") + ", " + r("max(t) FILTER (model = 'naive_last_price')", 2, "y_true") + ", "
+              + ", ".join(r(f"max(p) FILTER (model = '{m}')", 4, m) for m in MODELS)
               + " FROM trace GROUP BY market, target_date")
 LAB_LOG = f"(SELECT * FROM log WHERE model {{}})"
 HELD = f"(SELECT * FROM labelled WHERE d >= DATE '{HELD_OUT}')"
@@ -446,7 +449,7 @@ ORACLE = {
           SELECT l_returnflag || l_linestatus AS market, {MODEL_OF_LINE} AS model, l_suppkey AS config_index,
             avg(l_tax) FILTER (l_tax > 0) AS loss FROM lineitem GROUP BY ALL)""",
     "metric_pivot": "SELECT market, " + ", ".join(
-        f"round(max(R2) FILTER (model = '{m}'), 8) + 0.0 AS {m}" for m in MODELS)
+        r(f"max(R2) FILTER (model = '{m}')", 8, m) for m in MODELS)
         + " FROM best GROUP BY market",
     "robust_scale_stats": f"""SELECT market, feature, window_id, {r('median', 4)},
           {r('CASE WHEN iqr < 2.220446049250313e-15 THEN 1.0 ELSE iqr END', 4, 'iqr')}

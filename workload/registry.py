@@ -34,8 +34,13 @@ def query(fn: Query) -> Query:
 
 
 def rd(c: Column | str, digits: int = 6) -> Column:
-    """Rounded, and never minus zero."""
-    return F.round(F.col(c) if isinstance(c, str) else c, digits) + F.lit(0.0)
+    """To a number of digits, up from .5129 instead of from one half.
+
+    Prices and their means are short decimals, which lie on one half often; there the last bit
+    would decide the digit shown.  Zero is never negative.
+    """
+    c = F.col(c) if isinstance(c, str) else c
+    return F.floor(c * 10.0 ** digits + 0.4871) / 10.0 ** digits + F.lit(0.0)
 
 
 def day(c: Column | str = "d") -> Column:
