@@ -41,15 +41,11 @@ def calendar(spark: SparkSession, start: str, end: str) -> DataFrame:
 
 
 def calendar_reindex(series: DataFrame, start: str, end: str,
-                     keys: Sequence[str] = ("market",)) -> DataFrame:
-    """Every key on every business day, with its value or NULL.
-
-    The days are generated per key, so there is no join of all keys with all days.
-    """
-    lo, hi = check_bounds(start, end)
-    grid = series.select(*keys).distinct().select(
-        *keys, F.explode(business_days(lo, hi)).alias("d"))
-    return grid.join(series, [*keys, "d"], "left")
+                     keys: Sequence[str] = ("market",), value: str = "price") -> DataFrame:
+    """Every key on every business day, with its value or NULL: the fill without any filling,
+    so no join of all keys with all days and no second pass over the series."""
+    return fill_calendar(series, start, end, keys, value, interior=False, leading=False,
+                         trailing=False).drop("is_filled")
 
 
 def fill_calendar(series: DataFrame, start: str, end: str, keys: Sequence[str] = ("market",),

@@ -53,25 +53,27 @@ def net_value_lists(model: str) -> dict[str, list]:
 def config_grid(spark: SparkSession, model: str, lists: dict[str, Sequence]) -> DataFrame:
     """All combinations of the value lists as ``(model, config_index, hp, hp_json)``.
 
-    The lists are unrolled by generators.  The index counts like an odometer: the last list
-    turns fastest.  Values are kept as text, so that a config has one spelling only.
+    The index counts like an odometer whose last list turns fastest, so each value is a digit of
+    the index and the grid is a range with one column per list.  Values are kept as text, so
+    that a config has one spelling only.
     """
     size = math.prod(len(v) for v in lists.values())
     if size > MAX_GRID_ROWS:
         raise ValueError(f"grid of {size} configs, {MAX_GRID_ROWS} allowed")
-    out = spark.range(1).select(F.lit(0).alias("config_index"))
+    index, stride, value = F.col("config_index"), size, {}
     for name, values in lists.items():
-        texts = F.array(*[F.lit(str(v)) for v in values])
-        out = out.select("*", F.posexplode(texts).alias("place", name)).withColumn(
-            "config_index", F.col("config_index") * len(values) + F.col("place")).drop("place")
-    hp = F.create_map(*[c for n in sorted(lists) for c in (F.lit(n), F.col(n))])
-    number = {n for n, values in lists.items() if not any(isinstance(v, str) for v in values)}
-    number |= {"learning_rate"} & set(lists)
-    pieces = [F.concat(F.lit(f'"{n}": '), F.col(n)) if n in number
-              else F.concat(F.lit(f'"{n}": "'), F.col(n), F.lit('"')) for n in sorted(lists)]
+        stride //= len(values)
+        digit = F.floor(index / stride) % len(values) + 1
+        value[name] = F.element_at(F.array(*[F.lit(str(v)) for v in values]), digit.cast("int"))
+    hp = F.create_map(*[c for n in sorted(lists) for c in (F.lit(n), value[n])])
+    words = {n for n, values in lists.items() if n != "learning_rate"
+             and any(isinstance(v, str) for v in values)}
+    pieces = [F.concat(F.lit(f'"{n}": "'), value[n], F.lit('"')) if n in words
+              else F.concat(F.lit(f'"{n}": '), value[n]) for n in sorted(lists)]
     text = F.concat(F.lit("{"), F.concat_ws(", ", *pieces), F.lit("}"))
-    return out.select(F.lit(model).alias("model"), "config_index", hp.alias("hp"),
-                      text.alias("hp_json"))
+    return spark.range(size, numPartitions=1).select(
+        F.lit(model).alias("model"), F.col("id").cast("int").alias("config_index")).select(
+        "model", "config_index", hp.alias("hp"), text.alias("hp_json"))
 
 
 def full_grid(spark: SparkSession) -> DataFrame:

@@ -118,36 +118,44 @@ def safe_metrics(df: DataFrame, keys: Sequence[str], truth: str = "y_true",
     return df.groupBy(*keys).agg(*[c.alias(n) for n, c in cols.items()])
 
 
+def _chunk_column(trace: DataFrame, k: int, keys: Sequence[str], date: str) -> DataFrame:
+    """Adds ``chunk``: 0..k-1 by cutting at floor(n*i/k), NULL for rows that belong to none.
+
+    Only finite pairs count, and a piece needs two rows.  A trace has one row per date, which
+    bounds the window over it.
+    """
+    ok = finite("y_true").isNotNull() & finite("y_pred").isNotNull()
+    every = Window.partitionBy(*keys, "_ok")
+    rows = trace.withColumn("_ok", ok).withColumns({
+        "_r": F.row_number().over(every.orderBy(date)) - 1,
+        "_n": F.count(F.lit(1)).over(every)})
+    cut = [F.floor(F.col("_n") * i / k) for i in range(k + 1)]
+    chunk = sum([(F.col("_r") >= c).cast("int") for c in cut[1:k]], F.lit(0))
+    sizes = F.array(*[cut[i + 1] - cut[i] for i in range(k)])
+    kept = F.col("_ok") & (F.col("_n") >= k) & (F.element_at(sizes, chunk + 1) >= 2)
+    return rows.withColumn("chunk", F.when(kept, chunk)).drop("_ok", "_r", "_n")
+
+
 def trace_chunks(trace: DataFrame, k: int = 3, keys: Sequence[str] = ("market", "model"),
                  date: str = "target_date") -> DataFrame:
-    """Cut each trace into ``k`` contiguous pieces at floor(n*i/k): adds ``chunk`` 0..k-1.
+    """The rows of each trace in ``k`` contiguous pieces."""
+    return _chunk_column(trace, k, keys, date).filter(F.col("chunk").isNotNull())
 
-    Pieces of fewer than two rows are dropped.  Only finite pairs count.  A trace has one row
-    per date, which bounds the window over it.
+
+def gold_metrics(trace: DataFrame, k: int = 3, keys: Sequence[str] = ("market", "model"),
+                 date: str = "target_date") -> DataFrame:
+    """Report metrics per chunk, averaged over the chunks, next to those of the whole trace.
+
+    The whole counts as one more chunk (-1), so one pass gives both.
     """
-    ok = trace.filter(finite("y_true").isNotNull() & finite("y_pred").isNotNull())
-    every = Window.partitionBy(*keys)
-    rows = ok.withColumns({
-        "r": F.row_number().over(every.orderBy(date)) - 1,
-        "n": F.count(F.lit(1)).over(every)})
-    cut = [F.floor(F.col("n") * i / k) for i in range(k + 1)]
-    chunk = sum([(F.col("r") >= c).cast("int") for c in cut[1:k]], F.lit(0))
-    sizes = F.array(*[cut[i + 1] - cut[i] for i in range(k)])
-    return rows.withColumn("chunk", chunk) \
-               .filter((F.col("n") >= k) & (F.element_at(sizes, F.col("chunk") + 1) >= 2)) \
-               .drop("r", "n")
-
-
-def gold_metrics(trace: DataFrame, k: int = 3,
-                 keys: Sequence[str] = ("market", "model")) -> DataFrame:
-    """Report metrics per chunk, averaged over the chunks, next to those of the whole trace."""
-    whole = safe_metrics(trace, keys).select(
-        *keys, "n_points", *[F.col(m).alias(f"{m}_raw")
-                             for m in ("MAPE", "RMSE_over_mean_price", "R2")])
-    chunks = safe_metrics(trace_chunks(trace, k, keys), [*keys, "chunk"])
-    means = chunks.groupBy(*keys).agg(
-        *[F.avg(m).alias(m) for m in ("MAPE", "RMSE_over_mean_price", "R2")])
-    return whole.join(means, list(keys), "left")
+    rows = _chunk_column(trace, k, keys, date).withColumn(
+        "chunk", F.explode(F.array_compact(F.array(F.lit(-1), F.col("chunk")))))
+    parts = safe_metrics(rows, [*keys, "chunk"])
+    whole, names = F.col("chunk") == -1, ("MAPE", "RMSE_over_mean_price", "R2")
+    return parts.groupBy(*keys).agg(
+        F.max(F.when(whole, F.col("n_points"))).alias("n_points"),
+        *[F.avg(F.when(~whole, F.col(m))).alias(m) for m in names],
+        *[F.max(F.when(whole, F.col(m))).alias(f"{m}_raw") for m in names])
 
 
 def clipped_errors(trace: DataFrame, limit: float = ERROR_LIMIT) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidemark.functions.values import as_column, finite
+from tidemark.functions.values import finite
 
 
 def lowest(*columns: str) -> list[Column]:
@@ -63,41 +63,46 @@ def best_extremes(cfg_market: DataFrame) -> DataFrame:
 # ---- ranks and quantiles of groups of any size ------------------------------------------
 
 CELLS_PER_OCTAVE = 1024
+LAST_CELL = 2**31 - 1  # of the rows without a value
 
 
 def value_cell(value: Column | str) -> Column:
     """An integer that never decreases as the value grows; neighbours within 0.07 percent share
     it.  A fixed function of the value: no sampling, so a retried task agrees with itself."""
-    v = as_column(value)
+    v = finite(value)
     size = F.floor((F.log2(F.abs(v)) + 1100) * CELLS_PER_OCTAVE)
-    return F.when(v == 0, F.lit(0)).when(v > 0, size).otherwise(-size).cast("int")
+    cell = F.when(v == 0, F.lit(0)).when(v > 0, size).otherwise(-size).cast("int")
+    return F.coalesce(cell, F.lit(LAST_CELL))
 
 
-def _cell_offsets(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows per (key, cell) and, before each cell, the number of rows in smaller cells."""
-    counts = cells.groupBy(*keys, "cell").agg(F.count(F.lit(1)).alias("in_cell"))
-    before = Window.partitionBy(*keys).orderBy("cell")
+def cell_offsets(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Per (key, cell) the rows in it and the rows in smaller cells of the key; and the rows of
+    the whole key.  A few numbers per cell, whatever the size of the key."""
+    counts = df.groupBy(*keys, value_cell(value).alias("cell")) \
+               .agg(F.count(F.lit(1)).alias("in_cell"))
+    every = Window.partitionBy(*keys)
+    before = every.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     return counts.withColumns({
-        "offset": F.coalesce(F.sum("in_cell").over(
-            before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
-        "total": F.sum("in_cell").over(Window.partitionBy(*keys))})
+        "offset": F.coalesce(F.sum("in_cell").over(before), F.lit(0)),
+        "total": F.sum("in_cell").over(every)})
 
 
 def ordered_rank(df: DataFrame, keys: Sequence[str], value: str, tie_break: Sequence[Column] = (),
-                 rank: str = "rank") -> DataFrame:
-    """1-based rank of each row within its key by ascending value; rows without a finite value
-    have none and are left out.
+                 rank: str = "rank", cells: DataFrame | None = None) -> DataFrame:
+    """1-based rank of each row within its key by ascending value; rows without one come last.
 
     ``row_number`` over a whole key would sort one key in one task.  Here rows are spread over
     (key, cell), ranked there, and moved up by the number of rows in smaller cells, which is a
-    running sum over cell counts only.
+    running sum over cell counts only.  ``cells`` may hand in ``cell_offsets`` of the same rows,
+    narrowed to the cells wanted and with more columns to carry along.
+
+    The input is read twice; give it a stored table if it is dear to compute.
     """
-    rows = df.filter(finite(value).isNotNull()).withColumn("cell", value_cell(value))
-    offsets = _cell_offsets(rows, keys)
-    here = Window.partitionBy(*keys, "cell").orderBy(F.col(value), *tie_break)
-    return rows.join(offsets, [*keys, "cell"]) \
-               .withColumn(rank, F.col("offset") + F.row_number().over(here)) \
-               .drop("cell", "in_cell", "offset", "total")
+    cells = cell_offsets(df, keys, value) if cells is None else cells
+    here = Window.partitionBy(*keys, "cell").orderBy(F.col(value).asc_nulls_last(), *tie_break)
+    return df.withColumn("cell", value_cell(value)).join(cells, [*keys, "cell"]) \
+             .withColumn(rank, F.col("offset") + F.row_number().over(here)) \
+             .drop("cell", "in_cell", "offset", "total")
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str,
@@ -107,36 +112,26 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str,
     Only the cells that hold a wanted rank are looked at row by row; the built-in exact
     percentile would hold all values of a key in one task.
     """
-    rows = df.filter(finite(value).isNotNull()) \
-             .select(*keys, F.col(value).alias("v"), value_cell(value).alias("cell"))
+    rows = df.filter(finite(value).isNotNull()).select(*keys, value)
     at = {name: (F.col("total") - 1) * F.lit(float(p)) for name, p in probs.items()}
-    wanted = F.array_distinct(F.array(*[f(a).cast("bigint") for a in at.values()
+    wanted = F.array_distinct(F.array(*[f(a).cast("bigint") + 1 for a in at.values()
                                         for f in (F.floor, F.ceil)]))
-    cells = _cell_offsets(rows, keys).withColumn("wanted", F.filter(
-        wanted, lambda k: (k >= F.col("offset")) & (k < F.col("offset") + F.col("in_cell"))))
-    cells = cells.filter(F.size("wanted") > 0)
-    here = Window.partitionBy(*keys, "cell").orderBy("v")
-    hits = rows.join(cells, [*keys, "cell"]).withColumn(
-        "k", F.col("offset") + F.row_number().over(here) - 1)
-    hits = hits.filter(F.array_contains("wanted", F.col("k")))
+    cells = cell_offsets(rows, keys, value).withColumns({
+        "wanted": F.filter(wanted, lambda k: (k > F.col("offset"))
+                           & (k <= F.col("offset") + F.col("in_cell"))),
+        "n": F.col("total")})
+    hits = ordered_rank(rows, keys, value, cells=cells.filter(F.size("wanted") > 0))
+    hits = hits.filter(F.array_contains("wanted", F.col("rank")))
     out = []
-    for name, a in at.items():
-        below = F.max(F.when(F.col("k") == F.floor(a), F.col("v")))
-        above = F.max(F.when(F.col("k") == F.ceil(a), F.col("v")))
-        part = F.max(a - F.floor(a))
-        out.append((below + (above - below) * part).alias(name))
+    for name, p in probs.items():
+        a = (F.col("n") - 1) * F.lit(float(p))
+        below = F.max(F.when(F.col("rank") == F.floor(a) + 1, F.col(value)))
+        above = F.max(F.when(F.col("rank") == F.ceil(a) + 1, F.col(value)))
+        out.append((below + (above - below) * F.max(a - F.floor(a))).alias(name))
     return hits.groupBy(*keys).agg(*out)
 
 
 def rank_in_market(scores: DataFrame, tie_break: Sequence[str] = ("RMSE",)) -> DataFrame:
-    """Running rank of the models of a market by MAPE, then ``tie_break``, then R2 from above.
-
-    Rows without a MAPE come after all others, in the same order among themselves.
-    """
+    """Running rank of the models of a market by MAPE, then ``tie_break``, then R2 from above."""
     order = [*lowest(*tie_break), *highest("R2"), *lowest("model", "config_index")]
-    ranked = ordered_rank(scores, ["market"], "MAPE", order, "rank_in_market")
-    n = scores.groupBy("market").agg(F.count(finite("MAPE")).alias("n_ranked"))
-    rest = scores.filter(finite("MAPE").isNull()).join(n, "market").withColumn(
-        "rank_in_market", F.col("n_ranked") + F.row_number().over(
-            Window.partitionBy("market").orderBy(*order))).drop("n_ranked")
-    return ranked.unionByName(rest)
+    return ordered_rank(scores, ["market"], "MAPE", order, "rank_in_market")

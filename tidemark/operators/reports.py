@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tidemark.functions.parsing import hp_standardise, parse_dict
 from tidemark.functions.values import finite, is_tcn
 from tidemark.operators.clean import list_position
-from tidemark.operators.ranking import exact_quantiles, highest, lowest, ordered_rank
+from tidemark.operators.ranking import (
+    cell_offsets, exact_quantiles, highest, lowest, ordered_rank)
 from tidemark.schema import (
     ACTIVATION_ORDER, CURVE_CAP, CURVE_CAP_TCN, CURVE_MIN_MARKET, CURVE_MIN_POOLED,
     FINANCIAL_COLUMNS, HIST_BINS, HIST_XMAX, HIST_XMAX_TCN, HP_ALIASES, TECHNICAL_PREFIXES)
@@ -167,17 +168,27 @@ def _metric_rows(scores: DataFrame, keys: Sequence[str], signed: bool = True) ->
     return long.filter(finite("value").isNotNull())
 
 
-def _both_curves(ranked: DataFrame, keys: Sequence[str]) -> DataFrame:
-    mean = {m: F.avg(F.when(F.col("metric") == m, F.col("value"))) for m in ("MAPE", "R2")}
-    return ranked.groupBy(*keys, "rank").agg((-mean["MAPE"]).alias("MAPE"),
-                                             mean["R2"].alias("R2"))
-
+def _curves(long: DataFrame, keys: Sequence[str], least: int, top_k: int | None) -> DataFrame:
+    """MAPE and R2 of each rank per model: the mean over the other keys, for the ranks all reach.
 
-def _enough(long: DataFrame, keys: Sequence[str], least: int) -> DataFrame:
-    """Per key the shorter of the two curves, when both have ``least`` points."""
-    n = {m: F.count_if(F.col("metric") == m) for m in ("MAPE", "R2")}
-    return long.groupBy(*keys).agg(F.least(n["MAPE"], n["R2"]).alias("points")) \
-               .filter(F.col("points") >= least)
+    Curves shorter than ``least`` points do not count.  Lengths come from the cell counts of the
+    ranking, so the rows themselves are read for the counts and for the ranks, no more.
+    """
+    by = [*keys, "metric"]
+    cells = cell_offsets(long, by, "value")
+    n = {m: F.sum(F.when(F.col("metric") == m, F.col("in_cell"))) for m in ("MAPE", "R2")}
+    points = cells.groupBy(*keys).agg(
+        F.when(n["MAPE"].isNotNull() & n["R2"].isNotNull(), F.least(n["MAPE"], n["R2"]))
+        .alias("points")).filter(F.col("points") >= least)
+    shortest = points.groupBy("model").agg(F.min("points").alias("reach"))
+    if top_k is not None:
+        shortest = shortest.withColumn("reach", F.least("reach", F.lit(top_k)))
+    kept = cells.join(points.select(*keys), list(keys), "left_semi").join(shortest, "model") \
+                .filter(F.col("offset") < F.col("reach"))
+    ranked = ordered_rank(long, by, "value", cells=kept).filter(F.col("rank") <= F.col("reach"))
+    mean = {m: F.avg(F.when(F.col("metric") == m, F.col("value"))) for m in ("MAPE", "R2")}
+    return ranked.groupBy("model", "rank").agg((-mean["MAPE"]).alias("MAPE"),
+                                               mean["R2"].alias("R2"))
 
 
 def _clip(c: Column, low: float, high: Column | float) -> Column:
@@ -188,31 +199,22 @@ def _clip(c: Column, low: float, high: Column | float) -> Column:
 def rank_curve_pooled(per_market: DataFrame, least: int = CURVE_MIN_POOLED) -> DataFrame:
     """All configs of a model pooled over markets; MAPE and R2 each sorted worst to best on its
     own, then put side by side by rank and clipped to the plotted range."""
-    long = _metric_rows(per_market, ["model"])
-    points = _enough(long, ["model"], least)
-    curves = _both_curves(ordered_rank(long, ["model", "metric"], "value"), ["model"])
     cap = F.when(is_tcn("model"), CURVE_CAP_TCN).otherwise(CURVE_CAP)
-    return curves.join(points, "model").filter(F.col("rank") <= F.col("points")).select(
+    return _curves(_metric_rows(per_market, ["model"]), ["model"], least, None).select(
         "model", "rank", _clip(F.col("MAPE"), 0.0, cap).alias("MAPE"),
         _clip(F.col("R2"), 0.0, 1.0).alias("R2"))
 
 
 def rank_curve_by_market(per_market: DataFrame, least: int = CURVE_MIN_MARKET,
                          top_k: int | None = None) -> DataFrame:
-    """The same per market, cut to the shortest market, and averaged at each rank."""
+    """The same per market, cut to the shortest market, and averaged at each rank.
+
+    The range of the plot is the histogram's, or up to the worst point, but 0.10 at most; so
+    0.10 is the only value that ever clips.
+    """
     keys = ["model", "market"]
-    long = _metric_rows(per_market, keys)
-    points = _enough(long, keys, least)
-    shortest = points.groupBy("model").agg(F.min("points").alias("shortest"))
-    if top_k is not None:
-        shortest = shortest.withColumn("shortest", F.least("shortest", F.lit(top_k)))
-    ranked = ordered_rank(long, [*keys, "metric"], "value").join(points, keys, "left_semi")
-    curves = _both_curves(ranked, ["model"]).join(shortest, "model") \
-        .filter(F.col("rank") <= F.col("shortest"))
-    worst = curves.groupBy("model").agg(F.max("MAPE").alias("worst"))
-    cap = F.least(F.greatest(hist_xmax("model"), F.col("worst")), F.lit(0.10))
-    return curves.join(worst, "model").select(
-        "model", "rank", _clip(F.col("MAPE"), 0.0, cap).alias("MAPE"),
+    return _curves(_metric_rows(per_market, keys), keys, least, top_k).select(
+        "model", "rank", _clip(F.col("MAPE"), 0.0, 0.10).alias("MAPE"),
         _clip(F.col("R2"), 0.0, 1.0).alias("R2"))
 
 

@@ -6,7 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.operators.calendar import MAX_CALENDAR_DAYS, check_bounds, fill_calendar
+from tidemark.operators.calendar import (
+    MAX_CALENDAR_DAYS, business_day_count, check_bounds, fill_calendar)
 from tidemark.operators.clean import date_slice
 from tidemark.operators.indicators import technicals
 from tidemark.schema import PANEL_FEATURES
@@ -28,11 +29,14 @@ def unused_tickers(config: DataFrame, quotes: DataFrame) -> DataFrame:
 
 
 def commodity_columns(filled: DataFrame, commodities: dict[str, str]) -> DataFrame:
-    """``d`` plus one column per commodity: at most one row per calendar day."""
+    """``d`` plus one column per commodity: at most one row per calendar day.
+
+    No filter on the tickers: with it this branch would read the quotes a second time, while
+    without it Spark reuses the shuffled quotes of the equity and FX branches.
+    """
     if len(commodities) > MAX_COMMODITIES:
         raise ValueError(f"{len(commodities)} commodities, {MAX_COMMODITIES} allowed")
-    rows = filled.filter(F.col("ticker").isin(list(commodities.values())))
-    return rows.groupBy("d").agg(*[
+    return filled.groupBy("d").agg(*[
         F.max(F.when(F.col("ticker") == ticker, F.col("price"))).alias(name)
         for name, ticker in commodities.items()])
 
@@ -67,7 +71,9 @@ def build_panel(series: DataFrame, config: DataFrame, quotes: DataFrame,
     to rows that already lie together.  Indicators warm up from ``start``; the output is cut to
     ``output_start`` afterwards.
     """
-    prices = technicals(fill_calendar(series, start, end)).withColumnRenamed("price", "Price")
+    prices = technicals(fill_calendar(series, start, end),
+                        max_rows=business_day_count(start, end)) \
+        .withColumnRenamed("price", "Price")
     out = feature_join(prices, config, quotes, commodities, start, end)
     return date_slice(out, output_start).select("market", "d", *columns)
 

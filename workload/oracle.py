@@ -457,7 +457,7 @@ ORACLE = {
             quantile_cont(v, 0.5) OVER f AS median,
             quantile_cont(v, 0.75) OVER f - quantile_cont(v, 0.25) OVER f AS iqr
           FROM ("""
-        + " UNION ALL ".join(f"SELECT market, d, row_number() {W} - 1 AS rr, '{c}' AS feature, {c} AS v "
+        + " UNION ALL ".join(f"SELECT market, d, row_number() {W} - 1 AS rr, '{c}' AS feature, round({c}, 8) AS v "
                              "FROM labelled" for c in PANEL_FEATURES)
         + f""") WINDOW f AS (PARTITION BY market, feature ORDER BY d
             ROWS BETWEEN {SPLIT} PRECEDING AND 1 PRECEDING)) WHERE window_id >= 0""",

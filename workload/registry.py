@@ -528,7 +528,9 @@ def metric_pivot(spark, sf):
 
 @query
 def robust_scale_stats(spark, sf):
-    df = windows.robust_scale_stats(fx.labelled(spark, sf), PANEL_FEATURES, fx.WINDOW, fx.RATIO)
+    """Features at eight digits, so that a flat stretch has no spread in its last bits."""
+    lab = fx.labelled(spark, sf).withColumns({c: F.round(c, 8) for c in PANEL_FEATURES})
+    df = windows.robust_scale_stats(lab, PANEL_FEATURES, fx.WINDOW, fx.RATIO)
     return show(df, "market", "feature", "window_id", median=4, iqr=4)
 
 
