@@ -7,6 +7,9 @@ from pyspark.sql import Column, functions as F
 from tidemark.schema import LOG_SCALE_FLOOR, REPORT_FLOOR
 
 
+NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+
+
 def as_column(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -14,16 +17,17 @@ def as_column(c: Column | str) -> Column:
 def finite(value: Column | str) -> Column:
     """NaN and the infinities become NULL, the only missing value used after this point."""
     v = as_column(value)
-    return F.when(F.isnan(v) | (F.abs(v) == float("inf")), None).otherwise(v)
+    return F.when(F.abs(v) < float("inf"), v)  # NaN is above all numbers
 
 
 def numeric_coerce(text: Column | str) -> Column:
     """Text to double; anything that is not a finite number is NULL.
 
-    A trailing ``d`` or ``f`` is a Java literal suffix that the cast would let through.
+    The pattern comes first because the cast alone would let Java literals such as ``1d`` and
+    ``NaN`` through, and is slow on text it cannot read.
     """
     t = F.trim(as_column(text).cast("string"))
-    return F.when(t.rlike("[0-9.][dDfF]$"), None).otherwise(finite(t.try_cast("double")))
+    return finite(F.when(t.rlike(NUMBER), t.try_cast("double")))
 
 
 def date_coerce(text: Column | str) -> Column:

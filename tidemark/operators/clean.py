@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions.values import (
-    as_column, date_coerce, finite, is_baseline, is_business_day, numeric_coerce)
+    as_column, date_coerce, is_baseline, is_business_day, numeric_coerce)
 
 
 def coerce_rows(raw: DataFrame, date: str = "raw_date", price: str = "raw_price") -> DataFrame:
@@ -57,8 +57,9 @@ def clean_prices(raw: DataFrame, start: str | None = None, end: str | None = Non
     The row filters run first: they are per row, so they commute with keeping the last row of
     a day, and they shrink what is shuffled.
     """
-    rows = raw.withColumn("price", finite("price")).filter(F.col("d").isNotNull())
-    rows = business_days_only(date_slice(drop_null_zero(rows), start, end))
+    size = F.abs("price")
+    rows = raw.filter((size > 0) & (size < float("inf")))
+    rows = business_days_only(date_slice(rows, start, end))
     return dedupe_last(rows, ["market", "d"], seq, ["price"])
 
 

@@ -40,8 +40,12 @@ def forecast_metrics(df: DataFrame, keys: Sequence[str], truth: str = "y_true",
 
 
 def dedupe_log(log: DataFrame, seq: str = "end_date") -> DataFrame:
-    """One row per (market, model, config, window): a re-run must not count twice."""
-    keys = ["market", "model", "config_index", "window_id"]
+    """One row per (market, model, config, window): a re-run must not count twice.
+
+    The keys are nearly unique and the lists make Spark aggregate by sorting, so the key that
+    tells most rows apart, a number, comes first in the sort.
+    """
+    keys = ["window_id", "config_index", "model", "market"]
     return dedupe_last(log, keys, seq, [c for c in log.columns if c not in (*keys, seq)])
 
 

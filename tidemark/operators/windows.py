@@ -110,20 +110,15 @@ def robust_scale_stats(labelled: DataFrame, features: Sequence[str], window_size
                        test_ratio: float, keys: Sequence[str] = ("market",)) -> DataFrame:
     """Median and interquartile range of the train rows, per window and feature.
 
-    Long form: one series per (key, feature), so the features of a market are spread over tasks.
+    All features are frames of one window, so the rows are neither copied nor shuffled per
+    feature; only the results are turned into rows.
     """
-    long = number_rows(labelled, keys).unpivot(
-        [*keys, "d", "r"], list(features), "feature", "value")
-    split = split_point(window_size, test_ratio)
-    n_test = window_size - split
-    by = [*keys, "feature"]
-    w = series_window(by)
-    q = F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    stats = long.withColumns({
-        "q": q.over(w.rowsBetween(-split, -1)),
-        "ahead": F.count("value").over(w.rowsBetween(0, n_test - 1))})
-    stats = stats.filter((F.col("r") >= split) & (F.col("ahead") == n_test))
+    f = train_frame(window_size, test_ratio, keys)
+    quartiles = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
+    wide = test_rows(labelled, window_size, test_ratio, price=features[0], keys=keys, extra={
+        f"q_{c}": F.percentile(c, quartiles).over(f) for c in features})
+    long = wide.select(*keys, "window_id", F.inline(F.array(*[
+        F.struct(F.lit(c).alias("feature"), F.col(f"q_{c}").alias("q")) for c in features])))
     iqr = F.element_at("q", 3) - F.element_at("q", 1)
-    return stats.select(*by, (F.col("r") - split).cast("bigint").alias("window_id"),
-                        F.element_at("q", 2).alias("median"),
-                        F.when(iqr < 10 * EPS, 1.0).otherwise(iqr).alias("iqr"))
+    return long.select(*keys, "feature", "window_id", F.element_at("q", 2).alias("median"),
+                       F.when(iqr < 10 * EPS, 1.0).otherwise(iqr).alias("iqr"))

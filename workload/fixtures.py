@@ -58,16 +58,17 @@ def raw_quotes(spark: SparkSession, sf: str) -> DataFrame:
                                F.concat(F.lit("LN_"), F.col("l_linenumber").cast("string"))))
     return lines.select(
         ticker.alias("ticker"), F.col("l_shipdate").cast("date").alias("d"),
-        net.alias("adj_close"), F.col("l_extendedprice").alias("close"),
-        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+        net.alias("adj_close"), F.col("l_extendedprice").alias("close"), line_number().alias("seq"))
 
 
-QUOTE_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "adj_close"]
+def line_number() -> Column:
+    """Place of a line among all lines: order, line, part; parts have at most 9 digits here."""
+    return (F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1_000_000_000 + F.col("l_partkey")
 
 
 def quotes(spark: SparkSession, sf: str) -> DataFrame:
     """Weekday quotes only: the calendar has no other days."""
-    return quotes_series(raw_quotes(spark, sf), QUOTE_ORDER).filter(F.weekday("d") < 5)
+    return quotes_series(raw_quotes(spark, sf)).filter(F.weekday("d") < 5)
 
 
 def market_config(spark: SparkSession) -> DataFrame:

@@ -166,7 +166,7 @@ VIEWS = {
       FROM (SELECT 'RF_' || l_returnflag AS ticker, * FROM lineitem
             UNION ALL SELECT 'LN_' || l_linenumber AS ticker, * FROM lineitem)""",
     "last_quotes": last_of("raw_quotes", "ticker, d",
-                           "l_orderkey, l_linenumber, l_partkey, l_suppkey, adj_close",
+                           "l_orderkey, l_linenumber, l_partkey",
                            "adj_close AS price"),
     "quotes": "SELECT * FROM last_quotes WHERE isodow(d) < 6",
     "near_quotes": neighbours("quotes", "ticker"),

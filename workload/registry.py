@@ -95,7 +95,7 @@ def read_price_sheet(spark, sf):
 
 @query
 def quotes_series(spark, sf):
-    return show(market_files.quotes_series(fx.raw_quotes(spark, sf), fx.QUOTE_ORDER),
+    return show(market_files.quotes_series(fx.raw_quotes(spark, sf)),
                 "ticker", "d", price=3)
 
 
