@@ -28,6 +28,13 @@ def test_edges(spark):
     assert fill(interior=False)[3] is None
 
 
+def test_days_outside_the_calendar_take_no_part(spark):
+    df = series(spark, [("m", "2023-12-29", 1), ("m", "2024-01-02", 10), ("m", "2024-01-06", 99),
+                        ("m", "2024-01-08", 16), ("m", "2024-01-10", 50)])
+    out = calendar.fill_calendar(df, "2024-01-01", "2024-01-09")
+    assert column(out, "price") == [10.0, 10.0, 11.0, 12.0, 13.0, 16.0, 16.0]
+
+
 def test_fill_matches_pandas(spark):
     rng = random.Random(5)
     rows, want = [], {}

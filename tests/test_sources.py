@@ -98,6 +98,24 @@ def test_bad_log_files_are_skipped(spark, tmp_path):
     assert len(bad) == 1 and "window_id" in bad[0].missing and bad[0].file.endswith("b.csv")
 
 
+def test_log_columns_are_found_by_name(spark, tmp_path):
+    logs.write_log_files(log(spark), str(tmp_path / "usual"))
+    other = logs.to_log_file_columns(log(spark, model="other"))
+    other.select(*reversed(other.columns)).write.option("header", True).option("escape", '"') \
+         .csv(str(tmp_path / "other"))
+    got = logs.read_logs(spark, str(tmp_path))
+    cols = ["market", "model", "config_index", "window_id", "hp_json", "y_true", "y_pred"]
+    want = log(spark).union(log(spark, model="other"))
+    assert sorted(got.select(cols).collect()) == sorted(want.select(cols).collect())
+
+
+def test_stream_refuses_another_layout(spark, tmp_path):
+    other = logs.to_log_file_columns(log(spark))
+    other.select(*reversed(other.columns)).write.option("header", True).csv(str(tmp_path / "in"))
+    with pytest.raises(Exception):
+        streaming.stream_log_scores(spark, str(tmp_path / "in"), str(tmp_path / "work"))
+
+
 def test_single_quoted_log_cells(spark, tmp_path):
     head = ",".join(logs.LOG_FILE_COLUMNS)
     write(tmp_path, "x.csv", head + "\nt,m,m,NAIVE,-1,0,\"{'k': 1}\",2024-01-05 00:00:00,2024-01-05 00:00:00,"
@@ -123,10 +141,7 @@ def test_append_and_resume(spark, tmp_path):
 
 def test_scores_and_best_configs(spark, tmp_path):
     scores = metrics.config_scores(log(spark).union(log(spark, model="tcn", markets="m")))
-    results.write_metrics(scores, str(tmp_path / "s"), results.FRONT_TUNING)
-    back = results.read_scores(spark, str(tmp_path / "s"))
-    # columns are read by position, so the file must have the declared order
-    results.write_metrics(scores, str(tmp_path / "t"), results.SCORE_SCHEMA.fieldNames())
+    results.write_metrics(scores, str(tmp_path / "t"), results.FRONT_TUNING)
     back = results.read_scores(spark, str(tmp_path / "t"))
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, scores.select(back.columns).collect()))
     best = ranking.best_by_market_model(scores)

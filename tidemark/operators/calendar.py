@@ -11,7 +11,7 @@ from datetime import date as Date, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from tidemark.functions.values import as_column, percent_filled
+from tidemark.functions.values import as_column, is_business_day, percent_filled
 
 MAX_CALENDAR_DAYS = 200_000  # 547 years; the size bound of everything keyed by date alone
 
@@ -58,17 +58,19 @@ def fill_calendar(series: DataFrame, start: str, end: str, keys: Sequence[str] =
 
     Each known row already carries its next neighbour (one ``lead``), so it generates the days
     up to that neighbour itself: one shuffle and one sort of the sparse rows, no join with the
-    calendar and no search for the neighbours of a gap.
+    calendar and no search for the neighbours of a gap.  Values on days outside the calendar
+    take no part.
     """
     lo, hi = check_bounds(start, end)
+    inside = F.col("d").between(lo, hi) & is_business_day("d")
     w = Window.partitionBy(*keys).orderBy("d")
-    known = series.filter(F.col(value).isNotNull()).select(
+    known = series.filter(inside & F.col(value).isNotNull()).select(
         *keys, F.col("d").alias("known_d"), F.col(value).alias("v"),
         F.lag("d").over(w).isNull().alias("first"),
         F.lead("d").over(w).alias("next_d"), F.lead(value).over(w).alias("next_v"))
-    days = known.withColumn("d", F.explode(business_days(
-        F.when(F.col("first"), lo).otherwise(F.col("known_d")),
-        F.coalesce(F.date_sub("next_d", 1), hi))))
+    since = F.when(F.col("first"), lo).otherwise(F.col("known_d"))
+    until = F.coalesce(F.date_sub("next_d", 1), hi)
+    days = known.withColumn("d", F.explode(F.when(since <= until, business_days(since, until))))
     after = F.datediff("d", "known_d")
     line = F.col("v") + (F.col("next_v") - F.col("v")) * after / F.datediff("next_d", "known_d")
     filled = (F.when(after == 0, F.col("v"))

@@ -30,6 +30,6 @@ def tune(labelled: DataFrame, configs: Sequence[Config], window_size: int, test_
     return best_by_market_model(config_scores(log))
 
 
-def rescore(log: DataFrame) -> DataFrame:
+def rescore(log: DataFrame, seq: str = "end_date") -> DataFrame:
     """Best config per (market, model) from stored logs, which re-runs may have written to twice."""
-    return best_by_market_model(config_scores(dedupe_log(log)))
+    return best_by_market_model(config_scores(dedupe_log(log, seq)))

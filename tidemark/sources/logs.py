@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tidemark.functions.parsing import hp_json, parse_dict, parse_list
 from tidemark.functions.values import date_coerce, model_name_case
 from tidemark.schema import LOG_FILE_COLUMNS, LOG_REQUIRED, LOG_SCHEMA
 
+MAX_LAYOUTS = 100
+
 
 def append_log(log: DataFrame, path: str) -> None:
     """One append per run, one folder per (model, market); never one write per window."""
@@ -61,32 +63,53 @@ def log_file_headers(spark: SparkSession, path: str) -> DataFrame:
     lines = spark.read.option("recursiveFileLookup", True).text(path).select(
         "value", F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"))
-    names = F.transform(F.split("value", ","), lambda c: F.trim(F.translate(c, '"\r', "")))
+    names = F.transform(F.split("value", ","), lambda c: F.trim(F.translate(c, '"\r\ufeff', "")))
     known = F.size(F.array_intersect(names, F.array(*[F.lit(c) for c in LOG_FILE_COLUMNS])))
-    heads = lines.filter((F.col("block") == 0) & F.col("value").contains("market")
-                         & (known >= 2))
-    return heads.select("file", names.alias("columns"))
+    return lines.filter((F.col("block") == 0) & F.col("value").contains("market")) \
+                .select("file", names.alias("columns")).filter(known >= 2)
+
+
+def _missing() -> Column:
+    return F.array_except(F.array(*[F.lit(c) for c in LOG_REQUIRED]), "columns")
 
 
 def bad_log_files(spark: SparkSession, path: str) -> DataFrame:
     """Files that lack a required column, with the columns they lack."""
-    need = F.array(*[F.lit(c) for c in LOG_REQUIRED])
-    return log_file_headers(spark, path).withColumn("missing", F.array_except(need, "columns")) \
+    return log_file_headers(spark, path).withColumn("missing", _missing()) \
         .filter(F.size("missing") > 0).select("file", F.concat_ws(",", "missing").alias("missing"))
 
 
 def read_logs(spark: SparkSession, path: str) -> DataFrame:
-    """Every log file under a folder, at any depth.  Files without the required columns and
-    unreadable rows are skipped (``bad_log_files`` lists the former)."""
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in LOG_FILE_COLUMNS])
-    rows = spark.read.schema(schema).option("recursiveFileLookup", True) \
-        .option("header", True).option("quote", '"').option("escape", '"') \
-        .option("mode", "PERMISSIVE").option("ignoreCorruptFiles", True).csv(path) \
-        .withColumn("file", F.col("_metadata.file_path"))
-    good = rows.join(bad_log_files(spark, path).select("file"), "file", "left_anti")
-    return from_log_file_columns(good).filter(
-        F.col("market").isNotNull() & F.col("model").isNotNull()
-        & F.col("config_index").isNotNull() & F.col("window_id").isNotNull())
+    """Every log file under a folder, at any depth, its columns found by name.
+
+    The distinct header lines are few (``MAX_LAYOUTS``), and nearly always one: each is read
+    with its own schema.  Files without the required columns and unreadable rows are skipped
+    (``bad_log_files`` lists the former).
+    """
+    heads = log_file_headers(spark, path).withColumn("ok", F.size(_missing()) == 0)
+    found = heads.select("ok", F.concat_ws(",", "columns").alias("layout")).distinct() \
+                 .limit(MAX_LAYOUTS + 1).collect()
+    layouts = [r.layout for r in found if r.ok]
+    if not layouts or len(found) > MAX_LAYOUTS:
+        raise ValueError(f"{path}: {len(found)} header layouts, {len(layouts)} with all columns")
+    out = None
+    for layout in layouts:
+        names = layout.split(",")
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in names])
+        rows = spark.read.schema(schema).option("recursiveFileLookup", True) \
+            .option("header", True).option("quote", '"').option("escape", '"') \
+            .option("mode", "PERMISSIVE").option("ignoreCorruptFiles", True).csv(path)
+        if len(found) > 1:
+            mine = heads.filter(F.concat_ws(",", "columns") == layout).select("file")
+            rows = rows.withColumn("file", F.col("_metadata.file_path")) \
+                       .join(mine, "file", "left_semi")
+        for c in LOG_FILE_COLUMNS:
+            if c not in names:
+                rows = rows.withColumn(c, F.lit(None).cast("string"))
+        part = from_log_file_columns(rows)
+        out = part if out is None else out.unionByName(part)
+    return out.filter(F.col("market").isNotNull() & F.col("model").isNotNull()
+                      & F.col("config_index").isNotNull() & F.col("window_id").isNotNull())
 
 
 def distinct_done(log: DataFrame, keys: Sequence[str] = ("market", "model", "config_index")

@@ -2,33 +2,39 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from tidemark.functions.values import as_column, date_coerce, finite, numeric_coerce
+from tidemark.functions.values import date_coerce, finite, numeric_coerce
 from tidemark.operators.clean import dedupe_last, find_column, normalise_headers
 
 DEFAULT_VALUE = "Secondary Market"
 
 
 def read_labelled_csv(spark: SparkSession, path: str, value: str = DEFAULT_VALUE,
-                      carry: Sequence[Column] = ()) -> DataFrame:
+                      carry: dict[str, str] | None = None) -> DataFrame:
     """CSV whose labels are a data row (a title line comes before them).
 
-    The label row is the one whose first cell reads ``Date``; one row is fetched to learn the
+    The label row is the one whose first cell reads ``Date``; one line is fetched to learn the
     columns.  Data rows are those whose first cell is a date, wherever they are, so the file may
-    be split among many tasks.  ``carry`` adds columns, such as the market taken from the path.
+    be split among many tasks.  ``carry`` keeps more columns: label -> name in the result.
     """
-    cells = spark.read.csv(path, header=False, quote='"', escape='"')
-    labels = cells.filter(F.lower(F.trim(F.col(cells.columns[0]))) == "date").first()
-    if labels is None:
+    first = F.lower(F.trim(F.translate(F.split("value", ",").getItem(0), '"\ufeff', "")))
+    line = spark.read.text(path).filter(first == "date").first()
+    if line is None:
         raise ValueError(f"{path}: no label row starting with 'Date'")
-    places = [i for i, x in enumerate(labels) if (x or "").strip().lower() == value.lower()]
-    if not places:
-        raise ValueError(f"{path}: no column labelled {value!r}")
-    rows = cells.select(*carry, date_coerce(cells.columns[0]).alias("d"),
-                        numeric_coerce(cells.columns[places[0]]).alias("price"))
+    labels = [x.strip().lower() for x in next(csv.reader([line.value]))]
+    wanted = {value: "price", **(carry or {})}
+    absent = [x for x in wanted if x.lower() not in labels]
+    if absent:
+        raise ValueError(f"{path}: no column labelled {absent}")
+    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(labels))])
+    cells = spark.read.schema(schema).option("escape", '"').csv(path)
+    cell = lambda label: F.col(f"c{labels.index(label.lower())}")
+    rows = cells.select(*[cell(k).alias(v) for k, v in (carry or {}).items()],
+                        date_coerce("c0").alias("d"), numeric_coerce(cell(value)).alias("price"))
     return rows.filter(F.col("d").isNotNull() & F.col("price").isNotNull())
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.functions.parsing import parse_dict
-from tidemark.functions.values import finite
+from tidemark.functions.values import finite, numeric_coerce
 from tidemark.operators.clean import project_order
 from tidemark.schema import METRIC_EXTRAS, METRICS, SCORE_SCHEMA
 
@@ -16,13 +16,20 @@ FRONT_TEST = ["market", "model", "config_index", "window_size", "test_ratio", "n
 
 
 def read_scores(spark: SparkSession, path: str, format: str = "csv") -> DataFrame:
-    """A score table with its declared types; NaN cells are NULL from here on."""
-    reader = spark.read.schema(SCORE_SCHEMA)
+    """A score table with its declared types, columns found by name; NaN cells are NULL from
+    here on and a column the file lacks is NULL."""
+    reader = spark.read.format(format)
     if format == "csv":
-        reader = reader.option("header", True).option("escape", '"').option("nanValue", "nan")
-    df = reader.format(format).load(path)
-    return df.withColumns({f.name: finite(f.name) for f in SCORE_SCHEMA
-                           if f.dataType.typeName() == "double"})
+        reader = reader.option("header", True).option("escape", '"')
+    df = reader.load(path)
+
+    def typed(field):
+        if field.name not in df.columns:
+            return F.lit(None).cast(field.dataType)
+        if field.dataType.typeName() == "double":
+            return numeric_coerce(field.name) if format == "csv" else finite(field.name)
+        return F.col(field.name).try_cast(field.dataType)
+    return df.select(*[typed(f).alias(f.name) for f in SCORE_SCHEMA])
 
 
 def write_metrics(df: DataFrame, path: str, front: list[str] = FRONT_TUNING,

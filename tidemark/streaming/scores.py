@@ -13,14 +13,18 @@ KEYS = ["market", "model", "config_index"]
 
 def log_stream(spark: SparkSession, path: str, format: str = "csv",
                max_files: int | None = None) -> DataFrame:
-    """Log files under a folder as a stream of typed log rows."""
+    """Log files under a folder as a stream of typed log rows.
+
+    A CSV file whose header is not the expected one stops the query instead of being misread.
+    """
     reader = spark.readStream.option("recursiveFileLookup", True)
     if max_files is not None:
         reader = reader.option("maxFilesPerTrigger", max_files)
     if format != "csv":
         return reader.schema(LOG_SCHEMA).format(format).load(path)
     text = T.StructType([T.StructField(c, T.StringType()) for c in LOG_FILE_COLUMNS])
-    rows = reader.schema(text).option("header", True).option("escape", '"').csv(path)
+    rows = reader.schema(text).option("header", True).option("escape", '"') \
+                 .option("enforceSchema", False).csv(path)
     return from_log_file_columns(rows).filter("config_index IS NOT NULL")
 
 

@@ -313,6 +313,8 @@ ORACLE = {
                          f"n_samples, {r('MAPE', 8)}, {r('R2', 8)} FROM best",
     "write_panel": f"SELECT market, count(*) AS n_rows, {day('min(d)', 'first_d')}, "
                    f"{day('max(d)', 'last_d')}, {r('max(Price)', 2, 'top')} FROM panel GROUP BY market",
+    "bad_log_files": "SELECT model, count(*) AS n FROM line_once WHERE model <> 'tcn' GROUP BY model "
+                     "UNION ALL SELECT 'window_id,test_data_model_predictions_list', 0",
     "append_log": f"SELECT market, model, {CI}, count(*) AS n_rows, count(DISTINCT window_id) "
                   "AS n_windows FROM log GROUP BY market, model, log.config_index",
     "write_metrics": f"SELECT market, model, {CI}, CAST({WINDOW} AS BIGINT) AS window_size, n_windows, "
@@ -338,6 +340,9 @@ ORACLE = {
     "clean_prices": f"SELECT market, {day()}, {r('price', 2)} FROM (" + last_of(
         "(SELECT * FROM coerced WHERE price <> 0 AND d IS NOT NULL AND isodow(d) < 6)",
         "market, d", "seq", "price") + ")",
+    "normalise_headers": "SELECT s_suppkey AS key, s_name AS name, CAST(s_nationkey AS BIGINT) AS s_nationkey "
+                         "FROM supplier",
+    "find_column": f"SELECT p_partkey, {r('p_retailprice', 2, 'price')} FROM part",
     "project_order": "SELECT s_name, s_suppkey, s_nationkey FROM supplier",
     "model_name_case": "SELECT p_partkey, lower(trim(p_type)) AS lower_name, "
                        "upper(trim(' ' || p_name)) AS upper_name FROM part",
@@ -368,6 +373,8 @@ ORACLE = {
     "market_config_join": f"SELECT market, {day()}, equity_ticker, fx_ticker, {r('price', 2)} "
                           "FROM clean JOIN config USING (market)",
     "feature_join": f"SELECT market, {day()}, {r('price', 4)}, {FEATURE_OUT} FROM features",
+    "unused_tickers": "SELECT n_name AS market, 'RF_' || substr(n_name, 1, 1) AS ticker FROM nation "
+                      "WHERE 'RF_' || substr(n_name, 1, 1) NOT IN (SELECT ticker FROM quotes)",
     "technicals_join": f"SELECT market, {day()}, {r('Price', 4)}, {FEATURE_OUT}, {r('SMA_5', 4)}, "
                        f"{r('PPO_12_26')}, {r('RSI_14')}, {r('ROC_10')}, {r('ATR_14', 4)}, "
                        f"{r('CO_chaikin_3_10')} FROM panel",
@@ -437,6 +444,9 @@ ORACLE = {
         FROM (SELECT model, xmax, count(*) AS total FROM b GROUP BY model, xmax) m
         CROSS JOIN (SELECT unnest(range(40)) AS bin) g LEFT JOIN b ON b.model = m.model AND b.bin = g.bin
         GROUP BY m.model, g.bin""",
+    "clipped_errors": f"""SELECT market, model, {day('target_date')}, {r('e', 8, 'rel_error')},
+          {r('greatest(least(e, 0.05), -0.05)', 8, 'clipped')}
+        FROM (SELECT *, (p - t) / greatest(abs(t), 1e-12) AS e FROM trace)""",
     "clipped_error_counts": f"""SELECT market, model, count(*) FILTER (abs(e) > 0.05) AS n_clipped,
           count(*) AS n_points, {r('min(greatest(least(e, 0.05), -0.05))', 6, 'min_clipped')},
           {r('max(greatest(least(e, 0.05), -0.05))', 6, 'max_clipped')}
@@ -493,6 +503,8 @@ ORACLE = {
           {day('d16', 'last_train')}, {day('d17', 'first_test')}
         FROM (SELECT market, row_number() {W} - 1 AS k, lead(d, 16) {W} AS d16, lead(d, 17) {W} AS d17,
                 lead(d, 19) {W} AS d19 FROM labelled) WHERE d19 IS NOT NULL""",
+    "short_series": f"SELECT o_custkey AS market, count(*) AS n_rows FROM orders GROUP BY o_custkey "
+                    f"HAVING count(*) < {WINDOW}",
     "rank_in_market": f"""SELECT market, model, {CI}, row_number() OVER (PARTITION BY market ORDER BY
           scores.MAPE NULLS LAST, RMSE NULLS LAST, R2 DESC NULLS LAST, model, scores.config_index) AS rank_in_market,
           {r('MAPE', 8)} FROM scores""",
@@ -559,6 +571,8 @@ ORACLE = {
     "walk_forward_fit": f"SELECT {LOG_OUT} FROM log WHERE model <> 'naive_last_price'",
     "rolling_ols_forecast": f"SELECT {LOG_OUT} FROM log WHERE model = 'rolling_ols'",
     "rolling_mean_forecast": f"SELECT {LOG_OUT} FROM log WHERE model = 'rolling_mean'",
+    "rescore": f"""SELECT market, model, n_windows, n_samples, {r('MAPE', 8)} FROM (SELECT *, row_number() OVER (
+          PARTITION BY market, model ORDER BY MAPE, config_index) AS k FROM exact_scores) WHERE k = 1""",
     "tune": f"SELECT {SCORE_OUT} FROM ({best_of('(' + scores_of('log') + ')')})",
     "evaluate_best": f"""SELECT {SCORE_OUT}, CAST({WINDOW} AS BIGINT) AS window_size, '' AS reason
         FROM ({scores_of('(' + log_of(HELD) + ')')})

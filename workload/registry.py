@@ -65,11 +65,11 @@ def read_labelled_csv(spark, sf):
         F.concat_ws(",", day(), F.lit(""), F.col("seq").cast("string"),
                     F.col("price").cast("string"), F.lit('" "'),
                     F.concat(F.lit('"'), "market", F.lit('"'))).alias("value"))
-    heads = spark.createDataFrame([(',"Daily prices",,," ",',),
+    heads = spark.createDataFrame([(',"Daily prices"',),
                                    ('Date,"Rate, fixed",Order,"Secondary Market"," ",Market',)],
                                   "value string")
     heads.union(rows).write.text(path)
-    df = market_files.read_labelled_csv(spark, path, carry=[F.col("_c5").alias("market")])
+    df = market_files.read_labelled_csv(spark, path, carry={"Market": "market"})
     df = df.groupBy("market", "d").agg(F.count(F.lit(1)).alias("n"), F.max("price").alias("top"))
     return show(df, "market", "d", "n", top=2)
 
@@ -145,6 +145,20 @@ def write_panel(spark, sf):
     return show(df, "market", "n_rows", "first_d", "last_d", top=2)
 
 
+@query
+def bad_log_files(spark, sf):
+    """Log files of two runs, one of them without the forecasts."""
+    path = fresh_path(spark, "mixed-logs")
+    log = fx.line_log(spark, sf).withColumn("start_date", F.col("end_date"))
+    logs.write_log_files(log.filter(F.col("model") != "tcn"), path)
+    poor = logs.to_log_file_columns(log.filter(F.col("model") == "tcn")) \
+               .drop("window_id", "test_data_model_predictions_list")
+    poor.coalesce(1).write.mode("append").option("header", True).csv(f"{path}/poor")
+    bad = logs.bad_log_files(spark, path).groupBy("missing").agg(F.lit("found").alias("kind"))
+    read = logs.read_logs(spark, path).groupBy("model").agg(F.count(F.lit(1)).alias("n"))
+    return read.select("model", "n").union(bad.select("missing", F.lit(0).cast("bigint")))
+
+
 @query
 def append_log(spark, sf):
     """Two runs appended to one log, then resumed: the second holds what the first lacked."""
@@ -242,6 +256,20 @@ def clean_prices(spark, sf):
     return show(clean.clean_prices(clean.coerce_rows(fx.messy(spark, sf))), "market", "d", price=2)
 
 
+@query
+def normalise_headers(spark, sf):
+    df = fx.table(spark, sf, "supplier").select(
+        F.col("s_suppkey").alias(" key\u00a0"), F.col("s_name").alias("\u00a0 Name "), "s_nationkey")
+    return show(clean.normalise_headers(df, {"Name": "name"}), "key", "name", "s_nationkey")
+
+
+@query
+def find_column(spark, sf):
+    df = fx.table(spark, sf, "part")
+    name = clean.find_column(df, "price", "P_RETAILPRICE", "p_size")
+    return show(df.select("p_partkey", F.col(name).alias("price")), "p_partkey", price=2)
+
+
 @query
 def project_order(spark, sf):
     return clean.project_order(fx.table(spark, sf, "supplier"),
@@ -342,6 +370,15 @@ def feature_join(spark, sf):
                 HRC_F=4, ALI_F=4)
 
 
+@query
+def unused_tickers(spark, sf):
+    """Market and ticker pairs without quotes: supplier nations as markets, flags as tickers."""
+    config = fx.table(spark, sf, "nation").select(
+        F.col("n_name").alias("market"), F.concat(F.lit("RF_"), F.substring("n_name", 1, 1))
+        .alias("equity_ticker"), F.lit("RF_A").alias("fx_ticker"))
+    return panels.unused_tickers(config, fx.quotes(spark, sf)).select("market", "ticker")
+
+
 @query
 def technicals_join(spark, sf):
     return show(fx.panel(spark, sf), "market", "d", Price=4, equity_index=4, fx_rate=4, CL_F=4,
@@ -497,6 +534,12 @@ def error_histogram(spark, sf):
     return show(df, "model", "bin", "n", left_edge=6, share=8)
 
 
+@query
+def clipped_errors(spark, sf):
+    df = metrics.clipped_errors(fx.trace(spark, sf), limit=0.05)
+    return show(df, "market", "model", "target_date", rel_error=8, clipped=8)
+
+
 @query
 def clipped_error_counts(spark, sf):
     df = metrics.clipped_error_counts(fx.trace(spark, sf), limit=0.05)
@@ -671,6 +714,13 @@ def train_test_split(spark, sf):
     return show(df, "market", "window_id", "n_train", "n_test", "last_train", "first_test")
 
 
+@query
+def short_series(spark, sf):
+    """Customers with fewer orders than a window has rows."""
+    df = fx.table(spark, sf, "orders").select(F.col("o_custkey").alias("market"))
+    return windows.short_series(df, fx.WINDOW)
+
+
 @query
 def rank_in_market(spark, sf):
     return show(ranking.rank_in_market(fx.scores(spark, sf)), "market", "model", "config_index",
@@ -902,6 +952,16 @@ def rolling_mean_forecast(spark, sf):
                                         fx.RATIO))
 
 
+@query
+def rescore(spark, sf):
+    """Best configs from a log that holds some windows twice."""
+    log = fx.raw_line_log(spark, sf).withColumn("hp_json", F.lit("{}"))
+    again = log.withColumns({"seq": F.col("seq") - 1_000_000,
+                             "y_pred": F.transform("y_pred", lambda p: p * 2)})
+    df = tuning.rescore(log.unionByName(again), "seq")
+    return show(df, "market", "model", "n_windows", "n_samples", MAPE=8)
+
+
 @query
 def tune(spark, sf):
     return show_scores(tuning.tune(fx.labelled(spark, sf), fx.LEARNERS, fx.WINDOW, fx.RATIO))
