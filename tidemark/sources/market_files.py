@@ -59,7 +59,7 @@ def quotes_series(quotes: DataFrame, seq: Sequence[str] | str = "seq",
     """Landed quotes to one price per (ticker, date): adjusted close where the table has it,
     else close; the last row of a date counts."""
     price = find_column(quotes, "adj_close", "close")
-    rows = quotes.filter(F.col("d").isNotNull())
+    rows = quotes.filter(F.col("ticker").isNotNull() & F.col("d").isNotNull())
     if tickers is not None:
         rows = rows.filter(F.col("ticker").isin(list(tickers)))
     rows = rows.withColumn("price", finite(price))

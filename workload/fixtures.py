@@ -16,7 +16,7 @@ from tidemark.operators.traces import aligned_trace
 from tidemark.operators.windows import next_price_label
 from tidemark.plans.panel import build_panel
 from tidemark.schema import BASELINE, NETS, PANEL_FEATURES
-from tidemark.session import use_utc
+from tidemark.session import stored, use_utc
 from tidemark.sources.market_files import quotes_series
 
 START, END, OUTPUT_START = "1995-01-01", "2001-11-04", "1995-04-03"
@@ -139,6 +139,11 @@ def scores(spark: SparkSession, sf: str) -> DataFrame:
                           | {m: F.round(m, 6) for m in ("MAE", "RMSE", "mean_price")})
 
 
+def stored_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """The same as a written table, for reports that read their scores more than once."""
+    return stored(scores(spark, sf), "scores")
+
+
 def trace(spark: SparkSession, sf: str) -> DataFrame:
     """One forecast per (market, model, target date) of the order lines."""
     log = raw_line_log(spark, sf)

@@ -16,7 +16,7 @@ from tidemark.operators import (
 from tidemark.plans import evaluate, panel as panels, tune as tuning
 from tidemark.schema import (
     BASELINE, HP_ALIASES, MODEL_LABELS, NETS, PANEL_FEATURES)
-from tidemark.session import fresh_path, use_utc
+from tidemark.session import fresh_path, stored, use_utc
 from tidemark.sources import logs, market_files, panels as panel_files, results
 from tidemark.streaming import scores as streaming
 from workload import fixtures as fx
@@ -395,7 +395,7 @@ def grid_cross(spark, sf):
 
 @query
 def best_config_join(spark, sf):
-    best = ranking.best_by_market_model(clean.drop_baseline(fx.scores(spark, sf)))
+    best = ranking.best_by_market_model(clean.drop_baseline(fx.stored_scores(spark, sf)))
     return show(evaluate.best_config_join(best), "market", "model", "config_index",
                 "hyperparams_json")
 
@@ -496,7 +496,7 @@ def model_averages(spark, sf):
 
 @query
 def model_summary(spark, sf):
-    return show(reports.model_summary(fx.scores(spark, sf)), "model", "markets_covered",
+    return show(reports.model_summary(fx.stored_scores(spark, sf)), "model", "markets_covered",
                 mean_MAPE=8, median_MAPE=8, mean_R2=8, median_R2=8)
 
 
@@ -507,8 +507,9 @@ def configs_across_markets(spark, sf):
                 mean_MAE=4, mean_R2=8)
 
 
-def per_market(spark, sf):
-    return reports.cfg_market(clean.drop_baseline(fx.scores(spark, sf)))
+def per_market(spark, sf, written=False):
+    scores = (fx.stored_scores if written else fx.scores)(spark, sf)
+    return reports.cfg_market(clean.drop_baseline(scores))
 
 
 @query
@@ -524,7 +525,7 @@ def cfg_overall(spark, sf):
 
 @query
 def hp_sensitivity(spark, sf):
-    df = reports.hp_sensitivity(reports.attach_hp(reports.cfg_overall(per_market(spark, sf))))
+    df = reports.hp_sensitivity(reports.attach_hp(reports.cfg_overall(per_market(spark, sf, True))))
     return show(df, "model", "hp", "value", mean_MAPE=8, value_order=6)
 
 
@@ -548,7 +549,7 @@ def clipped_error_counts(spark, sf):
 
 @query
 def axis_bounds(spark, sf):
-    return show(reports.axis_bounds(reports.rank_curve_by_market(per_market(spark, sf))),
+    return show(reports.axis_bounds(reports.rank_curve_by_market(per_market(spark, sf, True))),
                 "model", lo=8, hi=8)
 
 
@@ -584,7 +585,7 @@ def standard_scale_stats(spark, sf):
 
 
 def held_out(spark, sf):
-    lab = fx.labelled(spark, sf)
+    lab = stored(fx.labelled(spark, sf), "labelled")
     tuned = tuning.tune(clean.date_slice(lab, end="1999-12-31"), fx.LEARNERS, fx.WINDOW, fx.RATIO)
     return evaluate.evaluate_best(clean.date_slice(lab, fx.HELD_OUT), tuned, fx.LEARNERS,
                                   fx.WINDOW, fx.RATIO)
@@ -723,7 +724,7 @@ def short_series(spark, sf):
 
 @query
 def rank_in_market(spark, sf):
-    return show(ranking.rank_in_market(fx.scores(spark, sf)), "market", "model", "config_index",
+    return show(ranking.rank_in_market(fx.stored_scores(spark, sf)), "market", "model", "config_index",
                 "rank_in_market", MAPE=8)
 
 
@@ -754,12 +755,12 @@ def trace_chunks(spark, sf):
 
 @query
 def rank_curve_pooled(spark, sf):
-    return show(reports.rank_curve_pooled(per_market(spark, sf)), "model", "rank", MAPE=8, R2=8)
+    return show(reports.rank_curve_pooled(per_market(spark, sf, True)), "model", "rank", MAPE=8, R2=8)
 
 
 @query
 def rank_curve_by_market(spark, sf):
-    return show(reports.rank_curve_by_market(per_market(spark, sf)), "model", "rank", MAPE=8, R2=8)
+    return show(reports.rank_curve_by_market(per_market(spark, sf, True)), "model", "rank", MAPE=8, R2=8)
 
 
 def show_log(log: DataFrame) -> DataFrame:
@@ -825,7 +826,7 @@ def union_parts(spark, sf):
 
 @query
 def union_distinct_models(spark, sf):
-    best_ = ranking.best_by_market_model(clean.drop_baseline(fx.scores(spark, sf)))
+    best_ = ranking.best_by_market_model(clean.drop_baseline(fx.stored_scores(spark, sf)))
     return evaluate.union_distinct_models(best_)
 
 
