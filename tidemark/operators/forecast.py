@@ -115,14 +115,25 @@ def _log(rows: DataFrame, forecasts: Sequence[tuple[Config, Column]]) -> DataFra
                .select(*LOG_SCHEMA.fieldNames())
 
 
+RUN_KEYS = ["market", "model", "config_index"]
+
+
+def all_runs(labelled: DataFrame, configs: Sequence[Config]) -> DataFrame:
+    """Every (market, model, config) of a grid run."""
+    return grid_cross(labelled.select("market").distinct(), configs).select(*RUN_KEYS)
+
+
 def native_log(labelled: DataFrame, configs: Sequence[Config], window_size: int,
-               test_ratio: float, max_windows: int | None = None) -> DataFrame:
+               test_ratio: float, max_windows: int | None = None,
+               todo: DataFrame | None = None) -> DataFrame:
     """Walk-forward log of the learners that are window functions, in one pass for all configs.
 
     * ``naive_last_price``: today's price,
     * ``rolling_mean`` (``lookback`` k): mean of the last k train labels,
     * ``rolling_ols``: straight line of y on Price over the train rows; where Price is constant
       in them, the mean of y.
+
+    ``todo`` (market, model, config_index) restricts the log to those runs.
     """
     split = split_point(window_size, test_ratio)
     train = train_frame(window_size, test_ratio)
@@ -150,7 +161,8 @@ def native_log(labelled: DataFrame, configs: Sequence[Config], window_size: int,
         else:
             raise ValueError(f"{c.model} is not a native learner; use walk_forward_fit")
     rows = test_rows(labelled, window_size, test_ratio, max_windows, extra=extra)
-    return _log(rows, forecasts)
+    log = _log(rows, forecasts)
+    return log if todo is None else log.join(todo.select(*RUN_KEYS), RUN_KEYS, "left_semi")
 
 
 def walk_forward_naive(labelled: DataFrame, window_size: int, test_ratio: float,
@@ -192,7 +204,7 @@ def walk_forward_fit(labelled: DataFrame, features: Sequence[str], configs: Sequ
                      fit_predict: FitPredict, window_size: int, test_ratio: float,
                      max_windows: int | None = None, block_windows: int = 256,
                      block_configs: int = 256, seed: int = 42,
-                     tasks: int | None = None) -> DataFrame:
+                     tasks: int | None = None, todo: DataFrame | None = None) -> DataFrame:
     """Walk-forward log of a learner the caller brings, one fit per (window, config).
 
     The work unit is a block of windows of one market with a block of configs.  A unit gets the
@@ -202,7 +214,8 @@ def walk_forward_fit(labelled: DataFrame, features: Sequence[str], configs: Sequ
     forecast, and the job goes on.
 
     Little data means much work here, so the number of tasks (``tasks``, by default three per
-    core) is set and not left to the sizes of the shuffled blocks.
+    core) is set and not left to the sizes of the shuffled blocks.  ``todo`` (market, model,
+    config_index) names the runs to fit; all others cost nothing.
     """
     split = split_point(window_size, test_ratio)
     if len(configs) > MAX_GRID_ROWS:
@@ -218,22 +231,31 @@ def walk_forward_fit(labelled: DataFrame, features: Sequence[str], configs: Sequ
     first = F.floor(F.greatest(F.col("r") - (window_size - 1), F.lit(0)) / block_windows)
     last = F.floor(F.col("r") / block_windows)
     units = rows.withColumn("block", F.explode(F.sequence(first, last))) \
-                .withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(len(grid) - 1)))) \
-                .repartition(tasks, "market", "block", "part")
+                .withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(len(grid) - 1))))
+    if todo is not None:
+        place = labelled.sparkSession.createDataFrame(
+            [(c.model, c.config_index, p, i) for p, part in enumerate(grid)
+             for i, c in enumerate(part)], "model string, config_index int, part int, place int")
+        places = todo.select(*RUN_KEYS).join(place, ["model", "config_index"]) \
+            .groupBy("market", "part").agg(F.sort_array(F.collect_set("place")).alias("places"))
+        units = units.join(places, ["market", "part"])  # at most block_configs places a row
+    units = units.repartition(tasks, "market", "block", "part")
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         market, block, part = key
         pdf = pdf.sort_values("r")
         x, y = pdf[features].to_numpy(float), pdf["y"].to_numpy(float)
         d, r0 = pdf["d"].to_numpy(), int(pdf["r"].iloc[0])
+        places = pdf["places"].iloc[0] if "places" in pdf else range(len(labels[part]))
+        mine, hp = [labels[part][i] for i in places], [hps[part][i] for i in places]
         out = []
         for k in range(block * block_windows, (block + 1) * block_windows):
             a, b = k - r0, k - r0 + window_size
             if b > len(pdf) or (max_windows is not None and k >= max_windows):
                 break
             truth = y[a + split:b].tolist()
-            fits = fit_window(x[a:b], y[a:b], split, hps[part], fit_predict, seed)
-            for (model, index, hp_json), (y_hat, loss, error) in zip(labels[part], fits):
+            fits = fit_window(x[a:b], y[a:b], split, hp, fit_predict, seed)
+            for (model, index, hp_json), (y_hat, loss, error) in zip(mine, fits):
                 out.append((market, model, index, k, hp_json, d[a + split], d[b - 1], truth,
                             y_hat, loss, error))
         return pd.DataFrame(out, columns=FIT_SCHEMA.fieldNames())

@@ -40,8 +40,6 @@ def held_out_metrics(log: DataFrame, window_size: int, test_ratio: float) -> Dat
 def evaluate_best(labelled: DataFrame, best: DataFrame, configs: Sequence[Config],
                   window_size: int, test_ratio: float, learner: Learner = native_log
                   ) -> DataFrame:
-    """Run ``configs`` and keep, per (market, model), the chosen one."""
-    chosen = best_config_join(best).select("market", "model", "config_index")
-    log = learner(labelled, configs, window_size, test_ratio)
-    log = log.join(chosen, ["market", "model", "config_index"], "left_semi")
+    """Of ``configs`` run, per (market, model), the chosen one."""
+    log = learner(labelled, configs, window_size, test_ratio, todo=best_config_join(best))
     return held_out_metrics(log, window_size, test_ratio)

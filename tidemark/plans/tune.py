@@ -6,12 +6,13 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.operators.forecast import Config, native_log
+from tidemark.operators.forecast import Config, all_runs, native_log
 from tidemark.operators.metrics import config_scores, dedupe_log, mean_train_loss
 from tidemark.operators.ranking import best_by_market_model
 from tidemark.sources.logs import resume_anti
 
-Learner = Callable[[DataFrame, Sequence[Config], int, float], DataFrame]
+# (labelled, configs, window_size, test_ratio, todo=runs or None) -> log
+Learner = Callable[..., DataFrame]
 
 
 def tuning_scores(log: DataFrame, window_size: int, test_ratio: float) -> DataFrame:
@@ -21,12 +22,17 @@ def tuning_scores(log: DataFrame, window_size: int, test_ratio: float) -> DataFr
         "window_size": F.lit(window_size), "test_ratio": F.lit(test_ratio)})
 
 
+def grid_log(labelled: DataFrame, configs: Sequence[Config], window_size: int, test_ratio: float,
+             done: DataFrame | None = None, learner: Learner = native_log) -> DataFrame:
+    """Walk-forward log of the grid.  Runs that ``done`` (an earlier log) holds are left out."""
+    todo = None if done is None else resume_anti(all_runs(labelled, configs), done)
+    return learner(labelled, configs, window_size, test_ratio, todo=todo)
+
+
 def tune(labelled: DataFrame, configs: Sequence[Config], window_size: int, test_ratio: float,
          done: DataFrame | None = None, learner: Learner = native_log) -> DataFrame:
-    """Best config per (market, model).  ``done`` (an earlier log) leaves out what it holds."""
-    log = learner(labelled, configs, window_size, test_ratio)
-    if done is not None:
-        log = resume_anti(log, done)
+    """Best config per (market, model) of what is still to run."""
+    log = grid_log(labelled, configs, window_size, test_ratio, done, learner)
     return best_by_market_model(config_scores(log))
 
 
