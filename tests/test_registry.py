@@ -35,3 +35,19 @@ def test_entry(spark):
 def test_agrees_with_sql(spark, sf, con, name):
     got = check.compare(name, entry.queries()[name](spark, sf), con, entry.oracle_sql()[name])
     assert got.startswith("ok") and got != "ok 0", got
+
+
+LAZY = ["resume_anti", "config_grid", "feature_join", "grid_cross", "sliding_windows", "calendar_reindex",
+        "config_scores", "tune", "align_models", "error_histogram", "price_feature_pairs"]
+
+
+@pytest.mark.parametrize("name", LAZY)
+def test_no_cross_join(spark, sf, name):
+    text = entry.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in text and "Cartesian" not in text
+
+
+def test_the_quotes_are_read_once(spark, sf):
+    """Equity, FX and commodity columns come from one scan of the quotes."""
+    from tests.helpers import plan
+    assert plan(entry.queries()["technicals_join"](spark, sf)).count("FileScan") == 2

@@ -50,27 +50,32 @@ def net_value_lists(model: str) -> dict[str, list]:
             "batch_size": GRID_BATCHES, "epochs": GRID_EPOCHS}
 
 
-def config_grid(spark: SparkSession, model: str, lists: dict[str, Sequence]) -> DataFrame:
-    """All combinations of the value lists as ``(model, config_index, hp, hp_json)``.
+def _config_columns(lists: dict[str, Sequence], index: Column) -> tuple[Column, Column]:
+    """Map and text of the config at a place of the grid.
 
-    The index counts like an odometer whose last list turns fastest, so each value is a digit of
-    the index and the grid is a range with one column per list.  Values are kept as text, so
-    that a config has one spelling only.
+    The place counts like an odometer whose last list turns fastest, so each value is one of its
+    digits.  Values are kept as text, so that a config has one spelling only.
     """
-    size = math.prod(len(v) for v in lists.values())
-    if size > MAX_GRID_ROWS:
-        raise ValueError(f"grid of {size} configs, {MAX_GRID_ROWS} allowed")
-    index, stride, value = F.col("config_index"), size, {}
+    stride, value = math.prod(len(v) for v in lists.values()), {}
     for name, values in lists.items():
         stride //= len(values)
         digit = F.floor(index / stride) % len(values) + 1
         value[name] = F.element_at(F.array(*[F.lit(str(v)) for v in values]), digit.cast("int"))
-    hp = F.create_map(*[c for n in sorted(lists) for c in (F.lit(n), value[n])])
     words = {n for n, values in lists.items() if n != "learning_rate"
              and any(isinstance(v, str) for v in values)}
     pieces = [F.concat(F.lit(f'"{n}": "'), value[n], F.lit('"')) if n in words
               else F.concat(F.lit(f'"{n}": '), value[n]) for n in sorted(lists)]
-    text = F.concat(F.lit("{"), F.concat_ws(", ", *pieces), F.lit("}"))
+    return (F.create_map(*[c for n in sorted(lists) for c in (F.lit(n), value[n])]),
+            F.concat(F.lit("{"), F.concat_ws(", ", *pieces), F.lit("}")))
+
+
+def config_grid(spark: SparkSession, model: str, lists: dict[str, Sequence]) -> DataFrame:
+    """All combinations of the value lists as ``(model, config_index, hp, hp_json)``: a range
+    with columns computed from it, no join."""
+    size = math.prod(len(v) for v in lists.values())
+    if size > MAX_GRID_ROWS:
+        raise ValueError(f"grid of {size} configs, {MAX_GRID_ROWS} allowed")
+    hp, text = _config_columns(lists, F.col("config_index"))
     return spark.range(size, numPartitions=1).select(
         F.lit(model).alias("model"), F.col("id").cast("int").alias("config_index")).select(
         "model", "config_index", hp.alias("hp"), text.alias("hp_json"))
@@ -78,13 +83,21 @@ def config_grid(spark: SparkSession, model: str, lists: dict[str, Sequence]) ->
 
 def full_grid(spark: SparkSession) -> DataFrame:
     """The grids of all nets and the baseline, which has one config without parameters."""
+    core, tcn = net_value_lists("mlp"), net_value_lists("tcn")
+    size = math.prod(len(v) for v in core.values())  # that of the tcn's lists, too
+    place = F.col("config_index")
+    (hp, text), (tcn_hp, tcn_text) = _config_columns(core, place), _config_columns(tcn, place)
+    base, is_tcn = F.col("model") == BASELINE, F.col("model") == "tcn"
     none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
-    out = spark.range(1).select(
-        F.lit(BASELINE).alias("model"), F.lit(BASELINE_CONFIG).alias("config_index"),
-        none.alias("hp"), F.lit("{}").alias("hp_json"))
-    for model in NETS:
-        out = out.unionByName(config_grid(spark, model, net_value_lists(model)))
-    return out
+    net = F.element_at(F.array(*[F.lit(m) for m in NETS]), (F.col("id") / size).cast("int") + 1)
+    first = F.col("id") < 0
+    return spark.range(-1, size * len(NETS), numPartitions=1).select(
+        F.when(first, BASELINE).otherwise(net).alias("model"),
+        F.when(first, BASELINE_CONFIG).otherwise(F.col("id") % size).cast("int")
+        .alias("config_index")).select(
+        "model", "config_index",
+        F.when(base, none).when(is_tcn, tcn_hp).otherwise(hp).alias("hp"),
+        F.when(base, "{}").when(is_tcn, tcn_text).otherwise(text).alias("hp_json"))
 
 
 def limit_configs(grid: DataFrame, k: int | None) -> DataFrame:
