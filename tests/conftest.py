@@ -12,7 +12,8 @@ SF = "/root/testdata/sf0.001"
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     spark = (SparkSession.builder.master("local[8]").appName("tests")
-             .config("spark.sql.shuffle.partitions", "8")
+             .config("spark.sql.shuffle.partitions", "4")
+             .config("spark.python.sql.dataFrameDebugging.enabled", "false")
              .config("spark.sql.session.timeZone", "UTC")
              .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
              .config("spark.driver.memory", "8g")

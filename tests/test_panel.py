@@ -170,7 +170,7 @@ def test_panel_does_not_depend_on_partitioning(spark):
         b = panels.build_panel(base.repartition(5), config, quotes.repartition(7), *args) \
             .orderBy("market", "d").collect()
     finally:
-        spark.conf.set("spark.sql.shuffle.partitions", "8")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert a == b
 
 
