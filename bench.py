@@ -50,7 +50,7 @@ def main() -> None:
         print(f"{name} {seconds[name]}", file=sys.stderr, flush=True)
     spark.stop()
     print(json.dumps({"metric": "headline_queries_total", "value": round(sum(seconds.values()), 3),
-                      "unit": "sec", "queries": seconds, "sf": sf.rsplit("sf", 1)[-1],
+                      "unit": "sec", "queries": seconds, "sf": float(sf.rsplit("sf", 1)[-1]),
                       "cpus": cpus, "runs": runs}))
 
 

@@ -9,9 +9,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tidemark.operators.clean import clean_prices
+from tidemark.operators.clean import clean_prices, dedupe_last
 from tidemark.operators.forecast import Config, full_grid, native_log
-from tidemark.operators.metrics import config_scores, dedupe_log
+from tidemark.operators.metrics import config_scores
 from tidemark.operators.traces import aligned_trace
 from tidemark.operators.windows import next_price_label
 from tidemark.plans.panel import build_panel
@@ -108,13 +108,20 @@ def raw_line_log(spark: SparkSession, sf: str) -> DataFrame:
         F.array(price * (1 - F.col("l_discount")) * (1 + F.col("l_tax"))).alias("y_pred"))
 
 
+RUN_WINDOW = ["market", "model", "config_index", "window_id"]
+
+
 def line_log(spark: SparkSession, sf: str) -> DataFrame:
     """The same with one row per window and the config text of the nets' grid.
 
+    Every list has one value, so the last row of a window is picked by plain numbers.
     A supplier beyond the grid goes round to its start; a model outside the grid has no text.
     The grid is 2,026 rows.
     """
-    log = dedupe_log(raw_line_log(spark, sf), "seq")
+    flat = raw_line_log(spark, sf).select(
+        *RUN_WINDOW, "seq", "end_date", F.col("y_true")[0].alias("t"), F.col("y_pred")[0].alias("p"))
+    log = dedupe_last(flat, RUN_WINDOW, "seq", ["end_date", "t", "p"]).select(
+        *RUN_WINDOW, "end_date", F.array("t").alias("y_true"), F.array("p").alias("y_pred"))
     grid = full_grid(spark).select("model", F.col("config_index").alias("slot"), "hp_json")
     slot = F.when(F.col("model") == BASELINE, -1).otherwise(F.col("config_index") % 405)
     return log.withColumn("slot", slot).join(grid, ["model", "slot"], "left") \
@@ -147,7 +154,7 @@ def stored_scores(spark: SparkSession, sf: str) -> DataFrame:
 def trace(spark: SparkSession, sf: str) -> DataFrame:
     """One forecast per (market, model, target date) of the order lines."""
     log = raw_line_log(spark, sf)
-    newest = F.struct("window_id", "config_index", "seq")
+    newest = F.col("window_id") * 1_000_000_000 + F.col("seq")  # order, then part
     return aligned_trace(log.withColumn("window_id", newest))
 
 

@@ -241,7 +241,7 @@ VIEWS = {
         hyperparams_json ->> '$.learning_rate' AS hp_learning_rate,
         hyperparams_json ->> '$.epochs' AS hp_epochs FROM cfg_overall""",
     "trace": last_of(f"(SELECT *, end_date + {NEXT_DAY.format(d='end_date')} AS target_date FROM line_raw)",
-                     "market, model, target_date", "window_id, config_index, seq", "t, p"),
+                     "market, model, target_date", "window_id, seq", "t, p"),
     "chunks": """SELECT *, CAST(r >= floor(n / 3.0) AS INTEGER) + CAST(r >= floor(2 * n / 3.0) AS INTEGER) AS chunk
       FROM (SELECT *, row_number() OVER (PARTITION BY market, model ORDER BY target_date) - 1 AS r,
               count(*) OVER (PARTITION BY market, model) AS n FROM trace)""",
