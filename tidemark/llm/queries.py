@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.llm.ngram_jaccard_join import OP7_SQL, op7_ngram_jaccard_join
 from tidemark.llm.substring_dedup import OP10_SQL, op10_substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
 ORACLE: dict[str, str] = {
+    "op7_ngram_jaccard_join": OP7_SQL,
     "op10_substring_dedup": OP10_SQL,
 }
