@@ -6,15 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.llm.bpe import op6_bpe
+from tidemark.llm.decontamination import OP5_SQL, op5_benchmark_decontamination
 from tidemark.llm.ngram_jaccard_join import OP7_SQL, op7_ngram_jaccard_join
+from tidemark.llm.pii import op4_pii
+from tidemark.llm.secret_scan import op1_secret_scan
 from tidemark.llm.substring_dedup import OP10_SQL, op10_substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secret_scan": op1_secret_scan,
+    "op4_pii": op4_pii,
+    "op5_benchmark_decontamination": op5_benchmark_decontamination,
+    "op6_bpe": op6_bpe,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
 ORACLE: dict[str, str] = {
+    "op5_benchmark_decontamination": OP5_SQL,
     "op7_ngram_jaccard_join": OP7_SQL,
     "op10_substring_dedup": OP10_SQL,
 }
