@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Rows of documents whose checksum leaves this remainder are held out from every fit.
 HELD_OUT, FOLDS = 2, 4
@@ -23,13 +24,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def row_key(docs: DataFrame) -> Column:
     """64 bits of id and text: spread evenly even if ids are null, and the same after a retry."""
-    return F.xxhash64(docs["doc_id"], docs["text"])
+    return F.xxhash64(docs["doc_id"].cast("long"), docs["text"])
 
 
 def keyed(docs: DataFrame) -> DataFrame:
     """Only ``doc_id``, ``text`` and the row key ``rk``, whatever other columns there are."""
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"),
-                       F.xxhash64(docs["doc_id"].cast("long"), docs["text"]).alias("rk"))
+                       row_key(docs).alias("rk"))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -37,7 +38,8 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == HELD_OUT, F.lit(False))
 
 
-def by_batch(df: DataFrame, work: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def by_batch(df: DataFrame, work: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]],
+             schema: str | StructType) -> DataFrame:
     """``mapInArrow`` of a function of one batch."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -57,8 +57,12 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def byte_map(separators: bytes, lower: bool) -> np.ndarray:
-    """What each byte becomes: 0 for a separator, a-z for A-Z if ``lower``, itself otherwise."""
+    """What each byte becomes: 0 for a separator, a-z for A-Z if ``lower``, itself otherwise.
+
+    A zero byte that is no separator becomes 0xFF, which UTF-8 does not use.
+    """
     table = np.arange(256, dtype=np.uint8)
+    table[0] = 0xFF
     if lower:
         table[65:91] += 32
     table[list(separators)] = 0
