@@ -7,9 +7,10 @@ A document's set holds its distinct shingles of ``SHINGLE`` words; two documents
 2. *Groups of similar documents.*  A linked pair of sizes a and b differs in at most
    ``(a + b) * (100 - PERCENT) / (100 + PERCENT)`` shingles.  Shingles are dealt by hash into more
    parts than that, so a linked pair has a part with the same shingles on both sides.  The hashes of
-   the parts are the signatures; members that share one belong to one group (transitively).  A member
-   that, by empty parts, cannot be sure of a shared one deals again with another hash until it can;
-   the pair then shares a part of the deal at which the first of the two is sure.
+   the parts are the signatures.  All members with a signature join the group of the least of them, so
+   a group holds members that share a part with its first, and a linked pair meets in some group.  A
+   member that, by empty parts, cannot be sure of a shared one deals again with another hash until it
+   can; the pair then shares a part of the deal at which the first of the two is sure.
    No link is lost and no shingle is ever joined with a frequent one.
 3. *Matrix.*  A group is cut into blocks and these into tiles of a few members.  The matrix holds,
    by shingle and tile, whether any member of the tile has the shingle: the tile's union.
@@ -18,9 +19,9 @@ A document's set holds its distinct shingles of ``SHINGLE`` words; two documents
    exactly.  A block of work sends out a spanning forest of its links, never the pairs.
 5. Links of all blocks are merged by :func:`tidemark.llm.components.components`.
 
-Hot groups: copies of a signature inside one Arrow batch become one row and a star of edges before
-the shuffle; a group over the size of a block is split into blocks, and blocks meet in pairs, each a
-task of bounded size.  Sets of equal 64-bit hash are taken as equal.
+Hot groups: a signature sends one row per Arrow batch to the shuffle, with its members there; a group
+over the size of a block is split into blocks, and blocks meet in pairs, each a task of bounded size.
+Sets of equal 64-bit hash are taken as equal.
 
 Words are runs of anything but space and the controls 9 to 13, with A-Z lower-cased.  A text of fewer
 than ``SHINGLE`` words has its whole sequence as the one shingle.  A null, empty or blank text has an
@@ -49,6 +50,8 @@ SHINGLE, PERCENT = 4, 85
 BLOCK_MEMBERS, BLOCK_SHINGLES, TILE = 512, 1 << 20, 16
 #: Values of a dense slice of the matrix (4 bytes each).
 SLICE = 1 << 23
+#: Candidates up to this number are broadcast to the texts (about 60 bytes each); beyond, texts are shuffled.
+BROADCAST_ROWS = 1_000_000
 _TABLE = W.byte_map(W.SPACES, lower=True)
 _ODD = np.uint64(0x9FB21C651E98DF25)
 
@@ -139,7 +142,7 @@ def _profile(batch: pa.RecordBatch, shingle: int) -> Iterator[pa.RecordBatch]:
 
 
 def _signed(batch: pa.RecordBatch, shingle: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """A row for each signature and batch with the least member, and edges of the others to it."""
+    """A row for each signature of the batch: its least member ``k`` and the others."""
     sig, key = [], []
     for i, j, words in W.word_blocks(batch["text"], _TABLE):
         doc, token = shingle_sets(words, shingle)
@@ -154,17 +157,17 @@ def _signed(batch: pa.RecordBatch, shingle: int, percent: int) -> Iterator[pa.Re
     sig, key = np.concatenate(sig), np.concatenate(key).view(np.int64)
     order = np.lexsort((key, sig))
     sig, key = sig[order], key[order]
-    new = np.ones(len(sig), bool)
-    new[1:] = sig[1:] != sig[:-1]
-    heads = np.flatnonzero(new)
-    head = key[np.repeat(heads, np.diff(np.append(heads, len(sig))))]
-    star = np.unique(np.stack([key[~new], head[~new]], 1), axis=0)
-    star = star[star[:, 0] != star[:, 1]]
-    spread = W.mix(star[:, 0].astype(np.uint64) * _ODD + star[:, 1].astype(np.uint64))
-    g = np.append(sig[new], spread).view(np.int64)
-    center = pa.array(np.append(np.zeros(len(heads), np.int64), star[:, 1]),
-                      mask=np.append(np.ones(len(heads), bool), np.zeros(len(star), bool)))
-    yield _batch({"g": g, "k": np.append(key[new], star[:, 0]), "center": center})
+    same = np.zeros(len(sig), bool)
+    same[1:] = sig[1:] == sig[:-1]
+    again = same.copy()
+    again[1:] &= key[1:] == key[:-1]
+    sig, key, same = sig[~again], key[~again], same[~again]
+    heads = np.flatnonzero(~same)
+    more = np.diff(np.append(heads, len(sig))) - 1
+    others = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(more)).astype(np.int32)),
+                                      pa.array(key[same]), mask=pa.array(more == 0))
+    yield pa.RecordBatch.from_arrays([pa.array(sig[heads].view(np.int64)), pa.array(key[heads]), others],
+                                     names=["g", "k", "others"])
 
 
 def _tokens(batch: pa.RecordBatch, shingle: int) -> Iterator[pa.RecordBatch]:
@@ -173,8 +176,8 @@ def _tokens(batch: pa.RecordBatch, shingle: int) -> Iterator[pa.RecordBatch]:
         size, _ = set_keys(doc, token, j - i)
         lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)).astype(np.int32)),
                                          pa.array(token.view(np.int64)))
-        yield pa.RecordBatch.from_arrays([*(batch[c].slice(i, j - i) for c in ("grp", "k", "blocks")), lists],
-                                         names=["grp", "k", "blocks", "tokens"])
+        yield pa.RecordBatch.from_arrays([batch["k"].slice(i, j - i), batch["homes"].slice(i, j - i), lists],
+                                         names=["k", "homes", "tokens"])
 
 
 def link_forest(sets: list[np.ndarray], percent: int = PERCENT, tile: int = TILE,
@@ -254,24 +257,30 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
     profile = stored(by_batch(docs, partial(_profile, shingle=shingle),
                               "doc_id long, rk long, n_shingles long, k long"), "profile")
     signed = by_batch(docs.select("text"), partial(_signed, shingle=shingle, percent=percent),
-                      "g long, k long, center long")
-    least = F.min(F.when(F.col("center").isNull(), F.col("k"))).over(Window.partitionBy("g"))
-    star = signed.withColumn("b", F.coalesce("center", least)).filter("k <> b")
-    group = stored(components(star.select(F.col("k").alias("a"), "b")), "groups")
-    members = (profile.filter("n_shingles > 0").join(group.select(F.col("node").alias("k"), F.col("root").alias("grp")), "k")
-               .groupBy("grp", "k", "n_shingles").agg(F.min("rk").alias("rk")))
+                      "g long, k long, others array<long>")
+    grouped = (signed.withColumn("grp", F.min("k").over(Window.partitionBy("g")))
+               .filter("k <> grp OR others IS NOT NULL")
+               .select("grp", F.explode(F.concat(F.array("k"), F.coalesce("others", F.array().cast("array<long>")))).alias("k"))
+               .distinct())
+    grouped = stored(grouped, "groups")
+    grouped = grouped.unionByName(grouped.select("grp", F.col("grp").alias("k"))).distinct()
+    sets = profile.filter("n_shingles > 0").groupBy("k").agg(F.min("rk").alias("rk"), F.min("n_shingles").alias("n"))
+    members = stored(grouped.join(sets, "k"), "members")
     sizes = members.groupBy("grp").agg(F.greatest(
-        F.ceil(F.count("*") / F.lit(BLOCK_MEMBERS)),
-        F.ceil(F.sum("n_shingles") / F.lit(BLOCK_SHINGLES))).cast("int").alias("blocks"))
-    members = stored(members.join(sizes, "grp").select("rk", "grp", "k", "blocks"), "members")
-    tokens = by_batch(docs.select("rk", "text").join(members, "rk").select("text", "grp", "k", "blocks"),
-                      partial(_tokens, shingle=shingle), "grp long, k long, blocks int, tokens array<long>")
+        F.ceil(F.count("*") / F.lit(BLOCK_MEMBERS)), F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES))).cast("int").alias("blocks"))
+    homes = stored(members.join(sizes, "grp").groupBy("rk", "k").agg(F.collect_list(F.struct("grp", "blocks")).alias("homes")),
+                   "homes")
+    if homes.count() <= BROADCAST_ROWS:
+        homes = F.broadcast(homes)
+    tokens = by_batch(docs.select("rk", "text").join(homes, "rk").select("text", "k", "homes"),
+                      partial(_tokens, shingle=shingle),
+                      "k long, homes array<struct<grp: long, blocks: int>>, tokens array<long>")
 
     def forest(block: pa.Table) -> pa.Table:
         return _links(block, percent)
 
-    block = F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int")
-    met = (tokens.withColumn("block", block)
+    met = (tokens.select("k", "tokens", F.explode("homes").alias("home")).select("k", "tokens", "home.grp", "home.blocks")
+           .withColumn("block", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int"))
            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
            .withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other")))
     links = (met.select("grp", "x", "y", "block", "k", "tokens").groupBy("grp", "x", "y")
