@@ -6,12 +6,45 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm.tables import documents
+from tidemark.llm import bpe, decontamination, ngram_jaccard_join, pii, quality_classifier
+from tidemark.llm.tables import documents, table
 from tidemark.session import stored
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
 
-#: The stages learn models and encode text, which SQL cannot say; the tests hold each against brute force.
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts; it learns from those of ``docs`` that have labels."""
+    return quality_classifier.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return ngram_jaccard_join.keep_one(docs)
+
+
+def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not contaminated by the benchmark."""
+    return decontamination.keep_clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with personal data replaced by its kind."""
+    return pii.masked(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The ids of all documents, with digests of the ids and of what they decode to."""
+    return bpe.encode(docs)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_classifier", quality),
+    ("ngram_jaccard_join", near_duplicates),
+    ("benchmark_decontamination", benchmarks),
+    ("pii", personal_data),
+    ("bpe", tokens),
+]
+
+#: The stages learn a model and encode text, which SQL cannot say; the tests hold them against brute force.
 ORACLE_SQL = None
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import words as W
-from tidemark.llm.tables import by_batch, documents, hex256, keyed, table
+from tidemark.llm.tables import by_batch, documents, hex256, keyed, row_key, table
 
 WINDOW = 13
 #: Windows of one broadcast set: about 100 MB with their words.
@@ -121,25 +121,23 @@ def blocks(windows: DataFrame) -> Iterator[list[tuple]]:
         yield [(r.n, r.h, bytes(r.words), list(r["items"])) for r in mine.collect()]
 
 
-def _result(columns: list[list], ids: pa.Array) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_())
-    return pa.RecordBatch.from_arrays([ids, *(pa.array(c, k) for c, k in zip(columns, kinds))],
-                                      names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
-
-
 def verdict(n_words: int, n_hit: int) -> bool:
     return n_hit > 0 and SHARE * n_hit >= n_words
 
 
-def _columns(rows: list[tuple[int, int, set[str]]], ids: pa.Array) -> pa.RecordBatch:
-    return _result([[n for n, _, _ in rows], [hit for _, hit, _ in rows], [len(s) for _, _, s in rows],
-                    [hex256(",".join(sorted(s)).encode()) for _, _, s in rows],
-                    [verdict(n, hit) for n, hit, _ in rows]], ids)
+def _columns(batch: pa.RecordBatch, rows: list[tuple[int, int, set[str]]]) -> pa.RecordBatch:
+    columns = {"n_words": pa.array([n for n, _, _ in rows], pa.int64()),
+               "n_hit": pa.array([hit for _, hit, _ in rows], pa.int64()),
+               "n_items": pa.array([len(items) for *_, items in rows], pa.int64()),
+               "items_sha256": pa.array([hex256(",".join(sorted(items)).encode()) for *_, items in rows], pa.string()),
+               "contaminated": pa.array([verdict(n, hit) for n, hit, _ in rows], pa.bool_())}
+    return pa.RecordBatch.from_arrays([batch["doc_id"], batch["rk"], *columns.values()],
+                                      names=["doc_id", "rk", *columns])
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``doc_id``, ``n_words``, ``n_hit``, ``n_items``, ``items_sha256``, ``contaminated`` per document."""
-    schema = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+    """``doc_id``, ``rk``, ``n_words``, ``n_hit``, ``n_items``, ``items_sha256``, ``contaminated`` per document."""
+    schema = "doc_id long, rk long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
     docs, spark = keyed(docs), docs.sparkSession
     parts = list(blocks(benchmark_windows(benchmark)))
     if len(parts) == 1:
@@ -148,8 +146,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         def finish(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             rows = [(n, 0 if hit is None else int(hit.sum()), {x for *_, items in hits for x in items})
                     for _, n, hit, hits in scan(batch["text"], shared.value)]
-            yield _columns(rows, batch["doc_id"])
-        return by_batch(docs.select("doc_id", "text"), finish, schema)
+            yield _columns(batch, rows)
+        return by_batch(docs, finish, schema)
     found = None
     for part in parts:
         hits = by_batch(docs, _hits_of(spark.sparkContext.broadcast(NgramSet.of(part))), _HITS)
@@ -163,7 +161,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         for r in batch.to_pylist():
             hit = covered(r["n_words"], list(zip(r["start"], r["length"])))
             rows.append((r["n_words"], 0 if hit is None else int(hit.sum()), set(r["items"])))
-        yield _columns(rows, batch["doc_id"])
+        yield _columns(batch, rows)
     copies = docs.groupBy("rk").count()
     one = merged.join(copies, "rk").withColumn("again", F.explode(F.sequence(F.lit(1), F.col("count").cast("int"))))
     return by_batch(one.drop("again", "count"), close, schema)
@@ -180,9 +178,23 @@ def _hits_of(shared):
     return hits
 
 
+def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The documents that are not contaminated, with all their columns."""
+    parts = list(blocks(benchmark_windows(benchmark)))
+    if len(parts) > 1:
+        bad = decontaminate(docs, benchmark).filter("contaminated").select("rk").distinct()
+        return docs.join(bad, row_key(docs) == bad["rk"], "left_anti")
+    shared = docs.sparkSession.sparkContext.broadcast(NgramSet.of(parts[0]))
+
+    def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        yield batch.filter(pa.array([not verdict(n, 0 if hit is None else int(hit.sum()))
+                                     for _, n, hit, _ in scan(batch["text"], shared.value)], pa.bool_()))
+    return by_batch(docs, work, docs.schema)
+
+
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark hits of every document."""
-    return decontaminate(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+    return decontaminate(documents(spark, sf_dir), table(spark, sf_dir, "benchmark")).drop("rk")
 
 
 OP5_SQL = """

@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import words as W
 from tidemark.llm.components import components
-from tidemark.llm.tables import by_batch, documents, keyed
+from tidemark.llm.tables import by_batch, documents, keyed, row_key
 from tidemark.session import stored
 
 SHINGLE, PERCENT = 4, 85
@@ -252,7 +252,7 @@ def _links(table: pa.Table, percent: int) -> pa.Table:
 
 
 def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """``doc_id``, ``rk``, ``n_shingles``, ``component_id``: one row per document."""
+    """``doc_id``, row key ``rk``, ``n_shingles``, ``component_id`` and the row key of the one to keep, per document."""
     docs = keyed(docs)
     profile = stored(by_batch(docs, partial(_profile, shingle=shingle),
                               "doc_id long, rk long, n_shingles long, k long"), "profile")
@@ -287,10 +287,32 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
              .applyInArrow(forest, "a long, b long"))
     root = components(links).select(F.col("node").alias("k"), "root")
     placed = profile.join(root, "k", "left").withColumn("root", F.coalesce("root", "k"))
-    top = placed.filter("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rk"))
+    top = placed.filter("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"),
+                                                              first["rk"].alias("keeper"))
+    own = F.col("n_shingles") == 0
     return placed.join(top, "root", "left").select(
-        "doc_id", "rk", "n_shingles",
-        F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+        "doc_id", "rk", "n_shingles", F.when(own, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+        F.when(own, F.col("rk")).otherwise(F.col("keeper")).alias("keeper"))
+
+
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """One document of each component, the one of least id, with all its columns.
+
+    Documents without words all stay.  A row that repeats both id and text of the one that stays goes.
+    """
+    found = stored(jaccard_components(docs, shingle, percent).select("rk", "keeper", "n_shingles"), "components")
+    gone = found.filter("rk <> keeper").select("rk").distinct()
+    if gone.count() <= BROADCAST_ROWS:
+        gone = F.broadcast(gone)
+    left = docs.join(gone, row_key(docs) == gone["rk"], "left_anti")
+    again = found.filter("rk = keeper AND n_shingles > 0").groupBy("rk").count().filter("count > 1").select("rk")
+    if again.isEmpty():
+        return left
+    nth = F.row_number().over(Window.partitionBy(row_key(left)).orderBy(F.lit(1)))
+    same = left.join(again, row_key(left) == again["rk"], "left_semi").select(nth.alias("nth"), F.struct("*").alias("row"))
+    return (left.join(again, row_key(left) == again["rk"], "left_anti")
+            .unionByName(same.filter("nth = 1").select("row.*")))
 
 
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,13 +16,15 @@ columns are ignored.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import cache
 
 import ahocorasick
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.spans import Span, span_columns
-from tidemark.llm.tables import documents
+from tidemark.llm.tables import by_batch, documents
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "url", "iban", "account")
@@ -129,6 +131,19 @@ def mask(text: str) -> str:
     return "".join([*out, text[at:]])
 
 
+def masked(docs: DataFrame) -> DataFrame:
+    """The documents with personal data masked; ``n_chars``, if there, counts the new text."""
+    def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        texts = [None if t is None else mask(t) for t in batch["text"].to_pylist()]
+        for name, kind, values in (("text", pa.string(), texts),
+                                   ("n_chars", pa.int64(), [None if t is None else len(t) for t in texts])):
+            if name in batch.schema.names:
+                at = batch.schema.get_field_index(name)
+                batch = batch.set_column(at, name, pa.array(values, kind).cast(batch.schema.field(at).type))
+        yield batch
+    return by_batch(docs, work, docs.schema)
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of every document."""
     return span_columns(documents(spark, sf_dir), find, BASE, KINDS)
