@@ -10,11 +10,13 @@ import json
 import os
 import statistics
 import sys
+import tempfile
 import time
 
 from pyspark.sql import SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+from tidemark.session import clear_scratch  # noqa: E402
 from workload.registry import QUERIES  # noqa: E402
 
 HEADLINE = [
@@ -35,6 +37,7 @@ def main() -> None:
              .config("spark.sql.adaptive.enabled", "true")
              .config("spark.driver.memory", "12g")
              .config("spark.ui.enabled", "false")
+             .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="bench-"))
              .config("spark.ui.showConsoleProgress", "false")
              .config("spark.python.sql.dataFrameDebugging.enabled", "false")
              .getOrCreate())
@@ -46,6 +49,7 @@ def main() -> None:
             start = time.perf_counter()
             QUERIES[name](spark, sf).write.format("noop").mode("overwrite").save()
             times.append(time.perf_counter() - start)
+            clear_scratch(spark)
         seconds[name] = round(statistics.median(times[1:]), 3)
         print(f"{name} {seconds[name]}", file=sys.stderr, flush=True)
     spark.stop()

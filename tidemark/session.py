@@ -7,9 +7,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_LOCAL_FOLDERS: dict[str, str] = {}
-
-
 def use_utc(spark: SparkSession) -> SparkSession:
     """Dates are days, so timestamps must become dates in one fixed zone."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
@@ -17,20 +14,31 @@ def use_utc(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can reach, as the cluster names it in ``spark.checkpoint.dir``.
+    """The folder of this application inside the one that every executor can reach.
 
-    Only a local-mode session without that setting (tests) gets a folder of its own.
+    That is the one named in ``spark.checkpoint.dir``, or the one the context was given with
+    ``setCheckpointDir``.  Only a local-mode session with neither (tests) gets one of its own.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
     sc = spark.sparkContext
-    if not sc.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    if sc.applicationId not in _LOCAL_FOLDERS:
-        _LOCAL_FOLDERS[sc.applicationId] = tempfile.mkdtemp(prefix="tidemark-")
-        sc.setCheckpointDir(_LOCAL_FOLDERS[sc.applicationId])
-    return _LOCAL_FOLDERS[sc.applicationId]
+    given = spark.conf.get("spark.checkpoint.dir", None)
+    if not given:
+        own = sc._jsc.sc().getCheckpointDir()
+        given = own.get() if own.isDefined() else None
+    if not given:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        given = tempfile.mkdtemp(prefix="tidemark-")
+        sc.setCheckpointDir(given)
+    return f"{given.rstrip('/')}/tidemark-{sc.applicationId}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove all tables that this application wrote with ``stored``.
+
+    They belong to the caller, who knows when no result that reads them is needed any more.
+    """
+    folder = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
