@@ -180,14 +180,62 @@ def test_exact_quantiles(spark):
 
 
 def test_no_task_sorts_a_whole_group(spark):
-    """Rows are ranked inside (key, cell); the best config is limited before the shuffle."""
+    """Rows are ranked inside the runs of a key; the best config is limited before the shuffle."""
     text = plan(ranking.ordered_rank(hot_scores(spark), ["model"], "MAPE"))
-    assert "windowspecdefinition(model" in text.replace("cell", "cell")
-    assert all("cell" in line for line in text.splitlines() if "row_number()" in line)
+    assert all("run#" in line for line in text.splitlines() if "row_number()" in line)
     best = plan(ranking.top_n(hot_scores(spark).repartition(4), ["model"], ranking.lowest("MAPE"), 1))
     assert best.count("WindowGroupLimit") == 2 and "Partial" in best
 
 
+@pytest.fixture
+def whole_partitions(spark):
+    """So little data would else be put together into one run."""
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(name, False)
+    yield
+    spark.conf.unset(name)
+
+
+@pytest.mark.parametrize("value", ["0.5", "0.99 + id / 1e7", "CAST(NULL AS DOUBLE)"])
+def test_a_concentrated_metric_is_spread(spark, value, whole_partitions):
+    """Equal values, values packed together and missing values: no run holds much over its share."""
+    df = spark.range(40_000).selectExpr("id", "'m' AS model", f"{value} AS R2")
+    runs = ranking.sorted_runs(df, [F.col("model"), F.col("R2").asc_nulls_last(), F.xxhash64(*df.columns)])
+    sizes = [r["count"] for r in runs.groupBy("run").count().collect()]
+    assert len(sizes) >= 3 and max(sizes) < 2 * 40_000 / len(sizes)
+    ranks = ranking.ordered_rank(df, ["model"], "R2")
+    assert ranks.agg(F.min("rank"), F.max("rank"), F.count_distinct("rank")).first() == (1, 40_000, 40_000)
+    got = ranking.exact_quantiles(df, ["model"], "R2", {"half": 0.5}).collect()
+    assert [r.half for r in got] == {"0.5": [0.5], "0.99 + id / 1e7": [pytest.approx(0.99 + 19999.5 / 1e7, rel=1e-12)]}.get(value, [])
+    assert ranking.ranked_values(df, ["model"], "R2").count() == (40_000 if "id" in value else 1)
+
+
+def test_missing_numbers_do_not_spread(spark):
+    """NaN, infinite and null forecasts are left out of every metric, and of the extremes."""
+    nan, inf = float("nan"), float("inf")
+    df = spark.createDataFrame([("m", "x", 0, 0, "{}", None, [1.0, 2.0, 100.0, 7.0], [1.5, 2.0, None, nan], 0),
+                                ("m", "x", 0, 1, "{}", None, [3.0, 5.0], [3.0, inf], 0),
+                                ("m", "x", 1, 0, "{}", None, [1.0, 2.0], [nan, nan], 0)], LOG)
+    out = metrics.config_scores(df).collect()
+    assert [(r.config_index, r.n_windows, r.n_samples, r.mean_price) for r in out] == [(0, 2, 3, 2.0)]
+    assert out[0].R2 == pytest.approx(1 - (0.25 / 3) / (2 / 3))
+    assert metrics.unscored_runs(df).first().reason == "no forecast"
+    wide = spark.createDataFrame([("m", "x", "a", nan, 0.5), ("m", "x", "b", 0.1, nan), ("m", "x", "c", 0.2, inf)],
+                                 "market string, model string, hyperparams_json string, MAPE double, R2 double")
+    assert tuple(ranking.best_extremes(wide).first())[2:] == (0.1, None, 0.5)
+
+
+def test_dedupe_does_not_depend_on_the_layout(spark):
+    d = day("2024-01-05")
+    rows = [("m", "x", 0, w, "{}", d, [1.0], [float(w % 7 + k)], k // 2) for w in range(60) for k in range(4)]
+    got = set()
+    for seed in range(4):
+        random.Random(seed).shuffle(rows)
+        df = spark.createDataFrame(rows, LOG).repartition(1 + 3 * seed)
+        got.add(tuple(sorted((r.window_id, r.y_pred[0]) for r in metrics.dedupe_log(df, "seq").collect())))
+    assert got == {tuple((w, float(w % 7 + 3)) for w in range(60))}
+
+
 def test_rank_curves(spark):
     df = hot_scores(spark).withColumn("hyperparams_json", F.col("config_index").cast("string"))
     got = reports.rank_curve_pooled(df).orderBy("model", "rank").toPandas()

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.functions.values import finite
+from tidemark.session import stored
 
 
 def lowest(*columns: str) -> list[Column]:
@@ -51,9 +52,10 @@ def best_by_model(across: DataFrame) -> DataFrame:
 def best_extremes(cfg_market: DataFrame) -> DataFrame:
     """Per (market, model): the smallest MAPE, the R2 of that row, and the largest R2.
 
-    NULL metrics do not compete; equal ones are decided by the config text.
+    Metrics that are NULL or not finite do not compete; equal ones are decided by the config text.
     """
-    return cfg_market.groupBy("market", "model").agg(
+    rows = cfg_market.withColumns({m: finite(m) for m in ("MAPE", "R2")})
+    return rows.groupBy("market", "model").agg(
         F.min("MAPE").alias("best_MAPE"),
         F.min_by("R2", F.when(F.col("MAPE").isNotNull(), F.struct("MAPE", "hyperparams_json")))
         .alias("R2_at_best_MAPE"),
@@ -62,73 +64,71 @@ def best_extremes(cfg_market: DataFrame) -> DataFrame:
 
 # ---- ranks and quantiles of groups of any size ------------------------------------------
 
-CELLS_PER_OCTAVE = 1024
-LAST_CELL = 2**31 - 1  # of the rows without a value
+def sorted_runs(df: DataFrame, order: Sequence[Column | str]) -> DataFrame:
+    """The rows cut into runs of about equal size by range of ``order``, with the number of each
+    run, as a written table.
 
-
-def value_cell(value: Column | str) -> Column:
-    """An integer that never decreases as the value grows; neighbours within 0.07 percent share
-    it.  A fixed function of the value: no sampling, so a retried task agrees with itself."""
-    v = finite(value)
-    size = F.floor((F.log2(F.abs(v)) + 1100) * CELLS_PER_OCTAVE)
-    cell = F.when(v == 0, F.lit(0)).when(v > 0, size).otherwise(-size).cast("int")
-    return F.coalesce(cell, F.lit(LAST_CELL))
+    ``row_number`` over a whole key would sort one key in one task.  Runs cut a big key wherever its
+    rows lie, and a written run stays what it is when a task is repeated.
+    """
+    return stored(df.repartitionByRange(*order).withColumn("run", F.spark_partition_id()), "runs")
 
 
-def cell_offsets(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Per (key, cell) the rows in it and the rows in smaller cells of the key; and the rows of
-    the whole key.  A few numbers per cell, whatever the size of the key."""
-    counts = df.groupBy(*keys, value_cell(value).alias("cell")) \
-               .agg(F.count(F.lit(1)).alias("in_cell"))
+def run_offsets(runs: DataFrame, keys: Sequence[str], count: Column) -> DataFrame:
+    """Per (key, run) the rows of the key in smaller runs (``offset``) and in all (``total``)."""
+    sums = runs.groupBy(*keys, "run").agg(count.alias("in_run"))
     every = Window.partitionBy(*keys)
-    before = every.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    return counts.withColumns({
-        "offset": F.coalesce(F.sum("in_cell").over(before), F.lit(0)),
-        "total": F.sum("in_cell").over(every)})
+    before = every.orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    return sums.withColumns({"offset": F.coalesce(F.sum("in_run").over(before), F.lit(0)),
+                             "total": F.sum("in_run").over(every)}).drop("in_run")
 
 
 def ordered_rank(df: DataFrame, keys: Sequence[str], value: str, tie_break: Sequence[Column] = (),
-                 rank: str = "rank", cells: DataFrame | None = None) -> DataFrame:
+                 rank: str = "rank") -> DataFrame:
     """1-based rank of each row within its key by ascending value; rows without one come last.
 
-    ``row_number`` over a whole key would sort one key in one task.  Here rows are spread over
-    (key, cell), ranked there, and moved up by the number of rows in smaller cells, which is a
-    running sum over cell counts only.  ``cells`` may hand in ``cell_offsets`` of the same rows,
-    narrowed to the cells wanted and with more columns to carry along.
+    Each run is ranked by itself and moved up by the rows of the key in the runs before it.  Rows
+    that agree in value and ``tie_break`` are told apart by a hash of the row, so that neither equal
+    nor missing values gather in one run.
+    """
+    order = [F.col(value).asc_nulls_last(), *tie_break, F.xxhash64(*df.columns)]
+    runs = sorted_runs(df, [*[F.col(k) for k in keys], *order])
+    here = Window.partitionBy(*keys, "run").orderBy(*[F.col(value).asc_nulls_last(), *tie_break],
+                                                    F.xxhash64(*df.columns))
+    return runs.withColumn("_place", F.row_number().over(here)) \
+        .join(run_offsets(runs, keys, F.count(F.lit(1))), [*keys, "run"]) \
+        .withColumn(rank, F.col("offset") + F.col("_place")).drop("run", "_place", "offset", "total")
+
+
+def ranked_values(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Each distinct value of a key with its rows ``n``, the rows ``before`` it and the ``total``.
 
-    The input is read twice; give it a stored table if it is dear to compute.
+    Equal values are counted before anything is sorted, so a value that half of all rows share is
+    one row here.
     """
-    cells = cell_offsets(df, keys, value) if cells is None else cells
-    here = Window.partitionBy(*keys, "cell").orderBy(F.col(value).asc_nulls_last(), *tie_break)
-    return df.withColumn("cell", value_cell(value)).join(cells, [*keys, "cell"]) \
-             .withColumn(rank, F.col("offset") + F.row_number().over(here)) \
-             .drop("cell", "in_cell", "offset", "total")
+    counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
+    runs = sorted_runs(counts, [*[F.col(k) for k in keys], F.col(value)])
+    here = Window.partitionBy(*keys, "run").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    return runs.withColumn("_before", F.coalesce(F.sum("n").over(here), F.lit(0))) \
+        .join(run_offsets(runs, keys, F.sum("n")), [*keys, "run"]) \
+        .withColumn("before", F.col("offset") + F.col("_before")).drop("run", "_before", "offset")
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str,
                     probs: dict[str, float]) -> DataFrame:
     """Exact quantiles per key with linear interpolation, one column per name in ``probs``.
 
-    Only the cells that hold a wanted rank are looked at row by row; the built-in exact
-    percentile would hold all values of a key in one task.
+    The built-in exact percentile would hold all values of a key in one task.
     """
-    rows = df.filter(finite(value).isNotNull()).select(*keys, value)
-    at = {name: (F.col("total") - 1) * F.lit(float(p)) for name, p in probs.items()}
-    wanted = F.array_distinct(F.array(*[f(a).cast("bigint") + 1 for a in at.values()
-                                        for f in (F.floor, F.ceil)]))
-    cells = cell_offsets(rows, keys, value).withColumns({
-        "wanted": F.filter(wanted, lambda k: (k > F.col("offset"))
-                           & (k <= F.col("offset") + F.col("in_cell"))),
-        "n": F.col("total")})
-    hits = ordered_rank(rows, keys, value, cells=cells.filter(F.size("wanted") > 0))
-    hits = hits.filter(F.array_contains("wanted", F.col("rank")))
+    ranked = ranked_values(df.filter(finite(value).isNotNull()).select(*keys, value), keys, value)
     out = []
     for name, p in probs.items():
-        a = (F.col("n") - 1) * F.lit(float(p))
-        below = F.max(F.when(F.col("rank") == F.floor(a) + 1, F.col(value)))
-        above = F.max(F.when(F.col("rank") == F.ceil(a) + 1, F.col(value)))
-        out.append((below + (above - below) * F.max(a - F.floor(a))).alias(name))
-    return hits.groupBy(*keys).agg(*out)
+        at = (F.col("total") - 1) * F.lit(float(p))
+        holds = lambda place: (F.col("before") <= place) & (place < F.col("before") + F.col("n"))
+        below = F.max(F.when(holds(F.floor(at)), F.col(value)))
+        above = F.max(F.when(holds(F.ceil(at)), F.col(value)))
+        out.append((below + (above - below) * F.max(at - F.floor(at))).alias(name))
+    return ranked.groupBy(*keys).agg(*out)
 
 
 def rank_in_market(scores: DataFrame, tie_break: Sequence[str] = ("RMSE",)) -> DataFrame:

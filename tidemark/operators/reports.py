@@ -10,7 +10,7 @@ from tidemark.functions.parsing import hp_standardise, parse_dict
 from tidemark.functions.values import finite, is_tcn
 from tidemark.operators.clean import list_position
 from tidemark.operators.ranking import (
-    cell_offsets, exact_quantiles, highest, lowest, ordered_rank)
+    exact_quantiles, highest, lowest, ranked_values)
 from tidemark.schema import (
     ACTIVATION_ORDER, CURVE_CAP, CURVE_CAP_TCN, CURVE_MIN_MARKET, CURVE_MIN_POOLED,
     FINANCIAL_COLUMNS, HIST_BINS, HIST_XMAX, HIST_XMAX_TCN, HP_ALIASES, TECHNICAL_PREFIXES)
@@ -171,23 +171,24 @@ def _metric_rows(scores: DataFrame, keys: Sequence[str], signed: bool = True) ->
 def _curves(long: DataFrame, keys: Sequence[str], least: int, top_k: int | None) -> DataFrame:
     """MAPE and R2 of each rank per model: the mean over the other keys, for the ranks all reach.
 
-    Curves shorter than ``least`` points do not count.  Lengths come from the cell counts of the
-    ranking, so the rows themselves are read for the counts and for the ranks, no more.
+    Curves shorter than ``least`` points do not count.  A value that several configs share is one
+    row up to the end, where it is written out once for each rank it takes.
     """
     by = [*keys, "metric"]
-    cells = cell_offsets(long, by, "value")
-    n = {m: F.sum(F.when(F.col("metric") == m, F.col("in_cell"))) for m in ("MAPE", "R2")}
-    points = cells.groupBy(*keys).agg(
+    ranked = ranked_values(long, by, "value")
+    n = {m: F.max(F.when(F.col("metric") == m, F.col("total"))) for m in ("MAPE", "R2")}
+    points = ranked.groupBy(*keys).agg(
         F.when(n["MAPE"].isNotNull() & n["R2"].isNotNull(), F.least(n["MAPE"], n["R2"]))
         .alias("points")).filter(F.col("points") >= least)
     shortest = points.groupBy("model").agg(F.min("points").alias("reach"))
     if top_k is not None:
         shortest = shortest.withColumn("reach", F.least("reach", F.lit(top_k)))
-    kept = cells.join(points.select(*keys), list(keys), "left_semi").join(shortest, "model") \
-                .filter(F.col("offset") < F.col("reach"))
-    ranked = ordered_rank(long, by, "value", cells=kept).filter(F.col("rank") <= F.col("reach"))
+    kept = ranked.join(points.select(*keys), list(keys), "left_semi").join(shortest, "model") \
+                 .filter(F.col("before") < F.col("reach"))
+    ranks = F.sequence(F.col("before") + 1, F.least(F.col("before") + F.col("n"), F.col("reach")))
+    placed = kept.select("model", "metric", "value", F.explode(ranks).alias("rank"))
     mean = {m: F.avg(F.when(F.col("metric") == m, F.col("value"))) for m in ("MAPE", "R2")}
-    return ranked.groupBy("model", "rank").agg((-mean["MAPE"]).alias("MAPE"),
+    return placed.groupBy("model", "rank").agg((-mean["MAPE"]).alias("MAPE"),
                                                mean["R2"].alias("R2"))
 
 
