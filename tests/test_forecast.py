@@ -1,4 +1,5 @@
 import json
+import time
 
 import numpy as np
 import pytest
@@ -172,8 +173,29 @@ def test_grid(spark):
     assert rows["naive_last_price", -1].hp_json == "{}"
     assert all(r.hp_json == json.dumps(json.loads(r.hp_json), sort_keys=True) for r in rows.values())
     assert forecast.limit_configs(grid, 3).count() == 16
-    with pytest.raises(ValueError):
-        forecast.config_grid(spark, "x", {c: range(100) for c in "abc"})
+    big = forecast.config_grid(spark, "x", {c: range(100) for c in "abc"})
+    assert big.filter("config_index = 123456").first().hp == {"a": "12", "b": "34", "c": "56"}
+
+
+def test_the_grid_as_a_run(spark):
+    """All configs of the grid table through the cheap learner, with all of their text unchanged."""
+    grid = forecast.full_grid(spark)
+    configs = forecast.grid_configs(grid.filter("model <> 'naive_last_price'"))
+    text = {(r.model, r.config_index): r.hp_json for r in grid.collect()}
+    assert len(configs) == 2025 and all(c.hp_json == text[c.model, c.config_index] for c in configs)
+    assert dict(configs[0].hp)["learning_rate"] == 0.01
+    assert len(forecast.grid_configs(grid, max_configs=3)) == 16
+    lab = labelled(spark, 20, markets="a")
+    start = time.perf_counter()
+    runs = forecast.all_runs(lab, configs)
+    assert time.perf_counter() - start < 2 and runs.count() == 2025
+    log = forecast.walk_forward_fit(lab, ["Price"], configs, last_label, 12, 0.25, max_windows=2)
+    assert log.count() == 2 * 2025 and log.filter("error IS NOT NULL").count() == 0
+
+
+def last_label(x_train, y_train, x_test, hp, seed):
+    assert isinstance(hp["epochs"], int)
+    return np.full(len(x_test), y_train[-1]), None
 
 
 def test_grid_cross(spark):

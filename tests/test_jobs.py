@@ -5,8 +5,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import forecast, windows
-from tidemark.plans import jobs, tune as tuning
+from tidemark.operators import forecast, metrics, windows
+from tidemark.plans import evaluate, jobs, tune as tuning
 from tidemark.sources import logs, results
 from tests.helpers import day
 from tests.test_forecast import GRID, labelled
@@ -76,3 +76,63 @@ def test_todo_limits_the_fits(spark):
         lab, ["Price"], cfgs, counting, w, ratio, todo=todo)
     best = tuning.tune(lab, GRID[1:], 10, 0.1, done=log, learner=learner)
     assert best.count() == 3
+
+
+def half_failing(x_train, y_train, x_test, hp, seed):
+    """The first config fails in half of the windows and is right in the others."""
+    if hp.get("lookback") == 3 and int(abs(y_train[-1]) * 1e6) % 2:
+        raise RuntimeError("no")
+    return np.full(len(x_test), float("inf") if hp.get("lookback") == 4 else y_train[-1]), 1.0
+
+
+def test_failed_runs_are_never_chosen_and_run_again(spark, panel, tmp_path):
+    import sys
+    from pyspark import cloudpickle
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    configs = [forecast.Config("net", i, (("lookback", k),)) for i, k in enumerate((3, 4, 5))]
+    learner = lambda lab, cfgs, w, ratio, todo=None, max_windows=None: forecast.walk_forward_fit(
+        lab, ["Price"], cfgs, half_failing, w, ratio, max_windows=max_windows, todo=todo)
+    log, out = str(tmp_path / "log"), str(tmp_path / "out")
+    jobs.tune_job(spark, panel, log, out, configs, 10, 0.1, end="2023-02-28", learner=learner, max_windows=12)
+    best = results.read_best_configs(spark, f"{out}/best_configs").collect()
+    assert {r.config_index for r in best} == {2} and len(best) == 2
+    left = spark.read.option("header", True).csv(f"{out}/unscored_runs")
+    assert {(r.config_index, r.n_windows) for r in left.collect()} == {("0", "12"), ("1", "12")}
+    assert left.filter("config_index = 1 AND reason LIKE '12 of 12 windows failed: ValueError%'").count() == 2
+    before = logs.read_log_table(spark, log).count()
+    jobs.tune_job(spark, panel, log, out, configs, 10, 0.1, end="2023-02-28", learner=learner, max_windows=12)
+    assert logs.read_log_table(spark, log).count() == before + 2 * 2 * 12  # only the failed configs ran again
+    jobs.tune_job(spark, panel, log, out, configs[2:], 10, 0.1, end="2023-02-28", learner=learner, max_windows=14)
+    runs = {(r.config_index, r.n_windows) for r in metrics.run_states(metrics.dedupe_log(logs.read_log_table(spark, log))).collect()}
+    assert (2, 14) in runs and (0, 12) in runs  # a longer run starts over what was cut short
+
+
+def test_held_out_log_is_written_and_every_fit_runs_once(spark, panel, tmp_path):
+    import sys
+    from pyspark import cloudpickle
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    calls = spark.sparkContext.accumulator(0)
+
+    def counted(x_train, y_train, x_test, hp, seed):
+        calls.add(1)
+        return np.full(len(x_test), y_train[-1]), 2.5
+
+    learner = lambda lab, cfgs, w, ratio, todo=None, max_windows=None: forecast.walk_forward_fit(
+        lab, ["Price"], cfgs, counted, w, ratio, max_windows=max_windows, todo=todo)
+    config = forecast.Config("net", 4, (("lookback", 5),))
+    best = spark.createDataFrame([(m, "net", i, config.hp_json) for m, i in (("Australia", 4), ("RGGI", 9))],
+                                 "market string, model string, config_index int, hyperparams_json string")
+    lab = jobs.labelled_panel(spark, panel, "2023-03-01", None)
+    got = {(r.market, r.model): r for r in evaluate.evaluate_best(
+        lab, best, [config, forecast.BASELINE_ONLY], 10, 0.1, learner).collect()}
+    fits = got["Australia", "net"].n_windows + sum(r.n_windows for r in got.values() if r.model == "naive_last_price")
+    assert calls.value == fits and got["Australia", "net"].train_loss_last_mean == 2.5
+    assert got["RGGI", "net"].skipped and "not in the list" in got["RGGI", "net"].reason and got["RGGI", "net"].MAPE is None
+    assert not got["RGGI", "naive_last_price"].skipped
+
+    folder, out = str(tmp_path / "best"), str(tmp_path / "out")
+    results.write_best_configs(metrics.config_scores(forecast.native_log(lab, GRID[:1], 10, 0.1)), folder)
+    jobs.evaluate_job(spark, panel, folder, out, GRID, 10, 0.1, start="2023-03-01")
+    first = logs.read_log_table(spark, f"{out}/test_log").count()
+    jobs.evaluate_job(spark, panel, folder, out, GRID, 10, 0.1, start="2023-03-01")
+    assert logs.read_log_table(spark, f"{out}/test_log").count() == first > 0

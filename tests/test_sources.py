@@ -1,5 +1,6 @@
 import json
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,8 +9,9 @@ from tidemark import session
 from tidemark.operators import metrics, ranking
 from tidemark.sources import logs, market_files, panels, results
 from tidemark.streaming import scores as streaming
-from tests.helpers import day
+from tests.helpers import day, plan
 
+KEYS = ["market", "model", "config_index"]
 LOG = ("market string, model string, config_index int, window_id bigint, hp_json string, "
        "start_date date, end_date date, y_true array<double>, y_pred array<double>, train_loss double")
 
@@ -116,6 +118,26 @@ def test_stream_refuses_another_layout(spark, tmp_path):
         streaming.stream_log_scores(spark, str(tmp_path / "in"), str(tmp_path / "work"))
 
 
+def test_many_layouts_and_foreign_files(spark, tmp_path):
+    """Any number of layouts in one pass over the cells; foreign files give no rows and are listed."""
+    names = logs.LOG_FILE_COLUMNS
+    cells = {"market": "m", "model_name": "X", "config_index": "1", "model_hyperparameters_dict": "{}",
+             "test_data_values_list": '"[1.0, NaN]"', "test_data_model_predictions_list": '"[2.0, 3.0]"', "end_date": "2024-01-05"}
+    for i in range(120):
+        head = [*names[i % len(names):], *names[:i % len(names)], f"extra{i}"]
+        write(tmp_path, f"{i}.csv", ",".join(head) + "\n" + ",".join({**cells, "window_id": str(i)}.get(c, "z") for c in head) + "\n")
+    write(tmp_path, "foreign.csv", "id,name,region,code,qty,rank\nEU,zz,3,7,EU,zz\n")
+    write(tmp_path, "other.csv", "market,x\nEU,1\n")
+    got = logs.read_logs(spark, str(tmp_path))
+    text = plan(got)
+    rows = got.collect()
+    assert sorted(r.window_id for r in rows) == list(range(120))
+    assert all((r.market, r.model, r.config_index, r.y_true, r.y_pred) == ("m", "x", 1, [1.0, None], [2.0, 3.0]) for r in rows)
+    assert text.count("FileScan csv") == 1 and text.count("FileScan text") == 1
+    bad = {os.path.basename(r.file): r.missing for r in logs.bad_log_files(spark, str(tmp_path)).collect()}
+    assert set(bad) == {"foreign.csv", "other.csv"} and "market" in bad["foreign.csv"]
+
+
 def test_single_quoted_log_cells(spark, tmp_path):
     head = ",".join(logs.LOG_FILE_COLUMNS)
     write(tmp_path, "x.csv", head + "\nt,m,m,NAIVE,-1,0,\"{'k': 1}\",2024-01-05 00:00:00,2024-01-05 00:00:00,"
@@ -176,16 +198,40 @@ def test_stream_equals_batch_and_scores_files_once(spark, tmp_path):
     rows = log(spark)
     logs.write_log_files(rows.filter("window_id < 3").repartition(4), source)
     first = streaming.stream_log_scores(spark, source, work, max_files=1)
-    want = metrics.forecast_metrics(metrics.log_pairs(rows.filter("window_id < 3")), streaming.KEYS)
+    want = metrics.forecast_metrics(metrics.log_pairs(rows.filter("window_id < 3")), KEYS)
     key = lambda df: sorted((r.market, r.model, r.config_index, round(r.MAPE, 12), round(r.R2, 12), r.n_samples)
                             for r in df.collect())
     assert key(first) == key(want)
     logs.write_log_files(rows.filter("window_id >= 3"), source)
     again = streaming.stream_log_scores(spark, source, work)
     again = streaming.stream_log_scores(spark, source, work)  # nothing new
-    assert key(again) == key(metrics.forecast_metrics(metrics.log_pairs(rows), streaming.KEYS))
+    assert key(again) == key(metrics.forecast_metrics(metrics.log_pairs(rows), KEYS))
+    scores = {r.config_index: r for r in again.collect()}
+    assert scores[0].n_windows == 6 and json.loads(scores[0].hyperparams_json)["lr"] == 0.0001
+
+
+def test_stream_counts_a_window_once(spark, tmp_path):
+    """A window that a later file logs again replaces the earlier one, as in the batch job."""
+    source, work = str(tmp_path / "in"), str(tmp_path / "work")
+    wrong = log(spark).withColumn("y_pred", F.transform("y_pred", lambda p: p * 9))
+    logs.write_log_files(wrong, source)
+    streaming.stream_log_scores(spark, source, work)
+    time.sleep(0.02)
+    logs.write_log_files(log(spark), source)
+    got = streaming.stream_log_scores(spark, source, work)
+    want = metrics.config_scores(metrics.dedupe_log(logs.read_logs(spark, source)))
+    names = ["market", "model", "config_index", "n_windows", "n_samples", "hyperparams_json"]
+    key = lambda df: sorted((*(r[c] for c in names), *(round(r[m], 10) for m in ("MAPE", "MAE", "RMSE", "R2")))
+                            for r in df.collect())
+    assert key(got) == key(want) == key(metrics.config_scores(log(spark).withColumn(
+        "hp_json", F.lit('{"a":"b, c","lr":"0.0001"}'))).withColumn("hyperparams_json", F.lit(want.first().hyperparams_json)))
 
 
 def test_shared_folder_comes_from_the_session(spark):
-    assert session.shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
+    given = spark.conf.get("spark.checkpoint.dir")
+    assert session.shared_folder(spark).startswith(given)
+    session.stored(spark.range(3), "x")
+    assert any(os.scandir(given))
+    session.clear_scratch(spark)
+    assert not os.path.exists(session.shared_folder(spark))
     assert session.fresh_path(spark, "x") != session.fresh_path(spark, "x")

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from tidemark.functions.values import as_column, is_tcn
+from tidemark.functions.values import as_column, finite, is_tcn
 from tidemark.schema import HP_ALIASES, HP_ALIASES_TCN
 
 
 def parse_list(text: Column | str) -> Column:
-    """List text to ``array<double>``; unreadable or missing text is an empty array."""
+    """List text to ``array<double>``; unreadable or missing text is an empty array, and an
+    element that is no finite number is NULL."""
     parsed = F.from_json(F.trim(as_column(text)), "array<double>")
-    return F.coalesce(parsed, F.array().cast("array<double>"))
+    return F.coalesce(F.transform(parsed, finite), F.array().cast("array<double>"))
 
 
 def parse_dict(text: Column | str) -> Column:

@@ -22,18 +22,19 @@ from tidemark.schema import (
 # The fit function and its helpers travel with the job; executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-MAX_GRID_ROWS = 100_000  # a grid is sent to every task
-
 
 @dataclass(frozen=True)
 class Config:
+    """A config of the grid; ``text``, if given, is how its parameters are spelt everywhere."""
+
     model: str
     config_index: int
     hp: tuple[tuple[str, object], ...] = ()
+    text: str | None = None
 
     @property
     def hp_json(self) -> str:
-        return json.dumps(dict(self.hp), sort_keys=True)
+        return self.text if self.text is not None else json.dumps(dict(self.hp), sort_keys=True)
 
 
 BASELINE_ONLY = Config(BASELINE, BASELINE_CONFIG)
@@ -73,8 +74,6 @@ def config_grid(spark: SparkSession, model: str, lists: dict[str, Sequence]) ->
     """All combinations of the value lists as ``(model, config_index, hp, hp_json)``: a range
     with columns computed from it, no join."""
     size = math.prod(len(v) for v in lists.values())
-    if size > MAX_GRID_ROWS:
-        raise ValueError(f"grid of {size} configs, {MAX_GRID_ROWS} allowed")
     hp, text = _config_columns(lists, F.col("config_index"))
     return spark.range(size, numPartitions=1).select(
         F.lit(model).alias("model"), F.col("id").cast("int").alias("config_index")).select(
@@ -104,18 +103,34 @@ def limit_configs(grid: DataFrame, k: int | None) -> DataFrame:
     return grid if k is None else grid.filter(F.col("config_index") < k)
 
 
-def _configs_column(configs: Sequence[Config]) -> Column:
-    if len(configs) > MAX_GRID_ROWS:
-        raise ValueError(f"grid of {len(configs)} configs, {MAX_GRID_ROWS} allowed")
-    return F.array(*[F.struct(F.lit(c.model).alias("model"),
-                              F.lit(c.config_index).alias("config_index"),
-                              F.lit(c.hp_json).alias("hp_json")) for c in configs])
+def grid_configs(grid: DataFrame, max_configs: int | None = None) -> list[Config]:
+    """A grid table as the configs that learners take: parameters typed, their text as it is.
+
+    The grid is what the caller asks to be fitted, config by config; its rows are few next to the
+    fits they stand for.
+    """
+    rows = limit_configs(grid, max_configs).select("model", "config_index", "hp_json").collect()
+    return sorted((Config(r.model, r.config_index, tuple(json.loads(r.hp_json).items()), r.hp_json)
+                   for r in rows), key=lambda c: (c.model, c.config_index))
+
+
+def config_table(spark: SparkSession, configs: Sequence[Config]) -> DataFrame:
+    """Configs as a table, numbered by their ``place`` in the list."""
+    return spark.createDataFrame([(i, c.model, c.config_index, c.hp_json) for i, c in enumerate(configs)],
+                                 "place int, model string, config_index int, hp_json string")
 
 
 def grid_cross(windows: DataFrame, configs: Sequence[Config]) -> DataFrame:
-    """Every window with every config.  The configs are constants of the generator, so this is
-    a map over the windows and not a join."""
-    return windows.select("*", F.inline(_configs_column(configs)))
+    """Every window with every config: each window is numbered through the places of the grid, and
+    the grid is looked up by place.  No join without a key, and no constant per config in the plan."""
+    if not configs:
+        return windows.select("*", F.lit(None).cast("string").alias("model"),
+                              F.lit(None).cast("int").alias("config_index"),
+                              F.lit(None).cast("string").alias("hp_json")).limit(0)
+    place = F.explode(F.sequence(F.lit(0), F.lit(len(configs) - 1))).alias("place")
+    grid = config_table(windows.sparkSession, configs)
+    return windows.select("*", place).join(grid, "place").select(
+        *windows.columns, "model", "config_index", "hp_json")
 
 
 def _log(rows: DataFrame, forecasts: Sequence[tuple[Config, Column]]) -> DataFrame:
@@ -124,13 +139,22 @@ def _log(rows: DataFrame, forecasts: Sequence[tuple[Config, Column]]) -> DataFra
         F.lit(c.model).alias("model"), F.lit(c.config_index).alias("config_index"),
         F.lit(c.hp_json).alias("hp_json"), y.alias("y_pred")) for c, y in forecasts])
     return rows.select("market", "window_id", "start_date", "end_date", "y_true",
-                       F.inline(cells), F.lit(None).cast("double").alias("train_loss")) \
+                       F.inline(cells), F.lit(None).cast("double").alias("train_loss"),
+                       F.lit(None).cast("string").alias("error"),
+                       F.lit(None).cast("long").alias("run_seq")) \
                .select(*LOG_SCHEMA.fieldNames())
 
 
 RUN_KEYS = ["market", "model", "config_index"]
 
 
+def window_counts(labelled: DataFrame, window_size: int, max_windows: int | None = None) -> DataFrame:
+    """Per market the windows that a complete run has."""
+    n = F.greatest(F.count(F.lit(1)) - (window_size - 1), F.lit(0))
+    return labelled.groupBy("market").agg(
+        (n if max_windows is None else F.least(n, F.lit(max_windows))).alias("n_expected"))
+
+
 def all_runs(labelled: DataFrame, configs: Sequence[Config]) -> DataFrame:
     """Every (market, model, config) of a grid run."""
     return grid_cross(labelled.select("market").distinct(), configs).select(*RUN_KEYS)
@@ -188,9 +212,6 @@ def walk_forward_naive(labelled: DataFrame, window_size: int, test_ratio: float,
 FitPredict = Callable[[np.ndarray, np.ndarray, np.ndarray, dict, int],
                       tuple[np.ndarray, float | None]]
 
-FIT_SCHEMA = T.StructType([*LOG_SCHEMA.fields, T.StructField("error", T.StringType())])
-
-
 def robust_scale(train: np.ndarray, test: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     q1, median, q3 = np.percentile(train, [25, 50, 75], axis=0)
     scale = np.where(q3 - q1 < 10 * np.finfo(float).eps, 1.0, q3 - q1)
@@ -200,7 +221,8 @@ def robust_scale(train: np.ndarray, test: np.ndarray) -> tuple[np.ndarray, np.nd
 def fit_window(x: np.ndarray, y: np.ndarray, split: int, hps: list[dict],
                fit_predict: FitPredict, seed: int):
     """Scale by the train rows only; per config fit, predict the test rows, undo the scaling of
-    the labels.  Yields (forecast, loss, error)."""
+    the labels.  Yields (forecast, loss, error); a forecast that is not one finite number per test
+    row is an error."""
     x_train, x_test = robust_scale(x[:split], x[split:])
     mean, sd = y[:split].mean(), y[:split].std()
     sd = sd if sd > 0 else 1.0
@@ -208,7 +230,10 @@ def fit_window(x: np.ndarray, y: np.ndarray, split: int, hps: list[dict],
     for hp in hps:
         try:
             y_hat, loss = fit_predict(x_train, y_train, x_test, hp, seed)
-            yield (np.asarray(y_hat, dtype=float) * sd + mean).tolist(), loss, None
+            forecast = np.asarray(y_hat, dtype=float) * sd + mean
+            if forecast.shape != (len(y) - split,) or not np.isfinite(forecast).all():
+                raise ValueError("the forecast is not one finite number per test row")
+            yield forecast.tolist(), loss, None
         except Exception as e:  # reported per fit, as data
             yield None, None, f"{type(e).__name__}: {e}"
 
@@ -231,8 +256,6 @@ def walk_forward_fit(labelled: DataFrame, features: Sequence[str], configs: Sequ
     config_index) names the runs to fit; all others cost nothing.
     """
     split = split_point(window_size, test_ratio)
-    if len(configs) > MAX_GRID_ROWS:
-        raise ValueError(f"grid of {len(configs)} configs, {MAX_GRID_ROWS} allowed")
     block_windows = max(block_windows, window_size)
     grid = [configs[i:i + block_configs] for i in range(0, len(configs), block_configs)]
     labels = [[(c.model, c.config_index, c.hp_json) for c in part] for part in grid]
@@ -241,6 +264,8 @@ def walk_forward_fit(labelled: DataFrame, features: Sequence[str], configs: Sequ
     tasks = tasks or 3 * labelled.sparkSession.sparkContext.defaultParallelism
 
     rows = number_rows(labelled.select("market", "d", "y", *features))
+    if max_windows is not None:
+        rows = rows.filter(F.col("r") < max_windows + window_size - 1)
     first = F.floor(F.greatest(F.col("r") - (window_size - 1), F.lit(0)) / block_windows)
     last = F.floor(F.col("r") / block_windows)
     units = rows.withColumn("block", F.explode(F.sequence(first, last))) \
@@ -270,10 +295,10 @@ def walk_forward_fit(labelled: DataFrame, features: Sequence[str], configs: Sequ
             fits = fit_window(x[a:b], y[a:b], split, hp, fit_predict, seed)
             for (model, index, hp_json), (y_hat, loss, error) in zip(mine, fits):
                 out.append((market, model, index, k, hp_json, d[a + split], d[b - 1], truth,
-                            y_hat, loss, error))
-        return pd.DataFrame(out, columns=FIT_SCHEMA.fieldNames())
+                            y_hat, loss, error, None))
+        return pd.DataFrame(out, columns=LOG_SCHEMA.fieldNames()).astype({"run_seq": "Int64"})
 
-    return units.groupBy("market", "block", "part").applyInPandas(run, FIT_SCHEMA)
+    return units.groupBy("market", "block", "part").applyInPandas(run, LOG_SCHEMA)
 
 
 def failed_fits(log: DataFrame) -> DataFrame:

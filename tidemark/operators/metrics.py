@@ -15,9 +15,12 @@ from tidemark.schema import ERROR_LIMIT, MAPE_FLOOR, REPORT_FLOOR
 def score_columns(t: Column, p: Column) -> dict[str, Column]:
     """The scoring metrics as aggregate expressions over truth and prediction.
 
-    R2 of a constant truth is 1 for a perfect forecast and 0 otherwise; below two rows it is
-    NULL.  The normaliser of RMSE is the signed mean of the truth.
+    Only pairs of two finite numbers count, in every metric.  R2 of a constant truth is 1 for a
+    perfect forecast and 0 otherwise; below two rows it is NULL.  The normaliser of RMSE is the
+    signed mean of the truth.
     """
+    ok = finite(t).isNotNull() & finite(p).isNotNull()
+    t, p = F.when(ok, t), F.when(ok, p)
     e = p - t
     n, mse, spread = F.count(e), F.avg(e * e), F.var_pop(t)
     return {
@@ -39,14 +42,17 @@ def forecast_metrics(df: DataFrame, keys: Sequence[str], truth: str = "y_true",
     return df.groupBy(*keys).agg(*[c.alias(n) for n, c in cols.items()])
 
 
-def dedupe_log(log: DataFrame, seq: str = "end_date") -> DataFrame:
-    """One row per (market, model, config, window): a re-run must not count twice.
+def dedupe_log(log: DataFrame, seq: str = "run_seq") -> DataFrame:
+    """One row per (market, model, config, window): of re-runs the one of the highest ``seq``.
 
-    The keys are nearly unique and the lists make Spark aggregate by sorting, so the key that
-    tells most rows apart, a number, comes first in the sort.
+    Rows of one ``seq`` are told apart by what they hold, so the result does not depend on how the
+    log is laid out.  The keys are nearly unique and the lists make Spark aggregate by sorting, so
+    the key that tells most rows apart, a number, comes first in the sort.
     """
     keys = ["window_id", "config_index", "model", "market"]
-    return dedupe_last(log, keys, seq, [c for c in log.columns if c not in (*keys, seq)])
+    values = [c for c in log.columns if c not in (*keys, seq)]
+    content = [c for c in ("y_pred", "y_true", "hp_json", "error", "end_date") if c in values]
+    return dedupe_last(log, keys, [seq, *content], values)
 
 
 def log_pairs(log: DataFrame, *carry: str) -> DataFrame:
@@ -68,24 +74,105 @@ def uneven_cells(log: DataFrame) -> DataFrame:
               .agg(F.count(F.lit(1)).alias("n_uneven"))
 
 
-def config_scores(log: DataFrame) -> DataFrame:
-    """One score row per (market, model, config).
+PARTIAL = "n bigint, mean double, m2 double, e2 double, ae double, ape double, low double, high double"
+
 
-    The number of windows is exact without a second shuffle, because windows are unique in a
-    deduplicated log: count the first forecast of each, or the one row an empty list leaves.
+def window_partials(log: DataFrame) -> DataFrame:
+    """One narrow row per log row: what its forecasts add to the scores of their config.
+
+    Sums over the lists of a row, so a stream can write them without any state.  The spread of the
+    truth is kept as mean and sum of squared deviations, which merge without cancellation.
+    """
+    pairs = F.filter(F.arrays_zip(F.col("y_true").alias("t"), F.col("y_pred").alias("p")),
+                     lambda x: finite(x["t"]).isNotNull() & finite(x["p"]).isNotNull())
+    none = F.lit(None).cast("double")
+    zero = F.struct(F.lit(0).cast("bigint").alias("n"), *[F.lit(0.0).alias(c) for c in ("mean", "m2", "e2", "ae", "ape")],
+                    none.alias("low"), none.alias("high"))
+
+    def add(a: Column, x: Column) -> Column:
+        t, e, n = x["t"], x["p"] - x["t"], a["n"] + 1
+        mean = a["mean"] + (t - a["mean"]) / n
+        return F.struct(
+            n.alias("n"), mean.alias("mean"), (a["m2"] + (t - a["mean"]) * (t - mean)).alias("m2"),
+            (a["e2"] + e * e).alias("e2"), (a["ae"] + F.abs(e)).alias("ae"),
+            (a["ape"] + F.abs(e) / F.greatest(F.abs(t), F.lit(MAPE_FLOOR))).alias("ape"),
+            F.least(a["low"], t).alias("low"), F.greatest(a["high"], t).alias("high"))
+
+    fields = "struct<" + PARTIAL.replace(", ", ",").replace(" ", ":") + ">"
+    return log.select("market", "model", "config_index", "window_id", "hp_json", "run_seq",
+                      _error(log).alias("error"), F.aggregate(pairs, zero, add).cast(fields)
+                      .alias("part")).select("*", "part.*").drop("part")
+
+
+def merged_scores(partials: DataFrame) -> DataFrame:
+    """The scores of ``config_scores`` from partials; a window that is there twice counts by its
+    highest ``run_seq``.  A config has at most as many windows as its market has days."""
+    keys = ["market", "model", "config_index"]
+    values = [c for c in partials.columns if c not in (*keys, "window_id", "run_seq")]
+    rows = dedupe_last(partials, ["window_id", *reversed(keys)], ["run_seq", *values], values)
+    every = Window.partitionBy(*keys)
+    middle = F.try_divide(F.sum(F.col("n") * F.col("mean")).over(every), F.sum("n").over(every))
+    rows = rows.withColumn("shift", F.when(F.col("n") > 0, F.col("mean") - middle))
+    n = F.sum("n")
+    mse = F.try_divide(F.sum("e2"), n)
+    price = F.try_divide(F.sum(F.col("n") * F.col("mean")), n)
+    spread = F.when(F.min("low") == F.max("high"), 0.0).otherwise(
+        F.try_divide(F.sum(F.col("m2") + F.coalesce(F.col("n") * F.col("shift") * F.col("shift"), F.lit(0.0))), n))
+    out = rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_windows"), F.count("error").alias("n_failed"),
+        F.try_divide(F.sum("ape"), n).alias("MAPE"),
+        F.try_divide(F.sqrt(mse), price).alias("RMSE_over_mean_price"),
+        F.try_divide(F.sum("ae"), n).alias("MAE"),
+        F.when(n < 2, None).when(spread == 0, F.when(mse == 0, 1.0).otherwise(0.0))
+        .otherwise(1 - F.try_divide(mse, spread)).alias("R2"),
+        F.sqrt(mse).alias("RMSE"), price.alias("mean_price"), n.alias("n_samples"),
+        F.min_by("hp_json", "window_id").alias("hyperparams_json"))
+    return out.filter((F.col("n_samples") > 0) & (F.col("n_failed") == 0)).drop("n_failed")
+
+
+def _error(log: DataFrame) -> Column:
+    return F.col("error") if "error" in log.columns else F.lit(None).cast("string")
+
+
+def config_scores(log: DataFrame, with_loss: bool = False) -> DataFrame:
+    """One score row per (market, model, config) whose windows all went well.
+
+    A config with a failed window has no score, since what is left would be scored on easier days
+    than its rivals; ``unscored_runs`` reports it.  The number of windows is exact without a second
+    shuffle, because windows are unique in a deduplicated log: count the first forecast of each, or
+    the one row an empty list leaves.  ``with_loss`` adds ``train_loss_last_mean`` in the same pass.
     """
     keys = ["market", "model", "config_index"]
     both = F.arrays_zip(F.col("y_true").alias("t"), F.col("y_pred").alias("p"))
-    pairs = log.select(*keys, "window_id", "hp_json",
+    loss = [F.col("train_loss").alias("loss")] if with_loss else []
+    pairs = log.select(*keys, "window_id", "hp_json", _error(log).alias("error"), *loss,
                        F.posexplode_outer(both).alias("i", "pair"))
-    t, p = F.col("pair.t"), F.col("pair.p")
-    usable = F.when(t.isNotNull() & p.isNotNull(), t)
-    metrics = score_columns(usable, p)
+    first = F.coalesce(F.col("i"), F.lit(0)) == 0
+    metrics = score_columns(F.col("pair.t"), F.col("pair.p"))
+    if with_loss:
+        metrics["train_loss_last_mean"] = F.avg(F.when(first, finite("loss")))
     out = pairs.groupBy(*keys).agg(
-        F.count_if(F.coalesce(F.col("i"), F.lit(0)) == 0).alias("n_windows"),
+        F.count_if(first).alias("n_windows"), F.count("error").alias("n_failed"),
         *[c.alias(n) for n, c in metrics.items()],
         F.min_by("hp_json", "window_id").alias("hyperparams_json"))
-    return out.filter(F.col("n_samples") > 0)
+    return out.filter((F.col("n_samples") > 0) & (F.col("n_failed") == 0)).drop("n_failed")
+
+
+def run_states(log: DataFrame) -> DataFrame:
+    """Per (market, model, config): its windows, the failed ones, and the forecasts it made."""
+    usable = F.exists("y_pred", lambda p: finite(p).isNotNull())
+    return log.groupBy("market", "model", "config_index").agg(
+        F.count_distinct("window_id").alias("n_windows"), F.count(_error(log)).alias("n_failed"),
+        F.count_if(usable).alias("n_forecast"), F.min(_error(log)).alias("first_error"))
+
+
+def unscored_runs(log: DataFrame) -> DataFrame:
+    """The runs that ``config_scores`` leaves out of a deduplicated log, with the reason."""
+    reason = F.when(F.col("n_failed") > 0, F.concat(
+        "n_failed", F.lit(" of "), "n_windows", F.lit(" windows failed: "), "first_error")) \
+        .when(F.col("n_forecast") == 0, F.lit("no forecast"))
+    return run_states(log).withColumn("reason", reason).filter("reason IS NOT NULL") \
+        .select("market", "model", "config_index", "n_windows", "n_failed", "reason")
 
 
 def log_windows(log: DataFrame) -> DataFrame:

@@ -13,11 +13,14 @@ from tidemark.operators.clean import dedupe_last
 
 def aligned_trace(log: DataFrame, keys: Sequence[str] = ("market", "model")) -> DataFrame:
     """First forecast of each window at its target date (next weekday after the feature date);
-    of several windows with one target date the newest stays."""
+    of several windows with one target date the newest stays.  Where a log holds several configs of
+    a pair, the one of the highest index decides between equal windows; put ``config_index`` into
+    ``keys`` for a trace of each."""
+    seq = ["window_id", *(c for c in ("config_index",) if c in log.columns and c not in keys)]
     rows = log.filter(F.col("end_date").isNotNull()).select(
-        *keys, "window_id", target_date("end_date").alias("target_date"),
+        *keys, *seq, target_date("end_date").alias("target_date"),
         list_first("y_true").alias("y_true"), list_first("y_pred").alias("y_pred"))
-    return dedupe_last(rows, [*keys, "target_date"], "window_id", ["y_true", "y_pred"])
+    return dedupe_last(rows, [*keys, "target_date"], [*seq, "y_pred", "y_true"], ["y_true", "y_pred"])
 
 
 def align_models(trace: DataFrame, models: Sequence[str], how: str = "inner",

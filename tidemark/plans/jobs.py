@@ -14,13 +14,13 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.operators.calendar import coverage_stats
 from tidemark.operators.clean import drop_baseline
 from tidemark.operators.forecast import Config, native_log
-from tidemark.operators.metrics import config_scores, dedupe_log
+from tidemark.operators.metrics import config_scores, dedupe_log, unscored_runs
 from tidemark.operators.ranking import best_by_market_model, best_by_model, ranking_order
 from tidemark.operators.reports import (
     attach_hp, cfg_market, cfg_overall, configs_across_markets, error_histogram, hp_sensitivity,
     rank_curve_pooled, ranked_configs)
 from tidemark.operators.windows import next_price_label
-from tidemark.plans.evaluate import evaluate_best
+from tidemark.plans.evaluate import best_config_join, held_out_log, held_out_metrics
 from tidemark.plans.panel import build_panel
 from tidemark.plans.tune import Learner, grid_log, tuning_scores
 from tidemark.schema import (
@@ -63,25 +63,36 @@ def _stored_log(spark: SparkSession, path: str) -> DataFrame | None:
 def tune_job(spark: SparkSession, panel: str, log: str, out: str, configs: Sequence[Config],
              window_size: int, test_ratio: float, start: str | None = None,
              end: str | None = None, learner: Learner = native_log,
-             features: Sequence[str] = PANEL_FEATURES) -> None:
-    """Append the missing runs to the log, then score the whole log and write metrics and best
-    configs."""
+             features: Sequence[str] = PANEL_FEATURES, max_configs: int | None = None,
+             max_windows: int | None = None) -> None:
+    """Append the runs that are missing, failed or cut short to the log, then score the whole log
+    and write metrics, best configs and the runs that have no score."""
     done = _stored_log(spark, log)
     labelled = labelled_panel(spark, panel, start, end, features)
-    append_log(grid_log(labelled, configs, window_size, test_ratio, done, learner), log)
-    scores = tuning_scores(dedupe_log(read_log_table(spark, log)), window_size, test_ratio)
+    append_log(grid_log(labelled, configs, window_size, test_ratio, done and dedupe_log(done), learner,
+                        max_configs, max_windows), log)
+    runs = dedupe_log(read_log_table(spark, log))
+    scores = tuning_scores(runs, window_size, test_ratio)
     write_metrics(scores, f"{out}/hparam_metrics")
+    left = unscored_runs(runs)
+    write_metrics(left, f"{out}/unscored_runs", left.columns)
     write_best_configs(best_by_market_model(scores), f"{out}/best_configs")
 
 
 def evaluate_job(spark: SparkSession, panel: str, best: str, out: str, configs: Sequence[Config],
                  window_size: int, test_ratio: float, start: str | None = None,
                  end: str | None = None, learner: Learner = native_log,
-                 features: Sequence[str] = PANEL_FEATURES) -> None:
-    """Run the stored best configs on a later slice and write their metrics."""
+                 features: Sequence[str] = PANEL_FEATURES, max_windows: int | None = None) -> None:
+    """Run the stored best configs on a later slice; write their log, which is what a later call
+    resumes and the trace reports read, and then their metrics."""
     chosen = read_best_configs(spark, best).drop("hyperparams")
     labelled = labelled_panel(spark, panel, start, end, features)
-    scores = evaluate_best(labelled, chosen, configs, window_size, test_ratio, learner)
+    log = f"{out}/test_log"
+    done = _stored_log(spark, log)
+    append_log(held_out_log(labelled, chosen, configs, window_size, test_ratio, learner,
+                            done and dedupe_log(done), max_windows), log)
+    scores = held_out_metrics(dedupe_log(read_log_table(spark, log)), window_size, test_ratio,
+                              best_config_join(chosen))
     write_metrics(scores, f"{out}/test_metrics", FRONT_TEST)
 
 

@@ -6,8 +6,8 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.operators.forecast import Config, all_runs, native_log
-from tidemark.operators.metrics import config_scores, dedupe_log, mean_train_loss
+from tidemark.operators.forecast import Config, all_runs, native_log, window_counts
+from tidemark.operators.metrics import config_scores, dedupe_log
 from tidemark.operators.ranking import best_by_market_model
 from tidemark.sources.logs import resume_anti
 
@@ -16,26 +16,35 @@ Learner = Callable[..., DataFrame]
 
 
 def tuning_scores(log: DataFrame, window_size: int, test_ratio: float) -> DataFrame:
-    """Scores with the run columns.  The log of one run has each window once."""
-    loss = mean_train_loss(log)
-    return config_scores(log).join(loss, ["market", "model", "config_index"], "left").withColumns({
+    """Scores with the run columns, in one pass over a log that has each window once."""
+    return config_scores(log, with_loss=True).withColumns({
         "window_size": F.lit(window_size), "test_ratio": F.lit(test_ratio)})
 
 
 def grid_log(labelled: DataFrame, configs: Sequence[Config], window_size: int, test_ratio: float,
-             done: DataFrame | None = None, learner: Learner = native_log) -> DataFrame:
-    """Walk-forward log of the grid.  Runs that ``done`` (an earlier log) holds are left out."""
-    todo = None if done is None else resume_anti(all_runs(labelled, configs), done)
-    return learner(labelled, configs, window_size, test_ratio, todo=todo)
+             done: DataFrame | None = None, learner: Learner = native_log,
+             max_configs: int | None = None, max_windows: int | None = None) -> DataFrame:
+    """Walk-forward log of the grid.
+
+    Runs that ``done`` (an earlier log, each window once) holds in full and without failures are
+    left out.  The limits keep the first configs of each model and the first windows of each market.
+    """
+    if max_configs is not None:
+        configs = [c for c in configs if c.config_index < max_configs]
+    more = {} if max_windows is None else {"max_windows": max_windows}
+    todo = None if done is None else resume_anti(
+        all_runs(labelled, configs), done, expected=window_counts(labelled, window_size, max_windows))
+    return learner(labelled, configs, window_size, test_ratio, todo=todo, **more)
 
 
 def tune(labelled: DataFrame, configs: Sequence[Config], window_size: int, test_ratio: float,
-         done: DataFrame | None = None, learner: Learner = native_log) -> DataFrame:
+         done: DataFrame | None = None, learner: Learner = native_log,
+         max_configs: int | None = None, max_windows: int | None = None) -> DataFrame:
     """Best config per (market, model) of what is still to run."""
-    log = grid_log(labelled, configs, window_size, test_ratio, done, learner)
+    log = grid_log(labelled, configs, window_size, test_ratio, done, learner, max_configs, max_windows)
     return best_by_market_model(config_scores(log))
 
 
-def rescore(log: DataFrame, seq: str = "end_date") -> DataFrame:
+def rescore(log: DataFrame, seq: str = "run_seq") -> DataFrame:
     """Best config per (market, model) from stored logs, which re-runs may have written to twice."""
     return best_by_market_model(config_scores(dedupe_log(log, seq)))

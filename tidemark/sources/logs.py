@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tidemark.functions.parsing import hp_json, parse_dict, parse_list
 from tidemark.functions.values import date_coerce, model_name_case
+from tidemark.operators.metrics import run_states
 from tidemark.schema import LOG_FILE_COLUMNS, LOG_REQUIRED, LOG_SCHEMA
 
-MAX_LAYOUTS = 100
+def append_log(log: DataFrame, path: str, run_seq: int | None = None) -> None:
+    """One append per run, one folder per (model, market); never one write per window.
 
-
-def append_log(log: DataFrame, path: str) -> None:
-    """One append per run, one folder per (model, market); never one write per window."""
-    log.select(*[c for c in LOG_SCHEMA.fieldNames() if c in log.columns]) \
+    Every row gets the sequence number of the run, by default the time, which decides between
+    windows that were logged twice.
+    """
+    seq = time.time_ns() if run_seq is None else run_seq
+    log.withColumn("run_seq", F.lit(seq).cast("long")) \
+       .select(*[c for c in LOG_SCHEMA.fieldNames() if c in (*log.columns, "run_seq")]) \
        .write.mode("append").partitionBy("model", "market").parquet(path)
 
 
@@ -55,61 +60,57 @@ def from_log_file_columns(rows: DataFrame) -> DataFrame:
         date_coerce(F.substring("end_date", 1, 10)).alias("end_date"),
         parse_list("test_data_values_list").alias("y_true"),
         parse_list("test_data_model_predictions_list").alias("y_pred"),
-        F.lit(None).cast("double").alias("train_loss"))
+        F.lit(None).cast("double").alias("train_loss"), F.lit(None).cast("string").alias("error"),
+        "run_seq")
 
 
 def log_file_headers(spark: SparkSession, path: str) -> DataFrame:
-    """Per file its header line.  Only the block that starts a file can hold it."""
+    """Per file the names in its first line, which only the block that starts the file can hold,
+    and the required names it lacks.  A file without any known name lacks all of them."""
     lines = spark.read.option("recursiveFileLookup", True).text(path).select(
         "value", F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"))
     names = F.transform(F.split("value", ","), lambda c: F.trim(F.translate(c, '"\r\ufeff', "")))
     known = F.size(F.array_intersect(names, F.array(*[F.lit(c) for c in LOG_FILE_COLUMNS])))
-    return lines.filter((F.col("block") == 0) & F.col("value").contains("market")) \
-                .select("file", names.alias("columns")).filter(known >= 2)
-
-
-def _missing() -> Column:
-    return F.array_except(F.array(*[F.lit(c) for c in LOG_REQUIRED]), "columns")
+    head = F.when((F.col("block") == 0) & F.col("value").contains("market") & (known >= 2), names)
+    required = F.array(*[F.lit(c) for c in LOG_REQUIRED])
+    found = lines.groupBy("file").agg(F.min(head).alias("columns"))
+    return found.select("file", "columns", F.array_except(
+        required, F.coalesce("columns", F.array().cast("array<string>"))).alias("missing"))
 
 
 def bad_log_files(spark: SparkSession, path: str) -> DataFrame:
-    """Files that lack a required column, with the columns they lack."""
-    return log_file_headers(spark, path).withColumn("missing", _missing()) \
-        .filter(F.size("missing") > 0).select("file", F.concat_ws(",", "missing").alias("missing"))
+    """Every file that ``read_logs`` passes over, with the columns it lacks."""
+    return log_file_headers(spark, path).filter(F.size("missing") > 0) \
+        .select("file", F.concat_ws(",", "missing").alias("missing"))
 
 
 def read_logs(spark: SparkSession, path: str) -> DataFrame:
     """Every log file under a folder, at any depth, its columns found by name.
 
-    The distinct header lines are few (``MAX_LAYOUTS``), and nearly always one: each is read
-    with its own schema.  Files without the required columns and unreadable rows are skipped
-    (``bad_log_files`` lists the former).
+    One pass finds the header of each file, one pass reads the cells of all files by position, and
+    each row looks up by its file where the columns are: the cost does not depend on how many
+    layouts there are.  Only files with all required columns take part (``bad_log_files`` lists the
+    others).  The time of the file is the ``run_seq`` of its rows.
     """
-    heads = log_file_headers(spark, path).withColumn("ok", F.size(_missing()) == 0)
-    found = heads.select("ok", F.concat_ws(",", "columns").alias("layout")).distinct() \
-                 .limit(MAX_LAYOUTS + 1).collect()
-    layouts = [r.layout for r in found if r.ok]
-    if not layouts or len(found) > MAX_LAYOUTS:
-        raise ValueError(f"{path}: {len(found)} header layouts, {len(layouts)} with all columns")
-    out = None
-    for layout in layouts:
-        names = layout.split(",")
-        schema = T.StructType([T.StructField(c, T.StringType()) for c in names])
-        rows = spark.read.schema(schema).option("recursiveFileLookup", True) \
-            .option("header", True).option("quote", '"').option("escape", '"') \
-            .option("mode", "PERMISSIVE").option("ignoreCorruptFiles", True).csv(path)
-        if len(found) > 1:
-            mine = heads.filter(F.concat_ws(",", "columns") == layout).select("file")
-            rows = rows.withColumn("file", F.col("_metadata.file_path")) \
-                       .join(mine, "file", "left_semi")
-        for c in LOG_FILE_COLUMNS:
-            if c not in names:
-                rows = rows.withColumn(c, F.lit(None).cast("string"))
-        part = from_log_file_columns(rows)
-        out = part if out is None else out.unionByName(part)
-    return out.filter(F.col("market").isNotNull() & F.col("model").isNotNull()
-                      & F.col("config_index").isNotNull() & F.col("window_id").isNotNull())
+    heads = log_file_headers(spark, path).filter(F.size("missing") == 0)
+    width = heads.agg(F.max(F.size("columns"))).first()[0]
+    if width is None:
+        raise ValueError(f"{path}: no file with all columns")
+    cells = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(width)])
+    rows = spark.read.schema(cells).option("recursiveFileLookup", True).option("header", False) \
+        .option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE").csv(path) \
+        .select(F.array(*cells.fieldNames()).alias("cells"), F.col("_metadata.file_path").alias("file"),
+                F.unix_micros("_metadata.file_modification_time").alias("run_seq"))
+    place = F.transform(F.array(*[F.lit(c) for c in LOG_FILE_COLUMNS]),
+                        lambda c: F.array_position("columns", c))
+    rows = rows.join(heads.select("file", place.alias("place")), "file")
+    named = rows.select("run_seq", *[
+        F.when(F.col("place")[i] > 0, F.try_element_at("cells", F.col("place")[i].cast("int"))).alias(c)
+        for i, c in enumerate(LOG_FILE_COLUMNS)])
+    return from_log_file_columns(named).filter(
+        F.col("market").isNotNull() & F.col("model").isNotNull()
+        & F.col("config_index").isNotNull() & F.col("window_id").isNotNull())
 
 
 def distinct_done(log: DataFrame, keys: Sequence[str] = ("market", "model", "config_index")
@@ -118,7 +119,18 @@ def distinct_done(log: DataFrame, keys: Sequence[str] = ("market", "model", "con
 
 
 def resume_anti(todo: DataFrame, log: DataFrame,
-                keys: Sequence[str] = ("market", "model", "config_index")) -> DataFrame:
-    """What is still to run: configs (or pairs) with no row in the log.  The done keys are
-    reduced to distinct ones first, so a config with many windows joins as one row."""
-    return todo.join(log.select(*keys).distinct(), list(keys), "left_anti")
+                keys: Sequence[str] = ("market", "model", "config_index"),
+                expected: DataFrame | None = None) -> DataFrame:
+    """What is still to run: configs (or pairs) that the log does not hold in full.
+
+    A run with a failed window is not done, nor is one with fewer windows than ``expected``
+    (``market``, ``n_expected``) says.  Give a log in which each window counts once.  The done keys
+    are reduced to distinct ones first, so a config with many windows joins as one row.
+    """
+    if expected is not None:
+        whole = run_states(log).join(expected, "market").filter("n_windows >= n_expected")
+        return todo.join(whole.filter("n_failed = 0").select(*keys).distinct(), list(keys), "left_anti")
+    done = log.select(*keys).distinct()
+    if "error" in log.columns:
+        done = log.groupBy(*keys).agg(F.count("error").alias("n_failed")).filter("n_failed = 0")
+    return todo.join(done.select(*keys), list(keys), "left_anti")

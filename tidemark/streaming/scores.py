@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from tidemark.operators.metrics import forecast_metrics, log_pairs
+from tidemark.operators.metrics import merged_scores, window_partials
 from tidemark.schema import LOG_FILE_COLUMNS, LOG_SCHEMA
 from tidemark.sources.logs import from_log_file_columns
 
-KEYS = ["market", "model", "config_index"]
-
 
 def log_stream(spark: SparkSession, path: str, format: str = "csv",
                max_files: int | None = None) -> DataFrame:
@@ -24,29 +22,31 @@ def log_stream(spark: SparkSession, path: str, format: str = "csv",
         return reader.schema(LOG_SCHEMA).format(format).load(path)
     text = T.StructType([T.StructField(c, T.StringType()) for c in LOG_FILE_COLUMNS])
     rows = reader.schema(text).option("header", True).option("escape", '"') \
-                 .option("enforceSchema", False).csv(path)
+                 .option("enforceSchema", False).csv(path) \
+                 .withColumn("run_seq", F.unix_micros("_metadata.file_modification_time"))
     return from_log_file_columns(rows).filter("config_index IS NOT NULL")
 
 
 def ingest_logs(log: DataFrame, table: str, checkpoint: str) -> None:
-    """Turn the log files that are new since the last call into forecast pairs.
+    """Add what the log files that are new since the last call contribute, as one row per window.
 
     Each file is parsed once: the checkpoint remembers the files, the file sink commits a batch
     whole or not at all, so a lost executor or a restart neither loses nor repeats a window.
     The query keeps no state, however many configs there are.
     """
-    query = log_pairs(log).writeStream.format("parquet").outputMode("append") \
+    query = window_partials(log).writeStream.format("parquet").outputMode("append") \
         .option("path", table).option("checkpointLocation", checkpoint) \
         .trigger(availableNow=True).start()
     query.awaitTermination()
 
 
 def current_scores(spark: SparkSession, table: str) -> DataFrame:
-    """Scores of everything ingested so far: mergeable aggregates over five narrow columns."""
-    return forecast_metrics(spark.read.parquet(table), KEYS)
+    """Scores of everything ingested so far, merged from the partial sums of the windows; a window
+    that arrived twice counts by its newer file."""
+    return merged_scores(spark.read.parquet(table))
 
 
 def stream_log_scores(spark: SparkSession, path: str, work: str, format: str = "csv",
                       max_files: int | None = None) -> DataFrame:
-    ingest_logs(log_stream(spark, path, format, max_files), f"{work}/pairs", f"{work}/checkpoint")
-    return current_scores(spark, f"{work}/pairs")
+    ingest_logs(log_stream(spark, path, format, max_files), f"{work}/windows", f"{work}/checkpoint")
+    return current_scores(spark, f"{work}/windows")
