@@ -7,11 +7,16 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import forecast, metrics, windows
 from tidemark.plans import evaluate, jobs, tune as tuning
-from tidemark.sources import logs, results
+from tidemark.schema import COMMODITIES
+from tidemark.sources import logs, panels, results
 from tests.helpers import day
 from tests.test_forecast import GRID, labelled
 
 
+MARKETS = [("Australia", "E1", "F1"), ("RGGI", "E2", "F2")]
+RAW = {c: f"{c}=" for c in COMMODITIES}
+
+
 @pytest.fixture(scope="module")
 def panel(spark, tmp_path_factory):
     """Two markets with quotes, as a written panel."""
@@ -22,10 +27,10 @@ def panel(spark, tmp_path_factory):
     walk = {m: 30 + rng.normal(0, 1, len(days)).cumsum() * 0.3 for m in ("Australia", "RGGI")}
     series = spark.createDataFrame([(m, d, float(walk[m][i])) for m in walk for i, d in enumerate(days)
                                     if rng.random() < 0.8], "market string, d date, price double")
-    tickers = {"^AXJO", "AUDUSD=X", "^GSPC", "DX-Y.NYB", *jobs.COMMODITY_TICKERS.values()}
+    tickers = {"E1", "E2", "F1", "F2", *RAW.values()}
     quotes = spark.createDataFrame([(t, d, float(rng.uniform(1, 2))) for t in sorted(tickers) for d in days
                                     if rng.random() < 0.9], "ticker string, d date, price double")
-    stats = jobs.panel_job(series, quotes, out, end="2023-07-03").collect()
+    stats = jobs.panel_job(series, quotes, out, jobs.market_table(spark, MARKETS), RAW, end="2023-07-03").collect()
     assert {r.market for r in stats} == {"Australia", "RGGI"}
     assert all(r.total_bd == r.observed_bd + r.filled_bd for r in stats)
     return out
@@ -53,6 +58,34 @@ def test_tune_evaluate_score_report(spark, panel, tmp_path):
     jobs.report_job(results.read_scores(spark, f"{scored}/config_scores"), str(tmp_path / "report"))
     ranked = spark.read.option("header", True).csv(str(tmp_path / "report" / "configs_ranked_all"))
     assert ranked.count() == 3
+    names = {"rank_in_market", "model_summary", "rank_curve_by_market", "rank_curve_axis", "mape_by_market"}
+    assert names <= {p.name for p in (tmp_path / "report").iterdir()}
+    assert {"bad_log_files", "unscored_runs", "uneven_cells"} <= {p.name for p in (tmp_path / "scored").iterdir()}
+    jobs.trace_job(spark, f"{out}/test_log", str(tmp_path / "traces"), ["rolling_mean", "rolling_ols"])
+    side = spark.read.option("header", True).csv(str(tmp_path / "traces" / "aligned_models"))
+    assert side.columns[:3] == ["market", "target_date", "y_true"] and side.count() > 20
+    assert spark.read.option("header", True).csv(str(tmp_path / "traces" / "gold_metrics")).count() == 6
+
+
+def test_raw_files_to_panel(spark, tmp_path):
+    """Two files with their labels in different places; a market without a file, a ticker without quotes."""
+    days = [d for d in (day("2022-06-01") + dt.timedelta(i) for i in range(200)) if d.weekday() < 5]
+    (tmp_path / "raw").mkdir()
+    (tmp_path / "raw" / "Australia.csv").write_text(',"Some title",,\nDate,"Rate, EUR",Secondary Market, \n' + "".join(
+        f"{d},0.5,{30 + i % 7}, \n" for i, d in enumerate(days)))
+    (tmp_path / "raw" / "RGGI.csv").write_text(',"Other title",,,\nDate,"Rate, EUR",Primary,Secondary Market, \n' + "".join(
+        f"{d},0.5,1.25,{10 + i % 5}, \n" for i, d in enumerate(days)))
+    quotes = spark.createDataFrame([(t, d, 1.0 + i % 3, 0) for t in ("E1", "F1", "F2", *list(RAW.values())[1:]) for i, d in enumerate(days)],
+                                   "ticker string, d date, adj_close double, seq int")
+    out = str(tmp_path / "out")
+    config = jobs.market_table(spark, [*MARKETS, ("Nowhere", "E1", "F1")])
+    jobs.raw_panel_job(spark, str(tmp_path / "raw"), quotes, out, config, RAW, end="2022-12-01")
+    got = {(r.market, r.d): r.Price for r in panels.read_panel(spark, f"{out}/panel").collect()}
+    assert all(got[m, d] == base + i % step for m, base, step in (("Australia", 30, 7), ("RGGI", 10, 5))
+               for i, d in enumerate(days) if day("2022-09-01") <= d <= day("2022-12-01"))
+    left = {(r.what, r.market, r.ticker) for r in spark.read.option("header", True).csv(f"{out}/missing_inputs").collect()}
+    assert left == {("no price file", "Nowhere", None), ("no quotes", "RGGI", "E2"), ("no quotes", None, list(RAW.values())[0])}
+    assert spark.read.option("header", True).csv(f"{out}/coverage").count() == 2
 
 
 def counting(x_train, y_train, x_test, hp, seed):

@@ -106,26 +106,42 @@ def test_ewm_is_a_fold(spark, alpha):
     assert got == pytest.approx(want, rel=1e-13)
 
 
-def test_technicals_match_pandas(spark):
+def folded(xs, weight):
+    """The exponential average of a list, value by value; missing values at the start are passed over."""
+    out, state = [], None
+    for x in xs:
+        if x is not None:
+            state = x if state is None else state + weight * (x - state)
+        out.append(state)
+    return out
+
+
+def test_technicals_by_definition(spark):
     rng = np.random.default_rng(11)
-    xs = pd.Series(50 + rng.normal(0, 1, 700).cumsum())
-    xs[300:320] = xs[299]  # a flat stretch
-    got = indicators.technicals(prices(spark, xs, start="2010-01-01")).orderBy("d").toPandas()
-    delta = xs.diff()
-    gain = delta.clip(lower=0).ewm(alpha=1 / 14, adjust=False).mean()
-    loss = (-delta.clip(upper=0)).ewm(alpha=1 / 14, adjust=False).mean()
-    fast, slow = (xs.ewm(span=s, adjust=False).mean() for s in (12, 26))
-    adl = np.sign(delta).fillna(0).cumsum()
-    want = {
-        "SMA_5": xs.rolling(5, min_periods=1).mean(),
-        "PPO_12_26": (fast - slow) / slow * 100,
-        "RSI_14": 100 - 100 / (1 + gain / loss.replace(0, np.nan)),
-        "ROC_10": xs.pct_change(10) * 100,
-        "ATR_14": delta.abs().rolling(14, min_periods=1).mean(),
-        "CO_chaikin_3_10": adl.ewm(span=3, adjust=False).mean() - adl.ewm(span=10, adjust=False).mean()}
-    for name, values in want.items():
-        assert got[name].isna().tolist() == values.isna().tolist(), name
-        np.testing.assert_allclose(got[name].dropna(), values.dropna(), rtol=1e-9, atol=1e-9)
+    xs = (50 + rng.normal(0, 1, 700).cumsum()).tolist()
+    xs[300:320] = [xs[299]] * 20  # a flat stretch
+    got = indicators.technicals(prices(spark, xs, start="2010-01-01")).orderBy("d").collect()
+    steps = [None] + [b - a for a, b in zip(xs, xs[1:])]
+    up = folded([None if s is None else max(s, 0.0) for s in steps], 1 / 14)
+    down = folded([None if s is None else max(-s, 0.0) for s in steps], 1 / 14)
+    fast, slow = folded(xs, 2 / 13), folded(xs, 2 / 27)
+    line, level = [], 0
+    for s in steps:
+        level += 0 if s is None else (s > 0) - (s < 0)
+        line.append(float(level))
+    quick, lazy = folded(line, 2 / 4), folded(line, 2 / 11)
+    for i, row in enumerate(got):
+        last5 = xs[max(0, i - 4):i + 1]
+        assert row.SMA_5 == pytest.approx(sum(last5) / len(last5), rel=1e-9)
+        assert row.PPO_12_26 == pytest.approx(100 * (fast[i] / slow[i] - 1), rel=1e-7, abs=1e-9)
+        if i == 0 or not down[i]:
+            assert row.RSI_14 is None
+        else:
+            assert row.RSI_14 == pytest.approx(100 * up[i] / (up[i] + down[i]), rel=1e-9)
+        assert row.ROC_10 == (None if i < 10 else pytest.approx(100 * (xs[i] / xs[i - 10] - 1), rel=1e-7, abs=1e-9))
+        moves = [abs(s) for s in steps[max(0, i - 13):i + 1] if s is not None]
+        assert row.ATR_14 == (pytest.approx(sum(moves) / len(moves), rel=1e-9) if moves else None)
+        assert row.CO_chaikin_3_10 == pytest.approx(quick[i] - lazy[i], rel=1e-9, abs=1e-9)
 
 
 def test_one_shuffle_by_market(spark):

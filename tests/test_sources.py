@@ -1,3 +1,4 @@
+import datetime as dt
 import json
 import os
 import time
@@ -30,6 +31,61 @@ def write(folder, name, text):
         f.write(text)
 
 
+# Published daily prices of two markets, and the published scores of forecasting each
+# day by the price of the day before.
+PRICES = {
+    "Australia": [
+        29.057831325301205, 29.11566265060241, 29.17349397590361, 29.34698795180723, 29.404819277108437,
+        29.46265060240964, 29.520481927710843, 29.57831325301205, 29.751807228915663, 29.809638554216868,
+        29.867469879518072, 29.92530120481928, 29.98313253012048, 30.156626506024097, 30.2144578313253,
+        30.272289156626503, 30.33012048192771, 30.38795180722892, 30.56144578313253, 30.61927710843373,
+        30.67710843373494, 30.734939759036145, 30.79277108433735, 30.966265060240964, 31.02409638554217,
+        31.08192771084337, 31.13975903614458, 31.197590361445783, 31.371084337349394, 31.4289156626506,
+        31.486746987951804, 31.54457831325301, 31.602409638554214, 31.775903614457828, 31.833734939759037,
+        31.89156626506024, 31.949397590361443, 32.00722891566265, 32.18072289156626, 32.23855421686747,
+        32.29638554216867, 32.35421686746988, 32.41204819277108, 32.5855421686747, 32.6433734939759,
+        32.70120481927711, 32.75903614457831, 32.81686746987952, 32.99036144578313, 33.04819277108434,
+        33.10602409638554, 33.16385542168675, 33.22168674698795, 33.39518072289157, 33.45301204819277,
+        33.51084337349398, 33.56867469879518, 33.626506024096386, 33.8, 33.8, 33.8, 33.8, 33.8, 33.8, 33.8,
+        33.8, 33.8, 33.8, 33.8,
+    ],
+    "RGGI": [
+        12.76, 12.87, 13.15, 13.12, 13.17, 13.26, 13.29, 13.33, 13.37, 13.23, 13.24, 13.28, 13.18, 13.19,
+        13.02, 12.8, 12.9, 12.86, 12.96, 13.04, 13.06, 13.37, 13.42, 13.48, 13.5, 13.63, 13.58, 13.46, 13.48,
+        13.38, 13.18, 13.29, 13.22, 13.22, 13.26, 13.23, 13.32, 13.28, 13.24, 13.27, 13.33, 13.33, 13.33,
+        13.3, 13.11, 13.05, 13.15, 13.14, 13.13, 13.15, 13.14, 13.1, 13.22, 13.19, 13.14, 13.1, 13.0, 13.12,
+        13.15, 13.34, 13.3, 13.27, 13.25, 13.4375, 13.5, 13.4, 13.3, 13.43, 13.205,
+    ],
+}
+SCORES = {
+    "Australia": (0.00221928501853181, 0.002737476170287832, 0.06973777462792341, 0.9966554959635682),
+    "RGGI": (0.005913327487005617, 0.007822530646379056, 0.07816176470588226, 0.6127387474428543),
+}
+
+
+def test_published_scores(spark, tmp_path):
+    """Log files of the naive forecasts, read back and scored, give the published numbers."""
+    days = [day("2025-01-01") + dt.timedelta(i) for i in range(100)]
+    rows = [(m, "naive_last_price", -1, i, "{}", days[i], days[i], [x[i + 1]], [x[i]], None)
+            for m, x in PRICES.items() for i in range(len(x) - 1)]
+    logs.write_log_files(spark.createDataFrame(rows, LOG), str(tmp_path / "log"))
+    out = metrics.config_scores(metrics.dedupe_log(logs.read_logs(spark, str(tmp_path / "log")))).collect()
+    assert {r.market: (r.n_windows, r.n_samples) for r in out} == {m: (68, 68) for m in PRICES}
+    for r in out:
+        assert (r.MAPE, r.RMSE_over_mean_price, r.MAE, r.R2) == pytest.approx(SCORES[r.market], rel=1e-9)
+
+
+def test_labelled_csv_layouts(spark, tmp_path):
+    """Each file of a folder is read by its own labels."""
+    write(tmp_path, "one.csv", ',"t"\nDate,"Rate, EUR",A,B,Secondary Market\n2024-01-02,1,2,3,15\n')
+    write(tmp_path, "two more.csv", ',"t"\nDate,Rate,Secondary Market,B,C\n2024-01-03,1,16,3,4\n2024-01-04,1,,3,4\n')
+    df = market_files.read_labelled_csv(spark, str(tmp_path), market="market", carry={"B": "b"})
+    assert sorted(map(tuple, df.collect())) == [("one", "3", day("2024-01-02"), 15.0), ("two more", "3", day("2024-01-03"), 16.0)]
+    write(tmp_path, "three.csv", ',"t"\nDate,Rate,B\n2024-01-03,1,16\n')
+    with pytest.raises(ValueError, match="three"):
+        market_files.read_labelled_csv(spark, str(tmp_path))
+
+
 def test_labelled_csv(spark, tmp_path):
     write(tmp_path, "a.csv", ',"Some market",,," "\nDate,"Rate, EUR","Market Currency",'
           '"Secondary Market"," "\n2024-01-02,0.8,USD,15.5," "\n2024-01-03,0.8,USD,," "\n'

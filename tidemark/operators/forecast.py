@@ -299,8 +299,3 @@ def walk_forward_fit(labelled: DataFrame, features: Sequence[str], configs: Sequ
         return pd.DataFrame(out, columns=LOG_SCHEMA.fieldNames()).astype({"run_seq": "Int64"})
 
     return units.groupBy("market", "block", "part").applyInPandas(run, LOG_SCHEMA)
-
-
-def failed_fits(log: DataFrame) -> DataFrame:
-    return log.filter(F.col("error").isNotNull()).groupBy("market", "model", "error") \
-              .agg(F.count(F.lit(1)).alias("n"))

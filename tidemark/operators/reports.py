@@ -12,8 +12,8 @@ from tidemark.operators.clean import list_position
 from tidemark.operators.ranking import (
     exact_quantiles, highest, lowest, ranked_values)
 from tidemark.schema import (
-    ACTIVATION_ORDER, CURVE_CAP, CURVE_CAP_TCN, CURVE_MIN_MARKET, CURVE_MIN_POOLED,
-    FINANCIAL_COLUMNS, HIST_BINS, HIST_XMAX, HIST_XMAX_TCN, HP_ALIASES, TECHNICAL_PREFIXES)
+    CURVE_CAP, CURVE_CAP_TCN, CURVE_MIN_MARKET, CURVE_MIN_POOLED, FINANCIAL_COLUMNS,
+    GRID_ACTIVATIONS, HIST_BINS, HIST_XMAX, HIST_XMAX_TCN, HP_ALIASES, TECHNICAL_PREFIXES)
 
 
 # ---- averages ---------------------------------------------------------------------------
@@ -117,7 +117,7 @@ def price_feature_pairs(panel: DataFrame, features: Sequence[str], price: str =
 # ---- sensitivity and histogram ----------------------------------------------------------
 
 def _value_order(hp: Column, value: Column) -> Column:
-    place = list_position(value, ACTIVATION_ORDER)
+    place = list_position(value, GRID_ACTIVATIONS)
     return F.when(hp == "activation", F.coalesce(place.cast("double"), F.lit(999.0))) \
             .otherwise(value.try_cast("double"))
 

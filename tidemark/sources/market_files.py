@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import csv
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -14,28 +13,43 @@ DEFAULT_VALUE = "Secondary Market"
 
 
 def read_labelled_csv(spark: SparkSession, path: str, value: str = DEFAULT_VALUE,
-                      carry: dict[str, str] | None = None) -> DataFrame:
-    """CSV whose labels are a data row (a title line comes before them).
-
-    The label row is the one whose first cell reads ``Date``; one line is fetched to learn the
-    columns.  Data rows are those whose first cell is a date, wherever they are, so the file may
-    be split among many tasks.  ``carry`` keeps more columns: label -> name in the result.
+                      carry: dict[str, str] | None = None, market: str | None = None) -> DataFrame:
+    """CSV files whose labels are a data row (a title line comes before them).
+
+    The label row of a file is the one whose first cell reads ``Date``; each file is read by its own
+    labels, so a folder may hold several layouts.  A file without a label row is a part of the table
+    in its folder, if all label rows there agree; else it is passed over.  Data rows are those whose first cell is a date,
+    wherever they are, so a file may be split among many tasks.  ``carry`` keeps more columns:
+    label -> name in the result; ``market`` names a column for the name of the file, without ending.
     """
     first = F.lower(F.trim(F.translate(F.split("value", ",").getItem(0), '"\ufeff', "")))
-    line = spark.read.text(path).filter(first == "date").first()
-    if line is None:
+    lines = spark.read.option("recursiveFileLookup", True).text(path).filter(first == "date")
+    width = lines.agg(F.max(F.size(F.split("value", ",")))).first()[0]
+    if width is None:
         raise ValueError(f"{path}: no label row starting with 'Date'")
-    labels = [x.strip().lower() for x in next(csv.reader([line.value]))]
-    wanted = {value: "price", **(carry or {})}
-    absent = [x for x in wanted if x.lower() not in labels]
-    if absent:
-        raise ValueError(f"{path}: no column labelled {absent}")
-    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(labels))])
-    cells = spark.read.schema(schema).option("escape", '"').csv(path)
-    cell = lambda label: F.col(f"c{labels.index(label.lower())}")
-    rows = cells.select(*[cell(k).alias(v) for k, v in (carry or {}).items()],
-                        date_coerce("c0").alias("d"), numeric_coerce(cell(value)).alias("price"))
-    return rows.filter(F.col("d").isNotNull() & F.col("price").isNotNull())
+    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(width)])
+    rows = spark.read.schema(schema).option("recursiveFileLookup", True).option("escape", '"').csv(path) \
+        .select(F.array(*schema.fieldNames()).alias("cells"), F.col("_metadata.file_path").alias("file"))
+    names = F.transform("cells", lambda c: F.lower(F.trim(F.translate(c, "\ufeff", ""))))
+    folder = F.regexp_replace("file", "/[^/]*$", "")
+    wanted = {"price": value, **{name: label for label, name in (carry or {}).items()}}
+    places = F.struct(*[F.coalesce(F.array_position("labels", label.lower()).cast("int"), F.lit(0)).alias(name)
+                        for name, label in wanted.items()])
+    labels = rows.filter(names[0] == "date").groupBy("file").agg(F.min(names).alias("labels")) \
+        .select("file", folder.alias("folder"), places.alias("own"))
+    bad = labels.filter(F.least(*[F.col("own")[name] for name in wanted], F.lit(1)) == 0).first()
+    if bad is not None:
+        raise ValueError(f"{bad.file}: not all of the columns {list(wanted.values())}")
+    shared = labels.groupBy("folder").agg(F.min("own").alias("shared"), F.max("own").alias("other")) \
+        .filter("shared = other").select("folder", "shared")
+    placed = rows.withColumn("folder", folder).join(labels.select("file", "own"), "file", "left") \
+        .join(shared, "folder", "left").withColumn("at", F.coalesce("own", "shared"))
+    cell = {name: F.try_element_at("cells", F.col("at")[name]) for name in wanted}
+    stem = F.regexp_extract(F.url_decode("file"), r"([^/]*?)(\.[^./]*)?$", 1)
+    out = placed.filter("at IS NOT NULL").select(
+        *([stem.alias(market)] if market else []), *[c.alias(n) for n, c in cell.items() if n != "price"],
+        date_coerce(F.col("cells")[0]).alias("d"), numeric_coerce(cell["price"]).alias("price"))
+    return out.filter(F.col("d").isNotNull() & F.col("price").isNotNull())
 
 
 def read_two_column(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:

@@ -292,10 +292,16 @@ MEAN_4 = ("avg(MAPE) AS mean_MAPE, avg(RMSE_over_mean_price) AS mean_RMSE_over_m
 ACROSS = (f"SELECT model, hyperparams_json, count(DISTINCT market) AS markets_covered, {MEAN_4} "
           "FROM scores GROUP BY model, hyperparams_json")
 
+GAPPY = f"""SELECT s.* REPLACE (n AS n_windows, hp AS hyperparams_json)
+      FROM ({scores_of('(SELECT * FROM line_log WHERE window_id % 7 NOT BETWEEN 1 AND 3)')}) s
+      JOIN (SELECT market, model, config_index, count(*) AS n, arg_min(hp_json, window_id) AS hp FROM line_log
+            GROUP BY market, model, config_index) USING (market, model, config_index)"""
+
 ORACLE = {
     # sources and sinks
     "read_labelled_csv": f"SELECT market, {day()}, count(*) AS n, {r('max(price)', 2, 'top')} "
                          "FROM raw_prices GROUP BY market, raw_prices.d",
+    "read_labelled_folder": f"SELECT market, seq, {day()}, {r('price', 2)} FROM raw_prices",
     "read_two_column": f"SELECT market, seq, {day()}, {r('price', 2)} FROM coerced "
                        "WHERE coerced.d IS NOT NULL AND price IS NOT NULL",
     "read_price_sheet": f"SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, l_partkey, "
@@ -311,22 +317,20 @@ ORACLE = {
                    f"{r('MAPE', 8)}, {r('RMSE_over_mean_price', 8)}, {r('R2', 8)}, {r('MAE', 4)} FROM scores",
     "read_best_configs": f"SELECT market, model, {CI}, hyperparams_json ->> '$.epochs' AS epochs, "
                          f"n_samples, {r('MAPE', 8)}, {r('R2', 8)} FROM best",
-    "write_panel": f"SELECT market, count(*) AS n_rows, {day('min(d)', 'first_d')}, "
-                   f"{day('max(d)', 'last_d')}, {r('max(Price)', 2, 'top')} FROM panel GROUP BY market",
+    "write_panel": f"SELECT market, {day()}, {r('Price', 2)}, {r('equity_index', 4)}, {r('fx_rate', 4)}, "
+                   f"{r('CL_F', 4)}, {r('RSI_14', 6)}, {r('CO_chaikin_3_10', 6)} FROM panel",
     "bad_log_files": "SELECT model, count(*) AS n FROM line_once WHERE model <> 'tcn' GROUP BY model "
                      "UNION ALL SELECT 'window_id,test_data_model_predictions_list', 0",
-    "append_log": f"SELECT market, model, {CI}, count(*) AS n_rows, count(DISTINCT window_id) "
-                  "AS n_windows FROM log GROUP BY market, model, log.config_index",
+    "append_log": f"SELECT {LOG_OUT} FROM log",
     "write_metrics": f"SELECT market, model, {CI}, CAST({WINDOW} AS BIGINT) AS window_size, n_windows, "
                      f"hyperparams_json, CAST({RATIO} AS DOUBLE) AS test_ratio, {r('MAPE', 8)}, "
                      f"{r('R2', 8)} FROM ({scores_of('log')})",
-    "best_configs_json": "SELECT market, " + ", ".join(
-        f"CAST(max(config_index) FILTER (model = '{m}') AS BIGINT) AS {m}" for m in MODELS)
-        + " FROM best GROUP BY market",
+    "best_configs_json": f"SELECT market, model, {CI}, n_windows, n_samples, hyperparams_json ->> '$.epochs' AS epochs, "
+                         f"hyperparams_json, {r('MAPE', 8)}, {r('R2', 8)}, {r('MAE', 4)} FROM best",
     "resume_anti": f"SELECT model, {CI}, hp_json FROM grid g WHERE NOT EXISTS (SELECT 1 FROM line_raw l "
                    "WHERE l.model = g.model AND l.config_index = g.config_index)",
     "missing_inputs": "SELECT c_custkey AS custkey, c_name FROM customer "
-                      "WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
+                      "WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')",
     # projections, filters, predicates
     "numeric_coerce": f"SELECT seq, {r('price', 2)} FROM coerced",
     "date_coerce": f"SELECT seq, {day()} FROM coerced WHERE coerced.d IS NOT NULL",
@@ -373,8 +377,8 @@ ORACLE = {
     "market_config_join": f"SELECT market, {day()}, equity_ticker, fx_ticker, {r('price', 2)} "
                           "FROM clean JOIN config USING (market)",
     "feature_join": f"SELECT market, {day()}, {r('price', 4)}, {FEATURE_OUT} FROM features",
-    "unused_tickers": "SELECT n_name AS market, 'RF_' || substr(n_name, 1, 1) AS ticker FROM nation "
-                      "WHERE 'RF_' || substr(n_name, 1, 1) NOT IN (SELECT ticker FROM quotes)",
+    "unused_tickers": "SELECT n_name AS market, 'LN_' || n_nationkey AS ticker FROM nation "
+                      "WHERE 'LN_' || n_nationkey NOT IN (SELECT ticker FROM quotes)",
     "technicals_join": f"SELECT market, {day()}, {r('Price', 4)}, {FEATURE_OUT}, {r('SMA_5', 4)}, "
                        f"{r('PPO_12_26')}, {r('RSI_14')}, {r('ROC_10')}, {r('ATR_14', 4)}, "
                        f"{r('CO_chaikin_3_10')} FROM panel",
@@ -569,6 +573,30 @@ ORACLE = {
         FROM grid g LEFT JOIN (SELECT model, CASE WHEN model = 'naive_last_price' THEN -1 ELSE config_index END AS c,
           count(*) AS n FROM line_raw GROUP BY ALL) u ON u.model = g.model AND u.c = g.config_index""",
     "walk_forward_fit": f"SELECT {LOG_OUT} FROM log WHERE model <> 'naive_last_price'",
+    "walk_forward_grid": f"""SELECT {LOG_OUT} FROM (SELECT g.model, g.config_index, w.* EXCLUDE (m2, m3, m4),
+          CASE coalesce(g.hp_json ->> '$.num_layers', g.hp_json ->> '$.blocks') WHEN '2' THEN m2 WHEN '3' THEN m3 ELSE m4 END AS p
+        FROM grid g, (SELECT market, d AS start_date, d AS end_date, y AS t, row_number() {W} - 1 - {SPLIT} AS window_id,
+            avg(y) {frame('2 PRECEDING', '1 PRECEDING')} AS m2, avg(y) {frame('3 PRECEDING', '1 PRECEDING')} AS m3,
+            avg(y) {frame('4 PRECEDING', '1 PRECEDING')} AS m4 FROM labelled) w
+        WHERE g.model <> 'naive_last_price' AND window_id BETWEEN 0 AND 1)""",
+    "failed_runs": f"""SELECT market, model, {CI}, n_windows, n_failed,
+          n_failed || ' of ' || n_windows || ' windows failed: late' AS reason
+        FROM (SELECT market, model, config_index, count(*) AS n_windows, count(*) FILTER (window_id % 97 = 5) AS n_failed
+              FROM line_once GROUP BY market, model, config_index) WHERE n_failed > 0""",
+    "scores_without_failures": f"""SELECT {SCORE_OUT} FROM exact_scores ANTI JOIN (
+          SELECT * FROM line_once WHERE window_id % 97 = 5) USING (market, model, config_index)""",
+    "resume_incomplete": f"""SELECT market, model, {CI} FROM (SELECT market, model, config_index, count(*) AS n,
+            count(*) FILTER (window_id % 97 = 5) AS bad FROM line_once GROUP BY market, model, config_index)
+          JOIN (SELECT market, count(*) / count(DISTINCT (model, config_index)) AS wanted FROM line_once GROUP BY market)
+          USING (market) WHERE bad > 0 OR n < wanted""",
+    "held_out_log": f"""SELECT {LOG_OUT} FROM ({log_of(HELD)})
+        SEMI JOIN ({best_of('(' + scores_of('(' + log_of(EARLY) + ')') + ')')}) b USING (market, model, config_index)""",
+    "scores_with_gaps": f"SELECT {SCORE_OUT} FROM ({GAPPY})",
+    "extremes_with_gaps": f"""SELECT market, model, {r('min(MAPE)', 8, 'best_MAPE')},
+          {r('max(R2) FILTER (k = 1)', 8, 'R2_at_best_MAPE')}, {r('max(R2)', 8, 'best_R2')}
+        FROM (SELECT *, row_number() OVER (PARTITION BY market, model ORDER BY MAPE NULLS LAST, hyperparams_json) AS k
+              FROM (SELECT market, model, hyperparams_json, avg(MAPE) AS MAPE, avg(R2) AS R2 FROM ({GAPPY}) GROUP BY ALL))
+        GROUP BY market, model""",
     "rolling_ols_forecast": f"SELECT {LOG_OUT} FROM log WHERE model = 'rolling_ols'",
     "rolling_mean_forecast": f"SELECT {LOG_OUT} FROM log WHERE model = 'rolling_mean'",
     "rescore": f"""SELECT market, model, n_windows, n_samples, {r('MAPE', 8)} FROM (SELECT *, row_number() OVER (

@@ -20,7 +20,7 @@ from tidemark.session import fresh_path, stored, use_utc
 from tidemark.sources import logs, market_files, panels as panel_files, results
 from tidemark.streaming import scores as streaming
 from workload import fixtures as fx
-from workload.learners import line_and_mean
+from workload.learners import line_and_mean, mean_of_layers
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -74,6 +74,23 @@ def read_labelled_csv(spark, sf):
     return show(df, "market", "d", "n", top=2)
 
 
+@query
+def read_labelled_folder(spark, sf):
+    """One file per layout, the price in another place in each, read back whole."""
+    path = fresh_path(spark, "layouts")
+    rows = fx.raw_prices(spark, sf).withColumn("market", F.concat(F.lit('"'), "market", F.lit('"')))
+    parts = [("seq % 2 = 0", 'Date,Order,"Secondary Market",Market', ["seq", "price", "market"]),
+             ("seq % 2 = 1", 'Date,"Rate, fixed",Market,Other,Order,"Secondary Market"',
+              [F.lit("1"), "market", F.lit(""), "seq", "price"])]
+    for i, (mine, head, columns) in enumerate(parts):
+        text = rows.filter(mine).select(F.concat_ws(",", day(), *[
+            F.col(c).cast("string") if isinstance(c, str) else c for c in columns]).alias("value"))
+        heads = spark.createDataFrame([(f',"Layout {i}"',), (head,)], "value string")
+        heads.union(text).coalesce(1).write.text(f"{path}/{i}")
+    df = market_files.read_labelled_csv(spark, path, carry={"Market": "market", "Order": "seq"})
+    return show(df.withColumn("seq", F.col("seq").cast("bigint")), "market", "seq", "d", price=2)
+
+
 @query
 def read_two_column(spark, sf):
     df = fx.messy(spark, sf).select("raw_date", "raw_price", "market", "seq")
@@ -139,10 +156,8 @@ def read_best_configs(spark, sf):
 def write_panel(spark, sf):
     path = fresh_path(spark, "panel")
     panel_files.write_panel(fx.panel(spark, sf), path)
-    df = spark.read.parquet(path).groupBy("market").agg(
-        F.count(F.lit(1)).alias("n_rows"), F.min("d").alias("first_d"),
-        F.max("d").alias("last_d"), F.max("Price").alias("top"))
-    return show(df, "market", "n_rows", "first_d", "last_d", top=2)
+    return show(spark.read.parquet(path), "market", "d", Price=2, equity_index=4, fx_rate=4, CL_F=4,
+                RSI_14=6, CO_chaikin_3_10=6)
 
 
 @query
@@ -167,9 +182,7 @@ def append_log(spark, sf):
     logs.append_log(forecast.native_log(lab, fx.LEARNERS[:2], fx.WINDOW, fx.RATIO), path)
     rest = forecast.native_log(lab, fx.LEARNERS, fx.WINDOW, fx.RATIO)
     logs.append_log(logs.resume_anti(rest, logs.read_log_table(spark, path)), path)
-    df = logs.read_log_table(spark, path).groupBy("market", "model", "config_index").agg(
-        F.count(F.lit(1)).alias("n_rows"), F.count_distinct("window_id").alias("n_windows"))
-    return show(df, "market", "model", "config_index", "n_rows", "n_windows")
+    return show_log(logs.read_log_table(spark, path))
 
 
 @query
@@ -186,10 +199,13 @@ def write_metrics(spark, sf):
 @query
 def best_configs_json(spark, sf):
     docs = results.best_configs_json(ranking.best_by_market_model(fx.scores(spark, sf)))
-    models = F.from_json("document", "map<string, map<string, struct<config_index: bigint>>>")
-    row = F.try_element_at(models, F.col("market"))
-    return docs.select("market", *[F.try_element_at(row, F.lit(m))["config_index"].alias(m)
-                                   for m in fx.MODELS])
+    kind = ("map<string, map<string, struct<config_index: bigint, n_windows: bigint, n_samples: bigint, MAPE: double, "
+            "R2: double, MAE: double, hyperparams: map<string, string>, hyperparams_json: string>>>")
+    rows = docs.select(F.explode(F.from_json("document", kind)).alias("market", "models")) \
+        .select("market", F.explode("models").alias("model", "row")).select("market", "model", "row.*") \
+        .withColumn("epochs", F.try_element_at("hyperparams", F.lit("epochs")))
+    return show(rows, "market", "model", "config_index", "n_windows", "n_samples", "epochs", "hyperparams_json",
+                MAPE=8, R2=8, MAE=4)
 
 
 @query
@@ -202,9 +218,10 @@ def resume_anti(spark, sf):
 
 @query
 def missing_inputs(spark, sf):
-    """Customers without any order."""
+    """Customers without any urgent order."""
     expected = fx.table(spark, sf, "customer").select(F.col("c_custkey").alias("custkey"), "c_name")
-    present = fx.table(spark, sf, "orders").select(F.col("o_custkey").alias("custkey"))
+    present = fx.table(spark, sf, "orders").filter("o_orderpriority = '1-URGENT'") \
+        .select(F.col("o_custkey").alias("custkey"))
     return market_files.missing_inputs(expected, present, ["custkey"])
 
 
@@ -372,9 +389,9 @@ def feature_join(spark, sf):
 
 @query
 def unused_tickers(spark, sf):
-    """Market and ticker pairs without quotes: supplier nations as markets, flags as tickers."""
+    """Market and ticker pairs without quotes: nations as markets, line numbers as tickers."""
     config = fx.table(spark, sf, "nation").select(
-        F.col("n_name").alias("market"), F.concat(F.lit("RF_"), F.substring("n_name", 1, 1))
+        F.col("n_name").alias("market"), F.concat(F.lit("LN_"), F.col("n_nationkey").cast("string"))
         .alias("equity_ticker"), F.lit("RF_A").alias("fx_ticker"))
     return panels.unused_tickers(config, fx.quotes(spark, sf)).select("market", "ticker")
 
@@ -936,11 +953,75 @@ def config_grid(spark, sf):
 @query
 def walk_forward_fit(spark, sf):
     """Learners run through the caller's fit function; the same forecasts as the native ones."""
-    log = forecast.walk_forward_fit(fx.labelled(spark, sf), ["Price"], fx.LEARNERS[1:],
+    log = forecast.walk_forward_fit(fx.labelled(spark, sf), PANEL_FEATURES, fx.LEARNERS[1:],
                                     line_and_mean(), fx.WINDOW, fx.RATIO)
     return show_log(log)
 
 
+@query
+def walk_forward_grid(spark, sf):
+    """Every config of every net's grid, fitted on all features in the first two windows of each market."""
+    configs = forecast.grid_configs(forecast.full_grid(spark).filter(F.col("model") != BASELINE))
+    log = forecast.walk_forward_fit(fx.labelled(spark, sf), PANEL_FEATURES, configs, mean_of_layers(),
+                                    fx.WINDOW, fx.RATIO, max_windows=2)
+    return show_log(log)
+
+
+def line_log_with_failures(spark, sf):
+    """Order lines as a log in which every 97th window of the config failed."""
+    failed = F.pmod("window_id", F.lit(97)) == 5
+    return fx.line_log(spark, sf).withColumns({
+        "error": F.when(failed, "late"), "y_pred": F.when(~failed, F.col("y_pred"))})
+
+
+@query
+def failed_runs(spark, sf):
+    """Configs with a failed window, which have no score, and why."""
+    return show(metrics.unscored_runs(line_log_with_failures(spark, sf)), "market", "model", "config_index",
+                "n_windows", "n_failed", "reason")
+
+
+@query
+def scores_without_failures(spark, sf):
+    return show_scores(metrics.config_scores(line_log_with_failures(spark, sf)))
+
+
+@query
+def resume_incomplete(spark, sf):
+    """Runs to do again: those with a failed window or with fewer windows than the market expects."""
+    log = line_log_with_failures(spark, sf)
+    expected = log.groupBy("market").agg((F.count(F.lit(1)) / F.count_distinct("model", "config_index")).alias("n_expected"))
+    todo = log.select("market", "model", "config_index").distinct()
+    return show(logs.resume_anti(todo, log, expected=expected), "market", "model", "config_index")
+
+
+@query
+def held_out_log(spark, sf):
+    """Log of the chosen configs on the later slice."""
+    lab = stored(fx.labelled(spark, sf), "labelled")
+    tuned = tuning.tune(clean.date_slice(lab, end="1999-12-31"), fx.LEARNERS, fx.WINDOW, fx.RATIO)
+    return show_log(evaluate.held_out_log(clean.date_slice(lab, fx.HELD_OUT), tuned, fx.LEARNERS, fx.WINDOW, fx.RATIO))
+
+
+def gappy_scores(spark, sf):
+    """Scores of order lines some of whose forecasts are not a number, infinite or missing."""
+    k = F.pmod("window_id", F.lit(7))
+    odd = F.when(k == 1, float("nan")).when(k == 2, float("inf")).when(k == 3, F.lit(None).cast("double"))
+    return metrics.config_scores(fx.line_log(spark, sf).withColumn(
+        "y_pred", F.when(k.between(1, 3), F.array(odd)).otherwise(F.col("y_pred"))))
+
+
+@query
+def scores_with_gaps(spark, sf):
+    return show_scores(gappy_scores(spark, sf))
+
+
+@query
+def extremes_with_gaps(spark, sf):
+    return show(ranking.best_extremes(reports.cfg_market(gappy_scores(spark, sf))), "market", "model", best_MAPE=8,
+                R2_at_best_MAPE=8, best_R2=8)
+
+
 @query
 def rolling_ols_forecast(spark, sf):
     return show_log(forecast.native_log(fx.labelled(spark, sf), [fx.LEARNERS[4]], fx.WINDOW,
