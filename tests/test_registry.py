@@ -10,7 +10,9 @@ from workload.oracle import ORACLE, VIEWS
 SAMPLE = ["read_labelled_csv", "read_best_configs", "dedupe_last", "technicals_join", "sliding_windows",
           "learner_scores", "walk_forward_fit", "evaluate_best", "gold_metrics", "rank_in_market",
           "rank_curve_by_market", "hp_sensitivity", "error_histogram", "best_extreme",
-          "stream_log_scores"]
+          "stream_log_scores", "read_labelled_folder", "missing_inputs", "unused_tickers", "write_panel",
+          "append_log", "best_configs_json", "walk_forward_grid", "failed_runs", "scores_without_failures",
+          "resume_incomplete", "held_out_log", "scores_with_gaps", "extremes_with_gaps", "feature_join"]
 
 
 @pytest.fixture(scope="module")
@@ -48,6 +50,15 @@ def test_no_cross_join(spark, sf, name):
     assert "NestedLoop" not in text and "Cartesian" not in text
 
 
+def test_tickers_are_chosen_below_the_shuffle(spark, sf):
+    """The semi join on the named tickers comes before the quotes are shuffled."""
+    from tests.helpers import plan
+    lines = plan(entry.queries()["feature_join"](spark, sf)).splitlines()
+    depth = lambda word: [len(x) - len(x.lstrip(" :+-")) for x in lines if word in x]
+    semi = [i for i, x in enumerate(lines) if "LeftSemi" in x]
+    assert semi and all(any("Exchange hashpartitioning(ticker" in x for x in lines[:i]) for i in semi) and depth("LeftSemi")
+
+
 def test_the_quotes_are_read_once(spark, sf):
     """Equity, FX and commodity columns come from one scan of the quotes."""
     from tests.helpers import plan

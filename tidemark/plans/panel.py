@@ -29,11 +29,7 @@ def unused_tickers(config: DataFrame, quotes: DataFrame) -> DataFrame:
 
 
 def commodity_columns(filled: DataFrame, commodities: dict[str, str]) -> DataFrame:
-    """``d`` plus one column per commodity: at most one row per calendar day.
-
-    No filter on the tickers: with it this branch would read the quotes a second time, while
-    without it Spark reuses the shuffled quotes of the equity and FX branches.
-    """
+    """``d`` plus one column per commodity: at most one row per calendar day."""
     if len(commodities) > MAX_COMMODITIES:
         raise ValueError(f"{len(commodities)} commodities, {MAX_COMMODITIES} allowed")
     return filled.groupBy("d").agg(*[
@@ -45,12 +41,16 @@ def feature_join(prices: DataFrame, config: DataFrame, quotes: DataFrame,
                  commodities: dict[str, str], start: str, end: str) -> DataFrame:
     """Equity, FX and commodity columns by date.
 
-    Each ticker is filled once, however many markets share it.  The commodity table is keyed by
+    Only tickers that a market or a commodity names are read and filled, each once, however many
+    markets share it: the semi join on the few names sinks below the shuffle of the quotes, and being
+    the same for all three uses it leaves that shuffle one.  The commodity table is keyed by
     date alone, so the calendar bounds it (``MAX_CALENDAR_DAYS`` rows of a few doubles) and it
     may be broadcast.  The equity and FX tables grow with the tickers and are left to Spark.
     """
     check_bounds(start, end)
-    filled = fill_calendar(quotes, start, end, keys=["ticker"])
+    raw = config.sparkSession.createDataFrame([(t,) for t in commodities.values()], "ticker string")
+    named = config.select(F.explode(F.array("equity_ticker", "fx_ticker")).alias("ticker")).union(raw)
+    filled = fill_calendar(quotes.join(named, "ticker", "left_semi"), start, end, keys=["ticker"])
     daily = commodity_columns(filled, commodities)
     equity = filled.select(F.col("ticker").alias("equity_ticker"), "d",
                            F.col("price").alias("equity_index"))
