@@ -13,6 +13,7 @@ A null or empty text has no ids.  Repeated rows get equal results; extra columns
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from functools import cache
 from heapq import heapify, heappop, heappush
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.llm.tables import by_batch, documents, hex256
 
 #: Entries of one generation of the cache; a worker holds at most two generations.
-CACHE = 120_000
+CACHE = 400_000
 #: Documents whose ids are held at once.
 BATCH = 256
 #: White space as Unicode defines it (a fixed value).
@@ -67,76 +68,89 @@ class Codec:
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")"
                                  ) if special else None
         self.first = [vocab[c] for c in symbols]
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
-        for rank, merge in enumerate(data["model"]["merges"]):
-            a, b = merge if isinstance(merge, list) else merge.split(" ")
-            self.merges[vocab[a], vocab[b]] = rank, vocab[a + b]
+        self.rules: list[tuple[int, int, int]] = []
+        for merge in data["model"]["merges"]:
+            x, y = merge if isinstance(merge, list) else merge.split(" ")
+            self.rules.append((vocab[x], vocab[y], vocab[x + y]))
+        self.rank = {(x, y): rank for rank, (x, y, _) in enumerate(self.rules)}
         self.pieces = regex.compile(public_tokenizers.PATTERN)
         #: Runs that end where pieces end: a space and what is not space, or white space alone.
-        self.runs = regex.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
-        self.young: dict[str, tuple[tuple[int, ...], str]] = {}
-        self.old: dict[str, tuple[tuple[int, ...], str]] = {}
+        self.runs = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
+        self.decimal = {i: str(i) for i in self.strings}
+        self.young: dict[str, tuple[int, ...]] = {}
+        self.old: dict[str, tuple[int, ...]] = {}
 
     def merge(self, piece: bytes) -> list[int]:
-        """Ids of one piece."""
+        """Ids of one piece.
+
+        An entry of the queue is the rank of a merge above the place of its left symbol, so the least
+        entry is the next merge, the leftmost one on a tie.
+        """
         ids = [self.first[b] for b in piece]
-        n, merges = len(ids), self.merges
-        left, right = list(range(-1, n - 1)), list(range(1, n + 1))
-        queue = []
-        for i in range(n - 1):
-            pair = ids[i], ids[i + 1]
-            if pair in merges:
-                queue.append((merges[pair][0], i, pair))
+        n, rank, rules = len(ids), self.rank.get, self.rules
+        queue = [r << 32 | i for i, r in enumerate(map(rank, zip(ids, ids[1:]))) if r is not None]
+        if not queue:
+            return ids
         heapify(queue)
+        left, right = list(range(-1, n - 1)), list(range(1, n + 1))
         while queue:
-            _, i, pair = heappop(queue)
+            entry = heappop(queue)
+            i = entry & 0xFFFFFFFF
+            x, y, both = rules[entry >> 32]
             j = right[i]
-            if j >= n or ids[i] != pair[0] or ids[j] != pair[1]:
+            if ids[i] != x or j >= n or ids[j] != y:
                 continue  # stale: one of the two has been merged since
-            ids[i], ids[j] = merges[pair][1], -1
+            ids[i], ids[j] = both, -1
             k = right[i] = right[j]
-            right[j] = n
             if k < n:
                 left[k] = i
-                after = ids[i], ids[k]
-                if after in merges:
-                    heappush(queue, (merges[after][0], i, after))
+                r = rank((both, ids[k]))
+                if r is not None:
+                    heappush(queue, r << 32 | i)
             h = left[i]
             if h >= 0:
-                before = ids[h], ids[i]
-                if before in merges:
-                    heappush(queue, (merges[before][0], h, before))
+                r = rank((ids[h], both))
+                if r is not None:
+                    heappush(queue, r << 32 | h)
         return [x for x in ids if x >= 0]
 
-    def run(self, text: str) -> tuple[tuple[int, ...], str]:
-        """Ids of a run of pieces, also as decimals joined by commas; through the cache."""
-        if (entry := self.old.get(text)) is None:
-            ids = tuple(chain.from_iterable(self.merge(p.encode()) for p in self.pieces.findall(text)))
-            entry = ids, ",".join(map(str, ids))
+    def run(self, text: str) -> tuple[int, ...]:
+        """Ids of a run of pieces that the young generation of the cache does not hold."""
+        ids = self.old.get(text)
+        if ids is None:
+            pieces = self.pieces.findall(text)
+            if len(pieces) == 1:
+                ids = tuple(self.merge(text.encode()))
+            else:  # each piece is a run of its own
+                ids = tuple(chain.from_iterable([self.young.get(p) or self.run(p) for p in pieces]))
             if len(text) > 64:
-                return entry  # long runs hardly repeat
+                return ids  # long runs hardly repeat
         if len(self.young) >= CACHE:
             self.young, self.old = {}, self.young
-        self.young[text] = entry
-        return entry
-
-    def encode_runs(self, text: str) -> list[tuple[tuple[int, ...], str]]:
-        if self.cut is not None and any(token in text for token in self.special):
-            out = []
-            for part in self.cut.split(text):
-                if part in self.special:
-                    out.append(((self.special[part],), str(self.special[part])))
-                else:
-                    out += self.plain_runs(part)
-            return out
-        return self.plain_runs(text)
-
-    def plain_runs(self, text: str) -> list[tuple[tuple[int, ...], str]]:
-        known = self.young.get
-        return [known(run) or self.run(run) for run in self.runs.findall(text)]
+        self.young[text] = ids
+        return ids
+
+    def plain(self, text: str) -> list[tuple[int, ...]]:
+        known, run = self.young, self.run
+        out = []
+        for r in self.runs.findall(text):
+            ids = known.get(r)
+            if ids is None:
+                ids = run(r)
+                known = self.young  # a new generation may have begun
+            out.append(ids)
+        return out
 
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(ids for ids, _ in self.encode_runs(text)))
+        if self.cut is None or not any(token in text for token in self.special):
+            return list(chain.from_iterable(self.plain(text)))
+        out: list[int] = []
+        for part in self.cut.split(text):
+            if part in self.special:
+                out.append(self.special[part])
+            else:
+                out += chain.from_iterable(self.plain(part))
+        return out
 
     def decode(self, ids: list[int]) -> str:
         """Unknown ids give nothing; bytes that are no UTF-8 become replacement characters."""
@@ -163,9 +177,8 @@ def encode(docs: DataFrame, path: str | None = None, with_ids: bool = True) -> D
             part = batch.slice(at, BATCH)
             ids, shas, back = [], [], []
             for text in part["text"]:
-                runs = own.encode_runs(text.as_py() or "")
-                ids.append(list(chain.from_iterable([r[0] for r in runs])))
-                shas.append(hex256(",".join([r[1] for r in runs]).encode()))
+                ids.append(own.encode(text.as_py() or ""))
+                shas.append(hex256(",".join([own.decimal[i] for i in ids[-1]]).encode()))
                 back.append(hex256(own.decode(ids[-1]).encode()))
             columns = {"doc_id": part["doc_id"], "n_tokens": pa.array(map(len, ids), pa.int64()),
                        "ids_sha256": pa.array(shas, pa.string()), "decoded_sha256": pa.array(back, pa.string())}
