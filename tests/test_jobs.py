@@ -48,6 +48,7 @@ def test_tune_evaluate_score_report(spark, panel, tmp_path):
     jobs.evaluate_job(spark, panel, f"{out}/best_configs", out, GRID, 10, 0.1, start="2023-03-01")
     got = spark.read.option("header", True).csv(f"{out}/test_metrics")
     assert got.count() == 6 and got.columns[:3] == ["market", "model", "config_index"]
+    assert {"hp_hidden_units", "hp_learning_rate", "skipped", "reason", "train_loss_last_mean"} <= set(got.columns)
 
     files, scored = str(tmp_path / "files"), str(tmp_path / "scored")
     logs.write_log_files(both, files)

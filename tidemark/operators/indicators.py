@@ -22,8 +22,7 @@ def span_alpha(span: int) -> float:
     return 2.0 / (span + 1)
 
 
-def ewm(df: DataFrame, specs: dict[str, tuple[str, float]], w: WindowSpec,
-        max_rows: int | None = None) -> DataFrame:
+def ewm(df: DataFrame, specs: dict[str, tuple[str, float]], w: WindowSpec) -> DataFrame:
     """Add exponential averages ``name -> (column, alpha)``: e = alpha*x + (1-alpha)*e_before,
     started at the first value of each series.  Leading NULLs give NULL.
 
@@ -32,7 +31,6 @@ def ewm(df: DataFrame, specs: dict[str, tuple[str, float]], w: WindowSpec,
     runs.  Each step widens the run RADIX times with plain ``lag``s, for all averages at once:
     weights only ever shrink (no overflow however long the series), and the steps end as soon
     as the next weight is exactly 0.0 in double arithmetic, after 5 to 7 of them.
-    ``max_rows`` (a bound on the rows of one series) can end them sooner.
     """
     start = {}
     for name, (value, alpha) in specs.items():
@@ -42,7 +40,7 @@ def ewm(df: DataFrame, specs: dict[str, tuple[str, float]], w: WindowSpec,
                        .otherwise(x * alpha))
     df = df.withColumns(start)
     stride = 1
-    while max_rows is None or stride < max_rows:
+    while True:
         wider = {}
         for name, (_, alpha) in specs.items():
             terms = [F.lag(name, i * stride, 0.0).over(w) * (1.0 - alpha) ** (i * stride)
@@ -90,7 +88,7 @@ def rsi(gain: Column | str, loss: Column | str) -> Column:
 
 
 def technicals(df: DataFrame, keys: Sequence[str] = ("market",), date: str = "d",
-               price: str = "price", max_rows: int | None = None) -> DataFrame:
+               price: str = "price") -> DataFrame:
     """All six indicators on top of ``df``; the helper columns are gone again."""
     w = series_window(keys, date)
     wide = price_delta(df, w, price)
@@ -101,7 +99,7 @@ def technicals(df: DataFrame, keys: Sequence[str] = ("market",), date: str = "d"
     wide = ewm(wide, {
         "ema_12": (price, span_alpha(12)), "ema_26": (price, span_alpha(26)),
         "avg_gain": ("gain", 1.0 / 14), "avg_loss": ("loss", 1.0 / 14),
-        "adl_3": ("adl", span_alpha(3)), "adl_10": ("adl", span_alpha(10))}, w, max_rows)
+        "adl_3": ("adl", span_alpha(3)), "adl_10": ("adl", span_alpha(10))}, w)
     return wide.select(
         *df.columns, "SMA_5",
         (F.try_divide(F.col("ema_12") - F.col("ema_26"), F.col("ema_26")) * 100)

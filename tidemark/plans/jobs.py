@@ -99,7 +99,7 @@ def tune_job(spark: SparkSession, panel: str, log: str, out: str, configs: Seque
                         max_configs, max_windows), log)
     runs = dedupe_log(read_log_table(spark, log))
     scores = tuning_scores(runs, window_size, test_ratio)
-    write_metrics(scores, f"{out}/hparam_metrics")
+    write_metrics(attach_hp(scores), f"{out}/hparam_metrics")
     left = unscored_runs(runs)
     write_metrics(left, f"{out}/unscored_runs", left.columns)
     write_best_configs(best_by_market_model(scores), f"{out}/best_configs")
@@ -119,7 +119,7 @@ def evaluate_job(spark: SparkSession, panel: str, best: str, out: str, configs:
                             done and dedupe_log(done), max_windows), log)
     scores = held_out_metrics(dedupe_log(read_log_table(spark, log)), window_size, test_ratio,
                               best_config_join(chosen))
-    write_metrics(scores, f"{out}/test_metrics", FRONT_TEST)
+    write_metrics(attach_hp(scores), f"{out}/test_metrics", FRONT_TEST)
 
 
 def score_job(spark: SparkSession, logs: str, out: str) -> None:

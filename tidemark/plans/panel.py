@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.operators.calendar import (
-    MAX_CALENDAR_DAYS, business_day_count, check_bounds, fill_calendar)
+    MAX_CALENDAR_DAYS, check_bounds, fill_calendar)
 from tidemark.operators.clean import date_slice
 from tidemark.operators.indicators import technicals
 from tidemark.schema import PANEL_FEATURES
@@ -71,8 +71,7 @@ def build_panel(series: DataFrame, config: DataFrame, quotes: DataFrame,
     to rows that already lie together.  Indicators warm up from ``start``; the output is cut to
     ``output_start`` afterwards.
     """
-    prices = technicals(fill_calendar(series, start, end),
-                        max_rows=business_day_count(start, end)) \
+    prices = technicals(fill_calendar(series, start, end)) \
         .withColumnRenamed("price", "Price")
     out = feature_join(prices, config, quotes, commodities, start, end)
     return date_slice(out, output_start).select("market", "d", *columns)
