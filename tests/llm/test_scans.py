@@ -98,6 +98,14 @@ def test_constants_reach_sensitive_names():
     assert found(f'color = "{value}"\npassword = "changeme"\ntoken = ""\nif token == "{value}": pass') == []
 
 
+def test_propagation_is_linear_and_ends_at_the_next_assignment():
+    value = "Zx81kQp0vLm2Tt9"
+    chain = f'a0 = "{value}"\n' + "".join(f"a{i + 1} = a{i} + a{i}\n" for i in range(3000)) + "password = a3000\n"
+    assert [chain[a:b] for _, a, b in secret_scan.literal_spans(chain)] == [value]
+    again = f'a = "{value}1"\na = "{value}2"\nsecret = a\na = "{value}3"\n'
+    assert [again[a:b] for _, a, b in secret_scan.literal_spans(again)] == [value + "2"]
+
+
 def test_added_personal_data():
     text = "see https://a.example/b?c=1. IBAN: GB82 WEST 1234 5698 7654 32, account no 12345678"
     assert [(k, text[a:b]) for k, a, b in pii.find(text)[1]] == [

@@ -101,26 +101,35 @@ def pairs(text: str) -> Iterator[tuple[str, list[tuple[int, int] | str]]]:
 
 
 def literal_spans(text: str) -> list[Span]:
-    """Literals that reach a sensitive name and look like secrets."""
+    """Literals that reach a sensitive name and look like secrets.
+
+    One pass forward splits the right sides into literals and names that have been assigned before;
+    one pass back carries the weight of each name to what was assigned to it last.
+    """
     if "=" not in text and ":" not in text:
         return []
-    known: dict[str, list[tuple[int, int]]] = {}
-    score: dict[tuple[int, int], float] = {}
+    assigned: set[str] = set()
+    steps: list[tuple[str, list[tuple[int, int] | str]]] = []
     for name, terms in pairs(text):
-        reach: list[tuple[int, int]] = []
+        parts: list[tuple[int, int] | str] = []
         k = 0
         while k < len(terms):
-            if isinstance(terms[k], str):
-                reach += known.get(terms[k], [terms[k + 1]])
+            if isinstance(terms[k], str):  # a name, and the place where it stands
+                parts.append(terms[k] if terms[k] in assigned else terms[k + 1])
                 k += 2
             else:
-                reach.append(terms[k])
+                parts.append(terms[k])
                 k += 1
-        known[name] = reach
-        if weight := sensitivity(name):
-            for a, b in reach:
-                score[a, b] = max(score.get((a, b), 0.0), weight)
-    return [("literal", a, b) for (a, b), weight in score.items() if weight * look(text[a:b]) >= THRESHOLD]
+        steps.append((name, parts))
+        assigned.add(name)
+    weight: dict[str, float] = {}
+    score: dict[tuple[int, int], float] = {}
+    for name, parts in reversed(steps):
+        own = max(sensitivity(name), weight.pop(name, 0.0))
+        for part in parts if own else ():
+            held = weight if isinstance(part, str) else score
+            held[part] = max(held.get(part, 0.0), own)
+    return [("literal", a, b) for (a, b), own in sorted(score.items()) if own * look(text[a:b]) >= THRESHOLD]
 
 
 def find(text: str) -> tuple[list[Span], list[Span]]:
