@@ -37,16 +37,27 @@ def test_quality_of_held_out_rows(spark, learnt):
 
 
 def test_backoff_goes_to_shorter_grams():
-    model = language_id.Model.of([("aa", "thing", 9), ("aa", "sing", 5), ("bb", "ñoro", 7), ("bb", "cielo", 3)])
+    model = language_id.Model([("aa", "thing", 9), ("aa", "sing", 5), ("bb", "ñoro", 7), ("bb", "cielo", 3)])
     assert model.predict("thing")[0] == "aa" and model.predict("things")[0] == "aa"
     assert model.predict("ñ")[0] == "bb" and model.predict("loro")[0] == "bb"
     assert model.predict("123 !?") == model.predict(None) == model.predict("") == ("und", 0.0)
     known = model.word("xthingx")
-    want = np.mean([model.grams[5][g] for g in language_id.grams("xthingx", 5) if g in model.grams[5]], axis=0)
+    want = np.mean([model.gram_table[model.grams[g]] for g in language_id.grams("xthingx", 5) if g in model.grams], axis=0)
     assert np.allclose(known, want - language_id.STEP_DOWN)
     assert model.predict("жж") == ("aa", 0.5)
 
 
+def test_remembered_words_change_nothing(monkeypatch):
+    counts = [("aa", "thing", 9), ("aa", "sing", 5), ("bb", "ñoro", 7), ("bb", "cielo", 3)]
+    texts = [" ".join(f"{a}{b}" for a in ("thi", "oro", "x") for b in ("ng", "elo", k)) for k in ("a", "o", "thing", "q")] * 3
+    first = language_id.Model(counts)
+    want = [language_id.Model(counts).predict(t) for t in texts]
+    assert [first.predict(t) for t in texts] == want
+    monkeypatch.setattr(language_id, "CACHE", 5)
+    few = language_id.Model(counts)
+    assert [few.predict(t) for t in texts] == want and len(few.seen) < 30
+
+
 def test_language_of_odd_rows(spark):
     docs = frame(spark, [(1, "the thing is", "en"), (3, "la cosa es", "es"), (5, None, "en"), (None, "the thing", "en"), (7, "la cosa", None),
                          (7, "la cosa", None), (8, "", "es"), (9, "the " * 50000, None)])

@@ -19,7 +19,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +34,9 @@ ORDERS = (5, 4, 3, 2, 1)
 #: Added to each count, and the log penalty of each step down.
 SMOOTH, STEP_DOWN = 0.5, 0.4
 #: Unseen words whose scores a worker remembers.
-CACHE = 200_000
+CACHE = 400_000
+#: Languages up to this number are broadcast to the rows; beyond, rows are shuffled.
+BROADCAST_ROWS = 100_000
 UNKNOWN = "und"
 _WORD = re.compile(r"[^\W\d_]+")
 _LONGEST = 40
@@ -50,62 +52,85 @@ def grams(word: str, order: int) -> list[str]:
     return [padded[i:i + order] for i in range(len(padded) - order + 1)]
 
 
-@dataclass
 class Model:
-    """Log frequencies of words and n-grams by language."""
+    """Log frequencies by language: a row of ``table`` for each known word and n-gram.
 
-    languages: list[str]
-    words: dict[str, np.ndarray]
-    grams: dict[int, dict[str, np.ndarray]]
-    seen: dict[str, np.ndarray] = field(default_factory=dict, repr=False)
+    Rows of unseen words are added as they come, up to ``CACHE``, and then dropped again.
+    """
 
-    @classmethod
-    def of(cls, counts: list[tuple[str, str, int]]) -> Model:
+    def __init__(self, counts: list[tuple[str, str, int]]) -> None:
         """From rows of language, word and count."""
-        languages = sorted({lang for lang, _, _ in counts})
-        place = {lang: i for i, lang in enumerate(languages)}
+        self.languages = sorted({lang for lang, _, _ in counts})
+        place = {lang: i for i, lang in enumerate(self.languages)}
         by_word: dict[str, np.ndarray] = {}
         by_gram: dict[int, dict[str, np.ndarray]] = {n: {} for n in ORDERS}
         for lang, word, n in sorted(counts):
-            by_word.setdefault(word, np.zeros(len(languages)))[place[lang]] += n
+            by_word.setdefault(word, np.zeros(len(self.languages)))[place[lang]] += n
             for order in ORDERS:
                 for gram in grams(word, order):
-                    by_gram[order].setdefault(gram, np.zeros(len(languages)))[place[lang]] += n
-        return cls(languages, logs(by_word), {n: logs(g) for n, g in by_gram.items()})
-
-    def word(self, word: str) -> np.ndarray:
-        """Log frequency of a word in each language, by backoff if it is unseen."""
-        known = self.words.get(word)
-        if known is not None:
-            return known
-        known = self.seen.get(word)
-        if known is None:
-            known = np.zeros(len(self.languages))
+                    by_gram[order].setdefault(gram, np.zeros(len(self.languages)))[place[lang]] += n
+        self.words, self.table = logs(by_word)
+        parts = [logs(by_gram[n]) for n in ORDERS]
+        self.grams = {g: i for i, g in enumerate(chain.from_iterable(rows for rows, _ in parts))}
+        self.gram_table = np.concatenate([t for _, t in parts])
+        self.known = len(self.words)
+        self.seen: dict[str, int] = {}
+
+    def backoff(self, words: list[str]) -> np.ndarray:
+        """Log frequencies of unseen words in each language, by the longest known n-grams of each."""
+        rows, flat, size, steps = self.grams, [], [], []
+        for word in words:
+            found: list[int] = []
             for step, order in enumerate(ORDERS, 1):
-                found = [self.grams[order][g] for g in grams(word, order) if g in self.grams[order]]
+                found = [rows[g] for g in grams(word, order) if g in rows]
                 if found:
-                    known = np.mean(found, axis=0) - step * STEP_DOWN
                     break
-            if len(self.seen) >= CACHE:
-                self.seen.clear()
-            self.seen[word] = known
-        return known
+            flat += found
+            size.append(len(found))
+            steps.append(step)
+        out = np.zeros((len(words), len(self.languages)))
+        n = np.array(size)
+        full = np.flatnonzero(n)
+        if len(full):
+            total = np.add.reduceat(self.gram_table[flat], (np.cumsum(n) - n)[full], axis=0)
+            out[full] = total / n[full, None] - STEP_DOWN * np.array(steps)[full, None]
+        return out
+
+    def remember(self, words: list[str]) -> None:
+        """Add rows of words that have none yet."""
+        first = self.known + len(self.seen)
+        self.seen.update(zip(words, range(first, first + len(words))))
+        if first + len(words) > len(self.table):
+            more = max(len(words), len(self.table) // 2, 1024)
+            self.table = np.concatenate([self.table, np.zeros((more, len(self.languages)))])
+        self.table[first:first + len(words)] = self.backoff(words)
+
+    def word(self, word: str) -> np.ndarray:
+        """Log frequency of a word in each language."""
+        return self.table[self.words[word]] if word in self.words else self.backoff([word])[0]
 
     def predict(self, text: str | None) -> tuple[str, float]:
         words = words_of(text or "")
         if not words or not self.languages:
             return UNKNOWN, 0.0
-        total = np.array([self.word(w) for w in words]).T @ np.fromiter(words.values(), float, len(words))
+        if len(self.seen) > CACHE:
+            self.seen = {}
+        known, seen = self.words, self.seen
+        if new := [w for w in words if w not in known and w not in seen]:
+            self.remember(new)
+        rows = [known[w] if w in known else seen[w] for w in words]
+        total = np.fromiter(words.values(), float, len(words)) @ self.table[rows]
         best = int(total.argmax())
         return self.languages[best], round(float(1 / np.exp(np.maximum(total - total[best], -700)).sum()), 9)
 
 
-def logs(counts: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    """Smoothed log relative frequencies."""
+def logs(counts: dict[str, np.ndarray]) -> tuple[dict[str, int], np.ndarray]:
+    """The row of each key, and smoothed log relative frequencies by row."""
+    rows = {k: i for i, k in enumerate(counts)}
     if not counts:
-        return {}
-    total = np.sum(list(counts.values()), axis=0) + SMOOTH * len(counts)
-    return {k: np.log((v + SMOOTH) / total) for k, v in counts.items()}
+        return rows, np.zeros((0, 0))
+    table = np.array(list(counts.values()))
+    return rows, np.log((table + SMOOTH) / (table.sum(0) + SMOOTH * len(counts)))
 
 
 def _counted(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -124,11 +149,13 @@ def learn(docs: DataFrame) -> Model:
     rows = rows.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     share = rows.groupBy("lang").agg((F.lit(ROWS) / F.count("*")).alias("share"))
     place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 24)) / F.lit(float(1 << 24))
+    if share.count() <= BROADCAST_ROWS:
+        share = F.broadcast(share)
     sample = rows.join(share, "lang").filter(place < F.col("share")).select("lang", "text")
     counts = (by_batch(sample, _counted, "lang string, word string, n long")
               .groupBy("lang", "word").agg(F.sum("n").alias("n")))
     top = counts.orderBy(F.desc("n"), "lang", "word").limit(WORDS).collect()
-    return Model.of([(r.lang, r.word, r.n) for r in top])
+    return Model([(r.lang, r.word, r.n) for r in top])
 
 
 def identify(docs: DataFrame) -> DataFrame:
