@@ -137,7 +137,7 @@ def test_walk_forward_fit_blocks(spark):
         assert good[key].train_loss == 9.0
     bad = [r for r in rows if r.config_index == 1]
     assert all(r.y_pred is None and r.error == "RuntimeError: no" for r in bad)
-    assert forecast.failed_fits(log).count() == 2
+    assert metrics.failed_fits(log).count() == 2
     few = forecast.walk_forward_fit(lab, ["Price"], GRID[1:2], fit, 12, 0.25, max_windows=4)
     assert few.count() == 8
 
