@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.llm.tables import by_batch, documents, hex256
 
 #: Entries of one generation of the cache; a worker holds at most two generations.
-CACHE = 400_000
+CACHE = 250_000
 #: Documents whose ids are held at once.
 BATCH = 256
 #: White space as Unicode defines it (a fixed value).

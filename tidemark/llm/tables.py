@@ -67,6 +67,7 @@ def by_batch(df: DataFrame, work: Callable[[pa.RecordBatch], Iterator[pa.RecordB
         for batch in batches:
             if batch.num_rows:
                 yield from work(batch)
+        pa.default_memory_pool().release_unused()  # the worker lives on, next to others
     return df.mapInArrow(run, schema)
 
 

@@ -1,7 +1,7 @@
 """Words of many texts at once: boundaries, hashes and shingles with numpy over UTF-8 bytes.
 
 All separators of the word rules used here are ASCII, and every byte of a longer UTF-8 sequence is
-0x80 or more, so words can be cut on bytes.  Texts are worked through in blocks of some megabytes;
+0x80 or more, so words can be cut on bytes.  Texts are worked through in blocks of about a megabyte;
 a block holds whole texts, so peak memory is about 60 bytes per byte of the longest text.
 
 A word is hashed as the sum of a random number per byte times a power of an odd base, modulo 2**64,
@@ -17,7 +17,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 20
 
 _random = np.random.default_rng(20240611)
 _BYTE = [_random.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2)]
