@@ -1,5 +1,6 @@
 """Language identification and the quality classifier: held-out accuracy and odd rows."""
 
+import itertools
 import zlib
 
 import numpy as np
@@ -68,6 +69,25 @@ def test_language_of_odd_rows(spark):
     assert language_id.identify(docs.limit(0)).count() == 0
 
 
+def test_a_rare_language_keeps_its_words_and_grams(spark, monkeypatch):
+    """Two large languages of more words than are kept, and one of a few documents whose words are unique."""
+    monkeypatch.setattr(language_id, "WORDS", 300)
+    big = {lang: ["".join(p) for p in itertools.product(heads, vowels, ends, vowels)]
+           for lang, heads, vowels, ends in (("aa", "bdgklmnp", "aei", "rstvz"), ("bb", "bcfhjkqw", "ouy", "ndgmx"))}
+    data = [(100 * k + i, " ".join(words[i % 3:] + words), lang) for k, (lang, words) in enumerate(big.items()) for i in range(40)]
+    rare = [f"žu{a}š{b}ćo" for a in "aeiou" for b in "ptkbdgmnrl"]
+    data += [(1001, " ".join(rare[:20]), "cc"), (1003, " ".join(rare[20:40]), "cc")]
+    docs = frame(spark, [*data, (1005, " ".join(rare[40:]), None), (1006, " ".join(big["aa"][:9]), None), (1007, " ".join(big["bb"][-9:]), None)])
+    model = language_id.learn(docs)
+    assert model.languages == ["aa", "bb", "cc"]
+    assert sum(w in model.words for w in rare) == sum(w in " ".join(t for i, t, _ in data if zlib.crc32(str(i).encode()) % 4 != 2) for w in rare)
+    assert [model.predict(" ".join(x))[0] for x in (rare[40:], big["aa"][:9], big["bb"][-9:])] == ["cc", "aa", "bb"]
+    # N-grams come from all words, also from those that are not kept.
+    assert any(w not in model.words for w in big["aa"]) and all(g in model.grams for w in big["aa"] for g in language_id.grams(w, 3))
+    got = {r["doc_id"]: r["lang_pred"] for r in rows(language_id.identify(docs))}
+    assert (got[1005], got[1006], got[1007]) == ("cc", "aa", "bb")
+
+
 def test_the_risk_stays_non_negative():
     """Against plain logistic learning on true labels, from positives and unlabelled rows only."""
     rng = np.random.default_rng(1)

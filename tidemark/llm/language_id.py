@@ -6,9 +6,12 @@ single letters, with a penalty per step.  The sums over all words of a text are
 probabilities; the best language wins, the alphabetically first on a tie.
 
 The model is learnt from the training folds: at most about ``ROWS`` documents of each language, chosen
-by hash, counted in Spark.  The ``WORDS`` most frequent words over all languages are kept, so the
-model that is broadcast is bounded however many documents or languages there are.  N-gram frequencies
-come from those words.
+by hash.  Words, and n-grams of all of them, are counted in Spark before anything is left out.  Of each
+language the ``WORDS`` most frequent words and the ``WORDS`` most frequent n-grams of each order are kept
+(by hash where counts are equal), with their counts in every language; so what is broadcast grows with
+the number of languages, not with their documents, and a rare language loses nothing to a large one.
+What a language was never seen with has the same frequency in all languages, however much was learnt
+of each.
 
 A text that is null or has no letter is ``und`` with score 0, as is every text if nothing was learnt.
 Rows with a null language teach nothing.  Extra columns are ignored; repeated rows get equal results.
@@ -19,19 +22,20 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.tables import by_batch, documents, held_out, keyed
+from tidemark.session import stored
 
-#: Documents of one language that are counted, and words kept over all languages.
+#: Documents of one language that are counted; words, and n-grams of each order, kept of one language.
 ROWS, WORDS = 4_000, 100_000
 ORDERS = (5, 4, 3, 2, 1)
-#: Added to each count, and the log penalty of each step down.
+#: Added to the counts of the language with the most, and the log penalty of each step down.
 SMOOTH, STEP_DOWN = 0.5, 0.4
 #: Unseen words whose scores a worker remembers.
 CACHE = 400_000
@@ -52,29 +56,63 @@ def grams(word: str, order: int) -> list[str]:
     return [padded[i:i + order] for i in range(len(padded) - order + 1)]
 
 
+class Table:
+    """Log frequencies of keys by language: a floor for each key, and what is above it where it was counted."""
+
+    def __init__(self, n_languages: int, first: np.ndarray, lang: np.ndarray, above: np.ndarray, floor: np.ndarray) -> None:
+        self.n_languages, self.first, self.lang, self.above, self.floor = n_languages, first, lang, above, floor
+
+    def __getitem__(self, row: int) -> np.ndarray:
+        return self.sums(np.array([row]), np.ones(1), np.zeros(1, np.int64), 1)[0]
+
+    def sums(self, rows: np.ndarray, times: np.ndarray, group: np.ndarray, n_groups: int) -> np.ndarray:
+        """Sums of the given rows, so many times each, by group and language."""
+        size = self.first[rows + 1] - self.first[rows]
+        at = np.repeat(self.first[rows] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        cell = np.repeat(group, size) * self.n_languages + self.lang[at]
+        out = np.bincount(cell, self.above[at] * np.repeat(times, size), n_groups * self.n_languages)
+        return out.reshape(n_groups, -1) + np.bincount(group, self.floor[rows] * times, n_groups)[:, None]
+
+
 class Model:
-    """Log frequencies by language: a row of ``table`` for each known word and n-gram.
+    """Log frequencies by language of known words and n-grams.
 
-    Rows of unseen words are added as they come, up to ``CACHE``, and then dropped again.
+    Rows of unseen words are added to ``extra`` as they come, up to ``CACHE``, and then dropped again.
     """
 
-    def __init__(self, counts: list[tuple[str, str, int]]) -> None:
-        """From rows of language, word and count."""
-        self.languages = sorted({lang for lang, _, _ in counts})
-        place = {lang: i for i, lang in enumerate(self.languages)}
-        by_word: dict[str, np.ndarray] = {}
-        by_gram: dict[int, dict[str, np.ndarray]] = {n: {} for n in ORDERS}
-        for lang, word, n in sorted(counts):
-            by_word.setdefault(word, np.zeros(len(self.languages)))[place[lang]] += n
-            for order in ORDERS:
-                for gram in grams(word, order):
-                    by_gram[order].setdefault(gram, np.zeros(len(self.languages)))[place[lang]] += n
-        self.words, self.table = logs(by_word)
-        parts = [logs(by_gram[n]) for n in ORDERS]
-        self.grams = {g: i for i, g in enumerate(chain.from_iterable(rows for rows, _ in parts))}
-        self.gram_table = np.concatenate([t for _, t in parts])
-        self.known = len(self.words)
+    def __init__(self, counts: list[tuple[str, str, int]] | pa.Table, totals: dict[tuple[str, int], int] | None = None) -> None:
+        """From rows of language, word and count, or from a table of the kept keys.
+
+        ``totals`` are the counts of each language and kind of key before some were left out.
+        """
+        keys = counts if isinstance(counts, pa.Table) else pa.Table.from_batches([_keys(counts)]).group_by(
+            ["lang", "kind", "key"]).aggregate([("n", "sum")]).rename_columns(["lang", "kind", "key", "n"])
+        keys = keys.sort_by([("kind", "ascending"), ("key", "ascending"), ("lang", "ascending")]).combine_chunks()
+        self.languages = sorted(keys["lang"].unique().to_pylist())
+        lang = pc.index_in(keys["lang"], pa.array(self.languages, pa.string())).to_numpy().astype(np.int64)
+        kind, n = keys["kind"].to_numpy(), keys["n"].to_numpy().astype(float)
+        code = keys["key"].combine_chunks().dictionary_encode().indices.to_numpy() if len(n) else kind
+        head = np.ones(len(n), bool)
+        head[1:] = (kind[1:] != kind[:-1]) | (code[1:] != code[:-1])
+        first = np.append(np.flatnonzero(head), len(n))
+        names, kinds = keys["key"].take(pa.array(first[:-1])).to_pylist(), kind[first[:-1]]
+        above, floor = np.zeros(len(n)), np.zeros(len(names))
+        for k in (0, *ORDERS):
+            mine = kind == k
+            total = np.bincount(lang[mine], n[mine], len(self.languages))
+            if totals:
+                total = np.array([float(totals.get((x, k), 0)) for x in self.languages])
+            least, total = SMOOTH / max(total.max(initial=0), 1), np.maximum(total, 1)
+            above[mine] = np.log((n[mine] / total[lang[mine]] + least) / least)
+            floor[kinds == k] = np.log(least / (1 + least * (kinds == k).sum()))
+        self.known = int((kinds == 0).sum())
+        self.words = {w: i for i, w in enumerate(names[:self.known])}
+        self.grams = {g: i for i, g in enumerate(names[self.known:])}
+        cut = first[self.known]
+        self.table = Table(len(self.languages), first[:self.known + 1], lang[:cut], above[:cut], floor[:self.known])
+        self.gram_table = Table(len(self.languages), first[self.known:] - cut, lang[cut:], above[cut:], floor[self.known:])
         self.seen: dict[str, int] = {}
+        self.extra = np.zeros((0, len(self.languages)))
 
     def backoff(self, words: list[str]) -> np.ndarray:
         """Log frequencies of unseen words in each language, by the longest known n-grams of each."""
@@ -92,18 +130,18 @@ class Model:
         n = np.array(size)
         full = np.flatnonzero(n)
         if len(full):
-            total = np.add.reduceat(self.gram_table[flat], (np.cumsum(n) - n)[full], axis=0)
+            total = self.gram_table.sums(np.array(flat), np.ones(len(flat)), np.repeat(np.arange(len(n)), n), len(n))[full]
             out[full] = total / n[full, None] - STEP_DOWN * np.array(steps)[full, None]
         return out
 
     def remember(self, words: list[str]) -> None:
         """Add rows of words that have none yet."""
-        first = self.known + len(self.seen)
+        first = len(self.seen)
         self.seen.update(zip(words, range(first, first + len(words))))
-        if first + len(words) > len(self.table):
-            more = max(len(words), len(self.table) // 2, 1024)
-            self.table = np.concatenate([self.table, np.zeros((more, len(self.languages)))])
-        self.table[first:first + len(words)] = self.backoff(words)
+        if first + len(words) > len(self.extra):
+            more = max(len(words), len(self.extra) // 2, 1024)
+            self.extra = np.concatenate([self.extra, np.zeros((more, len(self.languages)))])
+        self.extra[first:first + len(words)] = self.backoff(words)
 
     def word(self, word: str) -> np.ndarray:
         """Log frequency of a word in each language."""
@@ -116,23 +154,20 @@ class Model:
         if len(self.seen) > CACHE:
             self.seen = {}
         known, seen = self.words, self.seen
-        if new := [w for w in words if w not in known and w not in seen]:
+        old = [w for w in words if w in known]
+        unseen = [w for w in words if w not in known]
+        if new := [w for w in unseen if w not in seen]:
             self.remember(new)
-        rows = [known[w] if w in known else seen[w] for w in words]
-        total = np.fromiter(words.values(), float, len(words)) @ self.table[rows]
+        total = np.zeros(len(self.languages))
+        if old:
+            times = np.array([words[w] for w in old], float)
+            total += self.table.sums(np.array([known[w] for w in old]), times, np.zeros(len(old), np.int64), 1)[0]
+        if unseen:
+            total += np.array([words[w] for w in unseen], float) @ self.extra[[seen[w] for w in unseen]]
         best = int(total.argmax())
         return self.languages[best], round(float(1 / np.exp(np.maximum(total - total[best], -700)).sum()), 9)
 
 
-def logs(counts: dict[str, np.ndarray]) -> tuple[dict[str, int], np.ndarray]:
-    """The row of each key, and smoothed log relative frequencies by row."""
-    rows = {k: i for i, k in enumerate(counts)}
-    if not counts:
-        return rows, np.zeros((0, 0))
-    table = np.array(list(counts.values()))
-    return rows, np.log((table + SMOOTH) / (table.sum(0) + SMOOTH * len(counts)))
-
-
 def _counted(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     total: dict[str, Counter[str]] = {}
     for lang, text in zip(batch["lang"].to_pylist(), batch["text"]):
@@ -143,6 +178,57 @@ def _counted(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         names=["lang", "word", "n"])
 
 
+def _keys(rows: list[tuple[str, str, int]]) -> pa.RecordBatch:
+    """Counts of words (kind 0) and of their n-grams (kind: the order)."""
+    total: dict[str, list[Counter[str]]] = {}
+    for lang, word, n in rows:
+        kinds = total.setdefault(lang, [Counter() for _ in range(max(ORDERS) + 1)])
+        kinds[0][word] += n
+        for order in ORDERS:
+            count = kinds[order]
+            for gram in grams(word, order):
+                count[gram] += n
+    out = [(lang, k, key, n) for lang, kinds in total.items() for k, count in enumerate(kinds) for key, n in count.items()]
+    return pa.RecordBatch.from_arrays(
+        [pa.array([r[k] for r in out], t) for k, t in enumerate((pa.string(), pa.int32(), pa.string(), pa.int64()))],
+        names=["lang", "kind", "key", "n"])
+
+
+def _expanded(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    rows = list(zip(*(batch[c].to_pylist() for c in ("lang", "word", "n"))))
+    for i in range(0, len(rows), 10_000):
+        yield _keys(rows[i:i + 10_000])
+
+
+def _least(steps: list[tuple[int, int]]) -> tuple[int, float]:
+    """The count above which all keys are kept, and the share of those kept that have it, from counts and numbers of keys."""
+    left = WORDS
+    for n, keys in sorted(steps, reverse=True):
+        if keys > left:
+            return n, left / keys
+        left -= keys
+    return 0, 0.0
+
+
+def kept(keys: DataFrame) -> tuple[DataFrame, dict[tuple[str, int], int]]:
+    """The rows of the keys that are kept in some language, and the sum of all counts by language and kind."""
+    sizes = keys.groupBy("lang", "kind").agg(F.count("*").alias("keys"), F.sum("n").alias("total")).collect()
+    totals = {(r.lang, r.kind): r.total for r in sizes}
+    over = [(r.lang, r.kind) for r in sizes if r["keys"] > WORDS]
+    if not over:
+        return keys, totals
+    spark = keys.sparkSession
+    steps: dict[tuple[str, int], list[tuple[int, int]]] = {}
+    large = F.broadcast(spark.createDataFrame(over, "lang string, kind int"))
+    for r in keys.join(large, ["lang", "kind"]).groupBy("lang", "kind", "n").agg(F.count("*").alias("keys")).toLocalIterator():
+        steps.setdefault((r.lang, r.kind), []).append((r.n, r["keys"]))
+    least = spark.createDataFrame([(*k, *_least(v)) for k, v in steps.items()], "lang string, kind int, least long, share double")
+    place = F.pmod(F.xxhash64("key"), F.lit(1 << 24)) / F.lit(float(1 << 24))
+    stay = (keys.join(F.broadcast(least), ["lang", "kind"], "left")
+            .filter(F.col("least").isNull() | (F.col("n") > F.col("least")) | ((F.col("n") == F.col("least")) & (place < F.col("share")))))
+    return keys.join(stay.select("kind", "key").distinct(), ["kind", "key"], "left_semi").select("lang", "kind", "key", "n"), totals
+
+
 def learn(docs: DataFrame) -> Model:
     """The model of the training folds."""
     rows = docs.select(docs["lang"].alias("lang"), docs["text"].alias("text"), docs["doc_id"].cast("long").alias("doc_id"))
@@ -152,10 +238,12 @@ def learn(docs: DataFrame) -> Model:
     if share.count() <= BROADCAST_ROWS:
         share = F.broadcast(share)
     sample = rows.join(share, "lang").filter(place < F.col("share")).select("lang", "text")
-    counts = (by_batch(sample, _counted, "lang string, word string, n long")
-              .groupBy("lang", "word").agg(F.sum("n").alias("n")))
-    top = counts.orderBy(F.desc("n"), "lang", "word").limit(WORDS).collect()
-    return Model([(r.lang, r.word, r.n) for r in top])
+    words = (by_batch(sample, _counted, "lang string, word string, n long")
+             .groupBy("lang", "word").agg(F.sum("n").alias("n")))
+    keys = stored(by_batch(words, _expanded, "lang string, kind int, key string, n long")
+                  .groupBy("lang", "kind", "key").agg(F.sum("n").alias("n")), "language_keys")
+    top, totals = kept(keys)
+    return Model(top.toArrow(), totals)
 
 
 def identify(docs: DataFrame) -> DataFrame:
