@@ -2,6 +2,7 @@
 
 import itertools
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -88,6 +89,27 @@ def test_a_rare_language_keeps_its_words_and_grams(spark, monkeypatch):
     assert (got[1005], got[1006], got[1007]) == ("cc", "aa", "bb")
 
 
+@pytest.mark.parametrize("length", [1, 40, 41, 44, 45, 79, 80, 81, 163, 1000])
+def test_pieces_of_a_run_hold_each_gram_once(length):
+    run = "".join(chr(97 + i * i % 23) for i in range(length))
+    words = language_id.words_of(f"1 {run}.")
+    for order in language_id.ORDERS:
+        padded = f" {run} " if order > 1 else run
+        want = [padded[i:i + order] for i in range(len(padded) - order + 1)]
+        assert Counter(g for w, n in words.items() for g in language_id.grams(w, order) * n) == Counter(want)
+
+
+def test_the_whole_of_a_long_run_counts(spark):
+    first, rest = "thesingthing" * 4, "ñorocieloñu" * 30
+    docs = frame(spark, [(1, "thesingthing sing thing the", "en"), (3, "ñorocieloñu cielo ñoro ñu", "es"), (1001, first + rest, None),
+                         (1003, "xxx" + rest[:60] + "yyy", "es"), (1004, rest[:30] + first * 8, None)])
+    model = language_id.learn(docs)
+    got = {r["doc_id"]: r["lang_pred"] for r in rows(language_id.identify(docs))}
+    assert got[1001] == "es" and got[1004] == "en"
+    long_run = language_id.words_of("xxx" + rest[:60] + "yyy")
+    assert len(long_run) == 2 and all(w in model.words for w in long_run)
+
+
 def test_the_risk_stays_non_negative():
     """Against plain logistic learning on true labels, from positives and unlabelled rows only."""
     rng = np.random.default_rng(1)

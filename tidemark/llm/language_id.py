@@ -2,7 +2,9 @@
 
 A known word scores each language by the log of its relative frequency there.  An unseen word falls
 back to its character n-grams of the longest order of which any is known, from ``ORDERS[0]`` down to
-single letters, with a penalty per step.  The sums over all words of a text are turned into
+single letters, with a penalty per step.  A run of more than ``_LONGEST`` letters, as in scripts without
+blanks, counts as that many words as it has pieces of nearly equal length, and every n-gram of the run
+counts in one of them.  The sums over all words of a text are turned into
 probabilities; the best language wins, the alphabetically first on a tie.
 
 The model is learnt from the training folds: at most about ``ROWS`` documents of each language, chosen
@@ -43,17 +45,38 @@ CACHE = 400_000
 BROADCAST_ROWS = 100_000
 UNKNOWN = "und"
 _WORD = re.compile(r"[^\W\d_]+")
-_LONGEST = 40
+#: Letters of a piece of a long run, and the mark of a piece where the run goes on.
+_LONGEST, _JOIN = 40, "-"
 
 
 def words_of(text: str) -> Counter[str]:
-    return Counter(_WORD.findall(text.lower()))
+    """Runs of letters, longer ones in pieces; the same in learning and in look-up."""
+    runs = Counter(_WORD.findall(text.lower()))
+    for run in [r for r in runs if len(r) > _LONGEST]:
+        n = runs.pop(run)
+        for piece in pieces(run):
+            runs[piece] += n
+    return runs
+
+
+def pieces(run: str) -> list[str]:
+    """A long run of letters in parts of nearly equal length, with ``_JOIN`` where the run goes on.
+
+    Each part but the last has the next few letters too, so that every n-gram of the run is in one part.
+    """
+    n = -(-len(run) // _LONGEST)
+    cuts = [len(run) * i // n for i in range(n + 1)]
+    return [_JOIN * (a > 0) + (run[a:b + ORDERS[0] - 1] + _JOIN if b < len(run) else run[a:b]) for a, b in zip(cuts, cuts[1:])]
 
 
 def grams(word: str, order: int) -> list[str]:
-    """Character n-grams of a word between its edges; long words count by their first letters."""
-    padded = f" {word[:_LONGEST]} " if order > 1 else word[:_LONGEST]
-    return [padded[i:i + order] for i in range(len(padded) - order + 1)]
+    """Character n-grams of a word between its edges, or those that begin in a piece of a long run."""
+    more = word.endswith(_JOIN)
+    padded = word.strip(_JOIN)
+    if order > 1:
+        padded = " " * (not word.startswith(_JOIN)) + padded + " " * (not more)
+    n = len(padded) - (ORDERS[0] if more else order) + 1
+    return [padded[i:i + order] for i in range(n)]
 
 
 class Table:
@@ -172,7 +195,7 @@ def _counted(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     total: dict[str, Counter[str]] = {}
     for lang, text in zip(batch["lang"].to_pylist(), batch["text"]):
         total.setdefault(lang, Counter()).update(words_of(text.as_py()))
-    rows = [(lang, w[:_LONGEST], n) for lang, words in total.items() for w, n in words.items()]
+    rows = [(lang, w, n) for lang, words in total.items() for w, n in words.items()]
     yield pa.RecordBatch.from_arrays(
         [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.int64()))],
         names=["lang", "word", "n"])
