@@ -1,6 +1,7 @@
 """Secrets and personal data against plain regular expressions."""
 
 import re
+import time
 
 import duckdb
 import pytest
@@ -111,3 +112,35 @@ def test_added_personal_data():
     assert [(k, text[a:b]) for k, a, b in pii.find(text)[1]] == [
         ("url", "https://a.example/b?c=1"), ("iban", "GB82 WEST 1234 5698 7654 32"), ("account", "12345678")]
     assert pii.mask("x a@b.cc, 10.0.0.1") == "x <email>, <ip>"
+
+
+VALUE = "Zx81kQp0vLm2Tt9"
+FORMS = ["password: str = '{}'", 'password: str = "{}"', "let password: string = '{}';", "password?: string = '{}'", 'val password: String? = "{}"',
+         'const PASSWORD: &\'static str = "{}";', 'password: Optional[str] = "{}"', 'password: str | None = "{}"', 'var password string = "{}"',
+         'password = b"{}"', "password = r'{}'", 'password = rb"{}"', 'password = f"{}"', 'password = @"{}"', 'password = r#"{}"#',
+         'password = """{}"""', "password = '''{}'''", 'password = """\n{}\n"""', "password = `{}`", "password: str = b'''{}'''",
+         "password" + " " * 40 + "=" + "\t" * 40 + '"{}"', 'x = b"{}"\npassword: str = x', 'note: password = "{}"', 'title: pw = "{}"\npassword = pw']
+
+
+def literals(text):
+    return [text[a:b] for _, a, b in secret_scan.literal_spans(text)]
+
+
+@pytest.mark.parametrize("form", FORMS)
+def test_forms_of_assignments(form):
+    assert literals('title: str = "An0therL1teral99"\n' + form.replace("{}", VALUE) + "\n") == [VALUE]
+
+
+def test_sums_are_scored_whole_and_reported_by_piece():
+    assert literals('password = "Zx81" + "kQp0" + "vLm2"') == ["Zx81", "kQp0", "vLm2"]
+    assert literals('a = "Zx81"\nb = a' + " " * 30 + '+ "kQp0"\npassword: str = b + b"vLm2"') == ["Zx81", "kQp0", "vLm2"]
+    assert literals('password = "xxx" + "xxx"\ntitle = "Zx81" + "kQp0" + "vLm2"') == []
+    assert literals('password = "Zx81" + read(x)') == []
+
+
+@pytest.mark.parametrize("text", ["a" + " " * 400_000, "a: " * 130_000, 'a = """' * 60_000, "a = `" * 80_000, 'a: b = r#"' * 40_000, "a: b | " * 50_000,
+                                  "a = b + " * 50_000, 'a="' + "\\" * 400_000])
+def test_long_texts_take_linear_time(text):
+    began = time.process_time()
+    secret_scan.literal_spans(text)
+    assert time.process_time() - began < 20

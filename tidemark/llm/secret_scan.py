@@ -1,11 +1,12 @@
 """Secret scan by assignment-aware lexing.
 
 A text is lexed into pairs of a name and what is assigned to it: quoted or bare literals, names, and
-sums of them, in source code (``name = "x"``, ``name := x``), JSON and YAML (``"name": "x"``) and
-settings (``NAME=x``).  Constants are propagated in text order: a name that was assigned literals
+sums of them, in source code (``name = "x"``, ``name := x``, ``name: type = x``), JSON and YAML
+(``"name": "x"``) and settings (``NAME=x``).  Strings may have a prefix, triple quotes or backticks.
+Constants are propagated in text order: a name that was assigned literals
 stands for them wherever it is assigned on.  Each literal is scored by the most sensitive name it
-reaches and by its own look (length, variety, entropy); literals of at least ``THRESHOLD`` are
-reported as kind ``literal``.  The three base patterns are reported besides, whatever the score.
+reaches and by the look (length, variety, entropy) of itself or of a sum it is a piece of; literals of
+at least ``THRESHOLD`` are reported as kind ``literal``, the pieces of a sum one by one.  The three base patterns are reported besides, whatever the score.
 
 Spans count code points.  A null or empty text has none.  Repeated rows get equal results; extra
 columns are ignored.
@@ -34,11 +35,28 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _CUES = ("password", "passwd", "secret", "token", "api")
 
-#: A name, perhaps quoted, an assignment sign that is no comparison, and where the right side begins.
-_PAIR = re.compile(r"""(?P<q>["']?)(?P<name>[A-Za-z_$][A-Za-z0-9_.$-]{0,127})(?P=q)[ \t]{0,16}(?::=|=>|=(?![=~>])|:(?![:/]))[ \t]{0,16}""")
-_STRING = re.compile(r'''"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)\'''')
+#: A declared type, and what an assignment sign is that is no comparison.
+_TYPE = (r"""[&*]{0,2}(?:'[a-z_]{1,32}[ \t]{1,4})?(?:(?:mut|dyn|const)[ \t]{1,4})?[A-Za-z_][A-Za-z0-9_.:]{0,63}"""
+         r"""(?:[\[<][^\n=;"`]{0,96}?[\]>]{1,4})?[?!*]{0,2}(?:[ \t]{0,4}\|[ \t]{0,4}[A-Za-z_][A-Za-z0-9_.\[\]]{0,63}){0,4}""")
+_EQUALS = r"=(?![=~>])"
+#: Before a string: letters, signs, or the marks of a raw string.
+_PREFIX = r"(?:[bBrRfFuUlL]{1,2}|[@$]{1,2})?"
+#: A name, perhaps quoted, an assignment sign after an optional type, and where the right side begins.
+#: With a type, the right side is a string, or a name set off by blanks.
+_PAIR = re.compile(
+    r"""(?P<q>["']?)(?P<name>[A-Za-z_$][A-Za-z0-9_.$-]{0,127})(?P=q)[ \t]*+(?::=|=>|""" + _EQUALS
+    + r"""|(?<=[ \t])(?:string|\[\]byte)[ \t]*+""" + _EQUALS
+    + r"""|\??:[ \t]*+(?P<type>""" + _TYPE + r""")(?:[ \t]*+""" + _EQUALS + r"""(?=[ \t]*+(?:r\#{1,8}|""" + _PREFIX + r""")["'`])"""
+    + r"""|[ \t]++""" + _EQUALS + r"""(?=[ \t]++[A-Za-z_$]))|:(?![:/]))[ \t]*+""")
+_STRING = re.compile(
+    _PREFIX + r"""(?:\"{3}(?P<three>(?:[^\\]|\\.)*?)\"{3}|'{3}(?P<single>(?:[^\\]|\\.)*?)'{3}|`(?P<tick>(?:[^`\\]|\\.)*+)`"""
+    + r"""|"(?P<double>(?:[^"\\\n]|\\.)*+)"|'(?P<one>(?:[^'\\\n]|\\.)*+)')""", re.DOTALL)
+#: Raw strings end at a quote with as many marks.
+_RAW = re.compile(r"r(#{1,8})\"")
+#: Types that are no names of constants.
+_TYPES = {"str", "string", "bytes", "char", "text", "any", "object", "final", "const", "int", "float", "bool", "boolean", "number"}
 _BARE = re.compile(r"[A-Za-z0-9+/_.=$-]+")
-_PLUS = re.compile(r"[ \t]{0,16}\+[ \t]{0,16}")
+_PLUS = re.compile(r"[ \t]*+\+[ \t]*+")
 _NAME = re.compile(r"[A-Za-z_$][A-Za-z0-9_.$-]{0,127}\Z")
 _PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 #: How much a part of a name says about what it holds.
@@ -69,67 +87,120 @@ def sensitivity(name: str) -> float:
 
 def look(literal: str) -> float:
     """0 to 1: how much a literal looks like a secret by its length, entropy and kinds of characters."""
-    if len(literal) < 6 or _PLACEHOLDER.match(literal) or " " in literal:
-        return 0.0
-    n = len(literal)
-    entropy = -sum(c / n * math.log2(c / n) for c in Counter(literal).values())
-    kinds = sum(any(f(c) for c in literal) for f in (str.islower, str.isupper, str.isdigit))
-    return min(1.0, entropy / 4) * (0.6 + 0.2 * min(kinds, 2)) * min(1.0, 0.5 + n / 24)
+    return 0.0 if _PLACEHOLDER.match(literal) else counted_look(Counter(literal))
 
 
-def pairs(text: str) -> Iterator[tuple[str, list[tuple[int, int] | str]]]:
-    """Names in text order with the terms assigned to them: spans of literals, or other names."""
-    at = 0
+def counted_look(chars: Counter[str]) -> float:
+    """The look of what is made of these characters and is no placeholder."""
+    n = sum(chars.values())
+    if n < 6 or " " in chars:
+        return 0.0
+    entropy = -sum(c / n * math.log2(c / n) for c in chars.values())
+    kinds = sum(any(f(c) for c in chars) for f in (str.islower, str.isupper, str.isdigit))
+    return min(1.0, entropy / 4) * (0.6 + 0.2 * min(kinds, 2)) * min(1.0, 0.5 + min(n, 12) / 24)
+
+
+Term = tuple[int, int] | str
+#: A folded constant: its characters, and its text while that is short; None if it is not known.
+Folded = tuple[Counter[str], str | None] | None
+#: Characters of folded text that are kept to see placeholders, and distinct characters of a folded constant.
+_KEPT, _DISTINCT = 1_000, 256
+
+
+def folded(values: list[Folded]) -> Folded:
+    """The sum of constants; one constant is itself."""
+    if len(values) == 1:
+        return values[0]
+    chars: Counter[str] = Counter()
+    text: str | None = ""
+    for value in values:
+        if value is None:
+            return None
+        chars.update(value[0])
+        text = None if text is None or value[1] is None or len(text) + len(value[1]) > _KEPT else text + value[1]
+        if len(chars) > _DISTINCT:
+            return None
+    return (chars, text) if values else None
+
+
+def pairs(text: str) -> Iterator[tuple[str, list[tuple[Term, tuple[int, int] | None]]]]:
+    """Names in text order with the terms assigned to them: spans of strings, or bare words and where they stand."""
+    at, open_marks = 0, set()
     while m := _PAIR.search(text, at):
-        at, terms = m.end(), []
+        at, terms, bare = m.end(), [], False
         while True:
-            if s := _STRING.match(text, at):
-                terms.append(s.span(1) if s.start(1) >= 0 else s.span(2))
+            end = -1
+            if (raw := _RAW.match(text, at)) and raw[1] not in open_marks:
+                end = text.find(f'"{raw[1]}', raw.end())
+                if end < 0:
+                    open_marks.add(raw[1])  # none ends from here on, so the rest is searched once
+            if end >= 0:
+                terms.append(((raw.end(), end), None))
+                bare, at = False, end + 1 + len(raw[1])
+            elif s := _STRING.match(text, at):
+                k = s.lastgroup
+                a, b = s.span(k)
+                if k in ("three", "single", "tick"):  # text in such quotes may stand on lines of its own
+                    body = text[a:b]
+                    a, b = a + len(body) - len(body.lstrip()), b - len(body) + len(body.rstrip())
+                terms.append(((a, max(a, b)), None))
+                bare, at = False, s.end()
             elif s := _BARE.match(text, at):
-                terms.append(s[0] if _NAME.match(s[0]) else s.span())
-                if isinstance(terms[-1], str):
-                    terms.append(s.span())
+                terms.append((s[0] if _NAME.match(s[0]) else s.span(), s.span()))
+                bare, at = True, s.end()
             else:
                 break
-            at = s.end()
             if not (plus := _PLUS.match(text, at)):
                 break
             at = plus.end()
         yield m["name"], terms
-        if terms and not isinstance(terms[-1], str) and text[at - 1:at] not in "\"'":
-            at = max(m.end(), terms[-1][0])  # a bare word may itself be the next name
+        if m["type"] and _NAME.match(m["type"]) and m["type"].lower() not in _TYPES:
+            yield m["type"], terms  # `note: name = "x"` is no type
+        if bare:
+            at = max(m.end(), terms[-1][1][0])  # a bare word may itself be the next name
 
 
 def literal_spans(text: str) -> list[Span]:
     """Literals that reach a sensitive name and look like secrets.
 
-    One pass forward splits the right sides into literals and names that have been assigned before;
-    one pass back carries the weight of each name to what was assigned to it last.
+    One pass forward splits the right sides into literals and names that have been assigned before, and
+    folds them; one pass back carries the weight of each name, and the score of what it was folded into,
+    to what was assigned to it last.
     """
     if "=" not in text and ":" not in text:
         return []
-    assigned: set[str] = set()
-    steps: list[tuple[str, list[tuple[int, int] | str]]] = []
+    assigned: dict[str, Folded] = {}
+    steps: list[tuple[str, list[Term], Folded]] = []
     for name, terms in pairs(text):
-        parts: list[tuple[int, int] | str] = []
-        k = 0
-        while k < len(terms):
-            if isinstance(terms[k], str):  # a name, and the place where it stands
-                parts.append(terms[k] if terms[k] in assigned else terms[k + 1])
-                k += 2
-            else:
-                parts.append(terms[k])
-                k += 1
-        steps.append((name, parts))
-        assigned.add(name)
-    weight: dict[str, float] = {}
+        parts: list[Term] = []
+        values: list[Folded] = []
+        for term, place in terms:
+            if isinstance(term, str) and term in assigned:
+                parts.append(term)
+                values.append(assigned[term])
+                continue
+            a, b = parts_span = term if place is None else place
+            parts.append(parts_span)
+            unknown = place is not None and len(terms) > 1  # a bare word of a sum may stand for anything
+            values.append(None if unknown else (Counter(text[a:b]), text[a:b] if b - a <= _KEPT else None))
+        steps.append((name, parts, folded(values)))
+        assigned[name] = steps[-1][2]
+    weight: dict[str, tuple[float, float]] = {}
     score: dict[tuple[int, int], float] = {}
-    for name, parts in reversed(steps):
-        own = max(sensitivity(name), weight.pop(name, 0.0))
-        for part in parts if own else ():
-            held = weight if isinstance(part, str) else score
-            held[part] = max(held.get(part, 0.0), own)
-    return [("literal", a, b) for (a, b), own in sorted(score.items()) if own * look(text[a:b]) >= THRESHOLD]
+    for name, parts, value in reversed(steps):
+        own, whole = weight.pop(name, (0.0, 0.0))
+        own = max(sensitivity(name), own)
+        if not own:
+            continue
+        if len(parts) > 1 and value and not (value[1] and _PLACEHOLDER.match(value[1])):
+            whole = max(whole, own * counted_look(value[0]))
+        for part in parts:
+            if isinstance(part, str):
+                a, b = weight.get(part, (0.0, 0.0))
+                weight[part] = (max(a, own), max(b, whole))
+            else:
+                score[part] = max(score.get(part, 0.0), whole, own * look(text[part[0]:part[1]]))
+    return [("literal", a, b) for (a, b), best in sorted(score.items()) if a < b and best >= THRESHOLD]
 
 
 def find(text: str) -> tuple[list[Span], list[Span]]:
