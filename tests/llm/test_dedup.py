@@ -223,5 +223,17 @@ def test_licenses_of_odd_rows(spark):
         license_scan.template_table(spark, [("a", "b")] * 2001)
 
 
+def test_neighbouring_licenses_are_told_apart(spark):
+    """Each notice by itself, in other words and with one word edited, and two next to each other."""
+    notices = license_scan.TEMPLATES
+    docs = [(i, "some words before " * 5 + text + " and some after it" * 5) for i, (_, text) in enumerate(notices)]
+    gpl, agpl = (next(t for k, t in notices if k == name and "redistribute" in t) for name in ("GPL-2.0", "AGPL-3.0"))
+    docs += [(900, gpl.replace("redistribute", "share")), (901, agpl.replace("option", "choice")), (902, f"{gpl} {agpl}")]
+    got = {}
+    for r in rows(license_scan.scan(frame(spark, docs))):
+        got.setdefault(r["doc_id"], set()).add(r["license"])
+    assert got == {**{i: {name} for i, (name, _) in enumerate(notices)}, 900: {"GPL-2.0"}, 901: {"AGPL-3.0"}, 902: {"GPL-2.0", "AGPL-3.0"}}
+
+
 def test_row_keys_ignore_other_columns(spark):
     assert keyed(frame(spark, [(1, "x")])).columns == ["doc_id", "text", "rk"]

@@ -6,7 +6,9 @@ A band is one MinHash value (a row count of 1), and there are ``BANDS`` of them:
 least 0.8 of the template's shingles has a Jaccard similarity s of at least 1/4 (for five words; near
 1/2 for long templates), and shares a band with probability ``1 - (1 - s)**BANDS``, over 0.9998.
 Windows that share a band with the template are verified by exact containment of shingles:
-a match has at least ``CONTAINED`` of them.
+a match has at least ``CONTAINED`` of them.  Neighbouring licenses share most of their words, so at each
+shingle of a text the match counts that has most of its template (of the longer one, if equal), and a
+match that is outdone at half of its shingles or more is left out.
 
 A window can only share a band with a template if it holds the shingle that is the template's least in
 that band.  So texts, and windows, without any of these few shingles are passed over before any
@@ -23,7 +25,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.tables import documents, keyed
@@ -57,6 +59,50 @@ TEMPLATES: list[tuple[str, str]] = [
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
+#: Those that ``OP2_SQL`` compares; the tables it is held against have no others.
+_IN_SQL = len(TEMPLATES)
+
+
+def _gnu(kind: str, name: str, version: str, mark: str) -> str:
+    return (f"This {kind} is free software{mark} you can redistribute it and/or modify it under the terms of the GNU {name} as published "
+            f"by the Free Software Foundation{mark.replace(':', ',')} either version {version} of the License, or (at your option) any later version.")
+
+
+_LESSER, _AFFERO = "Lesser General Public License", "Affero General Public License"
+TEMPLATES += [
+    ("GPL-2.0", _gnu("program", "General Public License", "2", ";")),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public "
+                "License version 2 as published by the Free Software Foundation."),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("LGPL-2.1", _gnu("library", _LESSER, "2.1", ";")),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+    ("LGPL-3.0", _gnu("program", _LESSER, "3", ":")),
+    ("LGPL-3.0", _gnu("library", _LESSER, "3", ":")),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("AGPL-3.0", _gnu("program", _AFFERO, "3", ":")),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("EPL-1.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 "
+                "which accompanies this distribution, and is available at"),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 "
+                "which is available at"),
+    ("EPL-2.0", "Eclipse Public License - v 2.0"),
+    ("CC0-1.0", "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this "
+                "software to the public domain worldwide. This software is distributed without any warranty."),
+    ("CC0-1.0", "Creative Commons Legal Code CC0 1.0 Universal"),
+    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
+    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
+    *((f"CC-BY-{short}-4.0", f"This work is licensed under a Creative Commons Attribution-{name} 4.0 International License.")
+      for short, name in (("NC", "NonCommercial"), ("ND", "NoDerivatives"), ("NC-SA", "NonCommercial-ShareAlike"),
+                          ("NC-ND", "NonCommercial-NoDerivatives"))),
+    *((f"CC-BY-{short}-4.0", f"Licensed under CC BY-{short} 4.0.") for short in ("ND", "NC-SA", "NC-ND")),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for "
+             "any damages arising from the use of this software."),
+]
 
 
 def words(text: Column) -> Column:
@@ -109,6 +155,20 @@ def template_table(spark: SparkSession, templates: list[tuple[str, str]] | None
                         lambda k: F.array_min(F.transform(F.col("h"), lambda h: F.struct(F.xxhash64(h, k).alias("v"), h.alias("h"))))["h"]).alias("least")))
 
 
+def best(found: DataFrame) -> DataFrame:
+    """The matches that no match of another license outdoes at half of their shingles or more."""
+    runs = F.transform(F.sequence(F.lit(1), F.size("ww") - SHINGLE + 1), lambda i: F.array_join(F.slice("ww", i, SHINGLE), " "))
+    hits = F.filter(F.transform(runs, lambda p, i: F.when(F.array_contains("phrases", p), F.col("start") + i)), lambda i: i.isNotNull())
+    grade = F.struct("contained", F.size("phrases").alias("size"))
+    spots = found.select("rk", "doc_id", "license", "template", "start", "contained", grade.alias("grade"), F.explode(hits).alias("spot"))
+    place = Window.partitionBy("rk", "doc_id", "spot")
+    own = F.max("grade").over(Window.partitionBy("rk", "doc_id", "spot", "license"))
+    return (spots.withColumn("own", own).withColumn("top", F.max("grade").over(place))
+            .groupBy("rk", "doc_id", "license", "template", "start")
+            .agg(F.max("contained").alias("contained"), F.avg((F.col("own") == F.col("top")).cast("int")).alias("won"))
+            .filter(F.col("won") > 0.5))
+
+
 def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None) -> DataFrame:
     """``doc_id``, ``license``, ``first_word`` (start of the first matching window) and ``contained``."""
     spark = docs.sparkSession
@@ -139,7 +199,7 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None) -> Dat
     found = (windows.join(F.broadcast(notices), "n_words").filter(alike)
              .withColumn("contained", F.size(F.array_intersect(phrases(F.col("ww")), F.col("phrases"))) / F.size("phrases"))
              .filter(F.col("contained") >= CONTAINED))
-    return found.groupBy("rk", "doc_id", "license").agg(
+    return best(found).groupBy("rk", "doc_id", "license").agg(
         F.min("start").alias("first_word"), F.max("contained").alias("contained")).drop("rk")
 
 
@@ -150,7 +210,7 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sql() -> str:
     """Every window of every text against every template, without bands."""
-    rows = ", ".join("({}, '{}', '{}')".format(i, name, text.replace("'", "''")) for i, (name, text) in enumerate(TEMPLATES))
+    rows = ", ".join("({}, '{}', '{}')".format(i, name, text.replace("'", "''")) for i, (name, text) in enumerate(TEMPLATES[:_IN_SQL]))
     return f"""
 WITH raw(template, license, notice) AS (VALUES {rows}),
 t AS (SELECT template, license, list_filter(string_split_regex(lower(notice), '[^\\pL\\pN]+'), lambda x: x <> '') AS ws FROM raw),
