@@ -5,8 +5,11 @@ BPE.  A document's fertility is its characters per token in each, the share of p
 bytes, and the entropy of its pieces as a share of the most that so many pieces can have.  Each script
 has a band for each measure (``BANDS``); a document outside any of them is rejected, and so is one
 that fails the base rule: fewer than ``LEAST_WORDS`` words, or more than half of them in repeated
-three-word windows.  The bands are wide: they reject text that a vocabulary cannot have seen (binary,
-base64, shuffled bytes) or that says the same over and over, not unusual prose.
+three-word windows.  The floors of Latin and Cyrillic lie between generated junk and public text (the
+message catalogues of programs, in all languages there), so base64, hex and random letters of mixed case
+or Cyrillic are rejected.  Random or shuffled lower-case Latin letters, and random letters of the other
+scripts, have as many characters per token as prose of languages the vocabularies hardly know: no
+floor tells them apart, and they pass.
 
 Words repeat, so their pieces are kept per worker in a cache of bounded size.  Words are runs of
 anything but space and the controls 9 to 13.  A null or empty text has no words and fails the base
@@ -32,13 +35,15 @@ LEAST_WORDS, MOST_REPEATED = 50, 50
 #: By script: least and most characters per piece, least characters per byte-level token, most share of
 #: fallback bytes, least share of the possible entropy.
 BANDS: dict[str, tuple[float, float, float, float, float]] = {
-    "latin": (1.2, 12.0, 1.1, 0.20, 0.35),
+    "latin": (1.35, 12.0, 1.1, 0.20, 0.35),
     "greek": (0.8, 12.0, 0.4, 0.30, 0.35),
-    "cyrillic": (0.9, 12.0, 0.4, 0.30, 0.35),
+    "cyrillic": (1.18, 12.0, 0.4, 0.30, 0.35),
     "arabic": (0.6, 12.0, 0.4, 0.50, 0.35),
     "han": (0.3, 6.0, 0.25, 0.80, 0.35),
     "other": (0.25, 16.0, 0.2, 0.95, 0.30),
 }
+#: For Latin texts with more letters of other scripts than ``PURE`` leaves, such as Vietnamese.
+MIXED, PURE = (1.05, 12.0, 0.6, 0.20, 0.35), 0.95
 #: First bytes of the letters of each script in UTF-8; ASCII letters are Latin.
 _LEADS = {"latin": [*range(65, 91), *range(97, 123), *range(0xC3, 0xCA)], "greek": [0xCE, 0xCF],
           "cyrillic": range(0xD0, 0xD4), "arabic": range(0xD8, 0xDC), "han": range(0xE3, 0xEA),
@@ -152,15 +157,16 @@ def base_counts(words: W.Words) -> dict[str, np.ndarray]:
             "n_repeat_words": np.bincount(words.doc[hit], minlength=n_docs)}
 
 
-def scripts(words: W.Words) -> np.ndarray:
-    """The place of each text's most frequent script in ``SCRIPTS``; "other" without letters."""
+def scripts(words: W.Words) -> tuple[np.ndarray, np.ndarray]:
+    """The place of each text's most frequent script in ``SCRIPTS``, "other" without letters, and its share of the letters."""
     counts = []
     for leads in _LEADS.values():
         is_one = np.zeros(256, np.int64)
         is_one[list(leads)] = 1
         counts.append(_per_text(is_one[words.raw], words.bounds))
     counts = np.stack(counts, 1)
-    return np.where(counts.any(1), counts.argmax(1), len(SCRIPTS) - 1)
+    share = counts.max(1) / np.maximum(counts.sum(1), 1)
+    return np.where(counts.any(1), counts.argmax(1), len(SCRIPTS) - 1), share
 
 
 def measures(words: W.Words, own: Fertility) -> dict[str, np.ndarray]:
@@ -169,9 +175,11 @@ def measures(words: W.Words, own: Fertility) -> dict[str, np.ndarray]:
     n, tokens, fallback, entropy = own.measure(words)
     out["chars_per_piece"] = out["word_chars"] / np.maximum(n, 1)
     out["chars_per_token"] = out["word_chars"] / np.maximum(tokens, 1)
-    out["fallback"], out["entropy"], out["script"] = fallback, entropy, scripts(words)
+    out["fallback"], out["entropy"] = fallback, entropy
+    out["script"], share = scripts(words)
     out["base_failed"] = (out["n_words"] < LEAST_WORDS) | (100 * out["n_repeat_words"] > MOST_REPEATED * out["n_words"])
-    least, most, least_token, most_bytes, least_entropy = np.array([BANDS[s] for s in SCRIPTS])[out["script"]].T
+    least, most, least_token, most_bytes, least_entropy = np.array([*(BANDS[s] for s in SCRIPTS), MIXED])[
+        np.where((out["script"] == SCRIPTS.index("latin")) & (share < PURE), len(SCRIPTS), out["script"])].T
     inside = ((out["chars_per_piece"] >= least) & (out["chars_per_piece"] <= most) & (out["chars_per_token"] >= least_token)
               & (fallback <= most_bytes) & (entropy >= least_entropy))
     out["kept"] = inside & ~out["base_failed"]
