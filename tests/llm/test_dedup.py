@@ -209,6 +209,38 @@ def test_benchmark_hits_equal_brute_force(spark, monkeypatch, block):
     assert nothing.count() == len(docs) and nothing.filter("contaminated").count() == 0
 
 
+def test_one_block_of_the_benchmark_at_a_time(spark, monkeypatch):
+    steps, take, write = [], decontamination.blocks, decontamination.stored
+
+    def taken(windows):
+        for part in take(windows):
+            steps.append("take")
+            yield part
+
+    def written(df, name):
+        out = write(df, name)
+        steps.append(name)
+        return out
+    monkeypatch.setattr(decontamination, "BLOCK_WINDOWS", 12)
+    monkeypatch.setattr(decontamination, "blocks", taken)
+    monkeypatch.setattr(decontamination, "stored", written)
+    benchmark = spark.createDataFrame([("a", " ".join(f"w{i}" for i in range(40)))], "item_id string, text string")
+    docs = frame(spark, [(1, " ".join(f"w{i}" for i in range(40))), (2, "nothing of it")])
+    got = rows(decontamination.decontaminate(docs, benchmark))
+    assert [(r["doc_id"], r["n_hit"], r["contaminated"]) for r in got] == [(1, 40, True), (2, 0, False)]
+    assert steps == ["benchmark_windows"] + ["take", "benchmark_hits"] * 3
+    steps.clear()
+    assert [r["doc_id"] for r in rows(decontamination.keep_clean(docs, benchmark))] == [2]
+    assert steps.count("take") == 3
+
+
+def test_lists_of_groups_count_for_the_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(ngram_jaccard_join, "BROADCAST_ROWS", 10)
+    homes = spark.sql("SELECT id AS rk, sequence(1, 1) AS homes FROM range(10)")
+    assert ngram_jaccard_join.small(homes)
+    assert not ngram_jaccard_join.small(homes.selectExpr("rk", "sequence(1, 1000) AS homes").limit(2))
+
+
 def test_licenses_of_odd_rows(spark):
     mit = license_scan.TEMPLATES[10][1]
     edited = mit.replace("free of charge", "wholly free of charge")

@@ -5,7 +5,8 @@ is ``WINDOW`` consecutive words of a benchmark item; an item of fewer words, but
 window.  The hashes of all windows are broadcast in blocks of a bounded number of windows
 (``BLOCK_WINDOWS``); a document window whose hash is in the set is verified word for word.  With one
 block a document is finished where it is scanned, without any shuffle; with more blocks, every
-document is scanned against each, and hits are merged per document.
+document is scanned against one block after the other, whose hits are written before the next is read,
+and the written hits are merged per document.
 
 A null or empty text has no words and no hits.  An item whose windows several items share counts for
 each of them; a repeated item id counts once, and a null item id or text is ignored.  Repeated
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import words as W
 from tidemark.llm.tables import by_batch, documents, hex256, keyed, row_key, table
+from tidemark.session import stored
 
 WINDOW = 13
 #: Windows of one broadcast set: about 100 MB with their words.
@@ -113,9 +115,14 @@ def covered(n_words: int, hits: list) -> np.ndarray | None:
     return np.cumsum(edge[:-1]) > 0
 
 
+def n_blocks(windows: DataFrame) -> int:
+    """How many blocks the windows are taken in, from their number alone."""
+    return max(1, -(-windows.count() // BLOCK_WINDOWS))
+
+
 def blocks(windows: DataFrame) -> Iterator[list[tuple]]:
     """Benchmark windows in blocks of about ``BLOCK_WINDOWS``; each block alone reaches the driver."""
-    n = max(1, -(-windows.count() // BLOCK_WINDOWS))
+    n = n_blocks(windows)
     for k in range(n):
         mine = windows if n == 1 else windows.filter(F.pmod(F.xxhash64("words"), F.lit(n)) == k)
         yield [(r.n, r.h, bytes(r.words), list(r["items"])) for r in mine.collect()]
@@ -139,9 +146,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``doc_id``, ``rk``, ``n_words``, ``n_hit``, ``n_items``, ``items_sha256``, ``contaminated`` per document."""
     schema = "doc_id long, rk long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
     docs, spark = keyed(docs), docs.sparkSession
-    parts = list(blocks(benchmark_windows(benchmark)))
-    if len(parts) == 1:
-        shared = spark.sparkContext.broadcast(NgramSet.of(parts[0]))
+    windows = stored(benchmark_windows(benchmark), "benchmark_windows")
+    if n_blocks(windows) == 1:
+        shared = spark.sparkContext.broadcast(NgramSet.of(next(blocks(windows))))
 
         def finish(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             rows = [(n, 0 if hit is None else int(hit.sum()), {x for *_, items in hits for x in items})
@@ -149,8 +156,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             yield _columns(batch, rows)
         return by_batch(docs, finish, schema)
     found = None
-    for part in parts:
-        hits = by_batch(docs, _hits_of(spark.sparkContext.broadcast(NgramSet.of(part))), _HITS)
+    for part in blocks(windows):
+        shared = spark.sparkContext.broadcast(NgramSet.of(part))
+        del part  # not held while the next one is read
+        hits = stored(by_batch(docs, _hits_of(shared), _HITS), "benchmark_hits")
+        shared.destroy()
         found = hits if found is None else found.unionByName(hits)
     merged = found.groupBy("rk", "doc_id", "n_words").agg(
         F.flatten(F.collect_list("start")).alias("start"), F.flatten(F.collect_list("length")).alias("length"),
@@ -180,11 +190,11 @@ def _hits_of(shared):
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that are not contaminated, with all their columns."""
-    parts = list(blocks(benchmark_windows(benchmark)))
-    if len(parts) > 1:
+    windows = stored(benchmark_windows(benchmark), "benchmark_windows")
+    if n_blocks(windows) > 1:
         bad = decontaminate(docs, benchmark).filter("contaminated").select("rk").distinct()
         return docs.join(bad, row_key(docs) == bad["rk"], "left_anti")
-    shared = docs.sparkSession.sparkContext.broadcast(NgramSet.of(parts[0]))
+    shared = docs.sparkSession.sparkContext.broadcast(NgramSet.of(next(blocks(windows))))
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield batch.filter(pa.array([not verdict(n, 0 if hit is None else int(hit.sum()))

@@ -50,8 +50,10 @@ SHINGLE, PERCENT = 4, 85
 BLOCK_MEMBERS, BLOCK_SHINGLES, TILE = 512, 1 << 20, 16
 #: Values of a dense slice of the matrix (4 bytes each).
 SLICE = 1 << 23
-#: Candidates up to this number are broadcast to the texts (about 60 bytes each); beyond, texts are shuffled.
+#: Candidates up to this number are broadcast to the texts (at ``ROW_BYTES`` each); beyond, texts are shuffled.
 BROADCAST_ROWS = 1_000_000
+#: Bytes of a broadcast row, and of each group that it lists.
+ROW_BYTES, GROUP_BYTES = 60, 32
 _TABLE = W.byte_map(W.SPACES, lower=True)
 _ODD = np.uint64(0x9FB21C651E98DF25)
 
@@ -251,6 +253,12 @@ def _links(table: pa.Table, percent: int) -> pa.Table:
     return pa.table({"a": keys[pairs[:, 0]], "b": keys[pairs[:, 1]]})
 
 
+def small(homes: DataFrame) -> bool:
+    """Whether rows with lists of groups are no larger than ``BROADCAST_ROWS`` rows with one group each."""
+    size = homes.agg(F.sum(F.lit(ROW_BYTES) + GROUP_BYTES * (F.size("homes") - 1))).first()[0]
+    return (size or 0) <= ROW_BYTES * BROADCAST_ROWS
+
+
 def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """``doc_id``, row key ``rk``, ``n_shingles``, ``component_id`` and the row key of the one to keep, per document."""
     docs = keyed(docs)
@@ -270,7 +278,7 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
         F.ceil(F.count("*") / F.lit(BLOCK_MEMBERS)), F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES))).cast("int").alias("blocks"))
     homes = stored(members.join(sizes, "grp").groupBy("rk", "k").agg(F.collect_list(F.struct("grp", "blocks")).alias("homes")),
                    "homes")
-    if homes.count() <= BROADCAST_ROWS:
+    if small(homes):
         homes = F.broadcast(homes)
     tokens = by_batch(docs.select("rk", "text").join(homes, "rk").select("text", "k", "homes"),
                       partial(_tokens, shingle=shingle),
