@@ -16,9 +16,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_classifier.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
+#: Words of a shingle and percent of equal ones that make near duplicates: those of op7's contract.
+SHINGLE, PERCENT = 4, 85
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
-    return ngram_jaccard_join.keep_one(docs)
+    return ngram_jaccard_join.keep_one(docs, SHINGLE, PERCENT)
 
 
 def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
