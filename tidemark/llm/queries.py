@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.bpe import op6_bpe
 from tidemark.llm.decontamination import OP5_SQL, op5_benchmark_decontamination
+from tidemark.llm.importance_resampling import OP11_SQL, op11_importance_resampling
 from tidemark.llm.language_id import op8_language_id
 from tidemark.llm.license_scan import OP2_SQL, op2_license_scan
 from tidemark.llm.ngram_jaccard_join import OP7_SQL, op7_ngram_jaccard_join
@@ -28,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_importance_resampling": op11_importance_resampling,
 }
 
 #: The others encode text, learn models or propagate constants, which SQL cannot say.
@@ -36,4 +38,5 @@ ORACLE: dict[str, str] = {
     "op5_benchmark_decontamination": OP5_SQL,
     "op7_ngram_jaccard_join": OP7_SQL,
     "op10_substring_dedup": OP10_SQL,
+    "op11_importance_resampling": OP11_SQL,
 }
