@@ -12,6 +12,7 @@ from tidemark.llm.importance_resampling import OP11_SQL, op11_importance_resampl
 from tidemark.llm.language_id import op8_language_id
 from tidemark.llm.license_scan import OP2_SQL, op2_license_scan
 from tidemark.llm.ngram_jaccard_join import OP7_SQL, op7_ngram_jaccard_join
+from tidemark.llm.periodic_runs import OP12_SQL, op12_periodic_runs
 from tidemark.llm.pii import op4_pii
 from tidemark.llm.quality_classifier import op9_quality_classifier
 from tidemark.llm.quality_rules import op3_quality_rules
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_classifier": op9_quality_classifier,
     "op10_substring_dedup": op10_substring_dedup,
     "op11_importance_resampling": op11_importance_resampling,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 
 #: The others encode text, learn models or propagate constants, which SQL cannot say.
@@ -39,4 +41,5 @@ ORACLE: dict[str, str] = {
     "op7_ngram_jaccard_join": OP7_SQL,
     "op10_substring_dedup": OP10_SQL,
     "op11_importance_resampling": OP11_SQL,
+    "op12_periodic_runs": OP12_SQL,
 }
