@@ -80,7 +80,7 @@ def test_empty_tables(spark):
 
 
 def test_many_equal_rows(spark):
-    """A third of all rows equal: counted before they are sorted, and ranked one after the other."""
+    """A third of all rows equal: told apart by a number and ranked one after the other."""
     docs = [(i, f"word{i} " * 25) for i in range(40)] + [(77, "the zebra " * 15)] * 20
     items = [(1, "the zebra the zebra")]
     got = M.resample(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string"), percent=100)

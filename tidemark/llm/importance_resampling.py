@@ -11,8 +11,8 @@ natural logarithm, rounded down), the weight of a document the sum of the gains
 Gumbel noise, here a function of seed and id, and keeping the highest scores draws without replacement in
 proportion to ``exp(weight / 1000)``.
 
-Ranks are exact: equal rows are counted first, distinct ones cut into written runs by range of score
-and id, and each run moved up by the rows before it; no task sorts them all.
+Ranks are exact: rows are cut into written runs by range of score and id, and each run is moved up by the
+rows before it; no task sorts them all.  A number tells equal rows apart, so that even many of them are cut.
 
 A null or empty text has no features and weight 0.  A null id enters the noise as no digits and comes
 before all others on ties; rows equal in every result are ranked one after the other.  A very
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.tables import by_batch, documents, keyed, table
 from tidemark.llm.words import NOT_ALNUM
-from tidemark.operators.ranking import ranked_values
+from tidemark.operators.ranking import ordered_rank
 from tidemark.session import stored
 
 LONGEST, BUCKETS = 3, 10_000
@@ -137,16 +137,14 @@ def resample(docs: DataFrame, target: DataFrame, percent: int = PERCENT, least_w
     Drawn are the ``percent`` of the texts with ``least_words`` or more, rounded down, that score highest.
     """
     rows = stored(score(docs, target, **parameters), "scores")
-    able = rows.filter(F.col("n_words") >= least_words)
-    names = [c for c in rows.columns if c not in ("doc_id", "score")]
-    item = F.struct((-F.col("score")).alias("down"), "doc_id", *names).alias("item")
-    ranked = ranked_values(able.select(item), [], "item")
-    place = F.col("before") + F.col("copy")
-    drawn = ranked.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).select(
-        "item.doc_id", *[f"item.{c}" for c in names], (-F.col("item.down")).alias("score"),
-        F.when(place <= F.floor(F.col("total") * percent / 100), place).alias("rank"))
+    able = rows.filter(F.col("n_words") >= least_words) \
+        .withColumns({"down": -F.col("score"), "row": F.monotonically_increasing_id()})
+    quota = able.count() * percent // 100
+    others = [F.col("doc_id").asc_nulls_first(), *(c for c in rows.columns if c not in ("doc_id", "score"))]
+    ranked = ordered_rank(able, [], "down", others).drop("down", "row") \
+        .withColumn("rank", F.when(F.col("rank") <= quota, F.col("rank")).cast("long"))
     rest = rows.filter(F.col("n_words") < least_words).withColumn("rank", F.lit(None).cast("long"))
-    return drawn.unionByName(rest).select(*rows.columns, "rank")
+    return ranked.unionByName(rest)
 
 
 def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:

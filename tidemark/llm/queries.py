@@ -17,6 +17,7 @@ from tidemark.llm.pii import op4_pii
 from tidemark.llm.quality_classifier import op9_quality_classifier
 from tidemark.llm.quality_rules import op3_quality_rules
 from tidemark.llm.secret_scan import op1_secret_scan
+from tidemark.llm.source_mixing import OP13_SQL, op13_source_mixing
 from tidemark.llm.substring_dedup import OP10_SQL, op10_substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -32,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_substring_dedup": op10_substring_dedup,
     "op11_importance_resampling": op11_importance_resampling,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_source_mixing": op13_source_mixing,
 }
 
 #: The others encode text, learn models or propagate constants, which SQL cannot say.
@@ -42,4 +44,5 @@ ORACLE: dict[str, str] = {
     "op10_substring_dedup": OP10_SQL,
     "op11_importance_resampling": OP11_SQL,
     "op12_periodic_runs": OP12_SQL,
+    "op13_source_mixing": OP13_SQL,
 }
