@@ -21,8 +21,8 @@ def next_price_label(panel: DataFrame, features: Sequence[str], price: str = "Pr
 
 
 def number_rows(labelled: DataFrame, keys: Sequence[str] = ("market",)) -> DataFrame:
-    """Adds ``r``, the 0-based row number within the key."""
-    return labelled.withColumn("r", F.row_number().over(series_window(keys)) - 1)
+    """Adds ``r``, the 0-based row number within the key; rows that have one already keep it."""
+    return labelled if "r" in labelled.columns else labelled.withColumn("r", F.row_number().over(series_window(keys)) - 1)
 
 
 def split_point(window_size: int, test_ratio: float) -> int:
@@ -39,8 +39,9 @@ def sliding_windows(labelled: DataFrame, window_size: int, test_ratio: float,
     train.  This copies each row W times; the learners and scalers below use frames instead.
     """
     split = split_point(window_size, test_ratio)
-    rows = number_rows(labelled, keys).withColumn(
-        "n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+    rows = number_rows(labelled, keys)
+    if "n" not in rows.columns:
+        rows = rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
     first = F.greatest(F.col("r") - (window_size - 1), F.lit(0))
     last = F.least(F.col("r"), F.col("n") - window_size)
     out = rows.filter(first <= last).withColumn(

@@ -615,6 +615,16 @@ ORACLE = {
                          f"FROM ({scores_of('log')})",
 }
 
+#: Queries that come to the same rows by other ways.
+ORACLE |= {
+    "fill_in_buckets": ORACLE["fill_backward"],
+    "labels_in_parts": ORACLE["next_price_label"],
+    "scales_in_parts": ORACLE["standard_scale_stats"],
+    "naive_score_in_parts": ORACLE["naive_score"],
+    "technicals_in_parts": f"SELECT market, {day()}, {r('SMA_5', 4)}, {r('PPO_12_26')}, {r('RSI_14')}, {r('ROC_10')}, "
+                           f"{r('ATR_14', 4)}, {r('CO_chaikin_3_10')} FROM indicators",
+}
+
 MATERIALIZED = {"steps"}
 
 

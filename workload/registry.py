@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidemark.functions import parsing, values
 from tidemark.operators import (
-    calendar, clean, forecast, indicators, metrics, ranking, reports, traces, windows)
+    calendar, clean, forecast, indicators, metrics, parts, ranking, reports, traces, windows)
 from tidemark.plans import evaluate, panel as panels, tune as tuning
 from tidemark.schema import (
     BASELINE, HP_ALIASES, MODEL_LABELS, NETS, PANEL_FEATURES)
@@ -622,6 +622,49 @@ def run_counts(spark, sf):
                 "n_configs")
 
 
+# ---- the same by parts of a series -------------------------------------------------------
+
+#: Days of a bucket and rows of a part: each series of the tables is cut into some twenty.
+BUCKET, PART = 120, 90
+
+
+@query
+def fill_in_buckets(spark, sf):
+    df = parts.fill_calendar_parts(fx.clean(spark, sf), fx.START, fx.END, BUCKET)
+    return show(df.withColumn("is_filled", F.col("is_filled").cast("int")), "market", "d", "is_filled", price=4)
+
+
+@query
+def technicals_in_parts(spark, sf):
+    df = stored(parts.fill_calendar_parts(fx.clean(spark, sf), fx.START, fx.END, BUCKET), "filled")
+    return show(parts.technicals_parts(df.drop("is_filled"), PART, BUCKET), "market", "d", SMA_5=4, PPO_12_26=6,
+                RSI_14=6, ROC_10=6, ATR_14=4, CO_chaikin_3_10=6)
+
+
+@query
+def labels_in_parts(spark, sf):
+    df = parts.next_price_label_parts(stored(fx.panel(spark, sf), "panel"), PANEL_FEATURES, PART, BUCKET)
+    return show(df, "market", "d", Price=4, y=4)
+
+
+@query
+def scales_in_parts(spark, sf):
+    df = parts.standard_scale_parts(stored(fx.labelled(spark, sf), "labelled"), fx.WINDOW, fx.RATIO, PART, BUCKET)
+    return show(df, "market", "window_id", y_mean=4, y_scale=4)
+
+
+@query
+def naive_score_in_parts(spark, sf):
+    """The naive walk-forward score of every business day, from fill to forecast by parts."""
+    df = stored(parts.fill_calendar_parts(fx.clean(spark, sf), fx.START, fx.END, BUCKET).select(
+        "market", "d", F.col("price").alias("Price")), "filled")
+    labelled = stored(parts.next_price_label_parts(df, ["Price", "y"], PART, BUCKET), "labelled")
+    rows = parts.test_rows_parts(labelled, fx.WINDOW, fx.RATIO, PART, BUCKET)
+    log = rows.select("market", F.lit("naive_last_price").alias("model"), F.lit(-1).alias("config_index"), "window_id",
+                      "y_true", F.col("prices").alias("y_pred"), F.lit("{}").alias("hp_json"))
+    return show_scores(metrics.config_scores(log))
+
+
 # ---- window functions -------------------------------------------------------------------
 
 def filled(spark, sf, **parts):
