@@ -45,13 +45,13 @@ def forecast_metrics(df: DataFrame, keys: Sequence[str], truth: str = "y_true",
 def dedupe_log(log: DataFrame, seq: str = "run_seq") -> DataFrame:
     """One row per (market, model, config, window): of re-runs the one of the highest ``seq``.
 
-    Rows of one ``seq`` are told apart by what they hold, so the result does not depend on how the
-    log is laid out.  The keys are nearly unique and the lists make Spark aggregate by sorting, so
+    Rows of one ``seq`` are told apart by their ``line`` in the file, if they have one, then by what they hold, so
+    the result does not depend on how the log is laid out.  The keys are nearly unique and the lists make Spark aggregate by sorting, so
     the key that tells most rows apart, a number, comes first in the sort.
     """
     keys = ["window_id", "config_index", "model", "market"]
     values = [c for c in log.columns if c not in (*keys, seq)]
-    content = [c for c in ("y_pred", "y_true", "hp_json", "error", "end_date") if c in values]
+    content = [c for c in ("line", "y_pred", "y_true", "hp_json", "error", "end_date") if c in values]
     return dedupe_last(log, keys, [seq, *content], values)
 
 
@@ -99,35 +99,80 @@ def window_partials(log: DataFrame) -> DataFrame:
             F.least(a["low"], t).alias("low"), F.greatest(a["high"], t).alias("high"))
 
     fields = "struct<" + PARTIAL.replace(", ", ",").replace(" ", ":") + ">"
-    return log.select("market", "model", "config_index", "window_id", "hp_json", "run_seq",
+    line = F.col("line") if "line" in log.columns else F.lit(None).cast("struct<block:bigint,row:bigint>")
+    return log.select("market", "model", "config_index", "window_id", "hp_json", "run_seq", line.alias("line"),
                       _error(log).alias("error"), F.aggregate(pairs, zero, add).cast(fields)
                       .alias("part")).select("*", "part.*").drop("part")
 
 
-def merged_scores(partials: DataFrame) -> DataFrame:
-    """The scores of ``config_scores`` from partials; a window that is there twice counts by its
-    highest ``run_seq``.  A config has at most as many windows as its market has days."""
-    keys = ["market", "model", "config_index"]
-    values = [c for c in partials.columns if c not in (*keys, "window_id", "run_seq")]
-    rows = dedupe_last(partials, ["window_id", *reversed(keys)], ["run_seq", *values], values)
-    every = Window.partitionBy(*keys)
-    middle = F.try_divide(F.sum(F.col("n") * F.col("mean")).over(every), F.sum("n").over(every))
-    rows = rows.withColumn("shift", F.when(F.col("n") > 0, F.col("mean") - middle))
-    n = F.sum("n")
-    mse = F.try_divide(F.sum("e2"), n)
-    price = F.try_divide(F.sum(F.col("n") * F.col("mean")), n)
-    spread = F.when(F.min("low") == F.max("high"), 0.0).otherwise(
-        F.try_divide(F.sum(F.col("m2") + F.coalesce(F.col("n") * F.col("shift") * F.col("shift"), F.lit(0.0))), n))
-    out = rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_windows"), F.count("error").alias("n_failed"),
-        F.try_divide(F.sum("ape"), n).alias("MAPE"),
-        F.try_divide(F.sqrt(mse), price).alias("RMSE_over_mean_price"),
-        F.try_divide(F.sum("ae"), n).alias("MAE"),
+CONFIG_KEYS = ["market", "model", "config_index"]
+SUMS = ("e2", "ae", "ape")
+
+
+def latest_partials(partials: DataFrame) -> DataFrame:
+    """Each window once: the row of the highest ``run_seq``, then ``line``."""
+    values = [c for c in partials.columns if c not in (*CONFIG_KEYS, "window_id", "run_seq", "line")]
+    return dedupe_last(partials, ["window_id", *reversed(CONFIG_KEYS)], ["run_seq", "line", *values],
+                       [*values, "run_seq", "line"])
+
+
+def config_states(partials: DataFrame) -> DataFrame:
+    """What the windows of a config add up to; each window is there once.
+
+    ``mean`` and ``m2`` are those of the truth of all its rows: the spread within the windows and that of
+    their means.  A config has at most as many windows as its market has days, which bounds the window over it.
+    """
+    every = Window.partitionBy(*CONFIG_KEYS)
+    weight = F.col("n") * F.col("mean")
+    rows = partials.withColumn("middle", F.try_divide(F.sum(weight).over(every), F.sum("n").over(every)))
+    shift = F.when(F.col("n") > 0, F.col("mean") - F.col("middle"))
+    return rows.groupBy(*CONFIG_KEYS).agg(
+        F.count(F.lit(1)).alias("n_windows"), F.count("error").alias("n_failed"), F.sum("n").alias("n"),
+        F.coalesce(F.max("middle"), F.lit(0.0)).alias("mean"),
+        F.sum(F.col("m2") + F.coalesce(F.col("n") * shift * shift, F.lit(0.0))).alias("m2"),
+        *[F.sum(c).alias(c) for c in SUMS], F.min("low").alias("low"), F.max("high").alias("high"),
+        F.min("window_id").alias("first_window"), F.max("window_id").alias("last_window"),
+        F.min_by("hp_json", "window_id").alias("hp_json"))
+
+
+def joined_states(old: DataFrame, new: DataFrame) -> DataFrame:
+    """The states of two disjoint sets of windows as one; a config may be in either or both."""
+    a = old.select(*CONFIG_KEYS, F.struct(*[c for c in old.columns if c not in CONFIG_KEYS]).alias("a"))
+    b = new.select(*CONFIG_KEYS, F.struct(*[c for c in new.columns if c not in CONFIG_KEYS]).alias("b"))
+    x, y = F.col("a"), F.col("b")
+    n = x["n"] + y["n"]
+    apart = y["mean"] - x["mean"]
+    both = {
+        "n_windows": x["n_windows"] + y["n_windows"], "n_failed": x["n_failed"] + y["n_failed"], "n": n,
+        "mean": F.when(n > 0, (x["n"] * x["mean"] + y["n"] * y["mean"]) / n).otherwise(0.0),
+        "m2": x["m2"] + y["m2"] + F.coalesce(F.try_divide(apart * apart * x["n"] * y["n"], n), F.lit(0.0)),
+        **{c: x[c] + y[c] for c in SUMS},
+        "low": F.least(x["low"], y["low"]), "high": F.greatest(x["high"], y["high"]),
+        "first_window": F.least(x["first_window"], y["first_window"]),
+        "last_window": F.greatest(x["last_window"], y["last_window"]),
+        "hp_json": F.when(y["first_window"] < x["first_window"], y["hp_json"]).otherwise(x["hp_json"])}
+    one = [F.when(x.isNull(), y[c]).when(y.isNull(), x[c]).otherwise(v).alias(c) for c, v in both.items()]
+    return a.join(b, CONFIG_KEYS, "full").select(*CONFIG_KEYS, *one)
+
+
+def state_scores(states: DataFrame) -> DataFrame:
+    """The scores of ``config_scores`` from states of configs."""
+    n = F.col("n")
+    mse, price = F.try_divide("e2", n), F.when(n > 0, F.col("mean"))
+    spread = F.when(F.col("low") == F.col("high"), 0.0).otherwise(F.try_divide("m2", n))
+    return states.filter((n > 0) & (F.col("n_failed") == 0)).select(
+        *CONFIG_KEYS, "n_windows", F.try_divide("ape", n).alias("MAPE"),
+        F.try_divide(F.sqrt(mse), price).alias("RMSE_over_mean_price"), F.try_divide("ae", n).alias("MAE"),
         F.when(n < 2, None).when(spread == 0, F.when(mse == 0, 1.0).otherwise(0.0))
         .otherwise(1 - F.try_divide(mse, spread)).alias("R2"),
         F.sqrt(mse).alias("RMSE"), price.alias("mean_price"), n.alias("n_samples"),
-        F.min_by("hp_json", "window_id").alias("hyperparams_json"))
-    return out.filter((F.col("n_samples") > 0) & (F.col("n_failed") == 0)).drop("n_failed")
+        F.col("hp_json").alias("hyperparams_json"))
+
+
+def merged_scores(partials: DataFrame) -> DataFrame:
+    """The scores of ``config_scores`` from partials; a window that is there twice counts by its
+    highest ``run_seq``, then ``line``."""
+    return state_scores(config_states(latest_partials(partials)))
 
 
 def _error(log: DataFrame) -> Column:

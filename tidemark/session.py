@@ -37,8 +37,7 @@ def clear_scratch(spark: SparkSession) -> None:
 
     They belong to the caller, who knows when no result that reads them is needed any more.
     """
-    folder = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
-    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    remove_folder(spark, shared_folder(spark))
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
@@ -46,6 +45,18 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def folder_names(spark: SparkSession, path: str) -> list[str]:
+    """The names in a folder of any file system; none if it is not there."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def stored(df: DataFrame, name: str = "table") -> DataFrame:
     """Write a table to the shared folder and go on from there.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import time
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tidemark.functions.parsing import hp_json, parse_dict, parse_list
 from tidemark.functions.values import date_coerce, model_name_case
@@ -15,10 +15,10 @@ from tidemark.schema import LOG_FILE_COLUMNS, LOG_REQUIRED, LOG_SCHEMA
 def append_log(log: DataFrame, path: str, run_seq: int | None = None) -> None:
     """One append per run, one folder per (model, market); never one write per window.
 
-    Every row gets the sequence number of the run, by default the time, which decides between
-    windows that were logged twice.
+    Every row gets the sequence number of the run, by default the time in microseconds, the unit of the
+    times of log files; it decides between windows that were logged twice.
     """
-    seq = time.time_ns() if run_seq is None else run_seq
+    seq = time.time_ns() // 1000 if run_seq is None else run_seq
     log.withColumn("run_seq", F.lit(seq).cast("long")) \
        .select(*[c for c in LOG_SCHEMA.fieldNames() if c in (*log.columns, "run_seq")]) \
        .write.mode("append").partitionBy("model", "market").parquet(path)
@@ -45,9 +45,29 @@ def write_log_files(log: DataFrame, path: str, timeframe: str = "daily") -> None
         .write.mode("append").option("header", True).option("escape", '"').csv(path)
 
 
+def missing_forecasts(truth: Column, forecast: Column) -> Column:
+    """The failure that a log row shows by its lists: fewer forecasts than days.
+
+    Log files have no cell for the error of a window, and a window without forecasts must not make the
+    others of its config look better.
+    """
+    n, m = F.size(truth), F.greatest(F.size(F.coalesce(forecast, F.array().cast("array<double>"))), F.lit(0))
+    return F.when((n > 0) & (m < n), F.concat(m, F.lit(" of "), n, F.lit(" forecasts")))
+
+
+def with_line(rows: DataFrame) -> DataFrame:
+    """Adds ``line``, which orders the rows of a file as they lie in it, however the file was split.
+
+    ``block`` says where the split of a row starts.  A task reads a split from its start, so its rows come in
+    order; rows must not have been shuffled since they were read.
+    """
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return rows.withColumn("line", F.struct("block", row.alias("row")))
+
+
 def from_log_file_columns(rows: DataFrame) -> DataFrame:
     """Flat text cells back to typed columns.  The config text is kept as it was written: it is
-    a join key, and spelling it anew could split one config in two."""
+    a join key, and spelling it anew could split one config in two.  ``error`` is what the lists show."""
     text = F.coalesce(F.trim(F.col("model_hyperparameters_dict")), F.lit("{}"))
     whole = F.when(F.from_json(text, "map<string,string>").isNotNull()
                    & text.startswith('{"'), text)
@@ -60,8 +80,9 @@ def from_log_file_columns(rows: DataFrame) -> DataFrame:
         date_coerce(F.substring("end_date", 1, 10)).alias("end_date"),
         parse_list("test_data_values_list").alias("y_true"),
         parse_list("test_data_model_predictions_list").alias("y_pred"),
-        F.lit(None).cast("double").alias("train_loss"), F.lit(None).cast("string").alias("error"),
-        "run_seq")
+        F.lit(None).cast("double").alias("train_loss"), "run_seq",
+        *(c for c in ("line", "block") if c in rows.columns)) \
+        .withColumn("error", missing_forecasts(F.col("y_true"), F.col("y_pred")))
 
 
 def log_file_headers(spark: SparkSession, path: str) -> DataFrame:
@@ -91,7 +112,8 @@ def read_logs(spark: SparkSession, path: str) -> DataFrame:
     One pass finds the header of each file, one pass reads the cells of all files by position, and
     each row looks up by its file where the columns are: the cost does not depend on how many
     layouts there are.  Only files with all required columns take part (``bad_log_files`` lists the
-    others).  The time of the file is the ``run_seq`` of its rows.
+    others).  The time of the file is the ``run_seq`` of its rows and ``line`` their place in it: a re-run that was
+    appended to the same file counts, not the rows above it.
     """
     heads = log_file_headers(spark, path).filter(F.size("missing") == 0)
     width = heads.agg(F.max(F.size("columns"))).first()[0]
@@ -101,11 +123,13 @@ def read_logs(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.schema(cells).option("recursiveFileLookup", True).option("header", False) \
         .option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE").csv(path) \
         .select(F.array(*cells.fieldNames()).alias("cells"), F.col("_metadata.file_path").alias("file"),
+                F.col("_metadata.file_block_start").alias("block"),
                 F.unix_micros("_metadata.file_modification_time").alias("run_seq"))
+    rows = with_line(rows)
     place = F.transform(F.array(*[F.lit(c) for c in LOG_FILE_COLUMNS]),
                         lambda c: F.array_position("columns", c))
     rows = rows.join(heads.select("file", place.alias("place")), "file")
-    named = rows.select("run_seq", *[
+    named = rows.select("run_seq", "line", *[
         F.when(F.col("place")[i] > 0, F.try_element_at("cells", F.col("place")[i].cast("int"))).alias(c)
         for i, c in enumerate(LOG_FILE_COLUMNS)])
     return from_log_file_columns(named).filter(

@@ -1,12 +1,32 @@
-"""Scores kept current while log files arrive."""
+"""Scores kept current while log files arrive.
+
+A table folder holds two things, both written by the batch that they come from:
+
+* ``windows/batch=K/bucket=B``: one narrow row of partial sums per window of batch K, by a hash of its config,
+* ``configs/K``: one row per config after batch K, what its windows add up to and the range of their numbers.
+
+A batch merges the sums of its new windows into the rows of the configs: work in proportion to configs and
+new windows.  Only windows that lie within the range a config has already may have been logged before; they
+are looked up, in the buckets of their configs, and a config that did log one again is summed up anew from
+its windows, so that what it replaced is gone whole.
+
+A batch writes folders of its own number and reads those of smaller ones.  If it is run again after a failure or a
+restart it overwrites what it had written and comes to the same rows.
+"""
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from tidemark.operators.metrics import merged_scores, window_partials
+from tidemark.operators.metrics import (
+    CONFIG_KEYS, config_states, joined_states, latest_partials, state_scores, window_partials)
 from tidemark.schema import LOG_FILE_COLUMNS, LOG_SCHEMA
-from tidemark.sources.logs import from_log_file_columns
+from tidemark.session import folder_names, remove_folder, stored
+from tidemark.sources.logs import from_log_file_columns, with_line
+
+BUCKETS = 64
 
 
 def log_stream(spark: SparkSession, path: str, format: str = "csv",
@@ -18,32 +38,90 @@ def log_stream(spark: SparkSession, path: str, format: str = "csv",
     reader = spark.readStream.option("recursiveFileLookup", True)
     if max_files is not None:
         reader = reader.option("maxFilesPerTrigger", max_files)
+    block = F.col("_metadata.file_block_start")
     if format != "csv":
-        return reader.schema(LOG_SCHEMA).format(format).load(path)
+        return reader.schema(LOG_SCHEMA).format(format).load(path).withColumn("block", block)
     text = T.StructType([T.StructField(c, T.StringType()) for c in LOG_FILE_COLUMNS])
     rows = reader.schema(text).option("header", True).option("escape", '"') \
                  .option("enforceSchema", False).csv(path) \
-                 .withColumn("run_seq", F.unix_micros("_metadata.file_modification_time"))
+                 .withColumns({"run_seq": F.unix_micros("_metadata.file_modification_time"), "block": block})
     return from_log_file_columns(rows).filter("config_index IS NOT NULL")
 
 
+def versions(spark: SparkSession, table: str) -> list[int]:
+    """The batches whose configs are written whole, in order."""
+    names = sorted(int(n) for n in folder_names(spark, f"{table}/configs") if n.isdigit())
+    return [n for n in names if "_SUCCESS" in folder_names(spark, f"{table}/configs/{n}")]
+
+
+def logged_windows(spark: SparkSession, table: str, before: int, schema: T.StructType) -> DataFrame | None:
+    """The windows of all earlier batches, each as often as it was logged; only reading it opens their files."""
+    batches = [n for n in folder_names(spark, f"{table}/windows")
+               if n.startswith("batch=") and int(n[6:]) < before]
+    if not batches:
+        return None
+    return spark.read.schema(schema).option("basePath", f"{table}/windows").parquet(*[f"{table}/windows/{n}" for n in batches])
+
+
+def logged_again(new: DataFrame, old: DataFrame, configs: DataFrame) -> DataFrame | None:
+    """All earlier rows of the configs that log a window of ``old`` again; None if none does."""
+    known = configs.select(*CONFIG_KEYS, "first_window", "last_window")
+    late = stored(new.join(known, CONFIG_KEYS).filter("window_id BETWEEN first_window AND last_window")
+                  .select(*CONFIG_KEYS, "window_id", "bucket"), "late")
+    buckets = [r.bucket for r in late.select("bucket").distinct().collect()]  # BUCKETS at most
+    if not buckets:
+        return None
+    mine = old.filter(F.col("bucket").isin(buckets))
+    again = mine.join(late, [*CONFIG_KEYS, "window_id", "bucket"], "left_semi").select(*CONFIG_KEYS).distinct()
+    return stored(mine.join(again, CONFIG_KEYS, "left_semi"), "again")
+
+
+def merge_batch(batch: DataFrame, number: int, table: str) -> None:
+    """Write the windows of a batch and the configs after it."""
+    spark = batch.sparkSession
+    if "line" not in batch.columns and "block" in batch.columns:
+        batch = with_line(batch)
+    bucket = F.pmod(F.xxhash64(*CONFIG_KEYS), F.lit(BUCKETS)).cast("int")
+    rows = latest_partials(window_partials(batch)).withColumn("bucket", bucket)
+    rows.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{table}/windows/batch={number}")
+    new = spark.read.schema(rows.schema).parquet(f"{table}/windows/batch={number}")
+    before = [v for v in versions(spark, table) if v < number]
+    if not before:
+        states = config_states(new)
+    else:
+        configs = spark.read.parquet(f"{table}/configs/{before[-1]}")
+        old = logged_windows(spark, table, number, rows.schema)
+        again = old and logged_again(new, old, configs)
+        if again is None:
+            states = joined_states(configs, config_states(new))
+        else:
+            keys = again.select(*CONFIG_KEYS).distinct()
+            both = again.select(rows.columns).unionByName(new.join(keys, CONFIG_KEYS, "left_semi").select(rows.columns))
+            anew = config_states(latest_partials(both.drop("bucket")))
+            rest = config_states(new.join(keys, CONFIG_KEYS, "left_anti"))
+            states = joined_states(configs.join(keys, CONFIG_KEYS, "left_anti"), rest).unionByName(anew)
+    states.write.mode("overwrite").parquet(f"{table}/configs/{number}")
+    for version in before[:-1]:
+        remove_folder(spark, f"{table}/configs/{version}")
+
+
 def ingest_logs(log: DataFrame, table: str, checkpoint: str) -> None:
-    """Add what the log files that are new since the last call contribute, as one row per window.
+    """Merge the log files that are new since the last call; each file is parsed once.
 
-    Each file is parsed once: the checkpoint remembers the files, the file sink commits a batch
-    whole or not at all, so a lost executor or a restart neither loses nor repeats a window.
-    The query keeps no state, however many configs there are.
+    The checkpoint remembers the files of a batch and its number before it is run, so a batch that
+    failed is run again as it was.
     """
-    query = window_partials(log).writeStream.format("parquet").outputMode("append") \
-        .option("path", table).option("checkpointLocation", checkpoint) \
-        .trigger(availableNow=True).start()
+    query = log.writeStream.foreachBatch(partial(merge_batch, table=table)) \
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
 
 
 def current_scores(spark: SparkSession, table: str) -> DataFrame:
-    """Scores of everything ingested so far, merged from the partial sums of the windows; a window
-    that arrived twice counts by its newer file."""
-    return merged_scores(spark.read.parquet(table))
+    """Scores of everything ingested so far, from one row per config."""
+    done = versions(spark, table)
+    if not done:
+        raise ValueError(f"{table}: nothing was ingested yet")
+    return state_scores(spark.read.parquet(f"{table}/configs/{done[-1]}"))
 
 
 def stream_log_scores(spark: SparkSession, path: str, work: str, format: str = "csv",

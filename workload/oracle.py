@@ -583,6 +583,12 @@ ORACLE = {
           n_failed || ' of ' || n_windows || ' windows failed: late' AS reason
         FROM (SELECT market, model, config_index, count(*) AS n_windows, count(*) FILTER (window_id % 97 = 5) AS n_failed
               FROM line_once GROUP BY market, model, config_index) WHERE n_failed > 0""",
+    "csv_failed_runs": f"""SELECT market, model, {CI}, n_windows, n_failed,
+          n_failed || ' of ' || n_windows || ' windows failed: 0 of 1 forecasts' AS reason
+        FROM (SELECT market, model, config_index, count(*) AS n_windows, count(*) FILTER (window_id % 97 = 5) AS n_failed
+              FROM line_once GROUP BY market, model, config_index) WHERE n_failed > 0""",
+    "csv_relogged": f"SELECT {SCORE_OUT} FROM exact_scores",
+    "stream_relogged": f"SELECT {SCORE_OUT} FROM exact_scores",
     "scores_without_failures": f"""SELECT {SCORE_OUT} FROM exact_scores ANTI JOIN (
           SELECT * FROM line_once WHERE window_id % 97 = 5) USING (market, model, config_index)""",
     "resume_incomplete": f"""SELECT market, model, {CI} FROM (SELECT market, model, config_index, count(*) AS n,

@@ -1024,6 +1024,45 @@ def failed_runs(spark, sf):
                 "n_windows", "n_failed", "reason")
 
 
+def as_log_files(log: DataFrame, path: str, order: str = "window_id") -> None:
+    """Written as log files, each config in one file and its rows in the given order."""
+    rows = log.withColumn("start_date", F.col("end_date")).repartition(8, "market", "model", "config_index")
+    logs.write_log_files(rows.sortWithinPartitions(order), path)
+
+
+@query
+def csv_failed_runs(spark, sf):
+    """The same runs after the log went through files, which have no cell for an error."""
+    path = fresh_path(spark, "failed")
+    as_log_files(line_log_with_failures(spark, sf), path)
+    return show(metrics.unscored_runs(metrics.dedupe_log(logs.read_logs(spark, path))), "market", "model", "config_index",
+                "n_windows", "n_failed", "reason")
+
+
+def doubled(log: DataFrame) -> DataFrame:
+    return log.withColumn("y_pred", F.transform("y_pred", lambda p: p * 2))
+
+
+@query
+def csv_relogged(spark, sf):
+    """Scores of files in which a run stands twice: the rows further down count."""
+    log, path = fx.line_log(spark, sf), fresh_path(spark, "relogged")
+    as_log_files(doubled(log).withColumn("again", F.lit(0)).unionByName(log.withColumn("again", F.lit(1))), path, "again")
+    return show_scores(metrics.config_scores(metrics.dedupe_log(logs.read_logs(spark, path))))
+
+
+@query
+def stream_relogged(spark, sf):
+    """Scores kept while files arrive: two thirds of the windows with wrong forecasts and failures, then a part of
+    the configs again as they should be, then the windows that were missing and the rest of the configs."""
+    log, path, work = fx.line_log(spark, sf), fresh_path(spark, "arriving"), fresh_path(spark, "stream")
+    wrong = doubled(line_log_with_failures(spark, sf)).filter("window_id % 3 > 0")
+    for part in (wrong, log.filter("config_index % 2 = 0"), log.filter("config_index % 2 = 1 OR window_id % 3 = 0")):
+        as_log_files(part, path)
+        streaming.ingest_logs(streaming.log_stream(spark, path), f"{work}/windows", f"{work}/checkpoint")
+    return show_scores(streaming.current_scores(spark, f"{work}/windows"))
+
+
 @query
 def scores_without_failures(spark, sf):
     return show_scores(metrics.config_scores(line_log_with_failures(spark, sf)))
