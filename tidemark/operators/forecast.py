@@ -18,6 +18,7 @@ from tidemark.operators.windows import number_rows, split_point, test_rows, trai
 from tidemark.schema import (
     BASELINE, BASELINE_CONFIG, GRID_ACTIVATIONS, GRID_BATCHES, GRID_EPOCHS, GRID_LAYERS,
     GRID_RATES, GRID_UNITS, LOG_SCHEMA, NETS, TCN_KERNEL)
+from tidemark.session import stored
 
 # The fit function and its helpers travel with the job; executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -133,18 +134,32 @@ def grid_cross(windows: DataFrame, configs: Sequence[Config]) -> DataFrame:
         *windows.columns, "model", "config_index", "hp_json")
 
 
-def _log(rows: DataFrame, forecasts: Sequence[tuple[Config, Column]]) -> DataFrame:
-    """Windows with one forecast column per config to log rows."""
-    cells = F.array(*[F.struct(
+def _log(rows: DataFrame, forecasts: Sequence[tuple[Config, Column]], places: bool = False) -> DataFrame:
+    """Windows with one forecast column per config to log rows; with ``places`` only those that a row lists."""
+    cells = [F.struct(
         F.lit(c.model).alias("model"), F.lit(c.config_index).alias("config_index"),
-        F.lit(c.hp_json).alias("hp_json"), y.alias("y_pred")) for c, y in forecasts])
+        F.lit(c.hp_json).alias("hp_json"), y.alias("y_pred")) for c, y in forecasts]
+
+    def cell(place: Column) -> Column:
+        out = F.when(place == 0, cells[0])
+        for k, one in enumerate(cells[1:], 1):
+            out = out.when(place == k, one)
+        return out
+    each = F.transform("places", cell) if places else F.array(*cells)
     return rows.select("market", "window_id", "start_date", "end_date", "y_true",
-                       F.inline(cells), F.lit(None).cast("double").alias("train_loss"),
+                       F.inline(each), F.lit(None).cast("double").alias("train_loss"),
                        F.lit(None).cast("string").alias("error"),
                        F.lit(None).cast("long").alias("run_seq")) \
                .select(*LOG_SCHEMA.fieldNames())
 
 
+def places_of(todo: DataFrame, configs: Sequence[Config]) -> DataFrame:
+    """Per market the places in the list of configs that it is to run."""
+    grid = config_table(todo.sparkSession, configs).select("place", "model", "config_index")
+    return todo.select(*RUN_KEYS).join(grid, ["model", "config_index"]) \
+        .groupBy("market").agg(F.sort_array(F.collect_set("place")).alias("places"))
+
+
 RUN_KEYS = ["market", "model", "config_index"]
 
 
@@ -170,7 +185,8 @@ def native_log(labelled: DataFrame, configs: Sequence[Config], window_size: int,
     * ``rolling_ols``: straight line of y on Price over the train rows; where Price is constant
       in them, the mean of y.
 
-    ``todo`` (market, model, config_index) restricts the log to those runs.
+    ``todo`` (market, model, config_index) restricts the log to those runs: markets without any are not
+    read, and of the others only the listed forecasts are made.
     """
     split = split_point(window_size, test_ratio)
     train = train_frame(window_size, test_ratio)
@@ -197,9 +213,12 @@ def native_log(labelled: DataFrame, configs: Sequence[Config], window_size: int,
                 "prices", lambda x: F.col("base") + F.col("slope") * x)))
         else:
             raise ValueError(f"{c.model} is not a native learner; use walk_forward_fit")
-    rows = test_rows(labelled, window_size, test_ratio, max_windows, extra=extra)
-    log = _log(rows, forecasts)
-    return log if todo is None else log.join(todo.select(*RUN_KEYS), RUN_KEYS, "left_semi")
+    if todo is None:
+        return _log(test_rows(labelled, window_size, test_ratio, max_windows, extra=extra), forecasts)
+    places = stored(places_of(todo, configs), "places")
+    mine = labelled.join(places.select("market"), "market", "left_semi")
+    rows = test_rows(mine, window_size, test_ratio, max_windows, extra=extra)
+    return _log(rows.join(places, "market"), forecasts, places=True)
 
 
 def walk_forward_naive(labelled: DataFrame, window_size: int, test_ratio: float,

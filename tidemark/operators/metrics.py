@@ -155,8 +155,8 @@ def joined_states(old: DataFrame, new: DataFrame) -> DataFrame:
     return a.join(b, CONFIG_KEYS, "full").select(*CONFIG_KEYS, *one)
 
 
-def state_scores(states: DataFrame) -> DataFrame:
-    """The scores of ``config_scores`` from states of configs."""
+def state_scores(states: DataFrame, *keep: str) -> DataFrame:
+    """The scores of ``config_scores`` from states of configs, and the columns to ``keep``."""
     n = F.col("n")
     mse, price = F.try_divide("e2", n), F.when(n > 0, F.col("mean"))
     spread = F.when(F.col("low") == F.col("high"), 0.0).otherwise(F.try_divide("m2", n))
@@ -166,7 +166,7 @@ def state_scores(states: DataFrame) -> DataFrame:
         F.when(n < 2, None).when(spread == 0, F.when(mse == 0, 1.0).otherwise(0.0))
         .otherwise(1 - F.try_divide(mse, spread)).alias("R2"),
         F.sqrt(mse).alias("RMSE"), price.alias("mean_price"), n.alias("n_samples"),
-        F.col("hp_json").alias("hyperparams_json"))
+        F.col("hp_json").alias("hyperparams_json"), *keep)
 
 
 def merged_scores(partials: DataFrame) -> DataFrame:
@@ -187,20 +187,47 @@ def config_scores(log: DataFrame, with_loss: bool = False) -> DataFrame:
     shuffle, because windows are unique in a deduplicated log: count the first forecast of each, or
     the one row an empty list leaves.  ``with_loss`` adds ``train_loss_last_mean`` in the same pass.
     """
-    keys = ["market", "model", "config_index"]
     both = F.arrays_zip(F.col("y_true").alias("t"), F.col("y_pred").alias("p"))
-    loss = [F.col("train_loss").alias("loss")] if with_loss else []
-    pairs = log.select(*keys, "window_id", "hp_json", _error(log).alias("error"), *loss,
+    loss = [finite("train_loss").alias("loss")] if with_loss else []
+    pairs = log.select(*CONFIG_KEYS, "window_id", "hp_json", _error(log).alias("error"), *loss,
                        F.posexplode_outer(both).alias("i", "pair"))
     first = F.coalesce(F.col("i"), F.lit(0)) == 0
-    metrics = score_columns(F.col("pair.t"), F.col("pair.p"))
-    if with_loss:
-        metrics["train_loss_last_mean"] = F.avg(F.when(first, finite("loss")))
-    out = pairs.groupBy(*keys).agg(
-        F.count_if(first).alias("n_windows"), F.count("error").alias("n_failed"),
-        *[c.alias(n) for n, c in metrics.items()],
-        F.min_by("hp_json", "window_id").alias("hyperparams_json"))
-    return out.filter((F.col("n_samples") > 0) & (F.col("n_failed") == 0)).drop("n_failed")
+    t, p = finite(F.col("pair.t")), finite(F.col("pair.p"))
+    ok = t.isNotNull() & p.isNotNull()
+    t, p = F.when(ok, t), F.when(ok, p)
+    e, none = p - t, F.lit(0.0)
+    sums = {"e2": e * e, "ae": F.abs(e), "ape": F.abs(e) / F.greatest(F.abs(t), F.lit(MAPE_FLOOR))}
+    more = {"loss_sum": F.sum(F.when(first, F.col("loss"))), "n_loss": F.count(F.when(first, F.col("loss")))} if with_loss else {}
+    states = pairs.groupBy(*CONFIG_KEYS, "hp_json").agg(
+        F.count_if(first).alias("n_windows"), F.count("error").alias("n_failed"), F.count(e).alias("n"),
+        F.coalesce(F.avg(t), none).alias("mean"), F.coalesce(F.var_pop(t) * F.count(e), none).alias("m2"),
+        *[F.coalesce(F.sum(x), none).alias(c) for c, x in sums.items()], F.min(t).alias("low"), F.max(t).alias("high"),
+        F.min("window_id").alias("first_window"), F.max("window_id").alias("last_window"),
+        *[x.alias(c) for c, x in more.items()])
+    merged = one_text(states, more)
+    scores = state_scores(merged, *more)
+    if not with_loss:
+        return scores
+    return scores.withColumn("train_loss_last_mean", F.try_divide("loss_sum", "n_loss")).drop(*more)
+
+
+def one_text(states: DataFrame, more: Sequence[str] = ()) -> DataFrame:
+    """States per config and text as one per config, with the text of its first window.
+
+    A text in the key of an aggregate costs nothing, one among its results would make it sort its rows.
+    Nearly every config has one text, so this goes over a row per config.
+    """
+    every = Window.partitionBy(*CONFIG_KEYS)
+    total = lambda c: F.sum(c).over(every)
+    rows = states.withColumns({
+        "k": F.row_number().over(every.orderBy("first_window", "hp_json")), "all_n": total("n"),
+        "middle": F.coalesce(F.try_divide(total(F.col("n") * F.col("mean")), total("n")), F.lit(0.0))})
+    apart = F.col("mean") - F.col("middle")
+    rows = rows.withColumns({
+        **{c: total(c) for c in ("n_windows", "n_failed", *SUMS, *more)},
+        "m2": total(F.col("m2") + F.col("n") * apart * apart), "low": F.min("low").over(every), "high": F.max("high").over(every),
+        "first_window": F.min("first_window").over(every), "last_window": F.max("last_window").over(every)})
+    return rows.filter("k = 1").withColumns({"n": F.col("all_n"), "mean": F.col("middle")}).drop("k", "all_n", "middle")
 
 
 def run_states(log: DataFrame) -> DataFrame:
