@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import json
 import math
 import sys
@@ -14,6 +15,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tidemark.operators.indicators import series_window
+from tidemark.operators.ranking import ordered_rank
 from tidemark.operators.windows import number_rows, split_point, test_rows, train_frame
 from tidemark.schema import (
     BASELINE, BASELINE_CONFIG, GRID_ACTIVATIONS, GRID_BATCHES, GRID_EPOCHS, GRID_LAYERS,
@@ -185,7 +187,7 @@ def native_log(labelled: DataFrame, configs: Sequence[Config], window_size: int,
     * ``rolling_ols``: straight line of y on Price over the train rows; where Price is constant
       in them, the mean of y.
 
-    ``todo`` (market, model, config_index) restricts the log to those runs: markets without any are not
+    ``todo`` (market, model, config_index, perhaps ``first`` and ``last`` window) restricts the log to those runs: markets without any are not
     read, and of the others only the listed forecasts are made.
     """
     split = split_point(window_size, test_ratio)
@@ -218,7 +220,11 @@ def native_log(labelled: DataFrame, configs: Sequence[Config], window_size: int,
     places = stored(places_of(todo, configs), "places")
     mine = labelled.join(places.select("market"), "market", "left_semi")
     rows = test_rows(mine, window_size, test_ratio, max_windows, extra=extra)
-    return _log(rows.join(places, "market"), forecasts, places=True)
+    log = _log(rows.join(places, "market"), forecasts, places=True)
+    if "first" not in todo.columns:
+        return log
+    return log.join(todo.select(*RUN_KEYS, "first", "last"), RUN_KEYS) \
+        .filter("window_id BETWEEN first AND last").select(log.columns)
 
 
 def walk_forward_naive(labelled: DataFrame, window_size: int, test_ratio: float,
@@ -257,59 +263,136 @@ def fit_window(x: np.ndarray, y: np.ndarray, split: int, hps: list[dict],
             yield None, None, f"{type(e).__name__}: {e}"
 
 
+Cost = Callable[[Config], float]
+
+
+def config_parts(configs: Sequence[Config], size: int, cost: Cost | None = None) -> list[list[Config]]:
+    """The configs in parts of at most ``size``, by ``cost`` of about equal cost: the dearest first, each
+    into the cheapest part that has room.  Without a cost they stay in order."""
+    if cost is None:
+        return [list(configs[i:i + size]) for i in range(0, len(configs), size)]
+    parts: list[list[Config]] = [[] for _ in range(-(-len(configs) // size))]
+    room = [(0.0, k) for k in range(len(parts))]
+    for c in sorted(configs, key=cost, reverse=True):
+        total, k = heapq.heappop(room)
+        parts[k].append(c)
+        if len(parts[k]) < size:
+            heapq.heappush(room, (total + cost(c), k))
+    return parts
+
+
+def work_units(counts: DataFrame, parts: Sequence[Sequence[Config]], block_windows: int, cost: Cost | None = None,
+               todo: DataFrame | None = None) -> DataFrame:
+    """What there is to fit: ``market``, ``block`` (of windows), ``part`` (of configs), ``runs`` and ``cost``.
+
+    ``counts`` has ``n_expected`` windows per market.  ``runs`` lists the places in the part with the first and last
+    window that each is to run, and is NULL where that is all of the block with all of the part.  ``todo`` has the runs, and if
+    it has ``first`` and ``last`` the windows of each; a unit that nothing is to be done in is not there.
+    """
+    costs = [[float(cost(c)) if cost else 1.0 for c in part] for part in parts]
+    windows = F.least(F.col("n_expected"), (F.col("block") + 1) * block_windows) - F.col("block") * block_windows
+    blocks = counts.filter("n_expected > 0").withColumn(
+        "block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_expected") - 1) / block_windows))))
+    if todo is None:
+        sums = F.array(*[F.lit(sum(part)) for part in costs])
+        return blocks.select("market", "block", windows.alias("windows"), F.posexplode(sums).alias("part", "each")) \
+            .select("market", "block", "part", F.lit(None).cast("array<struct<place:int,first:bigint,last:bigint>>").alias("runs"),
+                    (F.col("windows") * F.col("each")).alias("cost"))
+    grid = counts.sparkSession.createDataFrame(
+        [(c.model, c.config_index, p, i, costs[p][i]) for p, part in enumerate(parts) for i, c in enumerate(part)],
+        "model string, config_index int, part int, place int, each double")
+    if "first" not in todo.columns:
+        todo = todo.withColumns({"first": F.lit(0).cast("long"), "last": F.lit(2**62)})
+    runs = todo.select(*RUN_KEYS, "first", "last").join(grid, ["model", "config_index"]).join(counts, "market") \
+        .withColumn("last", F.least("last", F.col("n_expected") - 1)).filter("first <= last")
+    each = runs.withColumn("block", F.explode(F.sequence(
+        F.floor(F.col("first") / block_windows), F.floor(F.col("last") / block_windows)))) \
+        .withColumns({"first": F.greatest("first", F.col("block") * block_windows),
+                      "last": F.least("last", (F.col("block") + 1) * block_windows - 1)})
+    return each.groupBy("market", "block", "part").agg(
+        F.sort_array(F.collect_set(F.struct("place", "first", "last"))).alias("runs"),
+        F.sum((F.col("last") - F.col("first") + 1) * F.col("each")).alias("cost"))
+
+
+def slot_keys(spark: SparkSession, tasks: int) -> list[int]:
+    """Per task a number that Spark's hash deals to it, so that work can be placed and its place be known to the planner."""
+    found = spark.range(tasks * 64).select("id", F.pmod(F.hash("id"), F.lit(tasks)).alias("task")) \
+        .groupBy("task").agg(F.min("id").alias("id")).collect()
+    keys = {r.task: r.id for r in found}
+    return [keys[k] for k in range(tasks) if k in keys]
+
+
+def placed(units: DataFrame, tasks: int) -> DataFrame:
+    """Adds ``slot``, the key of the task that is to do a unit.
+
+    Units in order of cost, the dearest first, are dealt out to the tasks there and back again, so that each
+    task gets as many, dear and cheap ones alike.
+    """
+    keys = slot_keys(units.sparkSession, tasks)
+    n = len(keys)
+    ranked = ordered_rank(units.withColumn("_less", -F.col("cost")), [], "_less", ["market", "block", "part"], "_k").drop("_less")
+    turn, at = F.floor((F.col("_k") - 1) / n), (F.col("_k") - 1) % n
+    task = F.when(turn % 2 == 0, at).otherwise(n - 1 - at)
+    return ranked.withColumn("slot", F.element_at(F.array(*map(F.lit, keys)), (task + 1).cast("int")).cast("long")).drop("_k")
+
+
 def walk_forward_fit(labelled: DataFrame, features: Sequence[str], configs: Sequence[Config],
                      fit_predict: FitPredict, window_size: int, test_ratio: float,
                      max_windows: int | None = None, block_windows: int = 256,
                      block_configs: int = 256, seed: int = 42,
-                     tasks: int | None = None, todo: DataFrame | None = None) -> DataFrame:
+                     tasks: int | None = None, todo: DataFrame | None = None,
+                     cost: Cost | None = None) -> DataFrame:
     """Walk-forward log of a learner the caller brings, one fit per (window, config).
 
-    The work unit is a block of windows of one market with a block of configs.  A unit gets the
+    The work unit is a block of windows of one market with a part of the configs.  A unit gets the
     rows of its windows (the W-1 rows at an edge are in two blocks), never rows times configs;
     the grid travels with the function.  Units are bounded, so a market that holds a third of
     all rows is simply more units.  A fit that raises gives a row with ``error`` set and no
     forecast, and the job goes on.
 
     Little data means much work here, so the number of tasks (``tasks``, by default three per
-    core) is set and not left to the sizes of the shuffled blocks.  ``todo`` (market, model,
-    config_index) names the runs to fit; all others cost nothing.
+    core) is set, and units are placed by what they cost (``cost`` of a config, by default the same
+    for all) and not by a hash.  ``todo`` (market, model, config_index, perhaps ``first`` and ``last`` window) names the
+    runs to fit; all others cost nothing.
     """
     split = split_point(window_size, test_ratio)
     block_windows = max(block_windows, window_size)
-    grid = [configs[i:i + block_configs] for i in range(0, len(configs), block_configs)]
+    grid = config_parts(configs, block_configs, cost)
     labels = [[(c.model, c.config_index, c.hp_json) for c in part] for part in grid]
     hps = [[dict(c.hp) for c in part] for part in grid]
     features = list(features)
     tasks = tasks or 3 * labelled.sparkSession.sparkContext.defaultParallelism
 
-    rows = number_rows(labelled.select("market", "d", "y", *features))
+    labelled = labelled.select("market", "d", "y", *features)
+    counts = window_counts(labelled, window_size, max_windows)
+    units = stored(placed(work_units(counts, grid, block_windows, cost, todo), tasks), "units")
+    rows = number_rows(labelled)
     if max_windows is not None:
         rows = rows.filter(F.col("r") < max_windows + window_size - 1)
     first = F.floor(F.greatest(F.col("r") - (window_size - 1), F.lit(0)) / block_windows)
     last = F.floor(F.col("r") / block_windows)
-    units = rows.withColumn("block", F.explode(F.sequence(first, last))) \
-                .withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(len(grid) - 1))))
-    if todo is not None:
-        place = labelled.sparkSession.createDataFrame(
-            [(c.model, c.config_index, p, i) for p, part in enumerate(grid)
-             for i, c in enumerate(part)], "model string, config_index int, part int, place int")
-        places = todo.select(*RUN_KEYS).join(place, ["model", "config_index"]) \
-            .groupBy("market", "part").agg(F.sort_array(F.collect_set("place")).alias("places"))
-        units = units.join(places, ["market", "part"])  # at most block_configs places a row
-    units = units.repartition(tasks, "market", "block", "part")
+    rows = rows.withColumn("block", F.explode(F.sequence(first, last)))
+    # one row of a unit carries its runs
+    work = rows.join(units.drop("cost"), ["market", "block"]) \
+        .withColumn("runs", F.when(F.col("r") == F.col("block") * block_windows, F.col("runs"))) \
+        .repartition(tasks, "slot")
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        market, block, part = key
+        _, market, block, part = key
         pdf = pdf.sort_values("r")
         x, y = pdf[features].to_numpy(float), pdf["y"].to_numpy(float)
         d, r0 = pdf["d"].to_numpy(), int(pdf["r"].iloc[0])
-        places = pdf["places"].iloc[0] if "places" in pdf else range(len(labels[part]))
-        mine, hp = [labels[part][i] for i in places], [hps[part][i] for i in places]
+        runs = pdf["runs"].iloc[0]
         out = []
         for k in range(block * block_windows, (block + 1) * block_windows):
             a, b = k - r0, k - r0 + window_size
             if b > len(pdf) or (max_windows is not None and k >= max_windows):
                 break
+            places = range(len(labels[part])) if runs is None else sorted(
+                {int(u["place"]) for u in runs if u["first"] <= k <= u["last"]})
+            if not places:
+                continue
+            mine, hp = [labels[part][i] for i in places], [hps[part][i] for i in places]
             truth = y[a + split:b].tolist()
             fits = fit_window(x[a:b], y[a:b], split, hp, fit_predict, seed)
             for (model, index, hp_json), (y_hat, loss, error) in zip(mine, fits):
@@ -317,4 +400,4 @@ def walk_forward_fit(labelled: DataFrame, features: Sequence[str], configs: Sequ
                             y_hat, loss, error, None))
         return pd.DataFrame(out, columns=LOG_SCHEMA.fieldNames()).astype({"run_seq": "Int64"})
 
-    return units.groupBy("market", "block", "part").applyInPandas(run, LOG_SCHEMA)
+    return work.groupBy("slot", "market", "block", "part").applyInPandas(run, LOG_SCHEMA)

@@ -90,13 +90,13 @@ def tune_job(spark: SparkSession, panel: str, log: str, out: str, configs: Seque
              window_size: int, test_ratio: float, start: str | None = None,
              end: str | None = None, learner: Learner = native_log,
              features: Sequence[str] = PANEL_FEATURES, max_configs: int | None = None,
-             max_windows: int | None = None) -> None:
-    """Append the runs that are missing, failed or cut short to the log, then score the whole log
-    and write metrics, best configs and the runs that have no score."""
+             max_windows: int | None = None, by_window: bool = False) -> None:
+    """Append the runs that are missing, failed or cut short to the log, ``by_window`` only their missing and
+    failed windows; then score the whole log and write metrics, best configs and the runs that have no score."""
     done = _stored_log(spark, log)
     labelled = labelled_panel(spark, panel, start, end, features)
     append_log(grid_log(labelled, configs, window_size, test_ratio, done and dedupe_log(done), learner,
-                        max_configs, max_windows), log)
+                        max_configs, max_windows, by_window), log)
     runs = dedupe_log(read_log_table(spark, log))
     scores = tuning_scores(runs, window_size, test_ratio)
     write_metrics(attach_hp(scores), f"{out}/hparam_metrics")

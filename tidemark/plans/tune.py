@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from tidemark.operators.forecast import Config, all_runs, native_log, window_counts
 from tidemark.operators.metrics import config_scores, dedupe_log
 from tidemark.operators.ranking import best_by_market_model
-from tidemark.sources.logs import resume_anti
+from tidemark.sources.logs import missing_windows, resume_anti
 
 # (labelled, configs, window_size, test_ratio, todo=runs or None) -> log
 Learner = Callable[..., DataFrame]
@@ -23,17 +23,21 @@ def tuning_scores(log: DataFrame, window_size: int, test_ratio: float) -> DataFr
 
 def grid_log(labelled: DataFrame, configs: Sequence[Config], window_size: int, test_ratio: float,
              done: DataFrame | None = None, learner: Learner = native_log,
-             max_configs: int | None = None, max_windows: int | None = None) -> DataFrame:
+             max_configs: int | None = None, max_windows: int | None = None, by_window: bool = False) -> DataFrame:
     """Walk-forward log of the grid.
 
     Runs that ``done`` (an earlier log, each window once) holds in full and without failures are
-    left out.  The limits keep the first configs of each model and the first windows of each market.
+    left out.  Of the others all windows are run again, or ``by_window`` only those that are missing or failed;
+    then both logs together are whole.  The limits keep the first configs of each model and the first windows of
+    each market.
     """
     if max_configs is not None:
         configs = [c for c in configs if c.config_index < max_configs]
     more = {} if max_windows is None else {"max_windows": max_windows}
-    todo = None if done is None else resume_anti(
-        all_runs(labelled, configs), done, expected=window_counts(labelled, window_size, max_windows))
+    todo = None
+    if done is not None:
+        left = missing_windows if by_window else resume_anti
+        todo = left(all_runs(labelled, configs), done, expected=window_counts(labelled, window_size, max_windows))
     return learner(labelled, configs, window_size, test_ratio, todo=todo, **more)
 
 

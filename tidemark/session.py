@@ -47,14 +47,36 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 def folder_names(spark: SparkSession, path: str) -> list[str]:
     """The names in a folder of any file system; none if it is not there."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    folder, fs = _file(spark, path)
     return [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
 
 
 def remove_folder(spark: SparkSession, path: str) -> None:
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    folder, fs = _file(spark, path)
+    fs.delete(folder, True)
+
+
+def _file(spark: SparkSession, path: str):
+    """A path and its file system, whichever it is."""
+    file = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return file, file.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def write_new(spark: SparkSession, path: str, text: str) -> None:
+    """A small file that must not be there yet; of two writers one fails."""
+    file, fs = _file(spark, path)
+    out = fs.create(file, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """All of a small file."""
+    file, fs = _file(spark, path)
+    stream = fs.open(file)
+    text = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    stream.close()
+    return text
 
 
 def stored(df: DataFrame, name: str = "table") -> DataFrame:

@@ -3,29 +3,63 @@
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from tidemark.functions.parsing import hp_json, parse_dict, parse_list
 from tidemark.functions.values import date_coerce, model_name_case
 from tidemark.operators.metrics import run_states
 from tidemark.schema import LOG_FILE_COLUMNS, LOG_REQUIRED, LOG_SCHEMA
+from tidemark.session import folder_names, read_text, remove_folder, write_new
+
 
 def append_log(log: DataFrame, path: str, run_seq: int | None = None) -> None:
     """One append per run, one folder per (model, market); never one write per window.
 
     Every row gets the sequence number of the run, by default the time in microseconds, the unit of the
     times of log files; it decides between windows that were logged twice.
+
+    Rows are written to a folder of this attempt, which readers pass over until the run is entered in the
+    manifest.  So an append that ended half-way leaves nothing to be seen, one that is repeated under the
+    same number changes nothing, and of two at a time one counts.
     """
+    spark = log.sparkSession
     seq = time.time_ns() // 1000 if run_seq is None else run_seq
+    if str(seq) in folder_names(spark, f"{path}/{MANIFEST}"):
+        return
+    attempt = f"{seq}-{uuid.uuid4().hex}"
     log.withColumn("run_seq", F.lit(seq).cast("long")) \
        .select(*[c for c in LOG_SCHEMA.fieldNames() if c in (*log.columns, "run_seq")]) \
-       .write.mode("append").partitionBy("model", "market").parquet(path)
+       .write.partitionBy("model", "market").parquet(f"{path}/attempt={attempt}")
+    write_new(spark, f"{path}/{MANIFEST}/{seq}", attempt)
+
+
+#: The folder with one file per finished run, which holds the name of its attempt; Spark passes over such a name.
+MANIFEST = "_runs"
 
 
 def read_log_table(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(LOG_SCHEMA).parquet(path)
+    """The rows of all finished runs, and those of a table that was written without a manifest."""
+    done = [read_text(spark, f"{path}/{MANIFEST}/{n}") for n in folder_names(spark, f"{path}/{MANIFEST}") if n.isdigit()]
+    older = [n for n in folder_names(spark, path) if n.startswith("model=")]
+    parts = [names for names in ([f"attempt={a}" for a in done], older) if names]
+    if not parts:
+        return spark.read.schema(LOG_SCHEMA).parquet(path)
+    tables = [spark.read.schema(LOG_SCHEMA).option("basePath", path).parquet(*[f"{path}/{n}" for n in names])
+              .select(*LOG_SCHEMA.fieldNames()) for names in parts]
+    return tables[0] if len(tables) == 1 else tables[0].unionByName(tables[1])
+
+
+def clear_attempts(spark: SparkSession, path: str) -> list[str]:
+    """Remove what attempts left that were never finished, while no append is under way; returns their names."""
+    done = {f"attempt={read_text(spark, f'{path}/{MANIFEST}/{n}')}"
+            for n in folder_names(spark, f"{path}/{MANIFEST}") if n.isdigit()}
+    left = [n for n in folder_names(spark, path) if n.startswith("attempt=") and n not in done]
+    for name in left:
+        remove_folder(spark, f"{path}/{name}")
+    return left
 
 
 def to_log_file_columns(log: DataFrame, timeframe: str = "daily") -> DataFrame:
@@ -158,3 +192,19 @@ def resume_anti(todo: DataFrame, log: DataFrame,
     if "error" in log.columns:
         done = log.groupBy(*keys).agg(F.count("error").alias("n_failed")).filter("n_failed = 0")
     return todo.join(done.select(*keys), list(keys), "left_anti")
+
+
+def missing_windows(todo: DataFrame, log: DataFrame, expected: DataFrame,
+                    keys: Sequence[str] = ("market", "model", "config_index")) -> DataFrame:
+    """The windows that the runs of ``todo`` lack or that failed, as intervals ``first``..``last``.
+
+    Give a log in which each window counts once; ``expected`` has ``n_expected`` windows per market.  The end of a run
+    counts as one more window, so every gap lies before a window.  A run has at most as many windows as its
+    market has days, which bounds the window over it.
+    """
+    ends = todo.select(*keys).distinct().join(expected, "market")
+    good = log.filter("error IS NULL") if "error" in log.columns else log
+    good = good.select(*keys, "window_id").join(ends, list(keys)).filter("window_id >= 0 AND window_id < n_expected")
+    marks = good.select(*keys, "window_id").unionByName(ends.select(*keys, F.col("n_expected").cast("bigint").alias("window_id")))
+    before = F.lag("window_id", 1, -1).over(Window.partitionBy(*keys).orderBy("window_id"))
+    return marks.select(*keys, (before + 1).alias("first"), (F.col("window_id") - 1).alias("last")).filter("first <= last")

@@ -220,6 +220,17 @@ VIEWS = {
     "line_once": last_of("line_raw", "market, model, config_index, window_id", "seq",
                          "end_date, t, p"),
     "grid": grid_sql(),
+    "layer_means": f"""SELECT market, d AS start_date, d AS end_date, y AS t, row_number() {W} - 1 - {SPLIT} AS window_id,
+        avg(y) {frame('2 PRECEDING', '1 PRECEDING')} AS m2, avg(y) {frame('3 PRECEDING', '1 PRECEDING')} AS m3,
+        avg(y) {frame('4 PRECEDING', '1 PRECEDING')} AS m4 FROM labelled""",
+    "shifted": f"""SELECT market, model, config_index, hp_json, window_id, t,
+        CASE layers WHEN 2 THEN m2 WHEN 3 THEN m3 ELSE m4 END + moved * CASE WHEN sd > 0 THEN sd ELSE 1 END AS p
+      FROM (SELECT *, stddev_pop(t) {frame('9 PRECEDING', '1 PRECEDING', order='start_date')} AS sd FROM layer_means) w,
+        (SELECT model, config_index, hp_json, CAST(coalesce(hp_json ->> '$.num_layers', hp_json ->> '$.blocks') AS INTEGER) AS layers,
+           CAST(coalesce(hp_json ->> '$.hidden_units', hp_json ->> '$.channels') AS DOUBLE) / 10000
+           + CAST(hp_json ->> '$.epochs' AS DOUBLE) / 100000 + CAST(hp_json ->> '$.learning_rate' AS DOUBLE) / 10
+           + CASE hp_json ->> '$.activation' WHEN 'tanh' THEN 0.0001 WHEN 'swish' THEN 0.0002 ELSE 0 END AS moved
+         FROM grid WHERE model <> 'naive_last_price') g WHERE window_id >= 0""",
     "line_log": """SELECT l.*, coalesce(g.hp_json, '{}') AS hp_json FROM line_once l
         LEFT JOIN grid g ON g.model = l.model AND g.config_index =
           CASE WHEN l.model = 'naive_last_price' THEN -1 ELSE l.config_index % 405 END""",
@@ -575,10 +586,16 @@ ORACLE = {
     "walk_forward_fit": f"SELECT {LOG_OUT} FROM log WHERE model <> 'naive_last_price'",
     "walk_forward_grid": f"""SELECT {LOG_OUT} FROM (SELECT g.model, g.config_index, w.* EXCLUDE (m2, m3, m4),
           CASE coalesce(g.hp_json ->> '$.num_layers', g.hp_json ->> '$.blocks') WHEN '2' THEN m2 WHEN '3' THEN m3 ELSE m4 END AS p
-        FROM grid g, (SELECT market, d AS start_date, d AS end_date, y AS t, row_number() {W} - 1 - {SPLIT} AS window_id,
-            avg(y) {frame('2 PRECEDING', '1 PRECEDING')} AS m2, avg(y) {frame('3 PRECEDING', '1 PRECEDING')} AS m3,
-            avg(y) {frame('4 PRECEDING', '1 PRECEDING')} AS m4 FROM labelled) w
-        WHERE g.model <> 'naive_last_price' AND window_id BETWEEN 0 AND 1)""",
+        FROM grid g, layer_means w WHERE g.model <> 'naive_last_price' AND window_id >= 0 AND g.hp_json ->> '$.activation' = 'tanh'
+          AND g.hp_json ->> '$.learning_rate' = '0.001' AND g.hp_json ->> '$.epochs' = '32')""",
+    "tune_grid": f"SELECT market, model, {CI}, n_windows, n_samples, hyperparams_json, {r('MAPE', 8)}, {r('R2', 6)}, {r('MAE', 1)} "
+                 f"FROM ({best_of('(' + scores_of('shifted') + ')')})",
+    "resume_by_window": f"""SELECT market, model, {CI}, min(window_id) AS first, max(window_id) AS last FROM (
+          SELECT *, window_id - row_number() OVER (PARTITION BY market, model, config_index ORDER BY window_id) AS island
+          FROM log WHERE NOT (window_id < 500 + 100 * config_index OR market = '2-HIGH' AND config_index = 1) OR window_id % 250 = 7)
+        GROUP BY market, model, config_index, island""",
+    "tune_by_window": f"SELECT {SCORE_OUT} FROM ({best_of('(' + scores_of('log') + ')')})",
+    "committed_runs": f"SELECT {LOG_OUT} FROM log",
     "failed_runs": f"""SELECT market, model, {CI}, n_windows, n_failed,
           n_failed || ' of ' || n_windows || ' windows failed: late' AS reason
         FROM (SELECT market, model, config_index, count(*) AS n_windows, count(*) FILTER (window_id % 97 = 5) AS n_failed

@@ -20,7 +20,7 @@ from tidemark.session import fresh_path, stored, use_utc
 from tidemark.sources import logs, market_files, panels as panel_files, results
 from tidemark.streaming import scores as streaming
 from workload import fixtures as fx
-from workload.learners import line_and_mean, mean_of_layers
+from workload.learners import line_and_mean, mean_of_layers, shifted_mean
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -1003,13 +1003,68 @@ def walk_forward_fit(spark, sf):
 
 @query
 def walk_forward_grid(spark, sf):
-    """Every config of every net's grid, fitted on all features in the first two windows of each market."""
-    configs = forecast.grid_configs(forecast.full_grid(spark).filter(F.col("model") != BASELINE))
+    """Every size and depth of every net at one rate, activation and length, fitted on all features in all windows."""
+    hp = F.from_json("hp_json", "activation string, learning_rate string, epochs int")
+    configs = forecast.grid_configs(forecast.full_grid(spark).filter(F.col("model") != BASELINE).withColumn("p", hp)
+                                    .filter("p.activation = 'tanh' AND p.learning_rate = '0.001' AND p.epochs = 32"))
     log = forecast.walk_forward_fit(fx.labelled(spark, sf), PANEL_FEATURES, configs, mean_of_layers(),
-                                    fx.WINDOW, fx.RATIO, max_windows=2)
+                                    fx.WINDOW, fx.RATIO, cost=net_cost)
     return show_log(log)
 
 
+def net_cost(config: forecast.Config) -> float:
+    """What a fit of a net costs: epochs times weights of its layers."""
+    hp = dict(config.hp)
+    return hp["epochs"] * hp.get("num_layers", hp.get("blocks", 1)) * hp.get("hidden_units", hp.get("channels", 1)) ** 2
+
+
+@query
+def tune_grid(spark, sf):
+    """The whole default grid over all windows of every market: fitted, scored, the best config per market and net."""
+    configs = forecast.grid_configs(forecast.full_grid(spark).filter(F.col("model") != BASELINE))
+    learner = lambda labelled, grid, size, ratio, todo=None: forecast.walk_forward_fit(
+        labelled, ["Price"], grid, shifted_mean(), size, ratio, todo=todo, cost=net_cost)
+    labelled = stored(fx.labelled(spark, sf).select("market", "d", "Price", "y"), "labelled")
+    best = tuning.tune(labelled, configs, fx.WINDOW, fx.RATIO, learner=learner)
+    return show(best, "market", "model", "config_index", "n_windows", "n_samples", "hyperparams_json", MAPE=8, R2=6, MAE=1)
+
+
+@query
+def resume_by_window(spark, sf):
+    """What is left of a log whose runs stopped somewhere, with some windows failed: intervals of windows."""
+    lab = stored(fx.labelled(spark, sf), "labelled")
+    log = forecast.native_log(lab, fx.LEARNERS, fx.WINDOW, fx.RATIO).filter(
+        "window_id < 500 + 100 * config_index OR market = '2-HIGH' AND config_index = 1").withColumn(
+        "error", F.when(F.col("window_id") % 250 == 7, "late"))
+    left = logs.missing_windows(forecast.all_runs(lab, fx.LEARNERS), log, forecast.window_counts(lab, fx.WINDOW))
+    return show(left, "market", "model", "config_index", "first", "last")
+
+
+@query
+def tune_by_window(spark, sf):
+    """The best configs after only the windows that a broken run left were run."""
+    lab = stored(fx.labelled(spark, sf), "labelled")
+    done = forecast.native_log(lab, fx.LEARNERS, fx.WINDOW, fx.RATIO).filter("window_id < 500 + 100 * config_index").withColumn(
+        "error", F.when(F.col("window_id") % 250 == 7, "late"))
+    rest = tuning.grid_log(lab, fx.LEARNERS, fx.WINDOW, fx.RATIO, done, by_window=True)
+    whole = done.filter("error IS NULL").unionByName(rest)
+    return show_scores(ranking.best_by_market_model(metrics.config_scores(whole)))
+
+
+@query
+def committed_runs(spark, sf):
+    """A log table after a run, the same run once more under its number, and one that ended half-way."""
+    path = fresh_path(spark, "log")
+    lab = stored(fx.labelled(spark, sf), "labelled")
+    whole = forecast.native_log(lab, fx.LEARNERS[:2], fx.WINDOW, fx.RATIO)
+    logs.append_log(whole, path, 7)
+    logs.append_log(whole, path, 7)
+    half = doubled(whole.filter("window_id % 2 = 0"))
+    half.write.partitionBy("model", "market").parquet(f"{path}/attempt=8-broken")
+    logs.append_log(forecast.native_log(lab, fx.LEARNERS[2:], fx.WINDOW, fx.RATIO), path, 9)
+    return show_log(logs.read_log_table(spark, path))
+
+
 def line_log_with_failures(spark, sf):
     """Order lines as a log in which every 97th window of the config failed."""
     failed = F.pmod("window_id", F.lit(97)) == 5
