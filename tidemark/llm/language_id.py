@@ -15,13 +15,17 @@ the number of languages, not with their documents, and a rare language loses not
 What a language was never seen with has the same frequency in all languages, however much was learnt
 of each.
 
-A text that is null or has no letter is ``und`` with score 0, as is every text if nothing was learnt.
-Rows with a null language teach nothing.  Extra columns are ignored; repeated rows get equal results.
+Letters are the characters of Unicode's categories L; the marks that follow them (vowel signs, accents) belong to the
+word.  A text that is null or has no letter is ``und`` with score 0, as is every text if nothing was learnt.
+Rows with a null language teach nothing.  Extra columns are ignored; repeated rows get equal results, and are all in the
+sample or all out of it.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
@@ -44,14 +48,31 @@ CACHE = 400_000
 #: Languages up to this number are broadcast to the rows; beyond, rows are shuffled.
 BROADCAST_ROWS = 100_000
 UNKNOWN = "und"
-_WORD = re.compile(r"[^\W\d_]+")
+
+
+def _class(kinds: str) -> str:
+    """The characters of some Unicode categories, as ranges of a pattern."""
+    out, start = [], None
+    for c in range(sys.maxunicode + 2):
+        inside = c <= sys.maxunicode and unicodedata.category(chr(c))[0] in kinds
+        if inside and start is None:
+            start = c
+        elif not inside and start is not None:
+            out.append(re.escape(chr(start)) + "-" + re.escape(chr(c - 1)))
+            start = None
+    return "".join(out)
+
+
+#: A letter and what follows of letters and marks; numbers that are no digits, such as fractions, are no letters.
+_WORD, _ASCII_WORD = re.compile(f"[{_class('L')}][{_class('LM')}]*"), re.compile("[a-z]+")
 #: Letters of a piece of a long run, and the mark of a piece where the run goes on.
 _LONGEST, _JOIN = 40, "-"
 
 
 def words_of(text: str) -> Counter[str]:
     """Runs of letters, longer ones in pieces; the same in learning and in look-up."""
-    runs = Counter(_WORD.findall(text.lower()))
+    text = text.lower()
+    runs = Counter((_ASCII_WORD if text.isascii() else _WORD).findall(text))
     for run in [r for r in runs if len(r) > _LONGEST]:
         n = runs.pop(run)
         for piece in pieces(run):
