@@ -13,7 +13,8 @@ table) and are the same for the same rows; every row is then scored in one pass
 Features see the text alone.  A null text counts as empty, and an empty text gets the score of its
 all-zero features.  Labels without a document, null labels and repeated labels of the same value
 change nothing; a document labelled both 0 and 1 is no positive.  Without any positive, every score is 0.5.  Extra
-columns are ignored; repeated rows get equal scores.
+columns are ignored; repeated rows get equal scores, and as they share a hash they are chosen for a sample
+together, as far as its bound allows.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import words as W
 from tidemark.llm.tables import by_batch, documents, held_out, keyed, table
+from tidemark.session import stored
 
 #: Bounds of the sample that the model is fitted on.
 POSITIVES, UNLABELLED = 6_000, 12_000
@@ -139,11 +141,16 @@ def _featured(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 
 def _sample(rows: DataFrame, n: int, bound: int, salt: int) -> np.ndarray:
-    """Features of at most ``bound`` of ``n`` rows, chosen by hash of their key."""
+    """Features of at most ``bound`` of ``n`` rows, chosen by hash of their key.
+
+    Repeated rows share a key, so any number of them may be chosen at once: they are cut to the bound by
+    key in Spark, before anything comes to the driver.
+    """
     share = min(1.0, bound / max(n, 1))
     mine = rows.filter(F.pmod(F.xxhash64("rk", F.lit(salt)), F.lit(1 << 24)) < F.lit(int(share * (1 << 24))))
-    got = sorted((r.rk, r.x) for r in by_batch(mine.select("rk", "text"), _featured, "rk long, x array<double>").collect())
-    return np.array([x for _, x in got[:bound]], np.float64).reshape(-1, len(FEATURES))
+    found = by_batch(mine.select("rk", "text"), _featured, "rk long, x array<double>")
+    got = sorted((r.rk, r.x) for r in stored(found.orderBy("rk").limit(bound), "sample").collect())
+    return np.array([x for _, x in got], np.float64).reshape(-1, len(FEATURES))
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Scorer | None:
