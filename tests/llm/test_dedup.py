@@ -269,3 +269,11 @@ def test_neighbouring_licenses_are_told_apart(spark):
 
 def test_row_keys_ignore_other_columns(spark):
     assert keyed(frame(spark, [(1, "x")])).columns == ["doc_id", "text", "rk"]
+
+
+def test_the_kept_copy_does_not_depend_on_the_layout(spark):
+    """Rows equal in id and text but not in other columns: the same one stays for any number of partitions."""
+    docs = [(1, "one two three four five", f"source {k}") for k in range(9)] + [(2, "one two three four five", "x"), (3, None, "y"), (3, None, "z")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    got = {str(sorted(map(str, ngram_jaccard_join.keep_one(df.repartition(n)).collect()))) for n in (1, 3, 5, 7)}
+    assert len(got) == 1 and "source 0" in got.pop()

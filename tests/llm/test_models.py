@@ -1,6 +1,7 @@
 """Language identification and the quality classifier: held-out accuracy and odd rows."""
 
 import itertools
+import random
 import zlib
 from collections import Counter
 
@@ -9,7 +10,7 @@ import pytest
 
 from tests.llm.helpers import frame, rows
 from tidemark.llm import language_id, quality_classifier
-from tidemark.llm.tables import documents, table
+from tidemark.llm.tables import documents, keyed, table
 
 SF = "/root/testdata/sf0.01"
 
@@ -129,3 +130,111 @@ def test_quality_of_odd_rows(spark):
     assert quality_classifier.score(docs.limit(0), labels).count() == 0
     kept = quality_classifier.keep_good(docs, labels)
     assert kept.schema == docs.schema and kept.count() == sum(r["predicted"] for r in got)
+
+
+# ---- language by plain sums of log frequencies --------------------------------------------
+
+SPOKEN = {
+    "hi": "यह किताब मेरी है और मैं हिन्दी में लिखता हूँ", "th": "ภาษาไทย เป็น ภาษา ที่ สวยงาม", "ar": "اللُّغَةُ العَرَبِيَّةُ جميلة جدا",
+    "en": "the book is on the table and the cat is under it", "de": "das Buch liegt auf dem Tisch und die Katze schläft"}
+
+
+def plain_language(training, text):
+    """Language and probability by the docstring: counts in dictionaries, logs summed word by word."""
+    import math
+    counts = {}
+    for lang, t in training:
+        for word, n in language_id.words_of(t).items():
+            for kind, keys in [(0, [word]), *((o, language_id.grams(word, o)) for o in language_id.ORDERS)]:
+                for k in keys:
+                    per = counts.setdefault(kind, {}).setdefault(k, {})
+                    per[lang] = per.get(lang, 0) + n
+    languages = sorted({lang for lang, _ in training})
+    total = {(kind, x): sum(per.get(x, 0) for per in keys.values()) for kind, keys in counts.items() for x in languages}
+
+    def log_frequency(kind, key, lang):
+        least = language_id.SMOOTH / max(total[kind, x] for x in languages)
+        return math.log((counts[kind][key].get(lang, 0) / max(total[kind, lang], 1) + least) / (1 + least * len(counts[kind])))
+
+    words = language_id.words_of(text or "")
+    if not words:
+        return "und", 0.0
+    score = dict.fromkeys(languages, 0.0)
+    for word, n in words.items():
+        for lang in languages:
+            if word in counts[0]:
+                score[lang] += n * log_frequency(0, word, lang)
+                continue
+            for step, order in enumerate(language_id.ORDERS, 1):
+                found = [g for g in language_id.grams(word, order) if g in counts.get(order, {})]
+                if found:
+                    score[lang] += n * (sum(log_frequency(order, g, lang) for g in found) / len(found) - language_id.STEP_DOWN * step)
+                    break
+    best = min(languages, key=lambda x: (-score[x], x))
+    return best, 1 / sum(math.exp(min(score[x] - score[best], 0)) for x in languages)
+
+
+def test_language_equals_plain_sums(spark):
+    """The whole query path against sums in plain Python: known and unseen words, marks, texts without letters."""
+    rng = random.Random(5)
+    docs = []
+    for i in range(160):
+        lang = rng.choice(list(SPOKEN))
+        words = SPOKEN[lang].split()
+        docs.append((i, " ".join(rng.choice(words) for _ in range(rng.randrange(1, 9))), lang))
+    unseen = ["tables bookish", "Tischen Bücher", "किताबें", "ภาษาอังกฤษ", "xq zzz", "½ ² ① Ⅷ", "12 34", "", "़", "½cat", "é" * 90, "the 	Katze"]
+    docs += [(1000 + k, t, None) for k, t in enumerate(unseen)] + [(None, "the cat", "en"), (2000, None, "en")]
+    training = [(lang, t) for i, t, lang in docs if lang and t is not None and (i is None or zlib.crc32(str(i).encode()) % 4 != 2)]
+    got = rows(language_id.identify(frame(spark, docs)))
+    want = {i: plain_language(training, t) for i, t, _ in docs}
+    assert len(got) == len(docs)
+    for r in got:
+        lang, score = want[r["doc_id"]]
+        assert r["lang_pred"] == lang and r["score"] == pytest.approx(score, abs=1e-6), (r, lang, score)
+    assert {r["lang_pred"] for r in got if r["doc_id"] in (1005, 1006, 1007, 1008)} == {"und"}
+
+
+@pytest.mark.parametrize("text, words", [
+    ("½ ² ① Ⅷ ٣ 12 _", []), ("हिन्दी में", ["हिन्दी", "में"]), ("العَرَبِيَّة", ["العَرَبِيَّة"]), ("a1b", ["a", "b"]), ("e\u0301t\u0301", ["e\u0301t\u0301"]), ("\u0301a", ["a"])])
+def test_letters_and_marks(text, words):
+    assert list(language_id.words_of(text)) == words
+
+
+# ---- the classifier's risk ----------------------------------------------------------------
+
+def test_gradient_of_the_risk(monkeypatch):
+    """One step of Adam moves each weight by the rate against the sign of the numeric derivative of the risk."""
+    Q = quality_classifier
+    rng = np.random.default_rng(0)
+    xp, xu = rng.normal(1, 1, (40, 5)), rng.normal(0, 1, (90, 5))
+    for prior in (0.2, 0.9):  # the negative part of the risk is positive, and negative
+        monkeypatch.setattr(Q, "STEPS", 0)
+        before = Q.fit(xp, xu, prior)
+        monkeypatch.setattr(Q, "STEPS", 1)
+        after = Q.fit(xp, xu, prior)
+
+        def parts(w):
+            s = Q.Scorer(before.mean, before.scale, w)
+            p, u = s(xp), s(xu)
+            return prior * -np.log(p).mean(), -np.log(1 - u).mean() + prior * np.log(1 - p).mean()
+
+        positive, negative = parts(before.weights)
+        risk = (lambda w: sum(parts(w))) if negative >= 0 else (lambda w: -parts(w)[1])
+        checked = 0
+        for k, w in enumerate(before.weights):
+            for at in list(np.ndindex(w.shape))[:12]:
+                moved = [x.copy() for x in before.weights], [x.copy() for x in before.weights]
+                moved[0][k][at] += 1e-5
+                moved[1][k][at] -= 1e-5
+                slope = (risk(moved[0]) - risk(moved[1])) / 2e-5 + Q.DECAY * w[at]
+                if abs(slope) > 1e-4:
+                    checked += 1
+                    assert np.sign(before.weights[k][at] - after.weights[k][at]) == np.sign(slope), (prior, k, at, slope)
+        assert checked > 20
+
+
+def test_many_copies_of_a_row_stay_within_the_bound(spark):
+    """Copies share a hash; what comes to the driver is cut before."""
+    docs = keyed(frame(spark, [(1, "copy of a row")] * 3000 + [(i, f"text {i}") for i in range(2, 60)]))
+    sizes = [len(quality_classifier._sample(docs, 60, 50, salt)) for salt in range(4)]
+    assert max(sizes) == 50 and sizes[0] == len(quality_classifier._sample(docs.repartition(7), 60, 50, 0))

@@ -307,7 +307,8 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One document of each component, the one of least id, with all its columns.
 
-    Documents without words all stay.  A row that repeats both id and text of the one that stays goes.
+    Documents without words all stay.  Of rows that repeat both id and text of the one that stays, the one whose
+    columns come first as text is kept, however the rows are laid out.
     """
     found = stored(jaccard_components(docs, shingle, percent).select("rk", "keeper", "n_shingles"), "components")
     gone = found.filter("rk <> keeper").select("rk").distinct()
@@ -317,10 +318,10 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) ->
     again = found.filter("rk = keeper AND n_shingles > 0").groupBy("rk").count().filter("count > 1").select("rk")
     if again.isEmpty():
         return left
-    nth = F.row_number().over(Window.partitionBy(row_key(left)).orderBy(F.lit(1)))
-    same = left.join(again, row_key(left) == again["rk"], "left_semi").select(nth.alias("nth"), F.struct("*").alias("row"))
-    return (left.join(again, row_key(left) == again["rk"], "left_anti")
-            .unionByName(same.filter("nth = 1").select("row.*")))
+    copies = left.join(again, row_key(left) == again["rk"], "left_semi")
+    whole = F.struct(*[F.col(f"`{c}`") for c in copies.columns])
+    one = copies.groupBy(row_key(copies).alias("_rk")).agg(F.min_by(whole, F.to_json(whole)).alias("_row"))
+    return left.join(again, row_key(left) == again["rk"], "left_anti").unionByName(one.select("_row.*"))
 
 
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
