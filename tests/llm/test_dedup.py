@@ -1,5 +1,6 @@
 """Near duplicates, repeated passages, benchmark hits and licenses against SQL and brute force."""
 
+import hashlib
 import random
 import re
 
@@ -9,6 +10,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import check
 from tests.llm.helpers import frame, rows
@@ -277,3 +279,38 @@ def test_the_kept_copy_does_not_depend_on_the_layout(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string, source string")
     got = {str(sorted(map(str, ngram_jaccard_join.keep_one(df.repartition(n)).collect()))) for n in (1, 3, 5, 7)}
     assert len(got) == 1 and "source 0" in got.pop()
+
+
+def test_a_window_that_very_many_items_share(spark, monkeypatch):
+    """Its items are spread over blocks that are bounded by bytes; no row and no set holds them all."""
+    shared = " ".join(f"w{i}" for i in range(13))
+    benchmark = spark.range(20_000).select(F.concat(F.lit("item"), "id").alias("item_id"), F.lit(shared).alias("text"))
+    monkeypatch.setattr(decontamination, "BLOCK_BYTES", 1 << 20)
+    windows = decontamination.benchmark_windows(benchmark)
+    parts = [sum(len(words) + sum(len(i) + 64 for i in items) for _, _, words, items in part) for part in decontamination.blocks(windows)]
+    assert len(parts) >= 2 and max(parts) < 1.2 * (1 << 20)
+    docs = [(1, shared + " tail"), (2, "none"), (1, shared + " tail"), (3, "x " + shared)]
+    got = rows(decontamination.decontaminate(frame(spark, docs), benchmark))
+    ids = hashlib.sha256(",".join(sorted(f"item{k}" for k in range(20_000))).encode()).hexdigest()
+    assert [(r["doc_id"], r["n_hit"], r["n_items"]) for r in got] == [(1, 13, 20_000)] * 2 + [(2, 0, 0), (3, 13, 20_000)]
+    assert {r["items_sha256"] for r in got if r["n_hit"]} == {ids}
+
+
+def test_copies_of_a_document_are_merged_as_one(spark, monkeypatch):
+    """With several blocks, the written hits hold each text once, however often it is there."""
+    text = " ".join(f"w{i}" for i in range(40))
+    written = []
+    monkeypatch.setattr(decontamination, "BLOCK_WINDOWS", 12)
+    monkeypatch.setattr(decontamination, "stored", lambda df, name, keep=decontamination.stored: written.append(keep(df, name)) or written[-1])
+    benchmark = spark.createDataFrame([("a", text)], "item_id string, text string")
+    got = rows(decontamination.decontaminate(frame(spark, [(1, text)] * 500 + [(2, "x")]), benchmark))
+    assert [(r["doc_id"], r["n_hit"]) for r in got] == [(1, 40)] * 500 + [(2, 0)]
+    assert all(df.count() <= 2 for df in written[1:]) and len(written) > 2
+
+
+def test_odd_tables_of_decontamination(spark):
+    benchmark = spark.createDataFrame([("a", "one two three " * 20_000)], "item_id string, text string")
+    assert decontamination.decontaminate(frame(spark, []), benchmark).collect() == []
+    assert decontamination.keep_clean(frame(spark, []), benchmark).collect() == []
+    got = rows(decontamination.decontaminate(frame(spark, [(1, "zero " + "one two three " * 30_000), (None, None)]), benchmark))
+    assert [(r["doc_id"], r["n_hit"], r["contaminated"]) for r in got] == [(None, 0, False), (1, 90_000, True)]

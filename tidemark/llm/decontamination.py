@@ -3,14 +3,17 @@
 Words are runs of letters and digits of ASCII and of anything beyond ASCII, A-Z lower-cased.  A window
 is ``WINDOW`` consecutive words of a benchmark item; an item of fewer words, but not none, is one
 window.  The hashes of all windows are broadcast in blocks of a bounded number of windows
-(``BLOCK_WINDOWS``); a document window whose hash is in the set is verified word for word.  With one
+(``BLOCK_WINDOWS``) and of bytes, words and item ids together (``BLOCK_BYTES``): a window that very many items
+share is spread over blocks with its items.  A document window whose hash is in the set is verified word for word.  With one
 block a document is finished where it is scanned, without any shuffle; with more blocks, every
 document is scanned against one block after the other, whose hits are written before the next is read,
 and the written hits are merged per document.
 
-A null or empty text has no words and no hits.  An item whose windows several items share counts for
+A null or empty text has no words and no hits; a very long one is scanned as a whole, at about 60 bytes of memory per
+byte.  An item whose windows several items share counts for
 each of them; a repeated item id counts once, and a null item id or text is ignored.  Repeated
-documents get a row each.  Extra columns are ignored; an empty benchmark hits nothing.
+documents get a row each, but are merged as one.  Extra columns are ignored; an empty benchmark hits nothing, and an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,6 +33,8 @@ from tidemark.session import stored
 WINDOW = 13
 #: Windows of one broadcast set: about 100 MB with their words.
 BLOCK_WINDOWS = 500_000
+#: Bytes of the words and item ids of one set, and what an entry takes besides.
+BLOCK_BYTES, ENTRY_BYTES = 100 << 20, 64
 #: A document is contaminated if at least one word in so many is hit.
 SHARE = 20
 _TABLE = W.byte_map(W.NOT_ALNUM, lower=True)
@@ -77,11 +82,10 @@ def _item_windows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
-    """Distinct windows of a benchmark: length ``n``, hash ``h``, ``words`` and the ``items`` that have them."""
+    """Distinct windows and items of a benchmark: length ``n``, hash ``h``, ``words`` and the ``item``."""
     items = benchmark.select(benchmark["item_id"].cast("string").alias("item_id"), benchmark["text"].alias("text"))
-    return (by_batch(items.filter("item_id IS NOT NULL AND text IS NOT NULL"), _item_windows,
-                     "n int, h long, words binary, item string")
-            .groupBy("n", "h", "words").agg(F.sort_array(F.collect_set("item")).alias("items")))
+    return by_batch(items.filter("item_id IS NOT NULL AND text IS NOT NULL"), _item_windows,
+                    "n int, h long, words binary, item string").distinct()
 
 
 def scan(texts: pa.Array, ngrams: NgramSet) -> Iterator[tuple[int, int, np.ndarray, list[tuple[int, int, tuple[str, ...]]]]]:
@@ -116,16 +120,19 @@ def covered(n_words: int, hits: list) -> np.ndarray | None:
 
 
 def n_blocks(windows: DataFrame) -> int:
-    """How many blocks the windows are taken in, from their number alone."""
-    return max(1, -(-windows.count() // BLOCK_WINDOWS))
+    """How many blocks the windows are taken in, from their number and size alone."""
+    each = windows.groupBy("n", "h", "words").agg(F.sum(F.length("words") + F.length("item") + ENTRY_BYTES).alias("bytes"))
+    size = each.agg(F.count(F.lit(1)).alias("windows"), F.sum("bytes").alias("bytes")).first()
+    return max(1, -(-size.windows // BLOCK_WINDOWS), -(-(size.bytes or 0) // BLOCK_BYTES))
 
 
 def blocks(windows: DataFrame) -> Iterator[list[tuple]]:
-    """Benchmark windows in blocks of about ``BLOCK_WINDOWS``; each block alone reaches the driver."""
+    """Benchmark windows with their items in blocks of about equal size; each block alone reaches the driver."""
     n = n_blocks(windows)
     for k in range(n):
-        mine = windows if n == 1 else windows.filter(F.pmod(F.xxhash64("words"), F.lit(n)) == k)
-        yield [(r.n, r.h, bytes(r.words), list(r["items"])) for r in mine.collect()]
+        mine = windows if n == 1 else windows.filter(F.pmod(F.xxhash64("words", "item"), F.lit(n)) == k)
+        sets = mine.groupBy("n", "h", "words").agg(F.sort_array(F.collect_list("item")).alias("items"))
+        yield [(r.n, r.h, bytes(r.words), list(r["items"])) for r in sets.collect()]
 
 
 def verdict(n_words: int, n_hit: int) -> bool:
@@ -159,7 +166,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     for part in blocks(windows):
         shared = spark.sparkContext.broadcast(NgramSet.of(part))
         del part  # not held while the next one is read
-        hits = stored(by_batch(docs, _hits_of(shared), _HITS), "benchmark_hits")
+        hits = stored(by_batch(docs, _hits_of(shared), _HITS).dropDuplicates(["rk"]), "benchmark_hits")
         shared.destroy()
         found = hits if found is None else found.unionByName(hits)
     merged = found.groupBy("rk", "doc_id", "n_words").agg(
