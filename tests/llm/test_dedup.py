@@ -314,3 +314,28 @@ def test_odd_tables_of_decontamination(spark):
     assert decontamination.keep_clean(frame(spark, []), benchmark).collect() == []
     got = rows(decontamination.decontaminate(frame(spark, [(1, "zero " + "one two three " * 30_000), (None, None)]), benchmark))
     assert [(r["doc_id"], r["n_hit"], r["contaminated"]) for r in got] == [(None, 0, False), (1, 90_000, True)]
+
+
+def test_a_phrase_with_ever_other_surroundings_is_spread(spark):
+    """A phrase in all documents, other words around it in each: no task gets it all, and the result is exact."""
+    rng = random.Random(8)
+    candidates = [f"p{k} hot phrase of six words" for k in range(3000)]
+    least = [W.sequence_hashes(words.hashes(0), 6) for _, _, words in W.word_blocks(pa.array(candidates), substring_dedup._TABLE)]
+    phrase = candidates[int(np.argmin(np.concatenate(least)[::6]))]  # a seed that is the least of its windows
+    texts = [" ".join([*(f"a{rng.randrange(10**6)}" for _ in range(30)), phrase, *(f"b{rng.randrange(10**6)}" for _ in range(30))]) for _ in range(4000)]
+    texts += [texts[5], texts[6][:len(texts[6]) // 2 + 60]]
+    docs = list(enumerate(texts))
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    try:
+        spots = substring_dedup.by_batch(keyed(frame(spark, docs)), substring_dedup.partial(
+            substring_dedup._seeds, window=20, seed=6), substring_dedup._SPOT)
+        hot = spots.groupBy("g").count().agg({"count": "max"}).first()[0]
+        sizes = sorted(r["count"] for r in substring_dedup._ranked(spots).groupBy(F.spark_partition_id()).count().collect())
+        assert hot > 1000 and len(sizes) == 40 and sizes[-1] < 3 * sizes[20]
+        assert substring_dedup._several(spots).count() >= 1
+        got = [(r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in rows(substring_dedup.remove_repeats(frame(spark, docs)))]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == passages(docs) and sum(r[2] for r in got) > 60

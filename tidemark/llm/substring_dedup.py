@@ -13,8 +13,9 @@ words left and right of the anchor are its context.
 
 Overlapping repeats are merged into maximal ones, and their words removed.  Occurrences are never
 paired with each other: each is compared with the first of its class, so a passage in a third of all
-documents costs one row per occurrence.  Copies within one Arrow batch are settled there, so a hot
-anchor sends one row per batch to its shuffle partition.
+documents costs one row per occurrence.  Copies within one Arrow batch are settled there, so an anchor that is hot
+with one context sends one row per batch to its shuffle partition, and one that is hot with many contexts is spread
+over them.
 
 Contexts are compared by a 64-bit hash that is independent of the anchor's.  Words are runs of
 anything but space and the controls 9 to 13; a null or empty text, and one of fewer words than a
@@ -39,6 +40,8 @@ from tidemark.llm.tables import by_batch, documents, keyed
 from tidemark.session import stored
 
 SEED, WINDOW = 6, 20
+#: Seeds with several contexts that are broadcast, of 8 bytes each; more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 _TABLE = W.byte_map(W.SPACES, lower=False)
 #: A null id sorts before all others.
 _NULL_ID = np.iinfo(np.int64).min
@@ -162,32 +165,38 @@ def _kept(batch: pa.RecordBatch, window: int) -> Iterator[pa.RecordBatch]:
              pa.array(kept, pa.binary()).cast(pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
 
 
-def _classes(spots: DataFrame) -> DataFrame:
-    """Adds whether an occurrence is a repeat, and whether its seed has more than one context.
-
-    One shuffle by seed and one sort serve both windows.
-    """
-    seed = Window.partitionBy("g")
+def _ranked(spots: DataFrame) -> DataFrame:
+    """Adds whether an occurrence is a repeat: not the first one of its seed with its context."""
     own = Window.partitionBy("g", "c").orderBy("doc_id", "lo")
-    return (spots.repartition("g").sortWithinPartitions("g", "c", "doc_id", "lo")
-            .withColumn("several", F.min("c").over(seed) != F.max("c").over(seed))
+    return (spots.repartition("g", "c").sortWithinPartitions("g", "c", "doc_id", "lo")
             .withColumn("repeat", F.col("settled") | (F.rank().over(own) > 1)))
 
 
+def _several(spots: DataFrame) -> DataFrame:
+    """The seeds with more than one context; each task sends one row per seed, however often it occurs."""
+    own = spots.filter("not settled").groupBy("g").agg(F.min("c").alias("low"), F.max("c").alias("high"))
+    return own.filter("low <> high").select("g")
+
+
 def remove_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
     """``doc_id``, ``n_words``, ``n_removed`` and ``kept``, the words left, joined by single spaces.
 
+    Seeds are made twice, first for those with several contexts, then for the classes, which are dealt by seed
+    and context: a phrase with ever other words around it lies in as many places as it has contexts.
     Texts are shuffled once by row key; both steps that need them again read that one shuffle.
     """
     docs = keyed(docs)
     runs = F.collect_list(F.struct("lo", "hi")).alias("runs")
-    found = stored(_classes(by_batch(docs, partial(_seeds, window=window, seed=seed), _SPOT))
-                   .filter("repeat or several").select("rk", "lo", "hi", "repeat"), "anchors")
+    spots = by_batch(docs, partial(_seeds, window=window, seed=seed), _SPOT)
+    several = stored(_several(spots), "several").withColumn("several", F.lit(True))
+    if several.count() <= BROADCAST_ROWS:
+        several = F.broadcast(several)
+    found = stored(_ranked(spots).join(several, "g", "left").filter("repeat or several").select("rk", "lo", "hi", "repeat"), "anchors")
     texts = docs.repartition("rk")
     open_runs = found.filter("not repeat").groupBy("rk").agg(runs)
     windows = by_batch(texts.join(open_runs.hint("shuffle_hash"), "rk").select("doc_id", "text", "rk", "runs"),
                        partial(_windows, window=window, seed=seed), _SPOT)
-    again = _classes(windows).filter("repeat").select("rk", "lo", "hi")
+    again = _ranked(windows).filter("repeat").select("rk", "lo", "hi")
     marks = found.filter("repeat").select("rk", "lo", "hi").unionByName(again).groupBy("rk").agg(runs)
     return by_batch(texts.join(marks.hint("shuffle_hash"), "rk", "left").select("doc_id", "text", "runs"),
                     partial(_kept, window=window), "doc_id long, n_words long, n_removed long, kept string")
