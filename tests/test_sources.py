@@ -291,3 +291,24 @@ def test_shared_folder_comes_from_the_session(spark):
     session.clear_scratch(spark)
     assert not os.path.exists(session.shared_folder(spark))
     assert session.fresh_path(spark, "x") != session.fresh_path(spark, "x")
+
+
+def test_files_that_are_passed_over(spark, tmp_path):
+    """Every file without a price, why, and how many of its rows begin with a date."""
+    write(tmp_path / "a", "one.csv", "title\nDate,Secondary Market\n2024-01-02,1\n2024-01-03,2\n")
+    write(tmp_path / "a", "two.csv", "Date,x,Secondary Market\n2024-01-02,0,1\n")
+    write(tmp_path / "a", "rest.csv", "2024-01-04,5\n2024-01-05,6\n")
+    write(tmp_path / "b", "one.csv", "Date,Secondary Market\n2024-01-02,1\n")
+    write(tmp_path / "b", "part.csv", "2024-01-04,5\n")
+    write(tmp_path / "b", "words.csv", "hello,world\n")
+    write(tmp_path / "b", "empty.csv", "")
+    write(tmp_path / "b", "prices gone.csv", "2024-01-04,n/a\n")
+    write(tmp_path / "c", "alone.csv", "2024-01-04,5\n")
+    write(tmp_path / "d", "lacks.csv", "Date,Other\n2024-01-04,5\n")
+    got = {os.path.basename(r.file): (r.reason, r.n_rows) for r in market_files.passed_over_files(spark, str(tmp_path)).collect()}
+    assert got == {
+        "rest.csv": ("no label row, and those of its folder differ", 2), "words.csv": ("no row begins with a date", 0),
+        "empty.csv": ("no rows", 0), "prices%20gone.csv": ("no row has a price", 1), "alone.csv": ("no label row in its folder", 1),
+        "lacks.csv": ("label row without all of the columns", 1)}
+    os.remove(tmp_path / "d" / "lacks.csv")
+    assert market_files.read_labelled_csv(spark, str(tmp_path)).count() == 5

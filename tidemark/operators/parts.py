@@ -7,6 +7,7 @@ part of one, and what crosses the parts is small:
   come from one row per bucket.
 * ``bounded``: parts of rows with a halo, the rows that frames reach beyond their part, are copied to
   their neighbours; any operator whose frames are bounded then works per part.
+* ``robust_scale_sliding``: quartiles of wide frames from a sorted buffer, per part with its halo.
 * ``ewm_parts``, ``technicals_parts``: sums per part, one fold of what earlier parts carry over, one write-back.
 
 Tables of one row per part are made by key and then dealt by part, or a join with them would bring the
@@ -18,9 +19,14 @@ rounding).  Where a series is needed twice it is written in between.
 
 from __future__ import annotations
 
+import sys
+from bisect import bisect_left, insort
 from collections.abc import Callable, Sequence
 from datetime import date as Date
 
+import numpy as np
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.functions.values import is_business_day
@@ -28,9 +34,12 @@ from tidemark.operators.calendar import business_days, check_bounds
 from tidemark.operators.indicators import (
     atr, averages, block_rows, block_sum, decayed, direction, price_delta, roc, rsi, series_window, sma, span_alpha)
 from tidemark.operators.windows import (
-    next_price_label, robust_scale_stats, sliding_windows, split_point, standard_scale_stats, test_rows)
+    EPS, next_price_label, robust_scale_stats, sliding_windows, split_point, standard_scale_stats, test_rows)
 from tidemark.session import stored
 
+# Functions on the rows of a part travel with the job; executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def bucket_of(date: Column | str, days: int) -> Column:
     """The number of the bucket of ``days`` calendar days that a date lies in."""
@@ -239,3 +248,61 @@ def technicals_parts(df: DataFrame, length: int, days: int, keys: Sequence[str]
         *df.columns, "SMA_5", (F.try_divide(F.col("ema_12") - F.col("ema_26"), F.col("ema_26")) * 100).alias("PPO_12_26"),
         rsi("avg_gain", "avg_loss").alias("RSI_14"), "ROC_10", "ATR_14",
         (F.col("adl_3") - F.col("adl_10")).alias("CO_chaikin_3_10"))
+
+
+# ---- order statistics of sliding frames --------------------------------------------------
+
+def sliding_quartiles(values: np.ndarray, rows: int) -> np.ndarray:
+    """The quartiles (25, 50, 75) of the ``rows`` values before each place, NaN where one is missing from all of them.
+
+    The values of a frame are kept sorted: per step one goes out and one comes in at a place found by bisection, so
+    the cost hardly depends on the length of the frame.  Missing values (NaN) are in no frame.
+    """
+    out = np.full((len(values), 3), np.nan)
+    held: list[float] = []
+    data = values.tolist()
+    for i, x in enumerate(data):
+        n = len(held)
+        if n:
+            for k, p in enumerate((0.25, 0.5, 0.75)):
+                at = (n - 1) * p
+                low = int(at)
+                out[i, k] = held[low] if at == low else (low + 1 - at) * held[low] + (at - low) * held[low + 1]
+        if i >= rows and data[i - rows] == data[i - rows]:
+            del held[bisect_left(held, data[i - rows])]
+        if x == x:
+            insort(held, x)
+    return out
+
+
+def robust_scale_sliding(labelled: DataFrame, features: Sequence[str], window_size: int, test_ratio: float, length: int,
+                         days: int, keys: Sequence[str] = ("market",)) -> DataFrame:
+    """``robust_scale_stats`` for wide windows: a sorted buffer per feature and part instead of a percentile per frame.
+
+    A part of ``length`` rows comes with the rows that its frames reach back to; make it several times as long as
+    a window.  All features of a part are worked through by one call.
+    """
+    split, after, _ = _reach(window_size, test_ratio)
+    features, keys = list(features), list(keys)
+    rows = numbered(labelled.select(*keys, "d", *features), days, keys)
+    parted = halo(rows, length, split, 0).withColumn("windows", F.col("n") - (window_size - 1)).drop("n", "d")
+    types = dict(labelled.dtypes)
+    schema = ", ".join([*(f"`{k}` {types[k]}" for k in keys), "feature string", "window_id bigint", "median double", "iqr double"])
+
+    def work(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("r")
+        r = pdf["r"].to_numpy()
+        window = r - split
+        mine = (r // length == key[-1]) & (window >= 0) & (window < pdf["windows"].to_numpy())
+        out = []
+        for feature in features:
+            q = sliding_quartiles(pdf[feature].to_numpy(float), split)[mine]
+            iqr = q[:, 2] - q[:, 0]
+            out.append(pd.DataFrame({"feature": feature, "window_id": window[mine], "median": q[:, 1],
+                                     "iqr": np.where(iqr < 10 * EPS, 1.0, iqr)}))
+        result = pd.concat(out)
+        for place, k in enumerate(keys):
+            result.insert(place, k, key[place])
+        return result
+    return parted.groupBy(*keys, "part").applyInPandas(work, schema) \
+        .withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("median", "iqr")})

@@ -29,7 +29,7 @@ from tidemark.schema import (
     BASELINE, CALENDAR_END, CALENDAR_START, NETS, OUTPUT_START, PANEL_FEATURES, SCORE_COLUMNS)
 from tidemark.session import stored
 from tidemark.sources.logs import append_log, bad_log_files, read_log_table, read_logs
-from tidemark.sources.market_files import missing_inputs, quotes_series, read_labelled_csv
+from tidemark.sources.market_files import missing_inputs, passed_over_files, quotes_series, read_labelled_csv
 from tidemark.sources.panels import read_panel, write_panel
 from tidemark.sources.results import (
     FRONT_TEST, read_best_configs, read_scores, write_best_configs, write_metrics)
@@ -70,6 +70,8 @@ def raw_panel_job(spark: SparkSession, files: str, raw_quotes: DataFrame, out: s
         F.lit("no quotes").alias("what"), F.lit(None).cast("string").alias("market"), "ticker")
     report = absent.unionByName(idle).unionByName(raw)
     write_metrics(report, f"{out}/missing_inputs", report.columns)
+    over = passed_over_files(spark, files)
+    write_metrics(over, f"{out}/passed_over_files", over.columns)
 
 
 def labelled_panel(spark: SparkSession, panel: str, start: str | None, end: str | None,

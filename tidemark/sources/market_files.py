@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tidemark.functions.values import date_coerce, finite, numeric_coerce
 from tidemark.operators.clean import dedupe_last, find_column, normalise_headers
@@ -18,10 +18,28 @@ def read_labelled_csv(spark: SparkSession, path: str, value: str = DEFAULT_VALUE
 
     The label row of a file is the one whose first cell reads ``Date``; each file is read by its own
     labels, so a folder may hold several layouts.  A file without a label row is a part of the table
-    in its folder, if all label rows there agree; else it is passed over.  Data rows are those whose first cell is a date,
+    in its folder, if all label rows there agree; else it is passed over (``passed_over_files``).  Data rows are those whose first cell is a date,
     wherever they are, so a file may be split among many tasks.  ``carry`` keeps more columns:
     label -> name in the result; ``market`` names a column for the name of the file, without ending.
     """
+    placed, labels = _placed_rows(spark, path, value, carry)
+    bad = labels.filter("lacks").first()
+    if bad is not None:
+        raise ValueError(f"{bad.file}: not all of the columns {[value, *(carry or {})]}")
+    stem = F.regexp_extract(F.url_decode("file"), r"([^/]*?)(\.[^./]*)?$", 1)
+    out = placed.filter("at IS NOT NULL").select(
+        *([stem.alias(market)] if market else []), *[_cell(name).alias(name) for name in (carry or {}).values()],
+        date_coerce(F.col("cells")[0]).alias("d"), numeric_coerce(_cell("price")).alias("price"))
+    return out.filter(F.col("d").isNotNull() & F.col("price").isNotNull())
+
+
+def _cell(name: str) -> Column:
+    return F.try_element_at("cells", F.col("at")[name])
+
+
+def _placed_rows(spark: SparkSession, path: str, value: str, carry: dict[str, str] | None) -> tuple[DataFrame, DataFrame]:
+    """The rows of all files with where their columns are (``at``, NULL in a file that is passed over), and the files
+    with labels, which may lack some (``lacks``)."""
     first = F.lower(F.trim(F.translate(F.split("value", ",").getItem(0), '"\ufeff', "")))
     lines = spark.read.option("recursiveFileLookup", True).text(path).filter(first == "date")
     width = lines.agg(F.max(F.size(F.split("value", ",")))).first()[0]
@@ -37,19 +55,37 @@ def read_labelled_csv(spark: SparkSession, path: str, value: str = DEFAULT_VALUE
                         for name, label in wanted.items()])
     labels = rows.filter(names[0] == "date").groupBy("file").agg(F.min(names).alias("labels")) \
         .select("file", folder.alias("folder"), places.alias("own"))
-    bad = labels.filter(F.least(*[F.col("own")[name] for name in wanted], F.lit(1)) == 0).first()
-    if bad is not None:
-        raise ValueError(f"{bad.file}: not all of the columns {list(wanted.values())}")
+    labels = labels.withColumn("lacks", F.least(*[F.col("own")[name] for name in wanted], F.lit(1)) == 0)
     shared = labels.groupBy("folder").agg(F.min("own").alias("shared"), F.max("own").alias("other")) \
-        .filter("shared = other").select("folder", "shared")
-    placed = rows.withColumn("folder", folder).join(labels.select("file", "own"), "file", "left") \
-        .join(shared, "folder", "left").withColumn("at", F.coalesce("own", "shared"))
-    cell = {name: F.try_element_at("cells", F.col("at")[name]) for name in wanted}
-    stem = F.regexp_extract(F.url_decode("file"), r"([^/]*?)(\.[^./]*)?$", 1)
-    out = placed.filter("at IS NOT NULL").select(
-        *([stem.alias(market)] if market else []), *[c.alias(n) for n, c in cell.items() if n != "price"],
-        date_coerce(F.col("cells")[0]).alias("d"), numeric_coerce(cell["price"]).alias("price"))
-    return out.filter(F.col("d").isNotNull() & F.col("price").isNotNull())
+        .withColumn("differ", F.col("shared") != F.col("other"))
+    placed = rows.withColumn("folder", folder).join(labels.select("file", "own", "lacks"), "file", "left") \
+        .join(shared.select("folder", "shared", "differ"), "folder", "left") \
+        .withColumn("at", F.coalesce("own", F.when(~F.col("differ"), F.col("shared"))))
+    return placed, labels
+
+
+def passed_over_files(spark: SparkSession, path: str, value: str = DEFAULT_VALUE,
+                      carry: dict[str, str] | None = None) -> DataFrame:
+    """The files that give ``read_labelled_csv`` no price, with the reason and their rows that begin with a date.
+
+    A file that makes it stop is listed too, so a folder can be mended in one go.
+    """
+    placed, _ = _placed_rows(spark, path, value, carry)
+    dated = date_coerce(F.col("cells")[0]).isNotNull()
+    priced = dated & numeric_coerce(_cell("price")).isNotNull()
+    found = placed.groupBy("file").agg(
+        F.count_if(dated).alias("n_rows"), F.count_if(priced).alias("n_prices"), F.max("lacks").alias("lacks"),
+        F.max(F.col("own").isNotNull()).alias("labelled"), F.max("differ").alias("differ"))
+    every = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path) \
+        .select(F.col("_metadata.file_path").alias("file"))
+    reason = (F.when(F.col("n_rows").isNull(), "no rows")
+              .when(F.col("lacks"), "label row without all of the columns")
+              .when(~F.col("labelled") & F.col("differ"), "no label row, and those of its folder differ")
+              .when(~F.col("labelled") & F.col("differ").isNull(), "no label row in its folder")
+              .when(F.col("n_rows") == 0, "no row begins with a date")
+              .when(F.col("n_prices") == 0, "no row has a price"))
+    return every.join(found, "file", "left").withColumn("reason", reason).filter("reason IS NOT NULL") \
+        .select("file", "reason", F.coalesce("n_rows", F.lit(0)).alias("n_rows"))
 
 
 def read_two_column(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:

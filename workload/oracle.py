@@ -313,6 +313,8 @@ ORACLE = {
     "read_labelled_csv": f"SELECT market, {day()}, count(*) AS n, {r('max(price)', 2, 'top')} "
                          "FROM raw_prices GROUP BY market, raw_prices.d",
     "read_labelled_folder": f"SELECT market, seq, {day()}, {r('price', 2)} FROM raw_prices",
+    "passed_over_files": "SELECT 'differ' AS folder, 'no label row, and those of its folder differ' AS reason, count(*) AS n_rows "
+                         "FROM raw_prices WHERE seq % 3 = 2",
     "read_two_column": f"SELECT market, seq, {day()}, {r('price', 2)} FROM coerced "
                        "WHERE coerced.d IS NOT NULL AND price IS NOT NULL",
     "read_price_sheet": f"SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, l_partkey, "
@@ -638,9 +640,14 @@ ORACLE = {
                          f"FROM ({scores_of('log')})",
 }
 
+_WIDE = ORACLE["robust_scale_stats"].replace(f"rr - {SPLIT} AS", "n, rr - 225 AS").replace(
+    f"{SPLIT} PRECEDING", "225 PRECEDING").replace("- 1 AS rr,", f"- 1 AS rr, count(*) OVER (PARTITION BY market) AS n,").replace(
+    "WHERE window_id >= 0", "WHERE window_id >= 0 AND window_id <= n - 250")
 #: Queries that come to the same rows by other ways.
 ORACLE |= {
     "fill_in_buckets": ORACLE["fill_backward"],
+    "robust_scales_sliding": ORACLE["robust_scale_stats"],
+    "robust_scales_wide": _WIDE,
     "labels_in_parts": ORACLE["next_price_label"],
     "scales_in_parts": ORACLE["standard_scale_stats"],
     "naive_score_in_parts": ORACLE["naive_score"],

@@ -91,6 +91,25 @@ def read_labelled_folder(spark, sf):
     return show(df.withColumn("seq", F.col("seq").cast("bigint")), "market", "seq", "d", price=2)
 
 
+@query
+def passed_over_files(spark, sf):
+    """Two folders of files without label rows beside others with them, which agree in one folder only."""
+    path = fresh_path(spark, "parts")
+    rows = fx.raw_prices(spark, sf).withColumn("market", F.concat(F.lit('"'), "market", F.lit('"')))
+    heads = ["Date,Secondary Market,Market", "Date,Market,Secondary Market"]
+    columns = [["price", "market"], ["market", "price"]]
+    for folder, layouts in (("agree", (0, 0, 0)), ("differ", (0, 1, 0))):
+        for part, layout in enumerate(layouts):
+            text = rows.filter(F.col("seq") % 3 == part).select(
+                F.concat_ws(",", day(), *[F.col(c).cast("string") for c in columns[layout]]).alias("value"))
+            if part < 2:
+                text = spark.createDataFrame([(heads[layout],)], "value string").union(text)
+            text.coalesce(1).write.mode("append").text(f"{path}/{folder}")
+    df = market_files.passed_over_files(spark, path).withColumn("folder", F.regexp_extract("file", "/([^/]*)/[^/]*$", 1)) \
+        .filter("file LIKE '%/part-%'")
+    return show(df, "folder", "reason", "n_rows")
+
+
 @query
 def read_two_column(spark, sf):
     df = fx.messy(spark, sf).select("raw_date", "raw_price", "market", "seq")
@@ -595,6 +614,24 @@ def robust_scale_stats(spark, sf):
     return show(df, "market", "feature", "window_id", median=4, iqr=4)
 
 
+def rounded_labelled(spark, sf):
+    return stored(fx.labelled(spark, sf).withColumns({c: F.round(c, 8) for c in PANEL_FEATURES}), "labelled")
+
+
+@query
+def robust_scales_sliding(spark, sf):
+    """The same from sorted buffers."""
+    df = parts.robust_scale_sliding(rounded_labelled(spark, sf), PANEL_FEATURES, fx.WINDOW, fx.RATIO, 300, BUCKET)
+    return show(df, "market", "feature", "window_id", median=4, iqr=4)
+
+
+@query
+def robust_scales_wide(spark, sf):
+    """Windows of 250 rows."""
+    df = parts.robust_scale_sliding(rounded_labelled(spark, sf), PANEL_FEATURES, 250, fx.RATIO, 500, BUCKET)
+    return show(df, "market", "feature", "window_id", median=4, iqr=4)
+
+
 @query
 def standard_scale_stats(spark, sf):
     df = windows.standard_scale_stats(fx.labelled(spark, sf), fx.WINDOW, fx.RATIO)
