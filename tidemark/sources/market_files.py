@@ -34,7 +34,7 @@ def read_labelled_csv(spark: SparkSession, path: str, value: str = DEFAULT_VALUE
 
 
 def _cell(name: str) -> Column:
-    return F.try_element_at("cells", F.col("at")[name])
+    return F.when(F.col("at")[name] > 0, F.try_element_at("cells", F.col("at")[name]))
 
 
 def _placed_rows(spark: SparkSession, path: str, value: str, carry: dict[str, str] | None) -> tuple[DataFrame, DataFrame]:
