@@ -68,7 +68,7 @@ def passed_over_files(spark: SparkSession, path: str, value: str = DEFAULT_VALUE
                       carry: dict[str, str] | None = None) -> DataFrame:
     """The files that give ``read_labelled_csv`` no price, with the reason and their rows that begin with a date.
 
-    A file that makes it stop is listed too, so a folder can be mended in one go.
+    A file that makes it stop is listed too, so a folder can be mended in one go.  Spark does not see empty files.
     """
     placed, _ = _placed_rows(spark, path, value, carry)
     dated = date_coerce(F.col("cells")[0]).isNotNull()
@@ -76,16 +76,12 @@ def passed_over_files(spark: SparkSession, path: str, value: str = DEFAULT_VALUE
     found = placed.groupBy("file").agg(
         F.count_if(dated).alias("n_rows"), F.count_if(priced).alias("n_prices"), F.max("lacks").alias("lacks"),
         F.max(F.col("own").isNotNull()).alias("labelled"), F.max("differ").alias("differ"))
-    every = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path) \
-        .select(F.col("_metadata.file_path").alias("file"))
-    reason = (F.when(F.col("n_rows").isNull(), "no rows")
-              .when(F.col("lacks"), "label row without all of the columns")
+    reason = (F.when(F.col("lacks"), "label row without all of the columns")
               .when(~F.col("labelled") & F.col("differ"), "no label row, and those of its folder differ")
               .when(~F.col("labelled") & F.col("differ").isNull(), "no label row in its folder")
               .when(F.col("n_rows") == 0, "no row begins with a date")
               .when(F.col("n_prices") == 0, "no row has a price"))
-    return every.join(found, "file", "left").withColumn("reason", reason).filter("reason IS NOT NULL") \
-        .select("file", "reason", F.coalesce("n_rows", F.lit(0)).alias("n_rows"))
+    return found.withColumn("reason", reason).filter("reason IS NOT NULL").select("file", "reason", "n_rows")
 
 
 def read_two_column(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
