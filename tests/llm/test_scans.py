@@ -144,3 +144,43 @@ def test_long_texts_take_linear_time(text):
     began = time.process_time()
     secret_scan.literal_spans(text)
     assert time.process_time() - began < 20
+
+
+MORE_FORMS = ['config["password"] = "{}"', "cfg['db']['secret'] = '{}'", 'password = ("{}")', 'password = ["{}"]', 'password = (\n    "{}"\n)', 'password =\n    "{}"',
+              'password = os.getenv("X", "{}")', 'password = new String("{}")', 'password = decode("{}")', '(password, user) = ("{}", "someone")',
+              'password, user = "{}", "someone"', 'user, password = "someone", "{}"', 'PASSWORD <- "{}"', 'define("DB_PASSWORD", "{}")', '<add key="db.password" value="{}"/>',
+              'passwords:\n  - "{}"\n  - {}x', 'secret: |\n  {}\n', 'password: {}\n', 'PASSWORD={}', 'setenv("API_TOKEN", "{}")', '"password" : "{}"']
+
+
+@pytest.mark.parametrize("form", MORE_FORMS)
+def test_more_forms_of_assignments(form):
+    got = literals('title: str = "An0therL1teral99"\n' + form.replace("{}", VALUE) + '\ncolor = "An0therL1teral99"\n')
+    assert got == ([VALUE, VALUE + "x"] if "- {}x" in form else [VALUE])
+
+
+@pytest.mark.parametrize("text", [
+    "password = userPassword", "token = text_field_of_the_form", "connect(password=userPassword, token=accessToken)", "{password: userPassword, x: 1}",
+    'password = os.getenv("DB_PASSWORD_VARIABLE1")', "password = os.getenv(NAME_OF_VARIABLE1)", 'print("token", "An0therL1teral99x", 3)[0]', 'x = ["password", "An0therL1teral99"]',
+    'secret = request.headers.get("X-Api-Token-17")', "password:\n  minimum: 12\n"])
+def test_names_and_lookups_are_no_literals(text):
+    assert literals(text) == [] or text.startswith("print")
+
+
+def test_adjoining_strings_are_a_sum():
+    assert literals('password = "Zx81" "kQp0" "vLm2"') == ["Zx81", "kQp0", "vLm2"]
+    assert literals('password = ("Zx81kQp0"\n            "vLm2Tt9x")') == ["Zx81kQp0", "vLm2Tt9x"]
+
+
+@pytest.mark.parametrize("text", ["a, " * 200_000, "a, b = (" * 60_000, "password = (" * 60_000, "a:\n - b\n" * 60_000, 'f("a", ' * 80_000, "key=\"a\" value=" * 50_000,
+                                  'x["a"] = ' * 60_000, "a = new " * 60_000, 'a = "b" ' * 80_000, "a = f(" * 80_000, "a: |\n b\n" * 60_000])
+def test_more_long_texts_take_linear_time(text):
+    began = time.process_time()
+    secret_scan.literal_spans(text)
+    assert time.process_time() - began < 20
+
+
+def test_odd_rows_of_secrets(spark):
+    docs = frame(spark, [(1, None), (None, ""), (3, f'password = "{VALUE}" ' * 3000), (3, f'password = "{VALUE}" ' * 3000)])
+    got = rows(span_columns(docs, secret_scan.find, secret_scan.BASE, secret_scan.KINDS))
+    assert [r["spans"].count("literal") for r in got] == [0, 0, 3000, 3000]
+    assert span_columns(docs.limit(0), secret_scan.find, secret_scan.BASE, secret_scan.KINDS).count() == 0

@@ -1,15 +1,24 @@
 """Secret scan by assignment-aware lexing.
 
 A text is lexed into pairs of a name and what is assigned to it: quoted or bare literals, names, and
-sums of them, in source code (``name = "x"``, ``name := x``, ``name: type = x``), JSON and YAML
-(``"name": "x"``) and settings (``NAME=x``).  Strings may have a prefix, triple quotes or backticks.
+sums of them, in source code (``name = "x"``, ``name := x``, ``name <- "x"``, ``name: type = x``, ``table["name"] = "x"``,
+``(name, other) = ("x", "y")``), JSON and YAML (``"name": "x"``, lists and blocks below a name), XML
+(``key="name" value="x"``), settings (``NAME=x``) and calls (``define("NAME", "x")``).  The right side may stand in
+brackets or on the next line.  Strings may have a prefix, triple quotes or backticks, and adjoining strings are a sum.
+Of a call on the right side the last string counts, unless it is all that a function that looks something up is given
+(``getenv("X")``).  A bare word without digits is the name of something, not a literal, but in settings (no blanks at the sign) and
+YAML, to the end of the line.
 Constants are propagated in text order: a name that was assigned literals
 stands for them wherever it is assigned on.  Each literal is scored by the most sensitive name it
 reaches and by the look (length, variety, entropy) of itself or of a sum it is a piece of; literals of
 at least ``THRESHOLD`` are reported as kind ``literal``, the pieces of a sum one by one.  The three base patterns are reported besides, whatever the score.
 
-Spans count code points.  A null or empty text has none.  Repeated rows get equal results; extra
-columns are ignored.
+Bounds of the lexer: names have up to 128 characters and types 64 to 96; a folded constant is given up beyond 256
+distinct characters, and is no placeholder beyond 1,000.  A literal with blanks scores 0.
+
+Spans count code points; equal literals at different places are spans each.  A null or empty text has none.  A very
+long text is lexed as a whole in linear time.  Repeated rows get equal results; extra columns are ignored; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -44,7 +53,8 @@ _PREFIX = r"(?:[bBrRfFuUlL]{1,2}|[@$]{1,2})?"
 #: A name, perhaps quoted, an assignment sign after an optional type, and where the right side begins.
 #: With a type, the right side is a string, or a name set off by blanks.
 _PAIR = re.compile(
-    r"""(?P<q>["']?)(?P<name>[A-Za-z_$][A-Za-z0-9_.$-]{0,127})(?P=q)[ \t]*+(?::=|=>|""" + _EQUALS
+    r"""(?P<q>["']?)(?P<name>[A-Za-z_$][A-Za-z0-9_.$-]{0,127})(?P=q)(?:(?<=["'])\])?+[ \t]*+(?P<sign>:=|=>|<-(?=[ \t]*+["'])|"""
+    + r"""(?<=["']),(?=[ \t]*+["'`])|""" + _EQUALS
     + r"""|(?<=[ \t])(?:string|\[\]byte)[ \t]*+""" + _EQUALS
     + r"""|\??:[ \t]*+(?P<type>""" + _TYPE + r""")(?:[ \t]*+""" + _EQUALS + r"""(?=[ \t]*+(?:r\#{1,8}|""" + _PREFIX + r""")["'`])"""
     + r"""|[ \t]++""" + _EQUALS + r"""(?=[ \t]++[A-Za-z_$]))|:(?![:/]))[ \t]*+""")
@@ -57,6 +67,20 @@ _RAW = re.compile(r"r(#{1,8})\"")
 _TYPES = {"str", "string", "bytes", "char", "text", "any", "object", "final", "const", "int", "float", "bool", "boolean", "number"}
 _BARE = re.compile(r"[A-Za-z0-9+/_.=$-]+")
 _PLUS = re.compile(r"[ \t]*+\+[ \t]*+")
+#: Brackets before the right side; a line that ends with an equals sign goes on with a string.
+_OPEN = re.compile(r"(?:[(\[][ \t\r\n]*+){1,2}(?=[^)\]])")
+_NEXT_LINE = re.compile(r"""\r?\n[ \t]*+(?=[bBrRfFuUlL@$]{0,2}["'`])""")
+#: Between strings that make one: blanks, in brackets also line ends.
+_BLANKS, _SPACE = re.compile(r"[ \t]*+"), re.compile(r"[ \t\r\n]*+")
+#: What a call is given, and names of functions that look something up.
+_NEW, _COMMA = re.compile(r"new[ \t]++(?=[A-Za-z_])"), re.compile(r"[ \t\r\n]*+,[ \t\r\n]*+")
+_LOOKS_UP = re.compile(r"(?:get|env|read|load|input|prompt|lookup|fetch|find|ask|pop|var|param|config)", re.I)
+#: Items of a YAML list, and the lines of a block.
+_ITEM, _BLOCK = re.compile(r"[ \t]*+\r?\n[ \t]*+-[ \t]++"), re.compile(r"[|>][+-]?[ \t]*+\r?\n[ \t]++")
+#: Names to which as many right sides are assigned.
+_TUPLE = re.compile(r"[A-Za-z_$][A-Za-z0-9_.$]{0,127}(?:[ \t]*+,[ \t]*+[A-Za-z_$][A-Za-z0-9_.$]{0,127}){1,15}+[ \t]*+\)?[ \t]*+"
+                    + _EQUALS + r"[ \t]*+[(\[]?[ \t]*+")
+_WORD = re.compile(r"[A-Za-z_$.-]+\Z")
 _NAME = re.compile(r"[A-Za-z_$][A-Za-z0-9_.$-]{0,127}\Z")
 _PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 #: How much a part of a name says about what it holds.
@@ -82,7 +106,7 @@ def sensitivity(name: str) -> float:
     """0 to 1: how likely the name holds a secret, by its parts."""
     parts = [p.lower() for p in _PART.findall(name)]
     pairs = [a + b for a, b in zip(parts, parts[1:])]
-    return max((_WEIGHT.get(p, 0.0) for p in parts + pairs), default=0.0)
+    return max((_WEIGHT.get(p, _WEIGHT.get(p.removesuffix("s"), 0.0)) for p in parts + pairs), default=0.0)
 
 
 def look(literal: str) -> float:
@@ -123,41 +147,149 @@ def folded(values: list[Folded]) -> Folded:
     return (chars, text) if values else None
 
 
-def pairs(text: str) -> Iterator[tuple[str, list[tuple[Term, tuple[int, int] | None]]]]:
+Terms = list[tuple[Term, tuple[int, int] | None]]
+
+
+def string_at(text: str, at: int, open_marks: set[str]) -> tuple[tuple[int, int], int] | None:
+    """The span of the string that begins at a place, and where it ends with its quotes."""
+    if (raw := _RAW.match(text, at)) and raw[1] not in open_marks:
+        end = text.find(f'"{raw[1]}', raw.end())
+        if end >= 0:
+            return (raw.end(), end), end + 1 + len(raw[1])
+        open_marks.add(raw[1])  # none ends from here on, so the rest is searched once
+    if not (s := _STRING.match(text, at)):
+        return None
+    k = s.lastgroup
+    a, b = s.span(k)
+    if k in ("three", "single", "tick"):  # text in such quotes may stand on lines of its own
+        body = text[a:b]
+        a, b = a + len(body) - len(body.lstrip()), b - len(body) + len(body.rstrip())
+    return (a, max(a, b)), s.end()
+
+
+def call_at(text: str, name: str, at: int, open_marks: set[str]) -> tuple[tuple[int, int] | None, int]:
+    """Of a call whose first argument begins at a place, the string that it stands for, and where its strings end."""
+    found: list[tuple[int, int]] = []
+    at = _SPACE.match(text, at).end()
+    while s := string_at(text, at, open_marks):
+        found.append(s[0])
+        at = s[1]
+        if not (comma := _COMMA.match(text, at)):
+            break
+        at = comma.end()
+    if not found or len(found) == 1 and _LOOKS_UP.search(name.rsplit(".", 1)[-1]):
+        return None, at
+    return found[-1], at
+
+
+def tuples(text: str) -> list[tuple[int, list[tuple[str, Terms]]]]:
+    """Names in a row with as many strings assigned to them, and where the last name stands."""
+    out, open_marks = [], set()
+    for m in _TUPLE.finditer(text):
+        names = re.findall(r"[A-Za-z_$][A-Za-z0-9_.$]*", m[0])
+        at, found = m.end(), []
+        while s := string_at(text, at, open_marks):
+            found.append(s[0])
+            at = s[1]
+            if not (comma := _COMMA.match(text, at)):
+                break
+            at = comma.end()
+        if len(found) == len(names):
+            out.append((at, [(n, [(span, None)]) for n, span in zip(names, found)]))
+    return out
+
+
+def yaml_lines(text: str, at: int, open_marks: set[str]) -> tuple[Terms, int]:
+    """Items of a list, or the first line of a block, below a name."""
+    terms: Terms = []
+    if block := _BLOCK.match(text, at):
+        end = text.find("\n", block.end())
+        end = len(text) if end < 0 else end
+        return [((block.end(), max(block.end(), block.end() + len(text[block.end():end].rstrip()))), None)], end
+    while item := _ITEM.match(text, at):
+        if s := string_at(text, item.end(), open_marks):
+            terms.append((s[0], None))
+            at = s[1]
+        elif (w := _BARE.match(text, item.end())) and not text.startswith(":", w.end()):
+            terms.append((w.span(), None))
+            at = w.end()
+        else:
+            break
+    return terms, at
+
+
+def pairs(text: str) -> Iterator[tuple[str, Terms]]:
     """Names in text order with the terms assigned to them: spans of strings, or bare words and where they stand."""
     at, open_marks = 0, set()
+    rows = tuples(text) if "," in text and "=" in text else []
+    rows.reverse()
+    marked: tuple[int, str] | None = None
     while m := _PAIR.search(text, at):
-        at, terms, bare = m.end(), [], False
+        at, terms, bare, start = m.end(), [], False, m.end()
+        if rows and rows[-1][0] > m.start() and at <= rows[-1][0]:
+            end, found = rows.pop()  # the last name of a row has the sign
+            yield from found
+            at = max(at, end)
+            continue
+        while rows and rows[-1][0] <= m.start():
+            yield from rows.pop()[1]
+        sign = m["sign"] or ""
+        if m["q"] and sign == "," and not text[:m.start()].endswith("(") and not text[max(0, m.start() - 8):m.start()].rstrip().endswith("("):
+            at = m.end("name") + 1  # strings in a row, not what a call is given
+            continue
+        if sign == ":" and (lines := yaml_lines(text, at, open_marks))[0]:
+            for term in lines[0]:
+                yield m["name"], [term]
+            at = lines[1]
+            continue
+        if opened := _OPEN.match(text, at):
+            at = opened.end()
+        elif sign.endswith("=") and (below := _NEXT_LINE.match(text, at)):
+            at = below.end()
+        blanks = _SPACE if opened else _BLANKS
         while True:
-            end = -1
-            if (raw := _RAW.match(text, at)) and raw[1] not in open_marks:
-                end = text.find(f'"{raw[1]}', raw.end())
-                if end < 0:
-                    open_marks.add(raw[1])  # none ends from here on, so the rest is searched once
-            if end >= 0:
-                terms.append(((raw.end(), end), None))
-                bare, at = False, end + 1 + len(raw[1])
-            elif s := _STRING.match(text, at):
-                k = s.lastgroup
-                a, b = s.span(k)
-                if k in ("three", "single", "tick"):  # text in such quotes may stand on lines of its own
-                    body = text[a:b]
-                    a, b = a + len(body) - len(body.lstrip()), b - len(body) + len(body.rstrip())
-                terms.append(((a, max(a, b)), None))
-                bare, at = False, s.end()
+            if new := _NEW.match(text, at):
+                at = new.end()
+            if s := string_at(text, at, open_marks):
+                terms.append((s[0], None))
+                bare, at = False, s[1]
+                after = blanks.match(text, at).end()
+                if text[after:after + 1] in ('"', "'") and after > at and _STRING.match(text, after):
+                    at = after
+                    continue
             elif s := _BARE.match(text, at):
+                if text.startswith("(", s.end()) and _NAME.match(s[0]):
+                    literal, end = call_at(text, s[0], s.end() + 1, open_marks)
+                    if literal:
+                        terms.append((literal, None))
+                    elif not terms:
+                        terms.append((s[0], (s.end(), s.end())))
+                    else:
+                        terms.append((s[0], s.span()))
+                    bare, at = False, end
+                    break
                 terms.append((s[0] if _NAME.match(s[0]) else s.span(), s.span()))
-                bare, at = True, s.end()
+                bare, at, start = True, s.end(), s.start()
             else:
                 break
             if not (plus := _PLUS.match(text, at)):
                 break
             at = plus.end()
+        if bare and len(terms) == 1 and isinstance(terms[0][0], str) and _WORD.match(terms[0][0]):
+            blank = sign != ":" and (m[0][-1] in " \t" or m[0][-1 - len(sign)] in " \t")
+            if blank or text[at:at + 1] not in ("", "\n", "\r", " ", "\t"):
+                terms = [(terms[0][0], (at, at))]  # a name: it stands for what it was assigned, and for nothing else
+        if marked and m["name"].lower() == "value" and not text[marked[0]:m.start()].strip(" \t"):
+            yield marked[1], terms  # <add key="name" value="x"/>
+        one = terms[0][0] if len(terms) == 1 and not bare and isinstance(terms[0][0], tuple) else None
+        marked = (at, text[one[0]:one[1]]) if one and m["name"].lower() in ("key", "name", "id") else None
         yield m["name"], terms
         if m["type"] and _NAME.match(m["type"]) and m["type"].lower() not in _TYPES:
             yield m["type"], terms  # `note: name = "x"` is no type
         if bare:
-            at = max(m.end(), terms[-1][1][0])  # a bare word may itself be the next name
+            at = max(m.end(), start)  # a bare word may itself be the next name
+    while rows:
+        yield from rows.pop()[1]
 
 
 def literal_spans(text: str) -> list[Span]:
