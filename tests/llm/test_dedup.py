@@ -339,3 +339,25 @@ def test_a_phrase_with_ever_other_surroundings_is_spread(spark):
         spark.conf.set("spark.sql.shuffle.partitions", "4")
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert got == passages(docs) and sum(r[2] for r in got) > 60
+
+
+def test_licenses_equal_the_sql_of_all_templates(spark):
+    """Texts with every notice, whole, shortened, next to others and mixed, against the SQL without bands."""
+    rng = random.Random(6)
+    notices = [text for _, text in license_scan.TEMPLATES]
+    docs = []
+    for i in range(400):
+        parts = []
+        for _ in range(rng.randrange(1, 4)):
+            words = rng.choice(notices).split()
+            cut = rng.choice([0, 0, 0, 1, len(words) // 10, len(words) // 5])
+            parts.append(" ".join(words[:len(words) - cut] if rng.random() < 0.5 else words[cut:]))
+            parts.append(" ".join(f"w{rng.randrange(500)}" for _ in range(rng.choice([0, 3, 40]))))
+        docs.append((i, " ".join(parts)))
+    own = duckdb.connect()
+    own.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    own.executemany("INSERT INTO documents VALUES (?, ?)", docs)
+    want = sorted(own.execute(license_scan.OP2_SQL).fetchall())
+    got = sorted((r["doc_id"], r["license"], r["first_word"], r["contained"]) for r in rows(license_scan.scan(frame(spark, docs))))
+    assert len({r[1] for r in want}) > 15
+    assert got == want

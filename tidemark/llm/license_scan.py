@@ -59,8 +59,7 @@ TEMPLATES: list[tuple[str, str]] = [
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
-#: Those that ``OP2_SQL`` compares; the tables it is held against have no others.
-_IN_SQL = len(TEMPLATES)
+
 
 
 def _gnu(kind: str, name: str, version: str, mark: str) -> str:
@@ -209,8 +208,8 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    """Every window of every text against every template, without bands."""
-    rows = ", ".join("({}, '{}', '{}')".format(i, name, text.replace("'", "''")) for i, (name, text) in enumerate(TEMPLATES[:_IN_SQL]))
+    """Every window of every text against every template, without bands, and the best match of each shingle."""
+    rows = ", ".join("({}, '{}', '{}')".format(i, name, text.replace("'", "''")) for i, (name, text) in enumerate(TEMPLATES))
     return f"""
 WITH raw(template, license, notice) AS (VALUES {rows}),
 t AS (SELECT template, license, list_filter(string_split_regex(lower(notice), '[^\\pL\\pN]+'), lambda x: x <> '') AS ws FROM raw),
@@ -222,12 +221,17 @@ d AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '
 dp AS (SELECT doc_id, ws, list_transform(generate_series(1, CAST(len(ws) AS BIGINT) - 4),
               lambda i: array_to_string(ws[i:i + 4], ' ')) AS ps FROM d WHERE len(ws) >= 5),
 c AS (SELECT dp.*, ts.template, ts.license, ts.length, ts.step, ts.ps AS tps FROM dp JOIN ts ON list_has_any(dp.ps, ts.ps)),
-w AS (SELECT doc_id, license, tps, ps, step * k AS start, length
+w AS (SELECT doc_id, template, license, tps, ps[step * k + 1:step * k + length - 4] AS ps, step * k AS start
       FROM c, LATERAL (SELECT unnest(generate_series(0, CAST(len(ws) AS BIGINT) // step)) AS k)),
-m AS (SELECT doc_id, license, start,
-             len(list_intersect(list_distinct(ps[start + 1:start + length - 4]), tps)) / len(tps) AS contained FROM w)
+m AS (SELECT *, len(list_intersect(list_distinct(ps), tps)) / len(tps) AS contained FROM w),
+h AS (SELECT doc_id, template, license, start, contained, row(contained, len(tps)) AS grade,
+             unnest(list_filter(list_transform(ps, lambda p, i: CASE WHEN list_contains(tps, p) THEN start + i END), lambda i: i IS NOT NULL)) AS spot
+      FROM m WHERE contained >= 0.8),
+g AS (SELECT *, max(grade) OVER (PARTITION BY doc_id, spot) AS top, max(grade) OVER (PARTITION BY doc_id, spot, license) AS own FROM h),
+b AS (SELECT doc_id, license, start, max(contained) AS contained FROM g GROUP BY doc_id, license, template, start
+      HAVING avg(CAST(own = top AS INTEGER)) > 0.5)
 SELECT doc_id, license, CAST(min(start) AS INTEGER) AS first_word, CAST(max(contained) AS DOUBLE) AS contained
-FROM m WHERE contained >= 0.8 GROUP BY doc_id, license
+FROM b GROUP BY doc_id, license
 """
 
 
