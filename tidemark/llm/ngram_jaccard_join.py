@@ -296,8 +296,9 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
     root = components(links).select(F.col("node").alias("k"), "root")
     placed = profile.join(root, "k", "left").withColumn("root", F.coalesce("root", "k"))
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rk"))
-    top = placed.filter("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"),
-                                                              first["rk"].alias("keeper"))
+    top = stored(placed.filter("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"),
+                                                                     first["rk"].alias("keeper")), "tops")
+    # written, so that a component with very many documents is a skewed key that the join may split
     own = F.col("n_shingles") == 0
     return placed.join(top, "root", "left").select(
         "doc_id", "rk", "n_shingles", F.when(own, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
