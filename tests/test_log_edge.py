@@ -6,11 +6,13 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from tests.helpers import day
+from tests.helpers import day, plan
 from tidemark.operators import metrics
+from tidemark.operators.clean import dedupe_last
 from tidemark.session import remove_folder
 from tidemark.sources import logs
 from tidemark.streaming import scores as streaming
+from workload import fixtures, registry
 
 LOG = ("market string, model string, config_index int, window_id long, hp_json string, start_date date, end_date date, "
        "y_true array<double>, y_pred array<double>, error string, run_seq long")
@@ -159,3 +161,47 @@ def test_restart_of_the_stream(spark, tmp_path):
     assert scores(got) == scores(want) and [r[2] for r in scores(got)] == [0, 1, 3, 4]
     with pytest.raises(ValueError):
         streaming.current_scores(spark, str(tmp_path / "none"))
+
+
+def test_order_is_carried_once(spark):
+    """Several order columns and several values: one struct in the buffer, the last row by all of the order."""
+    rows = frame(spark, first_run() + second_run())
+    last = metrics.dedupe_log(rows)
+    assert plan(last).count("max_by(") == 0
+    got = sorted((r.config_index, r.window_id, r.y_pred, r.error) for r in last.collect())
+    best = {}
+    for c, w, _, p, e, s in first_run() + second_run():
+        if s >= best.get((c, w), (None, None, 0))[2]:
+            best[c, w] = p, e, s
+    assert got == sorted((c, w, p, e) for (c, w), (p, e, _) in best.items())
+
+
+def test_order_of_rows_with_a_map(spark):
+    """A map has no order: it comes with the last row nevertheless."""
+    rows = spark.sql("SELECT * FROM VALUES (1, 1, 2, map('a', 1)), (1, 2, 1, map('a', 2)), (1, 1, 3, map('a', 3)) AS t(k, s, r, m)")
+    assert dedupe_last(rows, ["k"], ["s", "r"], ["m", "r"]).collect() == [(1, {"a": 2}, 1)]
+
+
+def test_rows_of_log_files_stay_where_they_are_read(spark, tmp_path):
+    """One file or few: the rows are not dealt by their file, by which a few tasks would get them all."""
+    logs.write_log_files(frame(spark, first_run()).coalesce(1), str(tmp_path), compression="gzip")
+    assert [p.name for p in tmp_path.iterdir() if p.name.startswith("part")][0].endswith(".gz")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = logs.read_logs(spark, str(tmp_path))
+        assert "SortMergeJoin" not in plan(got) and got.count() == len(first_run())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_tasks_of_the_line_log_are_bounded(spark, sf, tmp_path, monkeypatch):
+    """As many tasks as the lines ask for, each config in one of them and in one file."""
+    monkeypatch.setattr(fixtures, "TASK_ROWS", 300)
+    log = fixtures.line_log(spark, sf)
+    assert log.rdd.getNumPartitions() == 20
+    assert log.withColumn("p", F.spark_partition_id()).groupBy(*metrics.CONFIG_KEYS) \
+              .agg(F.count_distinct("p").alias("n")).filter("n > 1").isEmpty()
+    registry.as_log_files(log, str(tmp_path))
+    names = logs.log_file_headers(spark, str(tmp_path))
+    assert names.count() > 8 and names.filter(F.size("missing") > 0).isEmpty()

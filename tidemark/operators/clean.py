@@ -43,11 +43,18 @@ def dedupe_last(df: DataFrame, keys: Sequence[str], seq: Sequence[str] | str,
     """One row per key, the one that comes last by ``seq``.
 
     An aggregate, not a window: each task keeps one row per key before the shuffle, so a day
-    that holds a third of all raw rows costs no more than any other.
+    that holds a third of all raw rows costs no more than any other.  An order of several columns is
+    carried once, in one struct with the values, and not once more with each value.
     """
     seq = [seq] if isinstance(seq, str) else list(seq)
-    order = F.col(seq[0]) if len(seq) == 1 else F.struct(*seq)
-    return df.groupBy(*keys).agg(*[F.max_by(v, order).alias(v) for v in values])
+    if len(seq) == 1:
+        return df.groupBy(*keys).agg(*[F.max_by(v, seq[0]).alias(v) for v in values])
+    rest, types = [v for v in values if v not in seq], dict(df.dtypes)
+    if any("map<" in types[v] or types[v] == "variant" for v in rest):  # these have no order
+        last = F.max_by(F.struct(*values), F.struct(*seq))
+    else:
+        last = F.max(F.struct(*seq, *rest))
+    return df.groupBy(*keys).agg(last.alias("_last")).select(*keys, *[F.col("_last")[v].alias(v) for v in values])
 
 
 def clean_prices(raw: DataFrame, start: str | None = None, end: str | None = None,

@@ -74,9 +74,9 @@ def to_log_file_columns(log: DataFrame, timeframe: str = "daily") -> DataFrame:
         F.to_json("y_pred").alias("test_data_model_predictions_list"))
 
 
-def write_log_files(log: DataFrame, path: str, timeframe: str = "daily") -> None:
+def write_log_files(log: DataFrame, path: str, timeframe: str = "daily", compression: str = "none") -> None:
     to_log_file_columns(log, timeframe).select(*LOG_FILE_COLUMNS) \
-        .write.mode("append").option("header", True).option("escape", '"').csv(path)
+        .write.mode("append").option("header", True).option("escape", '"').option("compression", compression).csv(path)
 
 
 def missing_forecasts(truth: Column, forecast: Column) -> Column:
@@ -146,7 +146,8 @@ def read_logs(spark: SparkSession, path: str) -> DataFrame:
     One pass finds the header of each file, one pass reads the cells of all files by position, and
     each row looks up by its file where the columns are: the cost does not depend on how many
     layouts there are.  Only files with all required columns take part (``bad_log_files`` lists the
-    others).  The time of the file is the ``run_seq`` of its rows and ``line`` their place in it: a re-run that was
+    others).  There is one header per file, as there is one listed file on the driver, so the headers go to every task
+    and the rows stay where they were read, however large a file is.  The time of the file is the ``run_seq`` of its rows and ``line`` their place in it: a re-run that was
     appended to the same file counts, not the rows above it.
     """
     heads = log_file_headers(spark, path).filter(F.size("missing") == 0)
@@ -162,7 +163,7 @@ def read_logs(spark: SparkSession, path: str) -> DataFrame:
     rows = with_line(rows)
     place = F.transform(F.array(*[F.lit(c) for c in LOG_FILE_COLUMNS]),
                         lambda c: F.array_position("columns", c))
-    rows = rows.join(heads.select("file", place.alias("place")), "file")
+    rows = rows.join(F.broadcast(heads.select("file", place.alias("place"))), "file")
     named = rows.select("run_seq", "line", *[
         F.when(F.col("place")[i] > 0, F.try_element_at("cells", F.col("place")[i].cast("int"))).alias(c)
         for i, c in enumerate(LOG_FILE_COLUMNS)])

@@ -109,6 +109,7 @@ def raw_line_log(spark: SparkSession, sf: str) -> DataFrame:
 
 
 RUN_WINDOW = ["market", "model", "config_index", "window_id"]
+TASK_ROWS = 250_000
 
 
 def line_log(spark: SparkSession, sf: str) -> DataFrame:
@@ -116,15 +117,18 @@ def line_log(spark: SparkSession, sf: str) -> DataFrame:
 
     Every list has one value, so the last row of a window is picked by plain numbers.
     A supplier beyond the grid goes round to its start; a model outside the grid has no text.
-    The grid is 2,026 rows.
+    The grid is 2,026 rows.  Whole configs are dealt to tasks, of which there are as many as the lines ask
+    for: no task grows with the table, and what goes by config or window needs no other shuffle.
     """
+    tasks = max(spark.sparkContext.defaultParallelism, -(-table(spark, sf, "lineitem").count() // TASK_ROWS))
     flat = raw_line_log(spark, sf).select(
-        *RUN_WINDOW, "seq", "end_date", F.col("y_true")[0].alias("t"), F.col("y_pred")[0].alias("p"))
+        *RUN_WINDOW, "seq", "end_date", F.col("y_true")[0].alias("t"), F.col("y_pred")[0].alias("p")) \
+        .repartition(tasks, *RUN_WINDOW[:3])
     log = dedupe_last(flat, RUN_WINDOW, "seq", ["end_date", "t", "p"]).select(
         *RUN_WINDOW, "end_date", F.array("t").alias("y_true"), F.array("p").alias("y_pred"))
     grid = full_grid(spark).select("model", F.col("config_index").alias("slot"), "hp_json")
     slot = F.when(F.col("model") == BASELINE, -1).otherwise(F.col("config_index") % 405)
-    return log.withColumn("slot", slot).join(grid, ["model", "slot"], "left") \
+    return log.withColumn("slot", slot).join(F.broadcast(grid), ["model", "slot"], "left") \
               .withColumn("hp_json", F.coalesce("hp_json", F.lit("{}"))).drop("slot")
 
 
