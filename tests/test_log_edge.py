@@ -205,3 +205,25 @@ def test_tasks_of_the_line_log_are_bounded(spark, sf, tmp_path, monkeypatch):
     registry.as_log_files(log, str(tmp_path))
     names = logs.log_file_headers(spark, str(tmp_path))
     assert names.count() > 8 and names.filter(F.size("missing") > 0).isEmpty()
+
+
+def test_touched_configs_are_dealt_once(spark):
+    """Summed up anew: a config that logs a known window again, not one whose known windows were logged twice before."""
+    partials = lambda rows: metrics.window_partials(frame(spark, rows))
+    old = partials([(0, w, [2.0], [3.0], None, 1) for w in range(3)] + [(0, 1, [2.0], [4.0], None, 2)]
+                   + [(1, w, [5.0], [7.0], None, 1) for w in range(3)])
+    new = partials([(0, 5, [2.0], [2.5], None, 3), (1, 1, [5.0], [5.0], None, 3), (2, 0, [1.0], [1.0], None, 3)])
+    touched = metrics.touched_partials(old, new)
+    got = sorted((r.config_index, r.window_id, r.ae, r.again) for r in touched.collect())
+    assert got == [(0, 5, 0.5, False), (1, 0, 2.0, True), (1, 1, 0.0, True), (1, 2, 2.0, True), (2, 0, 0.0, False)]
+    states = metrics.config_states(touched, "again")
+    assert plan(states).count("Exchange hashpartitioning") == 1
+    known = metrics.config_states(metrics.latest_partials(old))
+    after = {r.config_index: (r.n_windows, r.ae) for r in metrics.joined_states(known, states).collect()}
+    assert after == {0: (4, 4.5), 1: (3, 4.0), 2: (1, 0.0)}
+
+
+def test_windows_of_a_batch_are_dealt_once(spark):
+    rows = metrics.latest_partials(streaming.dealt(metrics.window_partials(frame(spark, first_run() + second_run()))), "bucket", "slice")
+    assert plan(rows).count("Exchange hashpartitioning") == 1 and "max_by" not in plan(rows)
+    assert rows.groupBy(*metrics.CONFIG_KEYS).agg(F.count_distinct("bucket", "slice").alias("n")).filter("n > 1").isEmpty()

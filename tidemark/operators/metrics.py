@@ -109,15 +109,33 @@ CONFIG_KEYS = ["market", "model", "config_index"]
 SUMS = ("e2", "ae", "ape")
 
 
-def latest_partials(partials: DataFrame) -> DataFrame:
-    """Each window once: the row of the highest ``run_seq``, then ``line``."""
-    values = [c for c in partials.columns if c not in (*CONFIG_KEYS, "window_id", "run_seq", "line")]
-    return dedupe_last(partials, ["window_id", *reversed(CONFIG_KEYS)], ["run_seq", "line", *values],
+def latest_partials(partials: DataFrame, *places: str) -> DataFrame:
+    """Each window once: the row of the highest ``run_seq``, then ``line``.
+
+    ``places`` are columns that follow from the config; rows that lie dealt by them are not shuffled.
+    """
+    values = [c for c in partials.columns if c not in (*CONFIG_KEYS, "window_id", "run_seq", "line", *places)]
+    return dedupe_last(partials, ["window_id", *reversed(CONFIG_KEYS), *places], ["run_seq", "line", *values],
                        [*values, "run_seq", "line"])
 
 
-def config_states(partials: DataFrame) -> DataFrame:
-    """What the windows of a config add up to; each window is there once.
+def touched_partials(old: DataFrame, new: DataFrame) -> DataFrame:
+    """The windows that configs with ``new`` windows are to be summed up from, each once, and ``again``.
+
+    A config that logs a window of ``old`` once more has ``again`` and comes with all its windows, any other with
+    those that are new.  Both tables are dealt by config, once.
+    """
+    both = old.withColumn("new", F.lit(False)).unionByName(new.withColumn("new", F.lit(True))).repartition(*CONFIG_KEYS)
+    values = [c for c in old.columns if c not in (*CONFIG_KEYS, "window_id", "run_seq", "line")]
+    rows = both.groupBy(*CONFIG_KEYS, "window_id").agg(
+        F.max(F.struct("run_seq", "line", *values)).alias("last"), F.max("new").alias("new"), F.min("new").alias("only"))
+    twice = F.max(F.col("new") & ~F.col("only")).over(Window.partitionBy(*CONFIG_KEYS))
+    return rows.withColumn("again", twice).filter(F.col("again") | F.col("new")) \
+        .select(*CONFIG_KEYS, "window_id", "again", "last.*")
+
+
+def config_states(partials: DataFrame, *flags: str) -> DataFrame:
+    """What the windows of a config add up to; each window is there once.  ``flags`` are equal in a config.
 
     ``mean`` and ``m2`` are those of the truth of all its rows: the spread within the windows and that of
     their means.  A config has at most as many windows as its market has days, which bounds the window over it.
@@ -132,11 +150,14 @@ def config_states(partials: DataFrame) -> DataFrame:
         F.sum(F.col("m2") + F.coalesce(F.col("n") * shift * shift, F.lit(0.0))).alias("m2"),
         *[F.sum(c).alias(c) for c in SUMS], F.min("low").alias("low"), F.max("high").alias("high"),
         F.min("window_id").alias("first_window"), F.max("window_id").alias("last_window"),
-        F.min_by("hp_json", "window_id").alias("hp_json"))
+        F.min_by("hp_json", "window_id").alias("hp_json"), *[F.max(c).alias(c) for c in flags])
 
 
 def joined_states(old: DataFrame, new: DataFrame) -> DataFrame:
-    """The states of two disjoint sets of windows as one; a config may be in either or both."""
+    """The states of two disjoint sets of windows as one; a config may be in either or both.
+
+    A config of ``new`` with ``again`` was summed up from all its windows and takes the place of the old one.
+    """
     a = old.select(*CONFIG_KEYS, F.struct(*[c for c in old.columns if c not in CONFIG_KEYS]).alias("a"))
     b = new.select(*CONFIG_KEYS, F.struct(*[c for c in new.columns if c not in CONFIG_KEYS]).alias("b"))
     x, y = F.col("a"), F.col("b")
@@ -151,7 +172,8 @@ def joined_states(old: DataFrame, new: DataFrame) -> DataFrame:
         "first_window": F.least(x["first_window"], y["first_window"]),
         "last_window": F.greatest(x["last_window"], y["last_window"]),
         "hp_json": F.when(y["first_window"] < x["first_window"], y["hp_json"]).otherwise(x["hp_json"])}
-    one = [F.when(x.isNull(), y[c]).when(y.isNull(), x[c]).otherwise(v).alias(c) for c, v in both.items()]
+    anew = F.coalesce(y["again"], F.lit(False)) if "again" in new.columns else F.lit(False)
+    one = [F.when(x.isNull() | anew, y[c]).when(y.isNull(), x[c]).otherwise(v).alias(c) for c, v in both.items()]
     return a.join(b, CONFIG_KEYS, "full").select(*CONFIG_KEYS, *one)
 
 

@@ -21,12 +21,12 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tidemark.operators.metrics import (
-    CONFIG_KEYS, config_states, joined_states, latest_partials, state_scores, window_partials)
+    CONFIG_KEYS, config_states, joined_states, latest_partials, state_scores, touched_partials, window_partials)
 from tidemark.schema import LOG_FILE_COLUMNS, LOG_SCHEMA
-from tidemark.session import folder_names, remove_folder, stored
+from tidemark.session import folder_names, remove_folder
 from tidemark.sources.logs import from_log_file_columns, with_line
 
-BUCKETS = 64
+BUCKETS, SLICES = 64, 4
 
 
 def log_stream(spark: SparkSession, path: str, format: str = "csv",
@@ -63,17 +63,20 @@ def logged_windows(spark: SparkSession, table: str, before: int, schema: T.Struc
     return spark.read.schema(schema).option("basePath", f"{table}/windows").parquet(*[f"{table}/windows/{n}" for n in batches])
 
 
-def logged_again(new: DataFrame, old: DataFrame, configs: DataFrame) -> DataFrame | None:
-    """All earlier rows of the configs that log a window of ``old`` again; None if none does."""
+def late_buckets(new: DataFrame, configs: DataFrame) -> list[int]:
+    """The buckets, BUCKETS at most, of configs with a new window within the range they have already."""
     known = configs.select(*CONFIG_KEYS, "first_window", "last_window")
-    late = stored(new.join(known, CONFIG_KEYS).filter("window_id BETWEEN first_window AND last_window")
-                  .select(*CONFIG_KEYS, "window_id", "bucket"), "late")
-    buckets = [r.bucket for r in late.select("bucket").distinct().collect()]  # BUCKETS at most
-    if not buckets:
-        return None
-    mine = old.filter(F.col("bucket").isin(buckets))
-    again = mine.join(late, [*CONFIG_KEYS, "window_id", "bucket"], "left_semi").select(*CONFIG_KEYS).distinct()
-    return stored(mine.join(again, CONFIG_KEYS, "left_semi"), "again")
+    late = new.select(*CONFIG_KEYS, "window_id", "bucket").join(known, CONFIG_KEYS) \
+              .filter("window_id BETWEEN first_window AND last_window")
+    return [r.bucket for r in late.select("bucket").distinct().collect()]
+
+
+def dealt(partials: DataFrame) -> DataFrame:
+    """The windows of a config in one task, few buckets in a task and each bucket in SLICES tasks at most."""
+    place = F.xxhash64(*CONFIG_KEYS)
+    return partials.withColumns({
+        "bucket": F.pmod(place, F.lit(BUCKETS)).cast("int"),
+        "slice": F.pmod(F.shiftright(place, 6), F.lit(SLICES)).cast("int")}).repartition("bucket", "slice")
 
 
 def merge_batch(batch: DataFrame, number: int, table: str) -> None:
@@ -81,9 +84,8 @@ def merge_batch(batch: DataFrame, number: int, table: str) -> None:
     spark = batch.sparkSession
     if "line" not in batch.columns and "block" in batch.columns:
         batch = with_line(batch)
-    bucket = F.pmod(F.xxhash64(*CONFIG_KEYS), F.lit(BUCKETS)).cast("int")
-    rows = latest_partials(window_partials(batch)).withColumn("bucket", bucket)
-    rows.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{table}/windows/batch={number}")
+    rows = latest_partials(dealt(window_partials(batch)), "bucket", "slice").drop("slice")
+    rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{table}/windows/batch={number}")
     new = spark.read.schema(rows.schema).parquet(f"{table}/windows/batch={number}")
     before = [v for v in versions(spark, table) if v < number]
     if not before:
@@ -91,15 +93,12 @@ def merge_batch(batch: DataFrame, number: int, table: str) -> None:
     else:
         configs = spark.read.parquet(f"{table}/configs/{before[-1]}")
         old = logged_windows(spark, table, number, rows.schema)
-        again = old and logged_again(new, old, configs)
-        if again is None:
+        late = old and late_buckets(new, configs)
+        if not late:
             states = joined_states(configs, config_states(new))
         else:
-            keys = again.select(*CONFIG_KEYS).distinct()
-            both = again.select(rows.columns).unionByName(new.join(keys, CONFIG_KEYS, "left_semi").select(rows.columns))
-            anew = config_states(latest_partials(both.drop("bucket")))
-            rest = config_states(new.join(keys, CONFIG_KEYS, "left_anti"))
-            states = joined_states(configs.join(keys, CONFIG_KEYS, "left_anti"), rest).unionByName(anew)
+            mine = old.filter(F.col("bucket").isin(late)).select(rows.columns).drop("bucket")
+            states = joined_states(configs, config_states(touched_partials(mine, new.drop("bucket")), "again"))
     states.write.mode("overwrite").parquet(f"{table}/configs/{number}")
     for version in before[:-1]:
         remove_folder(spark, f"{table}/configs/{version}")
