@@ -227,3 +227,13 @@ def test_windows_of_a_batch_are_dealt_once(spark):
     rows = metrics.latest_partials(streaming.dealt(metrics.window_partials(frame(spark, first_run() + second_run()))), "bucket", "slice")
     assert plan(rows).count("Exchange hashpartitioning") == 1 and "max_by" not in plan(rows)
     assert rows.groupBy(*metrics.CONFIG_KEYS).agg(F.count_distinct("bucket", "slice").alias("n")).filter("n > 1").isEmpty()
+
+
+def test_headers_are_found_without_sorting_lines(spark, tmp_path):
+    logs.write_log_files(frame(spark, first_run()).coalesce(1), str(tmp_path / "good"))
+    (tmp_path / "poor.csv").write_text("market,model_name,z\nm,x,1\n")
+    (tmp_path / "none.csv").write_text("1,2\n3,4\n")
+    heads = logs.log_file_headers(spark, str(tmp_path))
+    assert "Sort" not in plan(heads).split("Exchange")[-1]
+    got = sorted((r.file.rsplit("/", 1)[1][:4], len(r.columns or []), len(r.missing)) for r in heads.collect())
+    assert got == [("none", 0, len(logs.LOG_REQUIRED)), ("part", 11, 0), ("poor", 3, len(logs.LOG_REQUIRED) - 2)]

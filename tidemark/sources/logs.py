@@ -121,7 +121,8 @@ def from_log_file_columns(rows: DataFrame) -> DataFrame:
 
 def log_file_headers(spark: SparkSession, path: str) -> DataFrame:
     """Per file the names in its first line, which only the block that starts the file can hold,
-    and the required names it lacks.  A file without any known name lacks all of them."""
+    and the required names it lacks.  A file without any known name lacks all of them.  Lines that are no header are
+    all alike, so a task keeps few rows and sorts none of its lines."""
     lines = spark.read.option("recursiveFileLookup", True).text(path).select(
         "value", F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"))
@@ -129,7 +130,8 @@ def log_file_headers(spark: SparkSession, path: str) -> DataFrame:
     known = F.size(F.array_intersect(names, F.array(*[F.lit(c) for c in LOG_FILE_COLUMNS])))
     head = F.when((F.col("block") == 0) & F.col("value").contains("market") & (known >= 2), names)
     required = F.array(*[F.lit(c) for c in LOG_REQUIRED])
-    found = lines.groupBy("file").agg(F.min(head).alias("columns"))
+    alike = lines.groupBy("file", head.alias("head")).agg(F.count(F.lit(1)).alias("n"))
+    found = alike.groupBy("file").agg(F.min(F.when(F.col("n") > 0, F.col("head"))).alias("columns"))
     return found.select("file", "columns", F.array_except(
         required, F.coalesce("columns", F.array().cast("array<string>"))).alias("missing"))
 
