@@ -11,6 +11,7 @@ from tidemark.operators import metrics, ranking
 from tidemark.sources import logs, market_files, panels, results
 from tidemark.streaming import scores as streaming
 from tests.helpers import day, plan
+from workload import registry
 
 KEYS = ["market", "model", "config_index"]
 LOG = ("market string, model string, config_index int, window_id bigint, hp_json string, "
@@ -312,3 +313,12 @@ def test_files_that_are_passed_over(spark, tmp_path):
         "lacks.csv": ("label row without all of the columns", 1)}
     os.remove(tmp_path / "d" / "lacks.csv")
     assert market_files.read_labelled_csv(spark, str(tmp_path)).count() == 5
+
+
+def test_poor_log_files_are_written_by_many_tasks(spark, sf, monkeypatch):
+    """Every task writes its own poor files; each is found."""
+    found = []
+    kept = logs.bad_log_files
+    monkeypatch.setattr(logs, "bad_log_files", lambda *a: found.append(kept(*a).count()) or kept(*a))
+    assert registry.QUERIES["bad_log_files"](spark, sf).count() == 7
+    assert found[0] > 1

@@ -184,10 +184,10 @@ def bad_log_files(spark, sf):
     """Log files of two runs, one of them without the forecasts."""
     path = fresh_path(spark, "mixed-logs")
     log = fx.line_log(spark, sf).withColumn("start_date", F.col("end_date"))
-    logs.write_log_files(log.filter(F.col("model") != "tcn"), path)
+    logs.write_log_files(log.filter(F.col("model") != "tcn"), path, compression="gzip")
     poor = logs.to_log_file_columns(log.filter(F.col("model") == "tcn")) \
                .drop("window_id", "test_data_model_predictions_list")
-    poor.coalesce(1).write.mode("append").option("header", True).csv(f"{path}/poor")
+    poor.write.mode("append").option("header", True).option("compression", "gzip").csv(f"{path}/poor")
     bad = logs.bad_log_files(spark, path).groupBy("missing").agg(F.lit("found").alias("kind"))
     read = logs.read_logs(spark, path).groupBy("model").agg(F.count(F.lit(1)).alias("n"))
     return read.select("model", "n").union(bad.select("missing", F.lit(0).cast("bigint")))
