@@ -315,6 +315,28 @@ def test_files_that_are_passed_over(spark, tmp_path):
     assert market_files.read_labelled_csv(spark, str(tmp_path)).count() == 5
 
 
+def test_rows_of_market_files_stay_where_they_are_read(spark, tmp_path):
+    """Two files: the rows are not dealt by file or folder, by which two tasks would get them all."""
+    for i, head in enumerate(("Date,Secondary Market", "Date,x,Secondary Market")):
+        write(tmp_path / str(i), "a.csv", f"{head}\n2024-01-0{i + 1},{',' * i}{i + 5}\n")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = market_files.read_labelled_csv(spark, str(tmp_path))
+        assert "SortMergeJoin" not in plan(got)
+        assert sorted((str(r.d), r.price) for r in got.collect()) == [("2024-01-01", 5.0), ("2024-01-02", 6.0)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_files_of_a_layout_are_written_by_many_tasks(spark, tmp_path):
+    rows = spark.range(0, 40, 1, 4).selectExpr("concat(date_add(date '2024-01-01', int(id)), ',', id + 1) AS value")
+    registry.labelled_lines(rows, ',"Title"\nDate,Secondary Market').write.text(str(tmp_path / "in"))
+    files = [p.read_text() for p in (tmp_path / "in").iterdir() if p.name.startswith("part")]
+    assert len(files) == 4 and all(f.startswith(',"Title"\nDate,Secondary Market\n2024') for f in files)
+    assert market_files.read_labelled_csv(spark, str(tmp_path / "in")).count() == 40
+
+
 def test_poor_log_files_are_written_by_many_tasks(spark, sf, monkeypatch):
     """Every task writes its own poor files; each is found."""
     found = []

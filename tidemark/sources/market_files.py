@@ -58,8 +58,9 @@ def _placed_rows(spark: SparkSession, path: str, value: str, carry: dict[str, st
     labels = labels.withColumn("lacks", F.least(*[F.col("own")[name] for name in wanted], F.lit(1)) == 0)
     shared = labels.groupBy("folder").agg(F.min("own").alias("shared"), F.max("own").alias("other")) \
         .withColumn("differ", F.col("shared") != F.col("other"))
-    placed = rows.withColumn("folder", folder).join(labels.select("file", "own", "lacks"), "file", "left") \
-        .join(shared.select("folder", "shared", "differ"), "folder", "left") \
+    # One row per file, as the driver lists them, goes to every task: rows are not dealt by their file, of which there may be few.
+    placed = rows.withColumn("folder", folder).join(F.broadcast(labels.select("file", "own", "lacks")), "file", "left") \
+        .join(F.broadcast(shared.select("folder", "shared", "differ")), "folder", "left") \
         .withColumn("at", F.coalesce("own", F.when(~F.col("differ"), F.col("shared"))))
     return placed, labels
 

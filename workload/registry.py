@@ -74,9 +74,15 @@ def read_labelled_csv(spark, sf):
     return show(df, "market", "d", "n", top=2)
 
 
+def labelled_lines(lines: DataFrame, head: str) -> DataFrame:
+    """Lines of text files, each of which begins with the lines of ``head``, however many tasks write them."""
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return lines.select(F.when(row == 0, F.concat(F.lit(f"{head}\n"), "value")).otherwise(F.col("value")).alias("value"))
+
+
 @query
 def read_labelled_folder(spark, sf):
-    """One file per layout, the price in another place in each, read back whole."""
+    """Files of two layouts, the price in another place in each, read back whole."""
     path = fresh_path(spark, "layouts")
     rows = fx.raw_prices(spark, sf).withColumn("market", F.concat(F.lit('"'), "market", F.lit('"')))
     parts = [("seq % 2 = 0", 'Date,Order,"Secondary Market",Market', ["seq", "price", "market"]),
@@ -85,8 +91,9 @@ def read_labelled_folder(spark, sf):
     for i, (mine, head, columns) in enumerate(parts):
         text = rows.filter(mine).select(F.concat_ws(",", day(), *[
             F.col(c).cast("string") if isinstance(c, str) else c for c in columns]).alias("value"))
-        heads = spark.createDataFrame([(f',"Layout {i}"',), (head,)], "value string")
-        heads.union(text).coalesce(1).write.text(f"{path}/{i}")
+        head = f',"Layout {i}"\n{head}'
+        empty = spark.createDataFrame([(head,)], "value string").coalesce(1)
+        empty.union(labelled_lines(text, head)).write.text(f"{path}/{i}")
     df = market_files.read_labelled_csv(spark, path, carry={"Market": "market", "Order": "seq"})
     return show(df.withColumn("seq", F.col("seq").cast("bigint")), "market", "seq", "d", price=2)
 
@@ -103,10 +110,10 @@ def passed_over_files(spark, sf):
             text = rows.filter(F.col("seq") % 3 == part).select(
                 F.concat_ws(",", day(), *[F.col(c).cast("string") for c in columns[layout]]).alias("value"))
             if part < 2:
-                text = spark.createDataFrame([(heads[layout],)], "value string").union(text)
-            text.coalesce(1).write.mode("append").text(f"{path}/{folder}")
+                text = labelled_lines(text, heads[layout])
+            text.write.mode("append").text(f"{path}/{folder}")
     df = market_files.passed_over_files(spark, path).withColumn("folder", F.regexp_extract("file", "/([^/]*)/[^/]*$", 1)) \
-        .filter("file LIKE '%/part-%'")
+        .filter("file LIKE '%/part-%'").groupBy("folder", "reason").agg(F.sum("n_rows").alias("n_rows"))
     return show(df, "folder", "reason", "n_rows")
 
 
