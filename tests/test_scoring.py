@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import metrics, ranking, reports, traces
 from tests.helpers import column, day, plan
+from workload import registry
 
 PAIRS = "g string, y_true double, y_pred double"
 
@@ -316,3 +317,10 @@ def test_extremes_and_overall(spark):
     assert tuple(r[0])[2:] == (0.1, 0.5, 0.99) and tuple(r[1])[2:] == (0.3, None, None)
     o = {x.hyperparams_json: x for x in reports.cfg_overall(reports.cfg_market(df)).collect()}
     assert (o["c1"].mean_MAPE, o["c1"].mean_R2, o["c1"].markets_covered) == (0.2, 0.5, 2)
+
+
+def test_runs_of_the_line_log_need_no_shuffle_of_their_own(spark, sf):
+    """Whole configs lie in one task: their states are summed up where the windows are."""
+    states = metrics.run_states(registry.line_log_with_failures(spark, sf))
+    assert plan(states).count("Exchange hashpartitioning") == 1
+    assert states.groupBy().sum("n_windows").first()[0] == registry.fx.line_log(spark, sf).count()
