@@ -324,3 +324,9 @@ def test_runs_of_the_line_log_need_no_shuffle_of_their_own(spark, sf):
     states = metrics.run_states(registry.line_log_with_failures(spark, sf))
     assert plan(states).count("Exchange hashpartitioning") == 1
     assert states.groupBy().sum("n_windows").first()[0] == registry.fx.line_log(spark, sf).count()
+
+
+def test_windows_of_the_line_log_need_no_shuffle_of_their_own(spark, sf):
+    found = metrics.log_windows(registry.fx.line_log(spark, sf))
+    assert plan(found).count("Exchange hashpartitioning") == 1
+    assert found.groupBy().sum("n_windows").first()[0] == registry.fx.line_log(spark, sf).count()
