@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pytest
@@ -330,3 +331,9 @@ def test_windows_of_the_line_log_need_no_shuffle_of_their_own(spark, sf):
     found = metrics.log_windows(registry.fx.line_log(spark, sf))
     assert plan(found).count("Exchange hashpartitioning") == 1
     assert found.groupBy().sum("n_windows").first()[0] == registry.fx.line_log(spark, sf).count()
+
+
+def test_runs_to_resume_are_not_dealt_by_market(spark, sf):
+    """Markets are few: only the windows expected of each are gathered by market, the runs stay where their configs lie."""
+    dealt = re.findall(r"Exchange hashpartitioning\((market#\d+(?:, model)?)", plan(registry.resume_incomplete(spark, sf)))
+    assert sum("model" not in by for by in dealt) == 1 and len(dealt) == 4

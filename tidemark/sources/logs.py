@@ -186,10 +186,11 @@ def resume_anti(todo: DataFrame, log: DataFrame,
 
     A run with a failed window is not done, nor is one with fewer windows than ``expected``
     (``market``, ``n_expected``) says.  Give a log in which each window counts once.  The done keys
-    are reduced to distinct ones first, so a config with many windows joins as one row.
+    are reduced to distinct ones first, so a config with many windows joins as one row.  ``expected`` has one
+    row per market and is broadcast: dealt by market, all runs of a market would lie in one task.
     """
     if expected is not None:
-        whole = run_states(log).join(expected, "market").filter("n_windows >= n_expected")
+        whole = run_states(log).join(F.broadcast(expected), "market").filter("n_windows >= n_expected")
         return todo.join(whole.filter("n_failed = 0").select(*keys).distinct(), list(keys), "left_anti")
     done = log.select(*keys).distinct()
     if "error" in log.columns:
@@ -201,11 +202,11 @@ def missing_windows(todo: DataFrame, log: DataFrame, expected: DataFrame,
                     keys: Sequence[str] = ("market", "model", "config_index")) -> DataFrame:
     """The windows that the runs of ``todo`` lack or that failed, as intervals ``first``..``last``.
 
-    Give a log in which each window counts once; ``expected`` has ``n_expected`` windows per market.  The end of a run
-    counts as one more window, so every gap lies before a window.  A run has at most as many windows as its
+    Give a log in which each window counts once; ``expected`` has ``n_expected`` windows per market, one row each, and
+    is broadcast.  The end of a run counts as one more window, so every gap lies before a window.  A run has at most as many windows as its
     market has days, which bounds the window over it.
     """
-    ends = todo.select(*keys).distinct().join(expected, "market")
+    ends = todo.select(*keys).distinct().join(F.broadcast(expected), "market")
     good = log.filter("error IS NULL") if "error" in log.columns else log
     good = good.select(*keys, "window_id").join(ends, list(keys)).filter("window_id >= 0 AND window_id < n_expected")
     marks = good.select(*keys, "window_id").unionByName(ends.select(*keys, F.col("n_expected").cast("bigint").alias("window_id")))
