@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.helpers import day, plan
+from tidemark.functions.parsing import hp_json, parse_dict, parse_list
 from tidemark.operators import metrics
 from tidemark.operators.clean import dedupe_last
 from tidemark.session import remove_folder
@@ -237,3 +238,70 @@ def test_headers_are_found_without_sorting_lines(spark, tmp_path):
     assert "Sort" not in plan(heads).split("Exchange")[-1]
     got = sorted((r.file.rsplit("/", 1)[1][:4], len(r.columns or []), len(r.missing)) for r in heads.collect())
     assert got == [("none", 0, len(logs.LOG_REQUIRED)), ("part", 11, 0), ("poor", 3, len(logs.LOG_REQUIRED) - 2)]
+
+
+def test_rows_of_a_batch_are_dealt_once_to_tasks_by_their_size(spark, tmp_path, monkeypatch):
+    """Rows are written where they are parsed, a repeated window too, and dealt when configs are summed up from them."""
+    rows = frame(spark, first_run() + second_run())
+    monkeypatch.setattr(streaming, "dealt", lambda *a: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        streaming.merge_batch(rows, 0, str(tmp_path / "t"))
+    monkeypatch.undo()
+    written = spark.read.parquet(str(tmp_path / "t/windows/batch=0"))
+    assert written.count() == rows.count() > metrics.latest_partials(written).count()
+    partials = metrics.window_partials(rows)
+    assert streaming.tasks_for(spark, 100) is None and streaming.tasks_for(spark, 9 * streaming.TASK_BYTES - 1) == 9
+    assert streaming.dealt(partials, 9).rdd.getNumPartitions() == 9
+    assert metrics.touched_partials(partials, partials, 9).rdd.getNumPartitions() == 9
+
+
+def test_many_tasks_come_to_the_same_scores(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(streaming, "TASK_BYTES", 1 << 10)
+    seen = None
+    for k, batch in enumerate(batches(spark)[:3]):
+        streaming.merge_batch(batch, k, str(tmp_path / "t"))
+        seen = batch if seen is None else seen.unionByName(batch)
+    assert scores(streaming.current_scores(spark, str(tmp_path / "t"))) == scores(metrics.config_scores(metrics.dedupe_log(seen)))
+
+
+def test_windows_are_summed_up_before_they_are_dealt(spark):
+    """Also where windows differ in length and text, some without a forecast; the text of the first window stays."""
+    rows = [(0, w, [100.0 + w, 90.0 - w * w, 7.0][:w % 4], [1.0, 2.0, 3.0][:w % 4], None, 1) for w in range(40)] + [(1, 3, [5.0], [5.0], None, 1)]
+    log = frame(spark, rows).withColumn("hp_json", F.when(F.col("window_id") < 2, F.lit("{}")).otherwise(F.col("hp_json")))
+    states = metrics.config_states(metrics.window_partials(log))
+    below = plan(states).split("Exchange")[-1]
+    assert "HashAggregate" in below and "Sort" not in below and "Window" not in below
+    got = {r.config_index: r for r in states.collect()}
+    truth = [t for c, _, ts, *_ in rows if c == 0 for t in ts]
+    mean = sum(truth) / len(truth)
+    assert (got[0].n, got[0].n_windows, got[0].hp_json, got[0].first_window, got[0].last_window) == (len(truth), 40, "{}", 0, 39)
+    assert got[0].mean == pytest.approx(mean) and got[0].m2 == pytest.approx(sum((t - mean) ** 2 for t in truth))
+    assert (got[1].n, got[1].mean, got[1].m2, got[1].hp_json) == (1, 5.0, 0.0, '{"c":"1"}')
+
+
+def test_late_configs_are_seen_from_a_row_each(spark):
+    """New windows before, after, within and on both sides of the known ones; no window is joined with the configs."""
+    known = metrics.config_states(metrics.window_partials(frame(spark, [(c, w, [1.0], [1.0], None, 1) for c in range(4) for w in (5, 9)])))
+    new = streaming.bucketed(metrics.window_partials(frame(spark, [(c, w, [1.0], [1.0], None, 2) for c, w in [(0, 4), (1, 10), (2, 7), (3, 1), (3, 12), (9, 7)]])))
+    bucket = {r.config_index: r.bucket for r in new.collect()}
+    assert set(streaming.late_buckets(new.filter("config_index IN (0, 1, 9)"), known)) == set()
+    assert set(streaming.late_buckets(new, known)) == {bucket[2], bucket[3]}
+
+
+def test_cells_read_together_are_as_those_read_alone(spark):
+    """Lists and config texts that are whole, odd, cut short or go on: each comes out the same beside any other."""
+    lists = ["[1.5]", " [1, -2.5e3 ] ", "[]", "[1,null]", "[NaN]", "[1,,2]", "[01]", "[1e999]", "[nul]", "[1] x", '[1],"p":[9]', "[[1]]", '["a"]', "1", "", None]
+    texts = ['{"a": 0.0001}', "{'a': 1}", '{"a":1', '{"a":1}}', '{"a":"b}', '{"a":"b"},"t":[7]', '{"a":{"b":1}}', '{"a":1,"a":2}', '{"a" 1}', "{}", None]
+    cells = [("m", "X", "1", "2", h, "2024-01-05", "2024-01-05", t, p) for h in texts for t in lists for p in lists]
+    names = ["market", "model_name", "config_index", "window_id", "model_hyperparameters_dict", "start_date", "end_date",
+             "test_data_values_list", "test_data_model_predictions_list"]
+    raw = spark.createDataFrame(cells, ", ".join(f"{c} string" for c in names)).withColumn("run_seq", F.lit(1))
+    keep = raw.withColumn("line", F.struct(*names[4:5], *names[7:]))
+    got = {tuple(r.line): (r.hp_json, r.y_true, r.y_pred) for r in logs.from_log_file_columns(keep).collect()}
+    alone = lambda column, values: dict(spark.createDataFrame([(v,) for v in values], "v string").select("v", column).collect())
+    text = F.coalesce(F.trim("v"), F.lit("{}"))
+    whole = F.when(F.from_json(text, "map<string,string>").isNotNull() & text.startswith('{"'), text)
+    hp, numbers = alone(F.coalesce(whole, hp_json(parse_dict("v"))), texts), alone(parse_list("v"), lists)
+    assert got == {(h, t, p): (hp[h], numbers[t], numbers[p]) for h in texts for t in lists for p in lists}
+    assert numbers["[1,null]"] == [1.0, None] and hp['{"a": 0.0001}'] == '{"a": 0.0001}'
+    assert logs.from_log_file_columns(raw)._jdf.queryExecution().optimizedPlan().toString().count("RLIKE") == 1

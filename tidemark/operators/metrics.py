@@ -119,17 +119,20 @@ def latest_partials(partials: DataFrame, *places: str) -> DataFrame:
                        [*values, "run_seq", "line"])
 
 
-def touched_partials(old: DataFrame, new: DataFrame) -> DataFrame:
+def touched_partials(old: DataFrame, new: DataFrame, tasks: int | None = None) -> DataFrame:
     """The windows that configs with ``new`` windows are to be summed up from, each once, and ``again``.
 
     A config that logs a window of ``old`` once more has ``again`` and comes with all its windows, any other with
-    those that are new.  Both tables are dealt by config, once.
+    those that are new.  Either table may hold a window several times.  Both are dealt by config, once, to so many
+    ``tasks``, and sorted once: by a number that tells configs apart, then by config and window.
     """
-    both = old.withColumn("new", F.lit(False)).unionByName(new.withColumn("new", F.lit(True))).repartition(*CONFIG_KEYS)
+    place = ["place", *reversed(CONFIG_KEYS)]
+    both = old.withColumn("new", F.lit(False)).unionByName(new.withColumn("new", F.lit(True)))
+    both = both.repartition(*([tasks] if tasks else []), *CONFIG_KEYS).withColumn("place", F.xxhash64(*CONFIG_KEYS))
     values = [c for c in old.columns if c not in (*CONFIG_KEYS, "window_id", "run_seq", "line")]
-    rows = both.groupBy(*CONFIG_KEYS, "window_id").agg(
+    rows = both.groupBy(*place, "window_id").agg(
         F.max(F.struct("run_seq", "line", *values)).alias("last"), F.max("new").alias("new"), F.min("new").alias("only"))
-    twice = F.max(F.col("new") & ~F.col("only")).over(Window.partitionBy(*CONFIG_KEYS))
+    twice = F.max(F.col("new") & ~F.col("only")).over(Window.partitionBy(*place))
     return rows.withColumn("again", twice).filter(F.col("again") | F.col("new")) \
         .select(*CONFIG_KEYS, "window_id", "again", "last.*")
 
@@ -138,19 +141,25 @@ def config_states(partials: DataFrame, *flags: str) -> DataFrame:
     """What the windows of a config add up to; each window is there once.  ``flags`` are equal in a config.
 
     ``mean`` and ``m2`` are those of the truth of all its rows: the spread within the windows and that of
-    their means.  A config has at most as many windows as its market has days, which bounds the window over it.
+    their means.  Windows of one length and text are summed up first, in buffers of fixed width, so that tasks neither
+    sort windows nor send them; how far the means of such windows lie apart is their variance, and a config has few lengths.
     """
+    alike = partials.groupBy(*CONFIG_KEYS, "hp_json", "n", *flags).agg(
+        F.count(F.lit(1)).alias("n_windows"), F.count("error").alias("n_failed"), F.avg("mean").alias("mean"),
+        F.sum("m2").alias("m2"), F.var_pop("mean").alias("apart"), *[F.sum(c).alias(c) for c in SUMS],
+        F.min("low").alias("low"), F.max("high").alias("high"),
+        F.min("window_id").alias("first_window"), F.max("window_id").alias("last_window"))
+    size = F.col("n") * F.col("n_windows")
+    alike = alike.withColumns({"m2": F.col("m2") + F.coalesce(size * F.col("apart"), F.lit(0.0)), "n": size}).drop("apart")
     every = Window.partitionBy(*CONFIG_KEYS)
-    weight = F.col("n") * F.col("mean")
-    rows = partials.withColumn("middle", F.try_divide(F.sum(weight).over(every), F.sum("n").over(every)))
+    rows = alike.withColumn("middle", F.try_divide(F.sum(F.col("n") * F.col("mean")).over(every), F.sum("n").over(every)))
     shift = F.when(F.col("n") > 0, F.col("mean") - F.col("middle"))
     return rows.groupBy(*CONFIG_KEYS).agg(
-        F.count(F.lit(1)).alias("n_windows"), F.count("error").alias("n_failed"), F.sum("n").alias("n"),
-        F.coalesce(F.max("middle"), F.lit(0.0)).alias("mean"),
+        *[F.sum(c).alias(c) for c in ("n_windows", "n_failed", "n")], F.coalesce(F.max("middle"), F.lit(0.0)).alias("mean"),
         F.sum(F.col("m2") + F.coalesce(F.col("n") * shift * shift, F.lit(0.0))).alias("m2"),
         *[F.sum(c).alias(c) for c in SUMS], F.min("low").alias("low"), F.max("high").alias("high"),
-        F.min("window_id").alias("first_window"), F.max("window_id").alias("last_window"),
-        F.min_by("hp_json", "window_id").alias("hp_json"), *[F.max(c).alias(c) for c in flags])
+        F.min("first_window").alias("first_window"), F.max("last_window").alias("last_window"),
+        F.min_by("hp_json", "first_window").alias("hp_json"), *[F.max(c).alias(c) for c in flags])
 
 
 def joined_states(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -51,6 +51,11 @@ def folder_names(spark: SparkSession, path: str) -> list[str]:
     return [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
 
 
+def folder_bytes(spark: SparkSession, *paths: str) -> int:
+    """The bytes of all files under some folders."""
+    return sum(fs.getContentSummary(folder).getLength() for folder, fs in (_file(spark, p) for p in paths))
+
+
 def remove_folder(spark: SparkSession, path: str) -> None:
     folder, fs = _file(spark, path)
     fs.delete(folder, True)

@@ -9,7 +9,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from tidemark.functions.parsing import hp_json, parse_dict, parse_list
-from tidemark.functions.values import date_coerce, model_name_case
+from tidemark.functions.values import date_coerce, finite, model_name_case
 from tidemark.operators.metrics import run_states
 from tidemark.schema import LOG_FILE_COLUMNS, LOG_REQUIRED, LOG_SCHEMA
 from tidemark.session import folder_names, read_text, remove_folder, write_new
@@ -99,12 +99,28 @@ def with_line(rows: DataFrame) -> DataFrame:
     return rows.withColumn("line", F.struct("block", row.alias("row")))
 
 
+#: Cells that stand side by side in one JSON document as they do alone: lists of numbers and nulls, a flat object.
+PLAIN_CELLS = r'^\[[-+0-9.eEnul, ]*\]\n\[[-+0-9.eEnul, ]*\]\n\{"[^{}\[\]\n]*\}\z'
+
+
 def from_log_file_columns(rows: DataFrame) -> DataFrame:
     """Flat text cells back to typed columns.  The config text is kept as it was written: it is
-    a join key, and spelling it anew could split one config in two.  ``error`` is what the lists show."""
+    a join key, and spelling it anew could split one config in two.  ``error`` is what the lists show.
+
+    A JSON reader costs more to set up than a cell takes to read, so the three cells of a row are read by one where
+    that comes to the same; each of the others is read by itself.  Of the config text only whether it can be read is
+    asked, so its values are passed over.
+    """
     text = F.coalesce(F.trim(F.col("model_hyperparameters_dict")), F.lit("{}"))
-    whole = F.when(F.from_json(text, "map<string,string>").isNotNull()
+    truth, forecast = F.trim(F.col("test_data_values_list")), F.trim(F.col("test_data_model_predictions_list"))
+    plain = F.concat_ws("\n", truth, forecast, text).rlike(PLAIN_CELLS)
+    one = F.concat(F.lit('{"t":'), truth, F.lit(',"p":'), forecast, F.lit(',"h":'), text, F.lit("}"))
+    kind = "t array<double>, p array<double>, h struct<_:string>"
+    rows = rows.withColumn("read", F.when(plain, F.from_json(one, kind)))
+    read = F.col("read")
+    whole = F.when((read["h"].isNotNull() | F.from_json(text, "map<string,string>").isNotNull())
                    & text.startswith('{"'), text)
+    listed = lambda name, cell: F.coalesce(F.transform(read[name], finite), parse_list(cell))
     return rows.select(
         "market", model_name_case("model_name").alias("model"),
         F.col("config_index").try_cast("int").alias("config_index"),
@@ -112,8 +128,8 @@ def from_log_file_columns(rows: DataFrame) -> DataFrame:
         F.coalesce(whole, hp_json(parse_dict("model_hyperparameters_dict"))).alias("hp_json"),
         date_coerce(F.substring("start_date", 1, 10)).alias("start_date"),
         date_coerce(F.substring("end_date", 1, 10)).alias("end_date"),
-        parse_list("test_data_values_list").alias("y_true"),
-        parse_list("test_data_model_predictions_list").alias("y_pred"),
+        listed("t", "test_data_values_list").alias("y_true"),
+        listed("p", "test_data_model_predictions_list").alias("y_pred"),
         F.lit(None).cast("double").alias("train_loss"), "run_seq",
         *(c for c in ("line", "block") if c in rows.columns)) \
         .withColumn("error", missing_forecasts(F.col("y_true"), F.col("y_pred")))
